@@ -1,8 +1,585 @@
-"""Queries of the network-experiment operators and their SQL."""
+"""Queries of the network-experiment operators and their SQL.
 
+Samples are SIZE per arm and SIMS simulations; every query runs over its whole
+network. Queries named ``*_invariants`` check properties of random results:
+their SQL is the expected constant.
+"""
+
+from __future__ import annotations
+
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from netexp.functions import distributions as D
+from netexp.operators import causal as C
+from netexp.operators import graph as G
+from netexp.operators import mcmc as M
+from netexp.operators import sampling as S
+from netexp.plans import reports as R
+from netexp.plans.oracles import CC, COBUY, COV, EXPO, NET, OUT, SAMPLE, SHOW_TEST, SIMS, SIZE, TRUE_D, TRUE_I, WEIGHTED, filled, ks, pairs, sweep, test, w
+from netexp.sources.networks import cobuy_edges, copurchase_edges, simulated_edges
+
+SWEEP = [10, 20, 30]
+STEPS = 500
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def entry(spark, sf_dir):
-    return spark.range(1)
+class Net:
+    """The tables of a network; each that several steps of a query read is written once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, cobuy: bool = False):
+        self.spark, self.folder = spark, G.work_folder(spark)
+        self.edges = G.written((cobuy_edges if cobuy else copurchase_edges)(spark, sf_dir), self.folder, "edges")
+        self.adj = G.adjacency(self.edges)
+        self.deg = G.degree(self.adj)
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        return G.written(df, self.folder, name)
+
+    @cached_property
+    def attributes(self) -> DataFrame:
+        return self._written(G.node_attributes(self.edges), "attributes")
+
+    @property
+    def rounded(self) -> DataFrame:
+        """Degree and clustering at five digits."""
+        return self.attributes.select("node", "degree", F.bround("cluster_coef", 5).alias("coef"))
+
+    @cached_property
+    def sample(self) -> DataFrame:
+        return self._written(S.srs(self.deg, S.grid(self.spark, SIMS), SIZE), "sample")
+
+    @cached_property
+    def clean(self) -> DataFrame:
+        return self._written(S.clean_egos(self.adj, self.sample), "clean")
+
+    @property
+    def base(self) -> DataFrame:
+        return C.baseline_outcome(self.deg, C.covariates(self.deg))
+
+    @cached_property
+    def outcome(self) -> DataFrame:
+        return self._written(C.realised_outcome(self.adj, self.deg, self.base, self.sample, 0.05), "outcome")
+
+    @property
+    def p(self) -> float:
+        n, m = self.deg.count(), self.edges.count()
+        return self.spark.range(1).select(G.exponent(F.lit(n), F.lit(m))).first()[0]
+
+
+def query(sql: str | None, cobuy: bool = False):
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(Net(spark, sf_dir, cobuy)))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+SUMMARY = "SELECT (SELECT count(*) FROM deg) AS population_size, (SELECT count(*) FROM e) AS num_edges, round(avg(degree), 6) AS avg_degree, round(avg(cluster_coef), 6) AS avg_clustering, round(avg(nb_degree), 6) AS avg_neighbor_degree, round(2.0::DOUBLE * (SELECT count(*) FROM e) / (count(*) * (count(*) - 1)), 6) AS density, round(10.0::DOUBLE * (SELECT count(*) FROM e) / count(*) * log10(count(*)), 6) AS p FROM attrs"
+
+
+@query(w(NET, CC, SUMMARY))
+def table1_summary(n):
+    return G.summary(n.attributes, n.edges)
+
+
+@query(w(COBUY, CC, SUMMARY), cobuy=True)
+def table1_summary_sparse(n):
+    return G.summary(n.attributes, n.edges)
+
+
+@query(w(NET, "SELECT src AS orig, row_number() OVER (ORDER BY src) - 1 AS node FROM (SELECT DISTINCT src FROM adj)"))
+def dense_ids(n):
+    return G.dense_ids(n.edges)
+
+
+@query(w(NET, "SELECT node, degree FROM deg"))
+def node_degree(n):
+    return n.deg
+
+
+@query(w(NET, CC, "SELECT node, round(cluster_coef, 6) AS cluster_coef FROM cc"))
+def clustering_coef(n):
+    return G.clustering(n.edges)
+
+
+@query(w(NET, CC, "SELECT node, round(nb_degree, 6) AS nb_degree FROM nb"))
+def nb_degree(n):
+    return G.neighbour_degree(n.adj)
+
+
+@query(w(NET, "a2 AS (SELECT src, dst FROM adj UNION ALL SELECT node, node FROM deg)", "x(i, node, v) AS (SELECT 0, node, 1.0::DOUBLE FROM deg UNION ALL SELECT i + 1, a2.src, sum(v) FROM x JOIN a2 ON a2.dst = x.node WHERE i < 20 GROUP BY i, a2.src)", "SELECT node, round(v / sqrt((SELECT sum(v * v) FROM x WHERE i = 20)), 6) AS eigen_centrality FROM x WHERE i = 20", recursive=True))
+def eigen_centrality(n):
+    return G.eigenvector(n.adj, rounds=20, tol=0.0)
+
+
+@query(w(NET, "SELECT src AS node, list_sort(list(dst)) AS nbrs FROM adj GROUP BY src"))
+def hop1_lists(n):
+    return G.hop1_lists(n.adj)
+
+
+HOP2 = "h AS (SELECT DISTINCT p.src, q.dst FROM adj p JOIN adj q ON q.src = p.dst AND q.dst <> p.src LEFT JOIN adj r ON r.src = p.src AND r.dst = q.dst WHERE r.src IS NULL)"
+
+
+@query(w(NET, HOP2, "SELECT src AS node, count(*) AS n FROM h GROUP BY src"))
+def hop2_counts(n):
+    return G.hop2(n.adj).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
+
+
+@query(w(COBUY, "r(s, t) AS (SELECT node, node FROM deg UNION SELECT r.s, adj.dst FROM r JOIN adj ON adj.src = r.t)", "c AS (SELECT s AS node, min(t) AS label FROM r GROUP BY s)", "SELECT count(*) AS n_edges FROM e JOIN c ON c.node = e.s WHERE label = (SELECT label FROM c GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)", recursive=True), cobuy=True)
+def largest_component(n):
+    return G.largest_component(n.edges).agg(F.count("*").alias("n_edges"))
+
+
+@query(w(NET, SAMPLE, "SELECT DISTINCT samp.sim, adj.dst AS node FROM samp JOIN adj ON adj.src = samp.node LEFT JOIN samp o ON o.sim = samp.sim AND o.node = adj.dst WHERE o.node IS NULL"))
+def hop1_of_sample(n):
+    return G.neighbours_of(n.adj, n.sample, ("sim",))
+
+
+@query(w(NET, SAMPLE, pairs("p2", "samp", ["sim"]), "SELECT sim, count(*) AS n_pairs, count(DISTINCT node) AS n_nodes FROM p2 GROUP BY sim"))
+def hop2_within_sample(n):
+    return S.contaminated_pairs(n.adj, n.sample)[1].groupBy("sim").agg(F.count("*").alias("n_pairs"), F.countDistinct("node").alias("n_nodes"))
+
+
+@query(w(NET, SAMPLE, "SELECT sim, node, nd FROM nd"))
+def sampled_neighbours(n):
+    return S.sampled_neighbours(n.adj, n.sample)
+
+
+@query(w(NET, SAMPLE, "SELECT sim, node, arm FROM samp"))
+def srs_sample(n):
+    return n.sample
+
+
+@query(w(NET, SAMPLE, "SELECT sim, node, arm FROM clean"))
+def clean_egos(n):
+    return n.clean
+
+
+@query(w(NET, SAMPLE, "SELECT sim, node FROM alters"))
+def clean_alters(n):
+    return S.clean_alters(n.adj, n.sample)
+
+
+@query(w(NET, SAMPLE, "SELECT sim, arm, node FROM armalt"))
+def arm_alters(n):
+    return S.arm_alters(n.adj, n.sample)
+
+
+CLEAN_DEG = "cd AS (SELECT clean.sim, arm, clean.node, degree FROM clean JOIN deg ON deg.node = clean.node)"
+EXCLUSION = w(NET, SAMPLE, CLEAN_DEG, ks("kk", "cd", "deg", "degree", ["sim", "arm"]), f"SELECT s.sim, s.arm, count(cd.node) AS size, round(count(cd.node) / {SIZE}::DOUBLE, 6) AS pcent, round(avg(cd.degree), 6) AS avg_degree, round(max(kk.ks), 6) AS ks FROM (SELECT DISTINCT sim, arm FROM samp) s LEFT JOIN cd ON cd.sim = s.sim AND cd.arm = s.arm LEFT JOIN kk ON kk.sim = s.sim AND kk.arm = s.arm GROUP BY s.sim, s.arm")
+
+
+@query(EXCLUSION)
+def exclusion_summary(n):
+    return S.exclusion(n.adj, n.deg, n.sample, SIZE)
+
+
+@query(w(NET, SAMPLE, f"SELECT sim, (sum(CASE WHEN clean IS NOT NULL THEN 1 ELSE 0 END) // 2)::INTEGER AS nsample FROM (SELECT samp.sim, clean.node AS clean FROM samp LEFT JOIN clean ON clean.sim = samp.sim AND clean.node = samp.node) GROUP BY sim"))
+def matched_size(n):
+    return S.matched_size(S.exclusion(n.adj, n.deg, n.sample, SIZE))
+
+
+SWEEP_SQL = w(
+    NET, sweep(SWEEP), pairs("p2", "samp", ["sim", "nsample"]),
+    "fl AS (SELECT samp.sim, samp.nsample, samp.node, degree, CASE WHEN nd.nd IS NULL THEN 0 ELSE 1 END AS c1, CASE WHEN nd.nd IS NULL AND p.node IS NULL THEN 0 ELSE 1 END AS c2 FROM samp JOIN deg ON deg.node = samp.node LEFT JOIN nd ON nd.sim = samp.sim AND nd.nsample = samp.nsample AND nd.node = samp.node LEFT JOIN (SELECT DISTINCT sim, nsample, node FROM p2) p ON p.sim = samp.sim AND p.nsample = samp.nsample AND p.node = samp.node)",
+    "one AS (SELECT sim, nsample, avg(c1) AS a1, avg(degree) FILTER (c1 = 0) AS d1, avg(c2) AS a2, avg(degree) FILTER (c2 = 0) AS d2, (SELECT avg(degree) FROM deg) AS pop FROM fl GROUP BY sim, nsample)",
+    "SELECT nsample AS sample_size, round(avg(a1), 6) AS pcent_contaminated_1, round(avg(d1), 6) AS avg_degree_clean_1, round(avg(1 - a1), 6) AS pcent_clean_1, round(avg((d1 - pop) / pop), 6) AS degree_diff_pct_1, round(avg(a2), 6) AS pcent_contaminated_2, round(avg(d2), 6) AS avg_degree_clean_2, round(avg(1 - a2), 6) AS pcent_clean_2, round(avg((d2 - pop) / pop), 6) AS degree_diff_pct_2, round(avg(pop), 6) AS pop_avg_degree FROM one GROUP BY nsample",
+)
+
+
+@query(SWEEP_SQL)
+def contamination_sweep(n):
+    return S.contamination_sweep(n.adj, n.deg, S.grid(n.spark, SIMS, SWEEP))
+
+
+T2 = "hit AS (SELECT samp.sim, a.* FROM samp JOIN nd ON nd.sim = samp.sim AND nd.node = samp.node JOIN attrs a ON a.node = samp.node), ps AS (SELECT sim, avg(degree) AS degree, avg(cluster_coef) AS cluster_coef, avg(nb_degree) AS nb_degree FROM hit GROUP BY sim)"
+T2_LONG = " UNION ALL ".join(f"SELECT '{c}' AS attribute, round((SELECT avg({c}) FROM attrs), 6) AS population_mean, round((SELECT avg({c}) FROM ps), 6) AS excluded_mean" for c in ("degree", "cluster_coef", "nb_degree"))
+COLUMNS = ["degree", "cluster_coef", "nb_degree"]
+
+
+def _typed(n):
+    return n.attributes.select("node", *[F.col(c).cast("double").alias(c) for c in COLUMNS])
+
+
+@query(w(NET, CC, SAMPLE, T2, T2_LONG))
+def excluded_attrs_long(n):
+    return S.excluded_attributes(n.adj, _typed(n), n.sample, COLUMNS)
+
+
+@query(w(NET, CC, SAMPLE, T2, " UNION ALL ".join(f"SELECT '{c}' AS attribute, round((SELECT avg({c}) FROM ps), 6) AS copurchase" for c in COLUMNS)))
+def excluded_attrs_pivot(n):
+    return S.attribute_pivot(S.excluded_attributes(n.adj, _typed(n), n.sample, COLUMNS).withColumn("network", F.lit("copurchase")), ["copurchase"])
+
+
+@query(w(NET, SAMPLE, pairs("p2", "samp", ["sim"]), "SELECT DISTINCT sim, node FROM p2"))
+def second_degree_contamination(n):
+    return S.contaminated_pairs(n.adj, n.sample)[1].select("sim", "node").distinct()
+
+
+R2 = "at AS (SELECT node, degree, round(cluster_coef, 5) AS cluster_coef FROM attrs), rest AS (SELECT clean.sim, at.* FROM clean JOIN at ON at.node = clean.node LEFT JOIN (SELECT DISTINCT sim, node FROM p2) p ON p.sim = clean.sim AND p.node = clean.node WHERE p.node IS NULL)"
+
+
+@query(
+    w(
+        NET, CC, SAMPLE, pairs("p2", "clean", ["sim"]), R2, ks("kd", "rest", "at", "degree", ["sim"]), ks("kc", "rest", "at", "cluster_coef", ["sim"]),
+        f"SELECT c.sim, {SIZE} AS initial_sample, c.n AS RM_1st_remain, round(coalesce(p.n2, 0) / c.n::DOUBLE, 6) AS pcent_2nd_contamination, coalesce(r.n, 0) AS RM_2nd_remain, round(r.ad, 6) AS avg_degree_2nd, round(r.ac, 6) AS avg_cluster_2nd, round(kd.ks, 6) AS KS_degree_2nd, round(kc.ks, 6) AS KS_cluster_2nd, round(coalesce(p.n2t, 0) / c.n::DOUBLE, 6) AS pcent_2nd_causal_contamination "
+        "FROM (SELECT sim, count(*) AS n FROM clean GROUP BY sim) c LEFT JOIN (SELECT sim, count(DISTINCT node) AS n2, count(DISTINCT CASE WHEN mate_arm = 1 THEN node END) AS n2t FROM p2 GROUP BY sim) p ON p.sim = c.sim LEFT JOIN (SELECT sim, count(*) AS n, avg(degree) AS ad, avg(cluster_coef) AS ac FROM rest GROUP BY sim) r ON r.sim = c.sim LEFT JOIN kd ON kd.sim = c.sim LEFT JOIN kc ON kc.sim = c.sim",
+    )
+)
+def second_degree_summary(n):
+    return S.second_degree(n.adj, n.attributes, n.clean, SIZE)
+
+
+@query(
+    w(
+        NET, sweep(SWEEP), pairs("p2", "clean", ["sim", "nsample"]), "c1 AS (SELECT clean.*, degree FROM clean JOIN deg ON deg.node = clean.node)",
+        "c2 AS (SELECT c1.* FROM c1 LEFT JOIN (SELECT DISTINCT sim, nsample, node FROM p2) p ON p.sim = c1.sim AND p.nsample = c1.nsample AND p.node = c1.node WHERE p.node IS NULL)",
+        ks("k1", "c1", "deg", "degree", ["sim", "nsample"]), ks("k2", "c2", "deg", "degree", ["sim", "nsample"]),
+        "s1 AS (SELECT a.nsample, avg(n) AS n, avg(d) AS d, avg(ks) AS ks FROM (SELECT sim, nsample, count(*) AS n, avg(degree) AS d FROM c1 GROUP BY ALL) a JOIN k1 ON k1.sim = a.sim AND k1.nsample = a.nsample GROUP BY a.nsample)",
+        "s2 AS (SELECT a.nsample, avg(n) AS n, avg(d) AS d, avg(ks) AS ks FROM (SELECT sim, nsample, count(*) AS n, avg(degree) AS d FROM c2 GROUP BY ALL) a JOIN k2 ON k2.sim = a.sim AND k2.nsample = a.nsample GROUP BY a.nsample)",
+        "SELECT s1.nsample, round(s1.n, 6) AS remaining_1st, round(s1.d, 6) AS avg_degree_1st, round(s1.ks, 6) AS KS_degree_1st, round(s2.n, 6) AS remaining_2nd, round(s2.d, 6) AS avg_degree_2nd, round(s2.ks, 6) AS KS_degree_2nd FROM s1 LEFT JOIN s2 ON s1.nsample = s2.nsample",
+    )
+)
+def max_feasible_sweep(n):
+    return S.max_feasible_sweep(n.adj, n.attributes, S.grid(n.spark, SIMS, SWEEP))
+
+
+BOUNDARY = [NET, sweep(SWEEP), "cd AS (SELECT clean.*, degree FROM clean JOIN deg ON deg.node = clean.node)", ks("kk", "cd", "deg", "degree", ["sim", "nsample"]),
+            "bd AS (SELECT par.nsample, avg(coalesce(a.n, 0) / 2.0::DOUBLE) AS avg_remain, avg(kk.ks) AS avg_ks FROM par LEFT JOIN (SELECT sim, nsample, count(*) AS n FROM cd GROUP BY ALL) a ON a.sim = par.sim AND a.nsample = par.nsample LEFT JOIN kk ON kk.sim = par.sim AND kk.nsample = par.nsample GROUP BY par.nsample)"]
+
+
+@query(w(*BOUNDARY, "SELECT nsample, round(avg_remain, 6) AS avg_remain, round(avg_ks, 6) AS avg_KS, coalesce(avg_ks < 0.1, false) AS feasible FROM bd"))
+def boundary_excl(n):
+    return S.exclusion_boundary(n.adj, n.deg, S.grid(n.spark, SIMS, SWEEP))
+
+
+@query(w(*BOUNDARY, "SELECT round(coalesce(max(CASE WHEN avg_ks < 0.1 THEN avg_remain END), 0), 6) AS max_remain FROM bd"))
+def max_feasible(n):
+    return S.max_feasible(S.exclusion_boundary(n.adj, n.deg, S.grid(n.spark, SIMS, SWEEP)))
+
+
+@query(w(NET, "SELECT degree, round(count(*) / (SELECT count(*) FROM deg)::DOUBLE, 6) AS p FROM deg GROUP BY degree"))
+def epdf_degree(n):
+    return D.epdf(n.deg, ["degree"])
+
+
+RD = "rd AS (SELECT node, degree, round_even(cluster_coef, 5) AS coef FROM attrs)"
+
+
+@query(w(NET, CC, RD, "SELECT degree, coef, round(count(*) / (SELECT count(*) FROM rd)::DOUBLE, 6) AS p FROM rd GROUP BY degree, coef"))
+def epdf_joint(n):
+    t = n.rounded
+    return D.epdf(t, ["degree", "coef"])
+
+
+CDF = "cdf AS (SELECT s.degree, s.coef, count(*) / (SELECT count(*) FROM rd)::DOUBLE AS g FROM (SELECT DISTINCT degree, coef FROM rd) s JOIN rd r ON r.degree <= s.degree AND r.coef <= s.coef GROUP BY s.degree, s.coef)"
+
+
+@query(w(NET, CC, RD, CDF, "SELECT degree, coef, round(g, 6) AS f FROM cdf"))
+def joint_cdf(n):
+    t = n.rounded
+    return D.joint_cdf(t, "degree", "coef", t)
+
+
+SRD = "srd AS (SELECT samp.sim, samp.arm, rd.degree, rd.coef FROM samp JOIN rd ON rd.node = samp.node)"
+
+
+@query(w(NET, CC, RD, CDF, SAMPLE, SRD, f"SELECT sim, arm, round(max(abs(g - f)), 6) AS ks FROM (SELECT k.sim, k.arm, g, count(r.degree) / {SIZE}::DOUBLE AS f FROM cdf CROSS JOIN (SELECT DISTINCT sim, arm FROM samp) k LEFT JOIN srd r ON r.sim = k.sim AND r.arm = k.arm AND r.degree <= cdf.degree AND r.coef <= cdf.coef GROUP BY k.sim, k.arm, cdf.degree, cdf.coef, g) GROUP BY sim, arm"))
+def joint_ks(n):
+    t = n.rounded
+    return D.joint_ks(n.sample.join(t, "node"), t, "degree", "coef", ("sim", "arm"))
+
+
+SD = "sd AS (SELECT samp.sim, samp.arm, degree FROM samp JOIN deg ON deg.node = samp.node)"
+KS_DEGREE = w(NET, SAMPLE, SD, ks("kk", "sd", "deg", "degree", ["sim", "arm"]), "SELECT sim, arm, round(ks, 6) AS ks FROM kk")
+
+
+@query(KS_DEGREE)
+def ks_degree(n):
+    return D.ks_two_sample(n.sample.join(n.deg, "node"), n.deg, "degree", ("sim", "arm"))
+
+
+@query(KS_DEGREE)
+def ks_linear(n):
+    return D.ks_linear(n.sample.join(n.deg, "node"), n.deg, "degree", ("sim", "arm"))
+
+
+@query(
+    w(
+        NET, CC, RD, SAMPLE, SRD, "pp AS (SELECT degree, coef, count(*) / (SELECT count(*) FROM rd)::DOUBLE AS p FROM rd GROUP BY degree, coef)",
+        f"qq AS (SELECT sim, arm, degree, coef, count(*) / {SIZE}::DOUBLE AS q FROM srd GROUP BY ALL)",
+        "cl AS (SELECT k.sim, k.arm, p, coalesce(q, 1e-10) AS q FROM pp CROSS JOIN (SELECT DISTINCT sim, arm FROM samp) k LEFT JOIN qq ON qq.sim = k.sim AND qq.arm = k.arm AND qq.degree = pp.degree AND qq.coef = pp.coef)",
+        "nm AS (SELECT sim, arm, p / sum(p) OVER x AS p, q / sum(q) OVER x AS q FROM cl WINDOW x AS (PARTITION BY sim, arm))",
+        "SELECT sim, arm, round(sum(p * ln(p / q)), 6) AS kl FROM nm GROUP BY sim, arm",
+    )
+)
+def kl_joint(n):
+    t = n.rounded
+    return D.kl_joint(n.sample.join(t, "node"), t, ["degree", "coef"], ("sim", "arm"))
+
+
+@query(w(NET, SAMPLE, SD, "g AS (SELECT degree, count(*) / (SELECT count(*) FROM deg)::DOUBLE AS g FROM deg GROUP BY degree)", f"s AS (SELECT sim, arm, degree, count(*) / {SIZE}::DOUBLE AS s FROM sd GROUP BY ALL)", "SELECT sim, arm, round(abs(sum(s * ln(s / g))), 6) AS kl FROM s JOIN g ON g.degree = s.degree GROUP BY sim, arm"))
+def kl_univariate(n):
+    return D.kl_univariate(n.sample.join(n.deg, "node"), n.deg, "degree", ("sim", "arm"))
+
+
+AD = w(
+    NET, SAMPLE, SD, "fr AS (SELECT k.sim, k.arm, d.degree, d.f2, coalesce(s.f1, 0) AS f1 FROM (SELECT degree, count(*) AS f2 FROM deg GROUP BY degree) d CROSS JOIN (SELECT DISTINCT sim, arm FROM samp) k LEFT JOIN (SELECT sim, arm, degree, count(*) AS f1 FROM sd GROUP BY ALL) s ON s.sim = k.sim AND s.arm = k.arm AND s.degree = d.degree)",
+    f"cu AS (SELECT sim, arm, f1, f2, (f1 + f2)::DOUBLE AS l, sum(f1 + f2) OVER x::DOUBLE AS cl, sum(f1) OVER x::DOUBLE AS c1, sum(f2) OVER x::DOUBLE AS c2, {SIZE}.0::DOUBLE AS n1, (SELECT count(*) FROM deg)::DOUBLE AS n2 FROM fr WINDOW x AS (PARTITION BY sim, arm ORDER BY degree))",
+    "tm AS (SELECT sim, arm, n1, n2, n1 + n2 AS n, l, cl - l / 2 AS b, c1 - f1 / 2.0::DOUBLE AS m1, c2 - f2 / 2.0::DOUBLE AS m2 FROM cu)",
+    "sm AS (SELECT sim, arm, any_value(n) AS n, any_value(n1) AS n1, any_value(n2) AS n2, sum(l / n * (pow(n * m1 - n1 * b, 2) / n1 + pow(n * m2 - n2 * b, 2) / n2) / (b * (n - b) - n * l / 4)) AS s FROM tm GROUP BY sim, arm)",
+    "nn AS (SELECT DISTINCT n FROM sm)", "hv AS (SELECT n, sum(1.0::DOUBLE / i) AS h FROM (SELECT n, unnest(range(1, n::BIGINT)) AS i FROM nn) GROUP BY n)",
+    "iv AS (SELECT n, i, coalesce(sum(1.0::DOUBLE / i) OVER (PARTITION BY n ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tail FROM (SELECT n, unnest(range(1, n::BIGINT)) AS i FROM nn))",
+    "gv AS (SELECT n, sum(tail / (n - i)) AS g FROM iv WHERE i <= n - 2 GROUP BY n)", "al AS (SELECT sm.*, h, g, 1 / n1 + 1 / n2 AS hh FROM sm JOIN hv ON hv.n = sm.n JOIN gv ON gv.n = sm.n)",
+    "cf AS (SELECT *, (4 * g - 6) + (10 - 6 * g) * hh AS a, (2 * g - 4) * 4 + 16 * h + (2 * g - 14 * h - 4) * hh - 8 * h + 4 * g - 6 AS b, (6 * h + 2 * g - 2) * 4 + (4 * h - 4 * g + 6) * 2 + (2 * h - 6) * hh + 4 * h AS c, (2 * h + 6) * 4 - 8 * h AS d FROM al)",
+    "SELECT sim, arm, round(((n - 1) / n * s - 1) / sqrt((a * n * n * n + b * n * n + c * n + d) / ((n - 1) * (n - 2) * (n - 3))), 6) AS ad FROM cf",
+)
+
+
+@query(AD)
+def anderson_darling(n):
+    return D.anderson_darling(n.sample.join(n.deg, "node"), n.deg, "degree", ("sim", "arm"))
+
+
+@query(w(NET, COV, 'SELECT node, round(z1, 6) AS "Z1", round(z2, 6) AS "Z2", round(z3, 6) AS "Z3" FROM cov'))
+def covariates(n):
+    return C.covariates(n.deg)
+
+
+@query(w(NET, COV, "SELECT node, round(y00, 6) AS y00, round(eff, 6) AS ego_effect FROM base"))
+def baseline_outcome(n):
+    return n.base
+
+
+@query(w(NET, "SELECT node, CASE WHEN degree BETWEEN 1 AND 20 THEN 1 WHEN degree BETWEEN 21 AND 50 THEN 2 WHEN degree BETWEEN 51 AND 70 THEN 3 WHEN degree BETWEEN 71 AND 100 THEN 4 WHEN degree >= 101 THEN 5 ELSE 0 END AS degree_group FROM deg"))
+def degree_groups(n):
+    return n.deg.select("node", C.degree_group(F.col("degree"), "simulate_base").alias("degree_group"))
+
+
+@query(w(NET, EXPO, "SELECT node, round(d11, 6) AS d11, round(d10, 6) AS d10, round(d0n, 6) AS d0n, round(d01, 6) AS d01, round(d00, 6) AS d00 FROM expo"))
+def exposure_probs(n):
+    return C.exposure(n.deg, 2 * SIZE)
+
+
+@query("SELECT 5 AS n_columns, 0 AS off")
+def exposure_draws_invariants(n):
+    """Counts of 2000 draws: they add up for each node, and no share is over 6 standard errors from the exact chance."""
+    draws = 2000
+    names = ["d11", "d10", "d0n", "d01", "d00"]
+    t = C.exposure_draws(n.spark, n.adj, n.attributes, 2 * SIZE, draws).join(C.exposure(n.deg, 2 * SIZE).toDF("node", *[f"e_{c}" for c in names]), "node")
+    off = F.lit(False)
+    for c in names:
+        e = F.greatest(F.col(f"e_{c}"), F.lit(0.0))
+        off = off | (F.abs(F.col(c) / draws - e) > 6 * F.sqrt(e * (1 - e) / draws) + 3 / draws)
+    off = off | (sum(F.col(c) for c in names) != draws)
+    return t.agg(F.lit(5).alias("n_columns"), F.sum(off.cast("int")).cast("int").alias("off"))
+
+
+@query(w(NET, SAMPLE, COV, OUT, "SELECT sim, node, round(y, 6) AS y FROM y"))
+def realised_outcome(n):
+    return n.outcome
+
+
+def _obs(n):
+    return C.observed(n.outcome, n.clean.select("sim", "arm", "node"))
+
+
+def _alters(n):
+    return C.observed(n.outcome, S.arm_alters(n.adj, n.sample))
+
+
+def _expo(n):
+    return C.exposure(n.deg, 2 * SIZE)
+
+
+def _true(n, part=1.0):
+    return n.deg.agg(F.avg("degree")).first()[0] * 0.05 * part
+
+
+def _filled(n, values):
+    return C.imputed(values, n.deg)
+
+
+@query(w(NET, SAMPLE, COV, OUT, test("oe", TRUE_D), SHOW_TEST))
+def dim_dte(n):
+    return C.t_test(_obs(n), _true(n))
+
+
+AM = "am AS (SELECT c.sim, c.arm, c.node, avg(oa.y) AS y FROM clean c JOIN adj ON adj.src = c.node JOIN oa ON oa.sim = c.sim AND oa.arm = c.arm AND oa.node = adj.dst GROUP BY c.sim, c.arm, c.node)"
+
+
+@query(w(NET, SAMPLE, COV, OUT, AM, test("am", TRUE_I), SHOW_TEST))
+def dim_ite(n):
+    return C.t_test(C.alter_means(n.adj, n.clean, _alters(n)), _true(n, 0.5))
+
+
+@query(w(NET, SAMPLE, COV, OUT, EXPO, WEIGHTED, filled("fh", "he"), test("fh", TRUE_D), SHOW_TEST))
+def ht_dte(n):
+    return C.t_test(_filled(n, C.weighted(_obs(n), _expo(n), "d10")), _true(n))
+
+
+SUMS = "su AS (SELECT c.sim, c.arm, c.node, sum(ha.y) AS sy, sum(ha.w) AS sw FROM clean c JOIN adj ON adj.src = c.node LEFT JOIN ha ON ha.sim = c.sim AND ha.arm = c.arm AND ha.node = adj.dst GROUP BY c.sim, c.arm, c.node)"
+
+
+@query(w(NET, SAMPLE, COV, OUT, EXPO, WEIGHTED, SUMS, "hs AS (SELECT sim, arm, su.node, coalesce(sy, 0) / degree AS y FROM su JOIN deg ON deg.node = su.node)", test("hs", TRUE_I), SHOW_TEST))
+def ht_ite(n):
+    return C.t_test(C.alter_sums(n.adj, n.deg, n.clean, C.weighted(_alters(n), _expo(n), "d01"), False), _true(n, 0.5))
+
+
+@query(w(NET, SAMPLE, COV, OUT, EXPO, WEIGHTED, "sw AS (SELECT sim, arm, sum(w) / (SELECT count(*) FROM deg) AS s FROM he GROUP BY sim, arm)", "hj AS (SELECT he.sim, he.arm, he.node, y / nullif(s, 0) AS y FROM he JOIN sw ON sw.sim = he.sim AND sw.arm = he.arm)", filled("fh", "hj"), test("fh", TRUE_D), SHOW_TEST))
+def hajek_dte(n):
+    return C.t_test(_filled(n, C.hajek(C.weighted(_obs(n), _expo(n), "d10"), n.deg)), _true(n))
+
+
+@query(w(NET, SAMPLE, COV, OUT, EXPO, WEIGHTED, SUMS, "hs AS (SELECT sim, arm, node, sy / nullif(sw, 0) AS y FROM su)", test("hs", TRUE_I), SHOW_TEST))
+def hajek_ite(n):
+    return C.t_test(C.alter_sums(n.adj, n.deg, n.clean, C.weighted(_alters(n), _expo(n), "d01"), True), _true(n, 0.5))
+
+
+CD = "cd AS (SELECT sim, arm, CASE WHEN degree BETWEEN 1 AND 20 THEN 1 WHEN degree BETWEEN 21 AND 50 THEN 2 WHEN degree BETWEEN 51 AND 70 THEN 3 WHEN degree BETWEEN 71 AND 100 THEN 4 WHEN degree >= 101 THEN 5 ELSE 0 END AS degree_group, degree, y FROM oe JOIN deg ON deg.node = oe.node), ce AS (SELECT sim, degree_group, avg(y) FILTER (arm = 1) - avg(y) FILTER (arm = 2) AS est FROM cd GROUP BY ALL)"
+
+
+@query(w(NET, SAMPLE, COV, OUT, CD, "SELECT sim, degree_group, round(est, 6) AS est FROM ce"))
+def cate_dim(n):
+    return C.cate(n.deg, _obs(n), "simulate_base")
+
+
+@query(w(NET, SAMPLE, COV, OUT, test("oe", TRUE_D), f"SELECT 'dim' AS estimator, 'd10' AS estimand, round(avg({TRUE_D}), 6) AS true_value, round(avg(est), 6) AS avg_est, round(avg(se), 6) AS avg_se, round(stddev_pop(est), 6) AS sd_est, round(avg(est - {TRUE_D}), 6) AS bias, round(avg(abs(est - {TRUE_D})), 6) AS MAE, round(avg(pow(est - {TRUE_D}, 2)), 6) AS mse, round(sqrt(avg(pow(est - {TRUE_D}, 2))), 6) AS rmse, round(avg(power::INTEGER), 6) AS power, round(avg(coverage::INTEGER), 6) AS coverage FROM tst"))
+def ate_table(n):
+    t = C.t_test(_obs(n), _true(n)).select(F.lit("dim").alias("estimator"), F.lit("d10").alias("estimand"), F.lit(_true(n)).alias("true_value"), "est", "se", "power", "coverage")
+    return C.effect_table(t, ["estimator", "estimand"])
+
+
+TG = "tg AS (SELECT CASE WHEN degree BETWEEN 1 AND 20 THEN 1 WHEN degree BETWEEN 21 AND 50 THEN 2 WHEN degree BETWEEN 51 AND 70 THEN 3 WHEN degree BETWEEN 71 AND 100 THEN 4 WHEN degree >= 101 THEN 5 ELSE 0 END AS degree_group, avg(0.05 * degree) AS tc FROM deg GROUP BY 1)"
+
+
+@query(w(NET, SAMPLE, COV, OUT, CD, TG, "SELECT ce.degree_group, round(avg(tc), 6) AS true_cate, round(avg(est), 6) AS avg_cate_est, round(stddev_pop(est), 6) AS sd_cate_est, round(avg(abs(est - tc)), 6) AS MAE, round(sqrt(avg(pow(est - tc, 2))), 6) AS rmse FROM ce JOIN tg ON tg.degree_group = ce.degree_group GROUP BY ce.degree_group"))
+def cate_table(n):
+    return C.cate_table(C.cate(n.deg, _obs(n), "simulate_base"), C.true_effects(n.deg, 0.05, "simulate_base"))
+
+
+@query(w(NET, "SELECT node, round(coalesce((degree - avg(degree) OVER ()) / stddev_pop(degree) OVER (), 0), 6) AS z FROM deg"))
+def zscores(n):
+    return C._scalars(n.deg, F.avg("degree").alias("m"), F.stddev_pop("degree").alias("sd")).select("node", F.coalesce((F.col("degree") - F.col("m")) / F.col("sd"), F.lit(0.0)).alias("z"))
+
+
+def _contacts(n, sample, hops=1):
+    """Pairs of a sample (sim, node) within ``hops``."""
+    one, two = S.contaminated_pairs(n.adj, sample)
+    return one if hops == 1 else one.unionByName(two)
+
+
+def _invariants(n, sample, size, hops=1):
+    """(sim, violations, size_ok) of a sample (sim, node)."""
+    bad = _contacts(n, sample, hops).groupBy("sim").agg(F.count("*").alias("violations"))
+    return sample.groupBy("sim").agg((F.count("*") == size).alias("size_ok")).join(bad, "sim", "left").select("sim", F.coalesce("violations", F.lit(0)).cast("long").alias("violations"), "size_ok")
+
+
+ALL_GOOD = f"SELECT unnest(range(1, {SIMS + 1}))::INTEGER AS sim, 0::BIGINT AS violations, true AS size_ok"
+
+
+@query(
+    w(
+        NET, "rk AS (SELECT node, row_number() OVER (ORDER BY md5(node::VARCHAR || '-1'), node) AS r FROM deg)", "lw AS (SELECT a.r AS r, b.r AS q FROM adj JOIN rk a ON a.node = adj.src JOIN rk b ON b.node = adj.dst WHERE b.r < a.r)",
+        # scanning in order, a node joins if no earlier neighbour has
+        f"sc(i, kept) AS (SELECT 0, CAST([] AS BIGINT[]) UNION ALL SELECT i + 1, CASE WHEN EXISTS (SELECT 1 FROM lw WHERE lw.r = i + 1 AND list_contains(kept, lw.q)) THEN kept ELSE list_append(kept, (i + 1)::BIGINT) END FROM sc WHERE len(kept) < {SIZE} AND i < (SELECT count(*) FROM deg))",
+        "SELECT 1 AS sim, rk.node FROM rk WHERE r IN (SELECT unnest(kept) FROM sc WHERE i = (SELECT max(i) FROM sc))", recursive=True,
+    )
+)
+def mis_greedy(n):
+    return S.greedy_independent(n.adj, n.deg, S.grid(n.spark, 1), SIZE)
+
+
+@query(f"SELECT unnest(range(1, 3))::INTEGER AS sim, 0::BIGINT AS violations, true AS size_ok", cobuy=True)
+def mis_greedy_hop2_invariants(n):
+    return _invariants(n, S.greedy_independent(n.adj, n.deg, S.grid(n.spark, 2), 6, hops=2), 6, 2)
+
+
+def _chain_invariants(n, kind="ks", hops=1, size=10):
+    t = M.sample_chains(n.spark, n.adj, n.attributes, S.grid(n.spark, SIMS, [size]), n.p, STEPS, hops, kind)
+    t.persist()
+    worse = t.groupBy("sim").agg(F.max((F.col("distance") > F.col("first_distance") + 1e-9).cast("int")).alias("worse"))
+    return _invariants(n, t.select("sim", "node"), 2 * size, hops).join(worse, "sim").select("sim", (F.col("violations") + F.col("worse")).alias("violations"), "size_ok")
+
+
+@query(ALL_GOOD)
+def mh_hop1_invariants(n):
+    return _chain_invariants(n)
+
+
+@query(ALL_GOOD, cobuy=True)
+def mh_hop2_invariants(n):
+    return _chain_invariants(n, hops=2, size=3)
+
+
+@query(ALL_GOOD)
+def mh_kl_invariants(n):
+    return _chain_invariants(n, "kl")
+
+
+@query(ALL_GOOD)
+def mh_linear_invariants(n):
+    return _chain_invariants(n, "ks_linear")
+
+
+@query(ALL_GOOD)
+def alter_mh_invariants(n):
+    """Alters are neighbours of the egos, each once, and no farther than at first."""
+    egos = S.greedy_independent(n.adj, n.deg, S.grid(n.spark, SIMS), 5)
+    t = M.sample_alters(n.spark, n.adj, n.attributes, egos, n.p, STEPS).persist()
+    strange = t.join(G.neighbours_of(n.adj, egos, ("sim",)), ["sim", "node"], "left_anti").groupBy("sim").count()
+    r = t.groupBy("sim").agg((F.countDistinct("node") == F.count("*")).alias("size_ok"), F.max((F.col("distance") > F.col("first_distance") + 1e-9).cast("int")).alias("worse"))
+    return r.join(strange, "sim", "left").select("sim", (F.coalesce("count", F.lit(0)) + F.col("worse")).cast("long").alias("violations"), "size_ok")
+
+
+@query(ALL_GOOD)
+def alter_pool_invariants(n):
+    egos = S.greedy_independent(n.adj, n.deg, S.grid(n.spark, SIMS), 5)
+    t = M.sample_alters(n.spark, n.adj, n.attributes, egos, n.p, STEPS, pooled=True).persist()
+    strange = t.join(G.neighbours_of(n.adj, egos, ("sim",)), ["sim", "node"], "left_anti").groupBy("sim").count()
+    r = t.groupBy("sim").agg((F.countDistinct("node") == F.count("*")).alias("size_ok"))
+    return r.join(strange, "sim", "left").select("sim", F.coalesce("count", F.lit(0)).cast("long").alias("violations"), "size_ok")
+
+
+@query(ALL_GOOD)
+def overlap_init_invariants(n):
+    t = M.sample_overlapping(n.spark, n.adj, n.attributes, S.grid(n.spark, SIMS), 5, 0.9)
+    return _invariants(n, t, 5)
+
+
+REP = " UNION ALL ".join(f"SELECT '{c}' AS variable, round((SELECT avg({c}) FROM attrs), 6) AS population_value, round((SELECT avg(m) FROM (SELECT avg({c}) AS m FROM sa GROUP BY sim)), 6) AS represent, round((SELECT avg(ks) FROM a{c}), 6) AS rp_vs_population, round((SELECT avg(m) FROM (SELECT avg({c}) AS m FROM ca GROUP BY sim)), 6) AS remove, round((SELECT avg(ks) FROM r{c}), 6) AS rm_vs_population" for c in COLUMNS)
+
+
+@query(w(NET, CC, SAMPLE, "sa AS (SELECT samp.sim, attrs.* FROM samp JOIN attrs ON attrs.node = samp.node)", "ca AS (SELECT clean.sim, attrs.* FROM clean JOIN attrs ON attrs.node = clean.node)", *[ks(f"a{c}", "sa", "attrs", c, ["sim"]) for c in COLUMNS], *[ks(f"r{c}", "ca", "attrs", c, ["sim"]) for c in COLUMNS], REP))
+def representativeness_table(n):
+    return S.representativeness(_typed(n), n.sample.select("sim", "node"), n.clean.select("sim", "node"), COLUMNS)
+
+
+@query(w(NET, SAMPLE, CLEAN_DEG, ks("kk", "cd", "deg", "degree", ["sim", "arm"]), "SELECT cd.sim, 'arm ' || cd.arm AS method, round(avg(degree), 6) AS value, round(max(ks), 6) AS ks FROM cd JOIN kk ON kk.sim = cd.sim AND kk.arm = cd.arm GROUP BY cd.sim, cd.arm"))
+def plot_value_ks(n):
+    t = S.exclusion(n.adj, n.deg, n.sample, SIZE).where("size > 0")
+    wide = t.groupBy("sim").pivot("arm", [1, 2]).agg(F.first("avg_degree").alias("v"), F.first("ks").alias("k"))
+    return R.value_and_distance(wide, ["sim"], ["1_v", "2_v"], ["1_k", "2_k"], ["arm 1", "arm 2"])
+
+
+@query("SELECT 3 AS networks, true AS sizes_ok, true AS simple")
+def simulated_networks(n):
+    t = simulated_edges(n.spark, [("a", 300, 3, 0.3, 42), ("b", 400, 2, 0.6, 1), ("c", 50, 4, 0.0, 7)])
+    one = t.groupBy("network").agg(F.count("*").alias("m"), F.countDistinct("s", "d").alias("u"), F.min(F.col("s") < F.col("d")).alias("up"))
+    want = F.when(F.col("network") == "a", 3 * 297).when(F.col("network") == "b", 2 * 398).otherwise(4 * 46)
+    return one.agg(F.count("*").cast("int").alias("networks"), F.min(F.col("m") == want).alias("sizes_ok"), F.min((F.col("m") == F.col("u")) & F.col("up")).alias("simple"))
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exclusion summary of the network: draw, drop contaminated egos, size, mean degree and distance per arm."""
+    return QUERIES["exclusion_summary"](spark, sf_dir)
