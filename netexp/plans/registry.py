@@ -226,12 +226,12 @@ def second_degree_contamination(n):
     return S.contaminated_pairs(n.adj, n.sample)[1].select("sim", "node").distinct()
 
 
-R2 = "at AS (SELECT node, degree, round(cluster_coef, 5) AS cluster_coef FROM attrs), rest AS (SELECT clean.sim, at.* FROM clean JOIN at ON at.node = clean.node LEFT JOIN (SELECT DISTINCT sim, node FROM p2) p ON p.sim = clean.sim AND p.node = clean.node WHERE p.node IS NULL)"
+R2 = "atr AS (SELECT node, degree, round(cluster_coef, 5) AS cluster_coef FROM attrs), rest AS (SELECT clean.sim, atr.* FROM clean JOIN atr ON atr.node = clean.node LEFT JOIN (SELECT DISTINCT sim, node FROM p2) p ON p.sim = clean.sim AND p.node = clean.node WHERE p.node IS NULL)"
 
 
 @query(
     w(
-        NET, CC, SAMPLE, pairs("p2", "clean", ["sim"]), R2, ks("kd", "rest", "at", "degree", ["sim"]), ks("kc", "rest", "at", "cluster_coef", ["sim"]),
+        NET, CC, SAMPLE, pairs("p2", "clean", ["sim"]), R2, ks("kd", "rest", "atr", "degree", ["sim"]), ks("kc", "rest", "atr", "cluster_coef", ["sim"]),
         f"SELECT c.sim, {SIZE} AS initial_sample, c.n AS RM_1st_remain, round(coalesce(p.n2, 0) / c.n::DOUBLE, 6) AS pcent_2nd_contamination, coalesce(r.n, 0) AS RM_2nd_remain, round(r.ad, 6) AS avg_degree_2nd, round(r.ac, 6) AS avg_cluster_2nd, round(kd.ks, 6) AS KS_degree_2nd, round(kc.ks, 6) AS KS_cluster_2nd, round(coalesce(p.n2t, 0) / c.n::DOUBLE, 6) AS pcent_2nd_causal_contamination "
         "FROM (SELECT sim, count(*) AS n FROM clean GROUP BY sim) c LEFT JOIN (SELECT sim, count(DISTINCT node) AS n2, count(DISTINCT CASE WHEN mate_arm = 1 THEN node END) AS n2t FROM p2 GROUP BY sim) p ON p.sim = c.sim LEFT JOIN (SELECT sim, count(*) AS n, avg(degree) AS ad, avg(cluster_coef) AS ac FROM rest GROUP BY sim) r ON r.sim = c.sim LEFT JOIN kd ON kd.sim = c.sim LEFT JOIN kc ON kc.sim = c.sim",
     )
