@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from netexp.llm.cluster import Scratch, components
 from netexp.llm.textkit import U, mix, shingle_sets, signed, slices
 
-BUCKETS = 1 << 16
+BUCKET_BITS, CHUNKS = 22, 64
 BLOCK = 384
 COLUMNS = 4096
 
@@ -50,7 +50,7 @@ def signatures(tokens: np.ndarray, frequency: np.ndarray, frequent: int, num: in
     if n * den < (n + 1) * num:  # a partner that differs has a union of n + 1 at least: only equal sets link
         return tokens[:0]
     own = mix(tokens + U(0x51ED270B))
-    count = frequency[(own >> U(48)).astype(np.int64)]
+    count = frequency[bucket_of(own)]
     order = np.lexsort((own, count))
     own, count = own[order], count[order]
     common = count >= frequent
@@ -82,25 +82,44 @@ def signatures(tokens: np.ndarray, frequency: np.ndarray, frequent: int, num: in
     return np.unique(np.concatenate(out))
 
 
+def bucket_of(own: np.ndarray) -> np.ndarray:
+    return (own >> U(64 - BUCKET_BITS)).astype(np.int64)
+
+
 def _bucket_counts(k: int):
+    """A partition's counts by bucket, at most 255, as CHUNKS rows of bytes."""
+
     def count(batches):
-        total = np.zeros(BUCKETS, dtype=np.int64)
+        total = np.zeros(1 << BUCKET_BITS, dtype=np.uint32)
         for batch in batches:
             for _, _, buf, offsets in slices(batch.column(0)):
-                sets = shingle_sets(buf, offsets, k)
-                total += np.bincount((mix(np.concatenate(sets) + U(0x51ED270B)) >> U(48)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at])], names=["bucket", "n"])
+                at, n = np.unique(bucket_of(mix(np.concatenate(shingle_sets(buf, offsets, k)) + U(0x51ED270B))), return_counts=True)
+                total[at] += n.astype(np.uint32)
+        if total.any():
+            parts = np.minimum(total, 255).astype(np.uint8).reshape(CHUNKS, -1)
+            yield pa.record_batch([pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["chunk", "counts"])
 
     return count
 
 
+def _sum_counts(key, table):
+    """Sums of a chunk's counts, as classes: 0 for none, then the rounded doubled logarithm + 1."""
+    total = np.zeros((1 << BUCKET_BITS) // CHUNKS, dtype=np.int64)
+    for column in table["counts"].chunks:
+        for x in column:
+            total += np.frombuffer(x.as_buffer(), dtype=np.uint8)
+    levels = np.where(total > 0, np.rint(2 * np.log2(np.maximum(total, 1))) + 1, 0).astype(np.uint8)
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([levels.tobytes()], pa.binary())})
+
+
 def frequency_table(docs: DataFrame, k: int) -> np.ndarray:
-    """Shingle occurrences (once a document) by hash bucket, over all documents: BUCKETS numbers."""
-    rows = docs.select("text").mapInArrow(_bucket_counts(k), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(BUCKETS, dtype=np.int64)
-    table[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
-    return table
+    """Frequency class of each hash bucket of shingles, over all documents: 2 ** BUCKET_BITS bytes, whatever the corpus."""
+    counts = docs.select("text").mapInArrow(_bucket_counts(k), "chunk int, counts binary")
+    rows = counts.groupBy("chunk").applyInArrow(_sum_counts, "chunk int, levels binary").toArrow()
+    table = np.zeros((CHUNKS, (1 << BUCKET_BITS) // CHUNKS), dtype=np.uint8)
+    for chunk, levels in zip(rows["chunk"].to_pylist(), rows["levels"].to_pylist(), strict=True):
+        table[chunk] = np.frombuffer(levels, dtype=np.uint8)
+    return table.ravel()
 
 
 def _describe(k: int, num: int, den: int, table, frequent: int):
@@ -237,7 +256,7 @@ def ngram_jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 4, t
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = frequency_table(docs, k)
-    frequent = max(32, int(frequent_times * counts.mean()))
+    frequent = max(9, int(np.median(counts)) + 2 * int(math.log2(frequent_times)))  # classes go up by 2 when counts double
     table = spark.sparkContext.broadcast(counts)
     schema = "doc_id long, n long, k1 long, k2 long, sigs array<long>"
     described = scratch.write(docs.mapInArrow(_describe(k, num, den, table, frequent), schema), "described")

@@ -59,9 +59,14 @@ def labelled_sample(labels: DataFrame, column: str, limit: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("label_id"), "label_id").limit(limit)
 
 
+def in_fit():
+    """Half of the labelled sample is for the target model, the other half for the cut: weights of texts of the model itself are too high."""
+    return F.pmod(F.xxhash64(F.col("label_id"), F.lit(3)), F.lit(2)) == 0
+
+
 def fit_log_ratio(spark: SparkSession, docs: DataFrame, sample: DataFrame) -> np.ndarray:
     """log target / raw probability by bucket (add-one smoothing): BUCKETS numbers, from all documents."""
-    good = F.broadcast(sample.where("label = 1").select("label_id"))  # at most MAX_LABELLED ids
+    good = F.broadcast(sample.where(F.col("label") == 1).where(in_fit()).select("label_id"))  # at most MAX_LABELLED ids
     marked = docs.join(good, F.col("doc_id") == F.col("label_id"), "left").select("text", F.col("label_id").isNotNull().alias("good"))
     rows = marked.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
@@ -136,7 +141,7 @@ def quality_resampling(spark: SparkSession, docs: DataFrame, labels: DataFrame,
     scored = docs.mapInArrow(_score(ratio), "doc_id long, n_grams long, log_weight double")
     uniform = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     scored = scratch.write(scored.withColumn("sample_key", F.col("log_weight") - F.log(-F.log(uniform))), "scored")
-    known = scored.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).groupBy("label_id").agg(F.min("log_weight").alias("w"), F.max("label").alias("label")).toPandas()  # bounded as the sample
+    known = scored.join(F.broadcast(sample.where(~in_fit())), F.col("doc_id") == F.col("label_id")).groupBy("label_id").agg(F.min("log_weight").alias("w"), F.max("label").alias("label")).toPandas()  # bounded as the sample
     cut = best_cut(known["w"].to_numpy(dtype=float), known["label"].to_numpy() == 1)
     k = scored.where(F.col("log_weight") >= cut).count()
     threshold = kth_largest(scored.select(F.col("sample_key").alias("key")), k, scratch)

@@ -93,8 +93,9 @@ class Chain:
         hits = np.bincount(np.concatenate([*ones, np.zeros(0, np.int64)]).astype(np.int64), minlength=1 << BITS)
         rate = toxic.mean() if n else 0.0
         expected = count * rate
-        chi = np.where(count >= 3, (hits - expected) ** 2 / np.maximum(expected * (1 - rate), 1e-9), 0)
-        chosen = np.sort(np.argsort(-chi, kind="stable")[:MAX_FEATURES])
+        # words that speak for toxicity only: a text without any of them must not be toxic by what it lacks
+        chi = np.where((count >= 3) & (hits > expected), (hits - expected) ** 2 / np.maximum(expected * (1 - rate), 1e-9), 0)
+        chosen = np.sort(np.argsort(-chi, kind="stable")[: min(MAX_FEATURES, int((chi > 0).sum()))])
         self.place = np.full(1 << BITS, -1, dtype=np.int32)
         self.place[chosen] = np.arange(len(chosen))
         self.models: dict[str, Logistic] = {}
