@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from netexp.llm.cluster import Scratch, components
 from netexp.llm.textkit import U, mix, shingle_sets, signed, slices
 
-BUCKET_BITS, CHUNKS = 22, 64
+BUCKET_BITS, CHUNKS = 24, 64
 BLOCK = 384
 COLUMNS = 4096
 
