@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netexp.llm.cluster import small_batches
 from netexp.llm.textkit import U, Prefix, mix, slices, words
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -106,6 +107,7 @@ def measure(docs: DataFrame) -> DataFrame:
     newline-split lines with a word that equal an earlier line; n_repeat_words:
     words in three-word windows found twice or more; n_lines.
     """
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_measure, "doc_id " + docs.schema["doc_id"].dataType.simpleString() + "".join(f", {m} long" for m in MEASURES))
 
 

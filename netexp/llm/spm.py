@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netexp.llm.cluster import small_batches
+
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHE = 200_000
@@ -148,6 +150,7 @@ def sentencepiece_encode(spark: SparkSession, docs: DataFrame, model_path: str)
     Texts are encoded whole. Other columns are ignored; empty tables and
     repeated rows need no care.
     """
+    small_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_encode(model), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, token_ids array<int>, round_trip boolean")

@@ -13,9 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 21
+SLICE = 1 << 20
 U = np.uint64
 
+pa.set_memory_pool(pa.system_memory_pool())  # workers give freed batches back
+
 #: Separators of words: space and the bytes 0x09 to 0x0D.
 IS_SEP = np.zeros(256, dtype=bool)
 IS_SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

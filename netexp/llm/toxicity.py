@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netexp.llm.cluster import small_batches
 from netexp.llm.textkit import IS_SEP, LOWER, U, Prefix, mix, slices, words
 
 BITS = 18
 #: Bounds of the fit: labelled documents, and words that models look at.
 MAX_LABELLED, MAX_FEATURES = 8_000, 3_000
 FOLDS, STEPS = 3, 300
+#: The 0.999 quantile of chi-square with one degree of freedom.
+CHI_SQUARE = 10.83
 
 #: Seed words of the weak categories.
 SEEDS = {
@@ -63,8 +66,9 @@ class Logistic:
     def __init__(self, n_words: int, n_real: int):
         self.w, self.v, self.b = np.zeros(n_words), np.zeros(n_real), 0.0
 
-    def fit(self, row: np.ndarray, col: np.ndarray, real: np.ndarray, y: np.ndarray, l2: float = 1e-4) -> Logistic:
+    def fit(self, row: np.ndarray, col: np.ndarray, real: np.ndarray, y: np.ndarray) -> Logistic:
         n = max(1, len(y))
+        l2 = 1.0 / n
         theta = np.concatenate((self.w, self.v, [0.0 if not 0 < y.mean() < 1 else np.log(y.mean() / (1 - y.mean()))])) if len(y) else np.zeros(len(self.w) + len(self.v) + 1)
         a, b, k = len(self.w), len(self.w) + len(self.v), 0.0
         m, s = np.zeros_like(theta), np.zeros_like(theta)
@@ -95,7 +99,7 @@ class Chain:
         expected = count * rate
         # words that speak for toxicity only: a text without any of them must not be toxic by what it lacks
         chi = np.where((count >= 3) & (hits > expected), (hits - expected) ** 2 / np.maximum(expected * (1 - rate), 1e-9), 0)
-        chosen = np.sort(np.argsort(-chi, kind="stable")[: min(MAX_FEATURES, int((chi > 0).sum()))])
+        chosen = np.sort(np.argsort(-chi, kind="stable")[: min(MAX_FEATURES, int((chi > CHI_SQUARE).sum()))])
         self.place = np.full(1 << BITS, -1, dtype=np.int32)
         self.place[chosen] = np.arange(len(chosen))
         self.models: dict[str, Logistic] = {}
@@ -167,6 +171,7 @@ def toxicity_chain(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_
     and empty texts get the models' intercepts. Without a toxic label nothing is
     toxic. Texts are read whole; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     chain = spark.sparkContext.broadcast(fit_chain(docs, labels, max_labelled))
 
     def predict(batches):
