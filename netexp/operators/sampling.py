@@ -122,10 +122,10 @@ def second_degree(adj: DataFrame, attributes: DataFrame, clean: DataFrame, size:
     ct2 = two.select("sim", "node").distinct()
     ct2_t = two.join(treated, ["sim", "mate"], "left_semi").select("sim", "node").distinct()
     first = clean.groupBy("sim").agg(F.count("*").alias("RM_1st_remain"))
-    rest = clean.join(ct2, ["sim", "node"], "left_anti").join(attributes.select("node", "degree", F.round("cluster_coef", 5).alias("cluster_coef")), "node")
+    rest = clean.join(ct2, ["sim", "node"], "left_anti").join(attributes.select("node", "degree", "cluster_coef"), "node")
     rest = written(rest, folder, "rest")
     left = rest.groupBy("sim").agg(F.count("*").alias("RM_2nd_remain"), F.avg("degree").alias("avg_degree_2nd"), F.avg("cluster_coef").alias("avg_cluster_2nd"))
-    pop = attributes.select("degree", F.round("cluster_coef", 5).alias("cluster_coef"))
+    pop = attributes.select("degree", "cluster_coef")
     ks_d = ks_two_sample(rest, pop, "degree", ("sim",)).withColumnRenamed("ks", "KS_degree_2nd")
     ks_c = ks_two_sample(rest, pop, "cluster_coef", ("sim",)).withColumnRenamed("ks", "KS_cluster_2nd")
     n2, n2t = ct2.groupBy("sim").agg(F.count("*").alias("n2")), ct2_t.groupBy("sim").agg(F.count("*").alias("n2t"))

@@ -226,7 +226,7 @@ def second_degree_contamination(n):
     return S.contaminated_pairs(n.adj, n.sample)[1].select("sim", "node").distinct()
 
 
-R2 = "atr AS (SELECT node, degree, round(cluster_coef, 5) AS cluster_coef FROM attrs), rest AS (SELECT clean.sim, atr.* FROM clean JOIN atr ON atr.node = clean.node LEFT JOIN (SELECT DISTINCT sim, node FROM p2) p ON p.sim = clean.sim AND p.node = clean.node WHERE p.node IS NULL)"
+R2 = "atr AS (SELECT node, degree, cluster_coef FROM attrs), rest AS (SELECT clean.sim, atr.* FROM clean JOIN atr ON atr.node = clean.node LEFT JOIN (SELECT DISTINCT sim, node FROM p2) p ON p.sim = clean.sim AND p.node = clean.node WHERE p.node IS NULL)"
 
 
 @query(
