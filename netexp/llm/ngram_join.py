@@ -7,9 +7,12 @@ signature with any partner: a rare shingle is a signature of its own, frequent
 shingles are dealt to hash groups and each pair within a group is one
 signature, so a group of c shingles only counts c - 1 towards the tau + 1 that
 the prefix needs (two sets that share no pair share at most one of the group).
-Signatures group the sets into candidate clusters; the clusters are compared in
-blocks of bounded size, exactly, and only a spanning forest of the links leaves
-a block. Copies of one set are collapsed before, so they never form pairs.
+Signatures group the sets into candidate clusters. Shared passages chain many
+unlinked sets into one cluster, so clusters are first split by histograms of
+BINS counts: their L1 distance is at most the size of the symmetric difference,
+hence linked sets are never parted. What is left is compared in blocks of
+bounded size, exactly, and only a spanning forest of the links leaves a block.
+Copies of one set are collapsed before, so they never form pairs.
 
 The order comes from counts of hash buckets over all documents: a table of
 fixed size, whatever the corpus. A poor order costs time, never a link.
@@ -29,8 +32,9 @@ from netexp.llm.cluster import Scratch, components
 from netexp.llm.textkit import U, mix, shingle_sets, signed, slices
 
 BUCKET_BITS, CHUNKS = 24, 64
-BLOCK = 384
+BLOCK, HISTOGRAM_BLOCK = 384, 1024
 COLUMNS = 4096
+BINS = 256
 
 
 def missing_allowed(n: int, num: int, den: int) -> int:
@@ -122,6 +126,14 @@ def frequency_table(docs: DataFrame, k: int) -> np.ndarray:
     return table.ravel()
 
 
+def histograms(sets: list[np.ndarray]) -> np.ndarray:
+    """Shingles of each set by the low byte of the hash, at most 255 a bin (a cap only lowers the distance of two sets)."""
+    every = np.concatenate([*sets, np.zeros(0, U)])
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    count = np.bincount(row * BINS + (every & U(BINS - 1)).astype(np.int64), minlength=len(sets) * BINS)
+    return np.minimum(count, 255).astype(np.uint8).reshape(len(sets), BINS)
+
+
 def _describe(k: int, num: int, den: int, table, frequent: int):
     def describe(batches):
         frequency = table.value
@@ -137,8 +149,8 @@ def _describe(k: int, num: int, den: int, table, frequent: int):
                 bounds = np.concatenate(([0], np.cumsum([len(s) for s in sigs]))).astype(np.int32)
                 values = signed(np.concatenate(sigs)) if len(sigs) else np.zeros(0, np.int64)
                 yield pa.record_batch(
-                    [ids.slice(at, to - at), pa.array(n), pa.array(signed(k1)), pa.array(signed(k2)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))],
-                    names=["doc_id", "n", "k1", "k2", "sigs"],
+                    [ids.slice(at, to - at), pa.array(n), pa.array(signed(k1)), pa.array(signed(k2)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(values)), pa.array([h.tobytes() for h in histograms(sets)], pa.binary())],
+                    names=["doc_id", "n", "k1", "k2", "sigs", "bins"],
                 )
 
     return describe
@@ -172,7 +184,12 @@ def linked_forest(ids: list, sets: list[np.ndarray], num: int, den: int) -> list
         inter += part @ part.T
     inter = np.rint(inter).astype(np.int64)
     i, j = np.nonzero(np.triu(den * inter >= num * (n[:, None] + n[None, :] - inter), 1))
-    parent = list(range(m))
+    return spanning_forest(ids, i, j)
+
+
+def spanning_forest(ids: list, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Edges, as ids, of a spanning forest of the pairs of rows (i, j); rows of one id are one node."""
+    parent = list(range(len(ids)))
 
     def root(x):
         while parent[x] != x:
@@ -190,6 +207,47 @@ def linked_forest(ids: list, sets: list[np.ndarray], num: int, den: int) -> list
     return out
 
 
+def possible_forest(ids: list, n: np.ndarray, bins: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the pairs that histograms allow to be linked: all links are among these pairs."""
+    wide, left, right = bins.astype(np.int16), [], []
+    for x in range(len(ids) - 1):
+        both = n[x] + n[x + 1 :]
+        # the intersection is (both - difference) / 2, and num / (num + den) of both at least in a link
+        room = both - -(-2 * num * both // (num + den))
+        near = np.flatnonzero(np.abs(n[x + 1 :] - n[x]) <= room)
+        if len(near):
+            near = near[np.abs(wide[x + 1 + near] - wide[x]).sum(axis=1, dtype=np.int64) <= room[near]]
+            left.append(np.full(len(near), x))
+            right.append(near + x + 1)
+    return spanning_forest(ids, np.concatenate(left), np.concatenate(right)) if left else []
+
+
+def _possible(num: int, den: int):
+    """Rows (task, node, n, bins) sorted by task: the forest of each task's possible links."""
+
+    def done(ids, n, bins):
+        if len(ids) < 2:
+            return []
+        return possible_forest(ids, np.array(n, dtype=np.int64), np.frombuffer(b"".join(bins), dtype=np.uint8).reshape(len(ids), BINS), num, den)
+
+    def compare(batches):
+        task, rows = None, ([], [], [])
+        for batch in batches:
+            out = []
+            for t, *rest in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if t != task:
+                    out += done(*rows)
+                    task, rows = t, ([], [], [])
+                for kept, value in zip(rows, rest, strict=True):
+                    kept.append(value)
+            if out:
+                yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+        if out := done(*rows):
+            yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    return compare
+
+
 def _compare(k: int, num: int, den: int):
     """Rows (task, node, text) sorted by task: the forest of each task's links."""
 
@@ -215,8 +273,8 @@ def _compare(k: int, num: int, den: int):
     return compare
 
 
-def _tasks(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, task): clusters of at most BLOCK members are one task; larger ones are cut by size band and hash.
+def _tasks(members: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """(node, task): clusters of at most ``block`` members are one task; larger ones are cut by size band and hash.
 
     Two members in the same or in neighbouring bands meet in at least one task,
     and no task has more than about two blocks. A band of s blocks sends each
@@ -224,9 +282,9 @@ def _tasks(members: DataFrame, num: int, den: int) -> DataFrame:
     """
     size = members.groupBy("cluster").agg(F.count("*").alias("size"))
     joined = members.join(size, "cluster")
-    small = joined.where(F.col("size") <= BLOCK).select("node", F.xxhash64("cluster").alias("task"))
-    big = joined.where(F.col("size") > BLOCK).select("node", "cluster", F.floor(F.log(F.col("n")) / -math.log(num / den) + 1e-9).cast("int").alias("band"))
-    blocks = big.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    small = joined.where(F.col("size") <= block).select("node", F.xxhash64("cluster").alias("task"))
+    big = joined.where(F.col("size") > block).select("node", "cluster", F.floor(F.log(F.col("n")) / -math.log(num / den) + 1e-9).cast("int").alias("band"))
+    blocks = big.groupBy("cluster", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     above = blocks.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     below = blocks.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
     plan = blocks.join(above, ["cluster", "band"], "left").join(below, ["cluster", "band"], "left")
@@ -258,11 +316,11 @@ def ngram_jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 4, t
     counts = frequency_table(docs, k)
     frequent = max(9, int(np.median(counts)) + 2 * int(math.log2(frequent_times)))  # classes go up by 2 when counts double
     table = spark.sparkContext.broadcast(counts)
-    schema = "doc_id long, n long, k1 long, k2 long, sigs array<long>"
+    schema = "doc_id long, n long, k1 long, k2 long, sigs array<long>, bins binary"
     described = scratch.write(docs.mapInArrow(_describe(k, num, den, table, frequent), schema), "described")
 
     rows = described.select("doc_id", "n", "k1", "k2")
-    classes = scratch.write(rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
+    classes = scratch.write(described.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("bins").alias("bins")), "classes")
     # a doc_id with several sets ties their classes together
     several = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg((F.min("k1") != F.max("k1")).alias("several")).where("several").select("doc_id")
     tied = rows.join(several, "doc_id").join(classes.select("k1", "k2", "n", "node"), ["k1", "k2", "n"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
@@ -274,8 +332,11 @@ def ngram_jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 4, t
     star = sig_rows.join(low, "sig").where("set <> low").select(F.col("set").alias("a"), F.col("low").alias("b"))
     clusters = components(star, scratch)
 
-    members = scratch.write(classes.join(clusters.select(F.col("node").alias("k1"), F.col("label").alias("cluster")), "k1").where("node is not null").select("node", "n", "cluster").distinct(), "members")
-    tasks = _tasks(members, num, den)
+    members = scratch.write(classes.join(clusters.select(F.col("node").alias("k1"), F.col("label").alias("cluster")), "k1").where("node is not null").select("node", "n", "cluster", "bins"), "candidates")
+    possible = _tasks(members.select("node", "n", "cluster").distinct(), num, den, HISTOGRAM_BLOCK).distinct().join(members.select("node", "n", "bins"), "node").select("task", "node", "n", "bins")
+    possible = components(possible.repartition("task").sortWithinPartitions("task").mapInArrow(_possible(num, den), "a long, b long"), scratch)
+    members = scratch.write(members.join(possible.select("node", F.col("label").alias("part")), "node").select("node", "n", F.col("part").alias("cluster")).distinct(), "members")
+    tasks = _tasks(members, num, den, BLOCK).distinct()
 
     # texts of the members only: a bitmap of fixed size spares the others the shuffle
     texts = _only_members(docs, members)

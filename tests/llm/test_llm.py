@@ -51,6 +51,7 @@ def components_by_force(texts, k=4, num=85, den=100):
 @pytest.mark.parametrize("block, times", [(384, 4), (3, 1)])
 def test_join_matches_brute_force(spark, monkeypatch, block, times):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "HISTOGRAM_BLOCK", 2 * block)
     d = docs(spark, TEXTS).withColumn("n", F.lit(1)).withColumn("sig", F.lit("clash")).withColumn("cluster", F.lit(0))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_components(spark, d, frequent_times=times).collect()}
     assert got == components_by_force(TEXTS)
@@ -60,6 +61,28 @@ def test_join_of_nothing(spark):
     assert ngram_join.ngram_jaccard_components(spark, docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_histograms_part_no_links():
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (3, 40, 300, 300, 9000):
+        x = np.unique(rng.integers(1, 1 << 62, n).astype(np.uint64))
+        for _ in range(8):
+            kept = x[rng.permutation(len(x))[rng.integers(0, len(x) // 6 + 1) :]]
+            sets.append(np.unique(np.concatenate((kept, rng.integers(1, 1 << 62, rng.integers(0, len(x) // 8 + 1)).astype(np.uint64)))))
+    ids, n, bins = list(range(len(sets))), np.array([len(s) for s in sets]), ngram_join.histograms(sets)
+
+    def parts(edges):
+        label = list(ids)
+        for _ in ids:
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    possible, linked = parts(ngram_join.possible_forest(ids, n, bins, 17, 20)), ngram_join.linked_forest(ids, sets, 17, 20)
+    assert linked and all(possible[a] == possible[b] for a, b in linked)
+    assert len(set(possible)) >= 5
+
+
 def test_signatures_meet():
     rng = np.random.default_rng(0)
     for frequent in (1, 30, 255):
