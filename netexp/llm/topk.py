@@ -38,6 +38,11 @@ def _value(code, first: int, width: int):
     return F.shiftrightunsigned(code, first).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
+def masks_of(width: int, s: int):
+    """All masks of s bits among ``width``, as one constant array."""
+    return F.split(F.lit(",".join(str(sum(1 << b for b in c)) for c in combinations(range(width), s))), ",").cast("array<bigint>")
+
+
 def hamming_topk(spark: SparkSession, codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64) -> DataFrame:
     """The k nearest rows of ``codes`` (id long, code long) for each row of ``queries`` (id, code).
 
@@ -63,21 +68,16 @@ def hamming_topk(spark: SparkSession, codes: DataFrame, queries: DataFrame, k: i
         for j, (first, width) in enumerate(segments):
             if s > width:
                 continue
-            masks = F.array(*[F.lit(sum(1 << b for b in c)).cast("long") for c in combinations(range(width), s)]) if math.comb(width, s) <= 2000 else None
             need = F.col("kth").isNull() | (F.lit(j) < F.col("kth") + 1 - m * s)
-            one = active.where(need).withColumn("base", _value(F.col("query"), first, width))
-            if masks is not None:
-                one = one.select("query_id", "query", F.lit(j).alias("seg"), F.explode(masks).alias("mask"), "base")
-            else:
-                table = spark.createDataFrame([(sum(1 << b for b in c),) for c in combinations(range(width), s)], "mask long")
-                one = one.crossJoin(F.broadcast(table)).select("query_id", "query", F.lit(j).alias("seg"), "mask", "base")
+            one = active.where(need).select("query_id", "query", F.lit(j).alias("seg"), F.explode(masks_of(width, s)).alias("mask"), _value(F.col("query"), first, width).alias("base"))
             probes.append(one.select("query_id", "query", "seg", F.col("base").bitwiseXOR(F.col("mask")).alias("value")))
         if not probes:
             break
         every = probes[0]
         for p in probes[1:]:
             every = every.unionAll(p)
-        found = every.join(index, ["seg", "value"]).select("query_id", "query", "code", "ids").dropDuplicates(["query_id", "query", "code"])
+        # the planner takes the exploded probes for as small as the queries and would broadcast them
+        found = every.join(index.hint("shuffle_merge"), ["seg", "value"]).select("query_id", "query", "code", "ids").dropDuplicates(["query_id", "query", "code"])
         found = found.select("query_id", "query", F.explode("ids").alias("id"), F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int").alias("distance")).where("id <> query_id")
         if best is not None:
             found = found.unionAll(best).distinct()
