@@ -1,23 +1,25 @@
 """Line dedup by content-defined line chunks.
 
-A text is cut into chunks of whole lines: a chunk ends after a line at which the
-rolling hash of the last WINDOW line hashes is 0 modulo MEAN, so an inserted line
-moves only the boundaries near it. Chunks of two lines or more that occur more
-than once anywhere are grouped by hash, then by their bytes; the first
-occurrence (smallest doc_id, then place in the text) stays, the others go.
+Every MIN_LINES neighbouring lines with a word (and the lines without one between
+them) are a chunk, so a chunk depends on nothing but its own lines, and each
+repeated run of MIN_LINES such lines or more is the union of repeated chunks.
+Chunks are grouped by hash, then by their bytes. A chunk goes if its like stands
+before it (smaller doc_id, then place in the text, no line shared); chunks that
+go and touch are one removed run. So a line goes if, and only if, it lies in a
+run that begins and ends in a line with a word and stands before; each line's
+first place stays.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netexp.llm.cluster import Scratch
-from netexp.llm.textkit import U, Prefix, mix, signed, slices, words
+from netexp.llm.textkit import Prefix, signed, slices, words
 
-WINDOW, MEAN = 2, 3
 MIN_LINES = 2
 
 
@@ -32,29 +34,19 @@ def line_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def chunk_slice(buf: np.ndarray, offsets: np.ndarray):
-    """Chunks of MIN_LINES lines with a word or more: text, number in the text, hash, start byte and end byte in the text, lines."""
+    """Chunks of MIN_LINES lines with a word: text, hash, start byte and end byte in the text, first and last line in the text."""
     starts, ends, doc = line_bounds(buf, offsets)
-    prefix = Prefix(buf)
-    h = prefix.hashes(starts, ends)
-    fresh = np.concatenate(([True], doc[1:] != doc[:-1]))
-    rolling = np.zeros(len(h), dtype=U)
-    age = np.arange(len(h)) - np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
-    for j in range(WINDOW - 1, -1, -1):
-        older = np.concatenate((np.zeros(j, U), h[: len(h) - j])) if j else h
-        rolling = mix(rolling * U(0xA0761D6478BD642F) + np.where(age >= j, older, U(0)))
-    cut = (rolling % U(MEAN) == 0) | np.concatenate((fresh[1:], [True]))
-    last = np.flatnonzero(cut)
-    first = np.concatenate(([0], last[:-1] + 1))
     s, _, _ = words(buf, offsets)
-    worded = np.concatenate(([0], np.cumsum(np.searchsorted(s, ends) > np.searchsorted(s, starts))))
+    worded = np.flatnonzero(np.searchsorted(s, ends) > np.searchsorted(s, starts))
+    first, last = worded[: max(len(worded) - MIN_LINES + 1, 0)], worded[MIN_LINES - 1 :]
+    use = doc[first] == doc[last]
+    first, last = first[use], last[use]
     owner = doc[first]
-    number = np.arange(len(first)) - np.searchsorted(owner, owner)
-    use = worded[last + 1] - worded[first] >= MIN_LINES
-    first, last, owner, number = first[use], last[use], owner[use], number[use]
-    return owner, number, prefix.hashes(starts[first], ends[last]), starts[first] - offsets[owner], ends[last] - offsets[owner], last - first + 1
+    top = np.searchsorted(doc, owner)
+    return owner, Prefix(buf).hashes(starts[first], ends[last]), starts[first] - offsets[owner], ends[last] - offsets[owner], first - top, last - top
 
 
-_CHUNK = "key long, doc_id long, chunk int, hash long, begin long, end long, lines long"
+_CHUNK = "key long, doc_id long, hash long, begin long, end long, first long, last long"
 
 
 def _chunks(batches):
@@ -63,36 +55,42 @@ def _chunks(batches):
         for at, _, buf, offsets in slices(batch.column(2)):
             if not len(buf):
                 continue
-            owner, number, h, begin, end, lines = chunk_slice(buf, offsets)
+            owner, h, *spans = chunk_slice(buf, offsets)
             yield pa.record_batch(
-                [pa.array(keys[at + owner]), ids.take(pa.array(at + owner)), pa.array(number.astype(np.int32)), pa.array(signed(h)), pa.array(begin), pa.array(end), pa.array(lines)],
-                names=["key", "doc_id", "chunk", "hash", "begin", "end", "lines"],
+                [pa.array(keys[at + owner]), ids.take(pa.array(at + owner)), pa.array(signed(h)), *[pa.array(x) for x in spans]],
+                names=["key", "doc_id", "hash", "begin", "end", "first", "last"],
             )
 
 
 def removed_chunks(spark: SparkSession, keyed: DataFrame) -> DataFrame:
-    """(key, removed array<struct<begin, end, lines>>) of the texts that lose chunks; ``keyed`` is (key long, doc_id long, text)."""
+    """(key, removed array<struct<begin, end, lines>>) of the texts that lose lines, one struct a run; ``keyed`` is (key long, doc_id long, text)."""
     scratch = Scratch(spark, "line-dedup")
     chunks = scratch.write(keyed.select("key", "doc_id", "text").mapInArrow(_chunks, _CHUNK), "chunks")
-    place = F.struct(F.col("doc_id"), F.col("key"), F.col("chunk"))
-    again = chunks.groupBy("hash").agg(F.min(place).alias("keep"), F.max(place).alias("top")).where("keep <> top").select("hash", "keep")
+    place = F.struct(F.col("doc_id"), F.col("key"), F.col("begin"))
+    again = chunks.groupBy("hash").agg(F.min(place).alias("keep"), F.max(place).alias("top")).where("keep <> top").select("hash")
     again = scratch.write(again, "again")
-    found = scratch.write(chunks.join(again.select("hash"), "hash").select("hash", "key", "doc_id", "chunk", "begin", "end", "lines").distinct(), "found")
+    found = scratch.write(chunks.join(again, "hash").select("hash", "key", "doc_id", "begin", "end", "first", "last").distinct(), "found")
     # byte comparison: the chunks of a hash, from the texts that hold one of them
-    per_text = found.groupBy("key").agg(F.collect_list(F.struct("hash", "doc_id", "chunk", "begin", "end", "lines")).alias("parts"))
+    per_text = found.groupBy("key").agg(F.collect_list(F.struct("hash", "doc_id", "begin", "end", "first", "last")).alias("parts"))
     texts = some_rows(keyed, found.select("key"), "key").select("key", "text").join(per_text, "key")
     cut = texts.select("key", F.encode("text", "utf-8").alias("raw"), F.explode("parts").alias("p"))
     raw = F.expr("substring(raw, cast(p.begin + 1 as int), cast(p.end - p.begin as int))")
-    spelled = cut.select("p.hash", raw.alias("raw"), F.struct(F.col("p.doc_id"), F.col("key"), F.col("p.chunk")).alias("place"))
+    spelled = cut.select("p.hash", raw.alias("raw"), F.struct(F.col("p.doc_id"), F.col("key"), F.col("p.begin")).alias("place"))
     classes = spelled.groupBy("hash", "raw").agg(F.min("place").alias("keep"), F.max("place").alias("top"))
-    verdict = scratch.write(classes.groupBy("hash").agg(F.count("*").alias("classes"), F.min("keep").alias("keep"), F.min("top").alias("top")), "verdict")
-    plain = found.join(verdict.where("classes = 1").select("hash", "keep"), "hash").where(F.struct(F.col("doc_id"), F.col("key"), F.col("chunk")) != F.col("keep")).select("key", "begin", "end", "lines")
+    verdict = scratch.write(classes.groupBy("hash").agg(F.count("*").alias("classes"), F.min("keep").alias("keep")), "verdict")
+    # the first of its class stays, and what shares a line with it in its own text
+    later = F.expr("not (doc_id <=> keep.doc_id and key = keep.key and begin <= keep.begin + end - begin)")
+    plain = found.join(verdict.where("classes = 1").select("hash", "keep"), "hash").where(later).select("key", "begin", "end", "first", "last")
     # different chunks under one hash: told apart by their bytes
     mixed = verdict.where("classes > 1").select("hash")
     twins = classes.join(mixed, "hash").where("keep <> top").select("hash", "raw", "keep")
-    collided = cut.select("p.*", "key", raw.alias("raw")).join(twins, ["hash", "raw"]).where(F.struct(F.col("doc_id"), F.col("key"), F.col("chunk")) != F.col("keep")).select("key", "begin", "end", "lines")
-    gone = plain if mixed.isEmpty() else plain.unionAll(collided)
-    return scratch.write(gone.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("begin", "end", "lines"))).alias("removed")), "removed")
+    collided = cut.select("p.*", "key", raw.alias("raw")).join(twins, ["hash", "raw"]).where(later).select("key", "begin", "end", "first", "last")
+    gone = plain if mixed.isEmpty() else plain.unionAll(collided).distinct()
+    # begins and ends rise together, so a run starts where a chunk doesn't touch the one before
+    order = Window.partitionBy("key").orderBy("begin")
+    fresh = gone.withColumn("fresh", F.coalesce(F.col("begin") > F.lag("end").over(order) + 1, F.lit(True)).cast("int"))
+    runs = fresh.withColumn("run", F.sum("fresh").over(order)).groupBy("key", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), (F.max("last") - F.min("first") + 1).alias("lines"))
+    return scratch.write(runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "lines"))).alias("removed")), "removed")
 
 
 def some_rows(docs: DataFrame, wanted: DataFrame, key: str, bits: int = 1 << 22) -> DataFrame:
@@ -111,7 +109,7 @@ def row_key():
 
 
 def line_dedup_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed_chunks, n_removed_lines, n_removed_bytes (with the newline of each removed chunk).
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed_chunks (runs of lines that go), n_removed_lines, n_removed_bytes (with the newline of each run).
 
     Null and empty texts lose nothing. Rows equal in doc_id and text lose the
     same. Other columns are ignored; an empty table gives an empty result.
@@ -126,7 +124,7 @@ def line_dedup_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with the removed chunks cut out of ``text``; a document of which nothing is left goes. n_chars, if there, follows the text."""
+    """``docs`` with the removed runs cut out of ``text``; a document of which no word is left goes. n_chars, if there, follows the text."""
     keyed = docs.withColumn("_key", row_key())
     gone = removed_chunks(spark, keyed.select(F.col("_key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     hit = some_rows(keyed, gone.select(F.col("key").alias("_key")), "_key").join(gone.select(F.col("key").alias("_key"), "removed"), "_key").drop("_key")
@@ -138,7 +136,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns) if batch.schema.field(i).name != "removed"]
             yield pa.record_batch(columns, names=[f.name for f in batch.schema if f.name != "removed"])
 
-    changed = hit.mapInArrow(cut, docs.withColumn("text", F.col("text").cast("string")).schema).where("text <> ''")
+    changed = hit.mapInArrow(cut, docs.withColumn("text", F.col("text").cast("string")).schema).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     kept = _without(keyed, gone).drop("_key")

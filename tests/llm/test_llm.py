@@ -253,3 +253,35 @@ def test_line_dedup(spark):
     assert out[0] == block and out[1].startswith("intro here") and out[1].endswith("outro there") and len(out[1]) < len(texts[1])
     assert all(line in texts[1].split("\n") for line in out[1].split("\n"))
     assert line_dedup.line_dedup_report(spark, docs(spark, ["a"]).limit(0)).count() == 0
+
+
+def removed_lines_by_force(texts):
+    """(removed lines, runs of them) of each text: lines of runs of two lines with a word or more that stand before, without a shared line."""
+    lines = [(t or "").split("\n") for t in texts]
+    seen, out = {}, {}
+    for d, ls in enumerate(lines):
+        at = [i for i, x in enumerate(ls) if x.strip(" \t\n\v\f\r")]
+        gone = set()
+        for a, b in zip(at, at[1:], strict=False):
+            where = seen.setdefault(tuple(ls[a : b + 1]), (d, b))
+            if where[0] != d or where[1] < a:
+                gone.update(range(a, b + 1))
+        out[d] = (len(gone), sum(i - 1 not in gone for i in gone), "\n".join(x for i, x in enumerate(ls) if i not in gone))
+    return out
+
+
+def test_line_dedup_finds_every_repeated_run(spark):
+    rng = random.Random(8)
+    passages = [[words(12, 400 + 10 * p + i, 5000) for i in range(2 + p % 3)] for p in range(12)]
+    texts = ["a\na\na", "b\nb\nb\nb\nb", "c\nd\nc\nd\nc", "u v\n\nw x\n\n", "u v\n\nw x\n\n", "u v\n\n\nw x", "u v\nw x", None, ""]
+    for i in range(60):
+        parts = [[words(9, 9000 + 10 * i + j, 5000)] for j in range(3)]
+        for _ in range(rng.randrange(3)):
+            parts.insert(rng.randrange(4), rng.choice(passages))
+        texts.append("\n".join(x for part in parts for x in part))
+    texts += texts[9:14]
+    expected = removed_lines_by_force(texts)
+    report = {r.doc_id: (r.n_removed_lines, r.n_removed_chunks) for r in line_dedup.line_dedup_report(spark, docs(spark, texts)).collect()}
+    assert report == {d: e[:2] for d, e in expected.items()} and sum(n for n, _ in report.values()) > 60
+    out = {r.doc_id: r.text for r in line_dedup.line_dedup(spark, docs(spark, texts)).collect()}
+    assert out == {d: texts[d] if not n else t for d, (n, _, t) in expected.items() if not n or t.strip()}
