@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from netexp.functions import distributions as D
 from netexp.operators import causal, graph, mcmc, sampling
-from netexp.plans import pipeline
+from netexp.plans import pipeline, registry
 from netexp.sources import networks
 
 TRIANGLE, PATH, STAR = [(0, 1), (1, 2), (0, 2)], [(0, 1), (1, 2), (2, 3)], [(0, 1), (0, 2), (0, 3), (0, 4)]
@@ -105,3 +105,19 @@ def test_pipeline(spark, tmp_path):
     found = pipeline.sample(spark, folder, "small", 8, 2, 50)
     assert found["matched"].where("role = 'ego'").count() > 0
     assert pipeline.estimate(spark, folder, "small", 8, 2, [0.05]).count() == 8
+
+
+def test_whole_sparse_network_matches_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    lines = sorted({(int(o), int(p), "RN"[int(r)]) for o, p, r in zip(rng.integers(1, 60, 200), rng.integers(1, 90, 200), rng.integers(0, 2, 200), strict=True)})
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {(p, q) for o, p, r in lines for o2, q, r2 in lines if o == o2 and r == r2 == "R" and p < q}
+    assert set(rows(networks.cobuy_edges(spark, str(tmp_path)), "s", "d")) == want
+    label = {v: v for e in want for v in e}
+    for _ in label:
+        for a, b in want:
+            label[a] = label[b] = min(label[a], label[b])
+    top = max(set(label.values()), key=lambda x: (list(label.values()).count(x), -x))
+    assert registry.QUERIES["largest_component_whole"](spark, str(tmp_path)).first().n_edges == sum(label[a] == top for a, _ in want)
+    summary = registry.QUERIES["table1_summary_sparse_whole"](spark, str(tmp_path)).first()
+    assert (summary.population_size, summary.num_edges) == (len(label), len(want))
