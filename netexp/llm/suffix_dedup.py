@@ -12,7 +12,10 @@ places where a repeat begins or ends are sorted:
    occur twice: their windows are repeated.
 3. The other segments are cut into cells of CELL windows. A cell's core, the
    bytes that all its windows share, must occur in another cell of the anchor.
-4. What is still open goes to shards by core, as snippets of a cell's bytes. A
+4. Cells of a core with more than a shard's bytes are cut in halves, whose cores
+   are longer, and go through step 3 again. A cell of one window is its core, so
+   this ends.
+5. What is still open goes to shards by core, as snippets of a cell's bytes. A
    shard's suffixes are sorted by external induction (``induced``), with common
    prefixes; neighbours with LENGTH bytes in common are repeats.
 
@@ -23,6 +26,7 @@ counted, so copies and common passages cost a row each.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -107,9 +111,8 @@ def _lists(column: pa.Array, names: list[str]) -> tuple[np.ndarray, list[np.ndar
     return np.repeat(np.arange(len(column)), lengths), [flat.field(flat.type.get_field_index(x)).to_numpy(zero_copy_only=False) for x in names]
 
 
-def _cells(length: int):
-    """Rows (key, text, segs array<struct<p, s1, s2, ah, many>>): the cells of the segments."""
-    _, cell = shape(length)
+def _cells(length: int, cell: int):
+    """Rows (key, text, segs array<struct<p, s1, s2, ah, many>>): the cells of ``cell`` windows of the segments."""
 
     def cut(batches):
         for batch in batches:
@@ -148,12 +151,20 @@ def repeated_windows(keys: list, starts: list, many: list, snippets: list[bytes]
     ends = np.cumsum(sizes + 1) - 1
     begins = ends - sizes
     raw = np.frombuffer(b"\0".join(snippets) + b"\0", dtype=np.uint8)
-    owner = np.repeat(np.arange(len(snippets)), sizes + 1)
+    owner = np.repeat(np.arange(len(snippets), dtype=np.int32), sizes + 1)
     keys, starts, many = np.array(keys, dtype=np.int64), np.array(starts, dtype=np.int64), np.array(many, dtype=bool)
-    place = np.empty(len(raw), dtype=U)
-    at = np.arange(len(raw))
-    room = (ends[owner] - at) >= length
-    place = mix(mix(keys.view(U))[owner] + (starts[owner] + at - begins[owner]).astype(U) * U(0x9E3779B97F4A7C15))
+    mark = np.zeros(len(raw) + 1, dtype=np.int8)
+    whole = sizes >= length
+    mark[begins[whole]] = 1
+    mark[ends[whole] - length + 1] = -1
+    room = np.cumsum(mark[:-1], dtype=np.int8).astype(bool)
+    del mark
+    base = mix(keys.view(U))
+
+    def place_of(pos):
+        o = owner[pos]
+        return mix(base[o] + (starts[o] + pos - begins[o]).astype(U) * U(0x9E3779B97F4A7C15))
+
     hits = []
     for pos, lcp in suffix_order(raw, ends, length):
         pos = pos[pos < len(raw)] if len(pos) and pos.max() >= len(raw) else pos
@@ -169,7 +180,7 @@ def repeated_windows(keys: list, starts: list, many: list, snippets: list[bytes]
         use = np.repeat(size > 1, size) | (many[owner[pos]] & room[pos])
         if not use.any():
             continue
-        v = place[pos]
+        v = place_of(pos)
         differs = (np.minimum.reduceat(v, first) != np.maximum.reduceat(v, first)) | np.maximum.reduceat(many[owner[pos]].astype(np.int8), first).astype(bool)
         run = np.repeat(differs, size) & room[pos]
         hits.append(pos[run])
@@ -181,8 +192,8 @@ def repeated_windows(keys: list, starts: list, many: list, snippets: list[bytes]
     first = np.flatnonzero(cut)
     last = np.append(first[1:], len(found)) - 1
     o = o[first]
-    base = starts[o] - begins[o]
-    return list(zip(keys[o].tolist(), (found[first] + base).tolist(), (found[last] + base + length).tolist(), strict=True))
+    shift = starts[o] - begins[o]
+    return list(zip(keys[o].tolist(), (found[first] + shift).tolist(), (found[last] + shift + length).tolist(), strict=True))
 
 
 def _snippets(length: int):
@@ -235,20 +246,35 @@ def repeated_spans(spark: SparkSession, keyed: DataFrame, length: int = LENGTH,
     # one segment of each kind of bytes of the anchors that have several kinds
     open_ = counts.where("mixed").select("one.key", "one.p", "one.s1", "one.s2", "ah", (F.col("n") > 1).alias("many"))
     lists = scratch.write(open_.groupBy("key").agg(F.collect_list(F.struct("p", "s1", "s2", "ah", "many")).alias("segs")), "open")
-    texts = some_rows(keyed, lists.select("key"), "key").dropDuplicates(["key"])
-    cells = scratch.write(texts.join(lists, "key").select("key", "text", "segs").mapInArrow(_cells(length), _CELL), "cells")
-    scratch.drop(lists)
     kind = ["ah", "cell", "core"]
-    shared = cells.groupBy(kind).agg(F.min("ext").alias("low"), F.max("ext").alias("high"), F.count("*").alias("n")).where("n > 1").select(*kind, (F.col("low") != F.col("high")).alias("mixed"))
-    met = scratch.write(cells.join(shared, kind), "met")
-    scratch.drop(cells)
-    known = met.groupBy(*kind, "ext").agg(F.count("*").alias("n"), F.max("many").alias("many"), F.min(F.struct("key", "p", "a1", "a2")).alias("one"), F.first("mixed").alias("mixed"))
-    known = scratch.write(known, "known")
-    equal = met.join(known.where("n > 1").select(*kind, "ext"), [*kind, "ext"]).select("key", (F.col("p") - F.col("a2")).alias("begin"), (F.col("p") - F.col("a1") + length).alias("end"))
-    left = known.where("mixed").select("one.*", *kind, (F.col("many") | (F.col("n") > 1)).alias("many"))
-    total = left.agg(F.sum(F.lit(length + 1) + F.col("a2") - F.col("a1"))).first()[0] or 0
+    room = F.lit(length + 1) + F.col("a2") - F.col("a1")
+    _, cell = shape(length)
+    equal, left = [], []
+    while True:
+        texts = some_rows(keyed, lists.select("key"), "key").dropDuplicates(["key"])
+        cells = scratch.write(texts.join(lists, "key").select("key", "text", "segs").mapInArrow(_cells(length, cell), _CELL), "cells")
+        scratch.drop(lists)
+        shared = cells.groupBy(kind).agg(F.min("ext").alias("low"), F.max("ext").alias("high"), F.count("*").alias("n")).where("n > 1").select(*kind, (F.col("low") != F.col("high")).alias("mixed"))
+        met = scratch.write(cells.join(shared, kind), "met")
+        scratch.drop(cells)
+        known = met.groupBy(*kind, "ext").agg(F.count("*").alias("n"), F.max("many").alias("many"), F.min(F.struct("key", "p", "a1", "a2")).alias("one"), F.first("mixed").alias("mixed"))
+        known = scratch.write(known, "known")
+        equal.append(met.join(known.where("n > 1").select(*kind, "ext"), [*kind, "ext"]).select("key", (F.col("p") - F.col("a2")).alias("begin"), (F.col("p") - F.col("a1") + length).alias("end")))
+        open_ = known.where("mixed").select("one.*", *kind, (F.col("many") | (F.col("n") > 1)).alias("many"))
+        large = scratch.write(open_.groupBy(kind).agg(F.sum(room).alias("bytes")).where(F.col("bytes") > shard_bytes).select(kind), "large")
+        if cell == 1 or large.isEmpty():
+            left.append(open_)
+            break
+        left.append(open_.join(large, kind, "left_anti").select(*open_.columns))
+        halves = open_.join(large, kind).select("key", "p", (F.col("p") - F.col("a2")).alias("s1"), (F.col("p") - F.col("a1")).alias("s2"), "ah", "many")
+        lists = scratch.write(halves.groupBy("key").agg(F.collect_list(F.struct("p", "s1", "s2", "ah", "many")).alias("segs")), "halves")
+        cell = -(-cell // 2)
+    # a core of one cell size is no core of another: each has shards of its own
+    left = reduce(DataFrame.unionAll, [x.withColumn("round", F.lit(i)) for i, x in enumerate(left)])
+    equal = reduce(DataFrame.unionAll, equal)
+    total = left.agg(F.sum(room)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    left = left.withColumn("shard", F.pmod(F.xxhash64(*kind), F.lit(shards)))
+    left = left.withColumn("shard", F.pmod(F.xxhash64("round", *kind), F.lit(shards)))
     wanted = scratch.write(left.groupBy("key").agg(F.collect_list(F.struct("p", "a1", "a2", "shard", "many")).alias("parts")), "wanted")
     texts = some_rows(keyed, wanted.select("key"), "key").dropDuplicates(["key"])
     snippets = texts.join(wanted, "key").select("key", "text", "parts").mapInArrow(_snippets(length), "shard long, key long, start long, many boolean, snippet binary")

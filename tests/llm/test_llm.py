@@ -285,3 +285,34 @@ def test_line_dedup_finds_every_repeated_run(spark):
     assert report == {d: e[:2] for d, e in expected.items()} and sum(n for n, _ in report.values()) > 60
     out = {r.doc_id: r.text for r in line_dedup.line_dedup(spark, docs(spark, texts)).collect()}
     assert out == {d: texts[d] if not n else t for d, (n, _, t) in expected.items() if not n or t.strip()}
+
+
+def test_suffix_dedup_splits_a_hot_core(spark, monkeypatch, tmp_path):
+    passage, sort_shards = words(150, 31, 5000), suffix_dedup._sort_shards
+    texts = [f"{words(40, 100 + i, 5000)} {passage} {words(40, 300 + i, 5000)}" for i in range(80)]
+    sizes = str(tmp_path / "sizes")
+
+    def noting(length):
+        inner = sort_shards(length)
+
+        def work(batches):
+            def seen():
+                for batch in batches:
+                    with open(sizes, "a") as f:
+                        f.writelines(f"{s} {len(x)}\n" for s, x in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True))
+                    yield batch
+
+            yield from inner(seen())
+
+        return work
+
+    monkeypatch.setattr(suffix_dedup, "_sort_shards", noting)
+    report = suffix_dedup.suffix_dedup_report(spark, docs(spark, texts), 400, shard_bytes=4000)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in report.collect()}
+    assert got == removed_by_force(texts, 400)
+    total = Counter()
+    with open(sizes) as f:
+        for line in f:
+            shard, size = line.split()
+            total[shard] += int(size)
+    assert max(total.values(), default=0) <= 3 * 4000
