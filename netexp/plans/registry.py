@@ -23,6 +23,9 @@ from netexp.sources.networks import cobuy_edges, copurchase_edges, simulated_edg
 
 SWEEP = [10, 20, 30]
 STEPS = 500
+#: Sizes of the study: N per arm, simulations, sweep of the boundary and of the contamination.
+FULL_SIZE, FULL_SIMS = 500, 100
+FULL_SWEEP, FULL_CONTAMINATION = range(50, 501, 50), range(100, 1001, 100)
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -278,6 +281,38 @@ def max_feasible(n):
     return S.max_feasible(S.exclusion_boundary(n.adj, n.deg, S.grid(n.spark, SIMS, SWEEP)))
 
 
+def _full(n, sizes):
+    """The grid of all simulations and of the sizes that two arms can be drawn in."""
+    nodes = n.deg.count()
+    return S.grid(n.spark, FULL_SIMS, [s for s in sizes if 2 * s <= nodes])
+
+
+@query(None)
+def exclusion_summary_full(n):
+    size = min(FULL_SIZE, n.deg.count() // 2)
+    return S.exclusion(n.adj, n.deg, n._written(S.srs(n.deg, S.grid(n.spark, FULL_SIMS), size), "sample"), size)
+
+
+@query(None)
+def contamination_sweep_full(n):
+    return S.contamination_sweep(n.adj, n.deg, _full(n, FULL_CONTAMINATION))
+
+
+@query(None)
+def max_feasible_sweep_full(n):
+    return S.max_feasible_sweep(n.adj, n.attributes, _full(n, FULL_SWEEP))
+
+
+@query(None)
+def boundary_excl_full(n):
+    return S.exclusion_boundary(n.adj, n.deg, _full(n, FULL_SWEEP))
+
+
+@query(None)
+def max_feasible_full(n):
+    return S.max_feasible(S.exclusion_boundary(n.adj, n.deg, _full(n, FULL_SWEEP)))
+
+
 @query(w(NET, "SELECT degree, round(count(*) / (SELECT count(*) FROM deg)::DOUBLE, 6) AS p FROM deg GROUP BY degree"))
 def epdf_degree(n):
     return D.epdf(n.deg, ["degree"])

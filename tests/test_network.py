@@ -1,5 +1,7 @@
 """Hand-computed micro-graphs and properties of the network operators."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -121,3 +123,29 @@ def test_whole_sparse_network_matches_brute_force(spark, tmp_path):
     assert registry.QUERIES["largest_component_whole"](spark, str(tmp_path)).first().n_edges == sum(label[a] == top for a, _ in want)
     summary = registry.QUERIES["table1_summary_sparse_whole"](spark, str(tmp_path)).first()
     assert (summary.population_size, summary.num_edges) == (len(label), len(want))
+
+
+def test_boundary_over_the_sizes_of_the_study(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    orders = [(o, int(c)) for o, c in enumerate(rng.integers(1, 400, 900))]
+    lines = [(o, int(p), 50.0) for o, p in zip(range(900), rng.integers(1, 400, 900), strict=True)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    near, buyers = {}, {}
+    for (_, c), (_, p, _) in zip(orders, lines, strict=True):
+        buyers.setdefault(p, set()).add(c)
+    for b in buyers.values():
+        for x in b:
+            near.setdefault(x, set()).update(b - {x})
+    near = {x: ys for x, ys in near.items() if ys}
+    want = {}
+    for size in range(50, 501, 50):
+        if 2 * size <= len(near):
+            kept = 0
+            for sim in range(1, 101):
+                drawn = sorted(near, key=lambda v: (hashlib.md5(f"{v}-{sim}-{size}".encode()).hexdigest(), v))[: 2 * size]
+                chosen = set(drawn)
+                kept += sum(not near[v] & chosen for v in drawn)
+            want[size] = round(kept / 200, 6)
+    got = {r.nsample: r.avg_remain for r in registry.QUERIES["boundary_excl_full"](spark, str(tmp_path)).collect()}
+    assert len(want) >= 2 and got == want
