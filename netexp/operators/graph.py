@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -56,7 +57,12 @@ def spmv(adj: DataFrame, vector: DataFrame, keys: tuple = ()) -> DataFrame:
 
 
 def work_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/netexp-work"
+    """A new folder below spark.checkpoint.dir. Where that is unset, a local master gets a temporary folder; a cluster is refused."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/netexp-work"
     return f"{base.rstrip('/')}/graph-{uuid.uuid4().hex[:12]}"
 
 
