@@ -38,26 +38,40 @@ def joint_cdf(nodes: DataFrame, x: str, y: str, support: DataFrame, keys: tuple
 
 
 def joint_ks(sample: DataFrame, population: DataFrame, x: str, y: str, keys: tuple = ()) -> DataFrame:
-    """(keys..., ks): the largest gap between the joint distributions, over the population's points."""
+    """(keys..., ks): the largest gap between the joint distributions, over the population's points.
+
+    The population's distribution is made once. A sample is one row, its points
+    an array, and meets the population's points without a shuffle; a maximum for
+    each sample leaves every task.
+    """
     support = population.select(x, y).distinct()
-    g = joint_cdf(population, x, y, support).withColumnRenamed("f", "g")
-    f = joint_cdf(sample, x, y, support, keys)
-    gap = F.max(F.abs(F.col("f") - F.col("g"))).alias("ks")
-    joined = f.join(g, [x, y])
+    g = joint_cdf(population, x, y, support).select(F.col(x).alias("_x"), F.col(y).alias("_y"), F.col("f").alias("_g"))
+    points = F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).alias("_points")
+    groups = sample.groupBy(*keys).agg(points) if keys else sample.agg(points)
+    inside = F.size(F.filter("_points", lambda p: (p["x"] <= F.col("_x")) & (p["y"] <= F.col("_y"))))
+    gap = F.max(F.abs(inside / F.size("_points") - F.col("_g"))).alias("ks")
+    joined = g.crossJoin(F.broadcast(groups))  # a row for each sample of the parameter grid
     return joined.groupBy(*keys).agg(gap) if keys else joined.agg(gap)
 
 
 def ks_two_sample(sample: DataFrame, population: DataFrame, value: str, keys: tuple = ()) -> DataFrame:
-    """(keys..., ks): the largest gap between two empirical distributions. The population is one; samples are per keys."""
-    pop = population.groupBy(value).agg(F.count("*").alias("np"))
+    """(keys..., ks): the largest gap between two empirical distributions. The population is one; samples are per keys.
+
+    Between two values of a sample its distribution is constant and the
+    population's rises, so the gap is largest at a value of the sample or just
+    below one; the population's distribution is made once, at its and the
+    samples' values, and no sample meets all of them.
+    """
+    counts = population.groupBy(value).agg(F.count("*").alias("np")).unionByName(sample.select(value, F.lit(0).cast("long").alias("np"))).groupBy(value).agg(F.sum("np").alias("np"))
+    upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    total = population.agg(F.count("*").alias("tp"))
+    cdf = counts.select(value, "np", F.sum("np").over(upto).alias("cp")).crossJoin(F.broadcast(total))
+    cdf = cdf.select(value, (F.col("cp") / F.col("tp")).alias("at"), ((F.col("cp") - F.col("np")) / F.col("tp")).alias("below"))
     smp = sample.groupBy(*keys, value).agg(F.count("*").alias("ns"))
-    groups = sample.groupBy(*keys).agg(F.count("*").alias("total")) if keys else sample.agg(F.count("*").alias("total"))
-    base = groups.crossJoin(pop.select(value, F.col("np"))).select(*keys, value, "np", F.lit(0).cast("long").alias("ns"))
-    both = base.unionByName(smp.select(*keys, value, F.lit(0).cast("long").alias("np"), "ns")).groupBy(*keys, value).agg(F.sum("np").alias("np"), F.sum("ns").alias("ns"))
-    upto = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
-    f = both.select(*keys, F.sum("np").over(upto).alias("cp"), F.sum("ns").over(upto).alias("cs"), F.sum("np").over(whole).alias("tp"), F.sum("ns").over(whole).alias("ts"))
-    gap = F.max(F.abs(F.col("cp") / F.col("tp") - F.col("cs") / F.col("ts"))).alias("ks")
+    cs, ts = F.sum("ns").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), F.sum("ns").over(whole)
+    f = smp.select(*keys, value, (cs / ts).alias("f"), ((cs - F.col("ns")) / ts).alias("f_below")).join(cdf, value)
+    gap = F.max(F.greatest(F.abs(F.col("f") - F.col("at")), F.abs(F.col("f_below") - F.col("below")))).alias("ks")
     return f.groupBy(*keys).agg(gap) if keys else f.agg(gap)
 
 

@@ -19,6 +19,18 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_EDGES = 50_000_000
 
 
+def joint_cdf(points: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """P(X <= x, Y <= y) at different points (x, y), by one running sum over y for each x."""
+    xs, x = np.unique(points[:, 0], return_inverse=True)
+    ys, y = np.unique(points[:, 1], return_inverse=True)
+    out, by_y = np.empty(len(points)), np.zeros(len(ys))
+    order = np.argsort(x, kind="stable")
+    for own in np.split(order, np.searchsorted(x[order], np.arange(1, len(xs)))):
+        np.add.at(by_y, y[own], mass[own])
+        out[own] = np.cumsum(by_y)[y[own]]
+    return out
+
+
 @dataclass
 class Population:
     """Arrays of a network: sorted node ids, neighbour offsets and indices, degree and rounded clustering."""
@@ -34,7 +46,7 @@ class Population:
         both = np.column_stack((self.degree, self.coef))
         self.points, self.cell = np.unique(both, axis=0, return_inverse=True)
         self.mass = np.bincount(self.cell, minlength=len(self.points)) / max(1, len(self.nodes))
-        self.cdf = np.array([self.mass[(self.points[:, 0] <= k) & (self.points[:, 1] <= c)].sum() for k, c in self.points])
+        self.cdf = joint_cdf(self.points, self.mass)
         self.keys, inverse = np.unique(self.degree, return_inverse=True)
         self.degree_cell = inverse
         self.degree_cdf = np.cumsum(np.bincount(inverse)) / max(1, len(self.nodes))

@@ -27,12 +27,15 @@ def srs(nodes: DataFrame, params: DataFrame, size, keys: tuple = ("sim",)) -> Da
     """(keys..., node, arm): 2 * size nodes without replacement per row of params, the first half arm 1.
 
     The order is that of md5 of node and sim: uniform, the same in any engine
-    and on every run. Ranks are limited before the shuffle, so a sample of a
-    large population moves few rows.
+    and on every run. Only nodes whose md5 is below a bound are ranked. Of N
+    nodes 4 * size + 400 are below it on average, so fewer than 2 * size are
+    with a chance under exp(-50): a sample of a large population moves few rows.
     """
     size = F.lit(size) if isinstance(size, int) else F.col(size)
-    hashed = nodes.select("node").crossJoin(F.broadcast(params)).withColumn("h", F.md5(F.concat_ws("-", F.col("node").cast("string"), *[F.col(k).cast("string") for k in keys])))
-    ranked = hashed.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "node")))
+    params = F.broadcast(params.crossJoin(nodes.agg(F.count("*").alias("_n"))))
+    hashed = nodes.select("node").crossJoin(params).withColumn("h", F.md5(F.concat_ws("-", F.col("node").cast("string"), *[F.col(k).cast("string") for k in keys])))
+    low = F.conv(F.substring("h", 1, 8), 16, 10).cast("double") * F.col("_n") < (4.0 * size + 400) * 2.0**32
+    ranked = hashed.where(low).withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "node")))
     return ranked.where(F.col("rn") <= 2 * size).select(*keys, "node", F.when(F.col("rn") <= size, 1).otherwise(2).alias("arm"))
 
 
@@ -197,11 +200,6 @@ def greedy_independent(adj: DataFrame, nodes: DataFrame, sims: DataFrame, size:
     return ranked.where(F.col("rn") <= size).select("sim", "node")
 
 
-def alters_of_one(adj: DataFrame, egos: DataFrame, keys: tuple = ("sim",)) -> DataFrame:
-    """(keys..., arm, node): alters of an arm that touch exactly one sampled ego."""
-    return arm_alters(adj, egos, keys)
-
-
 def representativeness(attributes: DataFrame, matched: DataFrame, excluded: DataFrame, columns: list[str]) -> DataFrame:
     """(variable, population_value, represent, rp_vs_population, remove, rm_vs_population), means over sims; samples: (sim, node)."""
 
@@ -215,5 +213,3 @@ def representativeness(attributes: DataFrame, matched: DataFrame, excluded: Data
 
     pop = attributes.agg(*[F.avg(c).alias(c) for c in columns]).unpivot([], columns, "variable", "population_value")
     return pop.join(by_attribute(matched, "represent", "rp_vs_population"), "variable").join(by_attribute(excluded, "remove", "rm_vs_population"), "variable")
-
-
