@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netexp.functions.scalar import degree_group, hash_normal, hash_uniform, t975
-from netexp.operators.graph import neighbours_of, spmv
+from netexp.functions.scalar import DEGREE_GROUPS, degree_group, hash_normal, hash_uniform, t975
+from netexp.operators.graph import neighbours_of, spmv, work_folder, written
 from netexp.operators.sampling import arm_alters
 
 #: Spillover, and the coefficients of the baseline outcome.
@@ -17,17 +17,19 @@ ALPHA = (1.0, 0.5, -0.5, 0.5, -0.5)
 TAU1 = [round(0.01 * i, 2) for i in range(11)]
 
 
-def zscore(value: Column) -> Column:
-    """Standard scores over the table (population deviation); missing ones are 0."""
-    w = Window.partitionBy()
-    return F.coalesce((value - F.avg(value).over(w)) / F.stddev_pop(value).over(w), F.lit(0.0))
-
-
 def _scalars(t: DataFrame, *columns: Column) -> DataFrame:
     """The table with one-row aggregates beside every row: no window gathers all rows in one task."""
     return t.crossJoin(F.broadcast(t.agg(*columns)))
 
 
+def zscores(t: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The table with standard scores (population deviation) of columns, as {column: name of its score}; missing ones are 0."""
+    t = _scalars(t, *[f(F.col(c)).alias(f"_{n}_{i}") for i, c in enumerate(columns) for f, n in ((F.avg, "m"), (F.stddev_pop, "sd"))])
+    for i, (c, name) in enumerate(columns.items()):
+        t = t.withColumn(name, F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{i}"), F.col(f"_sd_{i}")), F.lit(0.0)))
+    return t.drop(*[f"_{n}_{i}" for i in range(len(columns)) for n in ("m", "sd")])
+
+
 def covariates(deg: DataFrame) -> DataFrame:
     """(node, Z1, Z2, Z3): correlated with degree by -0.7 and 0.3, on [0, 10]; and a fair coin. Noise is hashed."""
     t = _scalars(deg.select("node", "degree"), F.avg("degree").alias("m"), F.stddev_pop("degree").alias("sd"))
@@ -43,10 +45,9 @@ def baseline_outcome(deg: DataFrame, cov: DataFrame, network: str = "simulated")
     """(node, y00, ego_effect). Networks: simulated (Z1, Z2, Z3), lastfm and twitch (x2), pokec (z1, z2)."""
     k, (a0, a1, a2, a3, a4) = F.col("degree"), ALPHA
     t = deg.select("node", "degree").join(cov, "node")
-    if network == "lastfm":
-        mean = a0 + a1 * F.log(k + 1) + a2 * zscore(F.col("x2"))
-    elif network == "twitch":
-        mean = a0 + a1 * F.log(k + 1) + a3 * zscore(F.col("x2"))
+    if network in ("lastfm", "twitch"):
+        t = zscores(t, {"x2": "_z"})
+        mean = a0 + a1 * F.log(k + 1) + (a2 if network == "lastfm" else a3) * F.col("_z")
     elif network == "pokec":
         mean = a0 + a1 * F.log(k) + a3 * F.col("z1") + a4 * F.col("z2")
     else:
@@ -104,19 +105,40 @@ def exposure_draws(spark: SparkSession, adj: DataFrame, attributes: DataFrame, s
     return rows.groupBy("node").agg(*[F.sum(c).alias(c) for c in names])
 
 
-def realised_outcome(adj: DataFrame, deg: DataFrame, base: DataFrame, sample: DataFrame, tau1: float = 0.05) -> DataFrame:
-    """(sim, node, y): y00 + tau T + beta A (tau T) + ego d + A (ego d), with tau = tau1 * degree; T: egos of arm 1, d: egos."""
+def with_effect_sizes(sample: DataFrame, taus: list[float]) -> DataFrame:
+    """A sample (sim, ...) once for each effect size: ``sim`` becomes the struct (tau1, sim), so one plan serves all sizes."""
+    sizes = F.array(*[F.lit(float(x)) for x in taus])
+    return sample.withColumn("_tau1", F.explode(sizes)).withColumn("sim", F.struct(F.col("_tau1").alias("tau1"), F.col("sim"))).drop("_tau1")
+
+
+def realised_outcome(adj: DataFrame, deg: DataFrame, base: DataFrame, sample: DataFrame, tau1=0.05, members: DataFrame | None = None) -> DataFrame:
+    """(sim, node, y): y00 + tau T + beta A (tau T) + ego d + A (ego d), with tau = tau1 * degree; T: egos of arm 1, d: egos.
+
+    tau1: a number or a column. Of all nodes in every sim, or of ``members`` (sim, node).
+    """
     t = sample.join(deg, "node").join(base, "node").select("sim", "node", F.when(F.col("arm") == 1, tau1 * F.col("degree")).otherwise(0.0).alias("tt"), F.col("ego_effect").alias("eg"))
     own = t.select("sim", "node", (F.col("tt") + F.col("eg")).alias("value"))
     near = spmv(adj, t.select("sim", "node", (BETA * F.col("tt") + F.col("eg")).alias("value")), ("sim",))
     added = own.unionByName(near).groupBy("sim", "node").agg(F.sum("value").alias("value"))
-    nodes = base.select("node", "y00").crossJoin(F.broadcast(sample.select("sim").distinct()))
+    base = base.select("node", "y00")
+    nodes = base.crossJoin(F.broadcast(sample.select("sim").distinct())) if members is None else members.select("sim", "node").join(base, "node")
     return nodes.join(added, ["sim", "node"], "left").select("sim", "node", (F.col("y00") + F.coalesce("value", F.lit(0.0))).alias("y"))
 
 
-def t_test(values: DataFrame, true_value, keys: tuple = ("sim",)) -> DataFrame:
-    """(keys..., est, se, t, lo, hi, power, coverage) of values (keys..., arm 1 or 2, y); missing y are dropped. Pooled variance; power: lo > 0."""
-    arms = values.where("y is not null").groupBy(*keys).agg(*[f(F.when(F.col("arm") == a, F.col("y"))).alias(f"{n}{a}") for a in (1, 2) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
+def t_test(values: DataFrame, true_value, keys: tuple = ("sim",), nodes: DataFrame | None = None) -> DataFrame:
+    """(keys..., est, se, t, lo, hi, power, coverage) of values (keys..., arm 1 or 2, y). Pooled variance; power: lo > 0.
+
+    Missing y are dropped. With ``nodes`` each arm has a value for every node of
+    it instead, 0 where there is none: only the present ones are added up.
+    """
+    arm = lambda a: F.when(F.col("arm") == a, F.col("y"))
+    if nodes is None:
+        arms = values.where("y is not null").groupBy(*keys).agg(*[f(arm(a)).alias(f"{n}{a}") for a in (1, 2) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
+    else:
+        zero = lambda c: F.coalesce(c, F.lit(0.0))
+        arms = values.groupBy(*keys).agg(*[zero(F.sum(arm(a) ** p)).alias(f"s{p}{a}") for a in (1, 2) for p in (1, 2)]).crossJoin(F.broadcast(nodes.agg(F.count("*").alias("N"))))
+        every = F.col("N")
+        arms = arms.select(*keys, *[c for a in (1, 2) for c in (every.alias(f"n{a}"), (F.col(f"s1{a}") / every).alias(f"m{a}"), ((F.col(f"s2{a}") - F.col(f"s1{a}") * F.col(f"s1{a}") / every) / (every - 1)).alias(f"v{a}"))])
     n1, n2 = F.col("n1"), F.col("n2")
     df = n1 + n2 - 2
     se = F.sqrt(((n1 - 1) * F.col("v1") + (n2 - 1) * F.col("v2")) / df * (1 / n1 + 1 / n2))
@@ -127,13 +149,6 @@ def t_test(values: DataFrame, true_value, keys: tuple = ("sim",)) -> DataFrame:
     return r.withColumn("power", F.col("lo") > 0).withColumn("coverage", (F.col("lo") < true_value) & (true_value < F.col("hi")))
 
 
-def imputed(values: DataFrame, nodes: DataFrame, keys: tuple = ("sim",)) -> DataFrame:
-    """Values over all nodes and both arms, 0 where missing."""
-    arms = values.sparkSession.createDataFrame([(1,), (2,)], "arm int")
-    full = nodes.select("node").crossJoin(F.broadcast(values.select(*keys).distinct())).crossJoin(F.broadcast(arms))
-    return full.join(values, [*keys, "arm", "node"], "left").select(*keys, "arm", "node", F.coalesce("y", F.lit(0.0)).alias("y"))
-
-
 def observed(outcome: DataFrame, members: DataFrame) -> DataFrame:
     """(sim, arm, node, y) of members (sim, arm, node); an outcome of exactly 0 is missing."""
     return members.join(outcome, ["sim", "node"]).select("sim", "arm", "node", F.nullif("y", F.lit(0.0)).alias("y"))
@@ -167,20 +182,23 @@ def alter_sums(adj: DataFrame, deg: DataFrame, egos: DataFrame, alters: DataFram
     return egos.select("sim", "arm", "node").join(sums, ["sim", "arm", "node"], "left").join(deg, "node").select("sim", "arm", "node", (F.coalesce("sy", F.lit(0.0)) / F.col("degree")).alias("y"))
 
 
-def estimates(adj: DataFrame, deg: DataFrame, base: DataFrame, expo: DataFrame, sample: DataFrame, egos: DataFrame, tau1: float) -> dict[str, DataFrame]:
-    """The t-tests of DIM, HT and Hajek for the effect on egos (dte) and on alters (ite): name -> (sim, est, se, ...)."""
-    outcome = realised_outcome(adj, deg, base, sample, tau1)
+def estimates(adj: DataFrame, deg: DataFrame, base: DataFrame, expo: DataFrame, sample: DataFrame, egos: DataFrame, tau1, mean_degree: float) -> dict[str, DataFrame]:
+    """The t-tests of DIM, HT and Hajek for the effect on egos (dte) and on alters (ite): name -> (sim, est, se, ...). tau1: a number or a column."""
+    folder = work_folder(adj.sparkSession)
+    near = written(arm_alters(adj, sample), folder, "near")
+    members = egos.select("sim", "node").unionAll(near.select("sim", "node")).distinct()
+    outcome = written(realised_outcome(adj, deg, base, sample, tau1, members), folder, "outcome")
     obs = observed(outcome, egos.select("sim", "arm", "node"))
-    alters = observed(outcome, arm_alters(adj, sample))
-    true_d = deg.agg(F.avg("degree")).first()[0] * tau1
+    alters = observed(outcome, near)
+    true_d = tau1 * mean_degree
     true_i = BETA * true_d
     ht_e, ht_a = weighted(obs, expo, "d10"), weighted(alters, expo, "d01")
     return {
         "dim_dte": t_test(obs, true_d),
         "dim_ite": t_test(alter_means(adj, egos, alters), true_i),
-        "ht_dte": t_test(imputed(ht_e, deg), true_d),
+        "ht_dte": t_test(ht_e, true_d, nodes=deg),
         "ht_ite": t_test(alter_sums(adj, deg, egos, ht_a, False), true_i),
-        "hajek_dte": t_test(imputed(hajek(ht_e, deg), deg), true_d),
+        "hajek_dte": t_test(hajek(ht_e, deg), true_d, nodes=deg),
         "hajek_ite": t_test(alter_sums(adj, deg, egos, ht_a, True), true_i),
     }
 
@@ -191,6 +209,12 @@ def cate(deg: DataFrame, obs: DataFrame, network: str) -> DataFrame:
     return t.groupBy("sim", "degree_group").agg((F.avg(F.when(F.col("arm") == 1, F.col("y"))) - F.avg(F.when(F.col("arm") == 2, F.col("y")))).alias("est"))
 
 
+def cate_by_estimator(groups: DataFrame, estimators: list[str]) -> DataFrame:
+    """(sim, degree_group, estimator, est): of ``estimators`` the first has the estimates of ``groups``, the others null ones: their groups are not estimated."""
+    est = F.when(F.col("estimator") == estimators[0], F.col("est")).alias("est")
+    return groups.withColumn("estimator", F.explode(F.array(*map(F.lit, estimators)))).select("sim", "degree_group", "estimator", est)
+
+
 def effect_table(tests: DataFrame, keys: list[str], true_value: str = "true_value") -> DataFrame:
     """Over sims: avg_est, avg_se, sd_est, bias, MAE, mse, rmse, power, coverage of tests (keys..., true_value, est, se, power, coverage)."""
     gap = F.col("est") - F.col(true_value)
@@ -201,18 +225,25 @@ def effect_table(tests: DataFrame, keys: list[str], true_value: str = "true_valu
     return r.withColumn("rmse", F.sqrt("mse"))
 
 
-def cate_table(groups: DataFrame, true_groups: DataFrame) -> DataFrame:
-    """(degree_group, true_cate, avg_cate_est, sd_cate_est, MAE, rmse) of cate (sim, degree_group, est)."""
+def ate_grid(tests: dict[str, DataFrame], mean_degree: float) -> DataFrame:
+    """effect_table by (tau1, estimator, estimand) of tests named <estimator>_<dte or ite> whose ``sim`` is (tau1, sim)."""
+    out = None
+    for name, t in tests.items():
+        estimator, kind = name.split("_")
+        true = F.col("sim.tau1") * (mean_degree * (1.0 if kind == "dte" else BETA))
+        one = t.select(F.col("sim.tau1").alias("tau1"), F.lit(estimator).alias("estimator"), F.lit("d10" if kind == "dte" else "d01").alias("estimand"), true.alias("true_value"), "est", "se", "power", "coverage")
+        out = one if out is None else out.unionByName(one)
+    return effect_table(out, ["tau1", "estimator", "estimand"])
+
+
+def cate_table(groups: DataFrame, true_groups: DataFrame, keys: tuple = ()) -> DataFrame:
+    """(keys..., degree_group, true_cate, avg_cate_est, sd_cate_est, MAE, rmse) of cate (keys..., sim, degree_group, est). A null estimate stays null."""
     gap = F.col("est") - F.col("true_cate")
-    t = groups.join(F.broadcast(true_groups), "degree_group")  # a row per group
-    return t.groupBy("degree_group").agg(F.avg("true_cate").alias("true_cate"), F.avg("est").alias("avg_cate_est"), F.stddev_pop("est").alias("sd_cate_est"), F.avg(F.abs(gap)).alias("MAE"), F.sqrt(F.avg(gap * gap)).alias("rmse"))
+    on = [c for c in (*keys, "degree_group") if c in true_groups.columns]
+    t = groups.join(F.broadcast(true_groups), on)  # a row per group
+    return t.groupBy(*keys, "degree_group").agg(F.avg("true_cate").alias("true_cate"), F.avg("est").alias("avg_cate_est"), F.stddev_pop("est").alias("sd_cate_est"), F.avg(F.abs(gap)).alias("MAE"), F.sqrt(F.avg(gap * gap)).alias("rmse"))
 
 
 def true_effects(deg: DataFrame, tau1: float, network: str) -> DataFrame:
     """(degree_group, true_cate): the mean of tau1 * degree by group."""
     return deg.groupBy(degree_group(F.col("degree"), network).alias("degree_group")).agg(F.avg(tau1 * F.col("degree")).alias("true_cate"))
-
-
-def near_alters(adj: DataFrame, egos: DataFrame) -> DataFrame:
-    """(sim, arm, node): all neighbours of each arm's egos."""
-    return neighbours_of(adj, egos, ("sim", "arm"))

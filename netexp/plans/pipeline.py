@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netexp.operators import causal, graph, mcmc, sampling
 from netexp.plans import reports
-from netexp.sources import sinks
+from netexp.sources import networks, sinks
 
 
-def prepare(spark: SparkSession, edges: DataFrame, folder: str, network: str, with_hop2: bool = True) -> DataFrame:
-    """Dense ids, attributes, covariates and neighbourhoods of a network into ``folder``; returns its summary row."""
-    ids = graph.dense_ids(edges)
+def prepare(spark: SparkSession, edges: DataFrame, folder: str, network: str, with_hop2: bool = True, extra: DataFrame | None = None) -> DataFrame:
+    """Dense ids, attributes, covariates and neighbourhoods of a network into ``folder``; returns its summary row. ``extra``: (orig, covariates...)."""
+    graph.dense_ids(edges).write.mode("overwrite").parquet(f"{folder}/ids")
+    ids = spark.read.parquet(f"{folder}/ids")
     s, d = ids.select(F.col("orig").alias("s"), F.col("node").alias("a")), ids.select(F.col("orig").alias("d"), F.col("node").alias("b"))
     edges = edges.join(s, "s").join(d, "d").select(F.least("a", "b").alias("s"), F.greatest("a", "b").alias("d"))
     edges.write.mode("overwrite").parquet(f"{folder}/edges")
@@ -20,30 +23,65 @@ def prepare(spark: SparkSession, edges: DataFrame, folder: str, network: str, wi
     adj = graph.adjacency(edges)
     attributes = graph.node_attributes(edges, eigen=True)
     attributes = attributes.join(causal.covariates(attributes), "node")
+    if extra is not None:
+        attributes = attributes.join(extra.join(ids, "orig").drop("orig"), "node", "left")
     sinks.save_network(attributes, adj, folder, graph.hop2(adj) if with_hop2 else None)
     summary = graph.summary(sinks.load_network(spark, folder)["attributes"], edges).withColumn("network", F.lit(network))
     sinks.save_table(summary, f"{folder}/summary")
     return summary
 
 
+def network_input(spark: SparkSession, network: str, data: str) -> tuple[DataFrame, DataFrame | None]:
+    """(edges, covariates by original id or None) of a registered network, from files below ``data`` or simulated."""
+    if network in networks.SIMULATED:
+        return networks.simulated_edges(spark, [(network, *networks.SIMULATED[network])]).select("s", "d"), None
+    folder = f"{data}/{network}"
+    return networks.read_network(spark, network, folder)[0], networks.load_covariates(spark, network, folder)
+
+
+def each(stage, names: list[str], path: str | None = None) -> DataFrame:
+    """The tables of ``stage(network)`` as one, also saved at ``path``."""
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [stage(n) for n in names])
+    if path:
+        sinks.save_table(out, path)
+    return out
+
+
 def sample(spark: SparkSession, folder: str, network: str, size: int, sims: int, steps: int, hops: int = 1) -> dict[str, DataFrame]:
-    """Exclusion and matched samples of a prepared network, written as partitioned samples."""
+    """Exclusion and matched samples of a prepared network, written as partitioned samples.
+
+    With ``hops`` 2 the exclusion is of nodes within two steps, its summary that
+    of second-degree contamination, and chains of under two nodes an arm are left out.
+    """
     net = sinks.load_network(spark, folder)
     adj, attributes = net["hop1"], net["attributes"]
     drawn = sampling.srs(attributes, sampling.grid(spark, sims), size)
     clean = sampling.clean_egos(adj, drawn)
+    deg = attributes.select("node", "degree")
     if hops == 2:
+        sinks.save_table(sampling.second_degree(adj, attributes, clean, size), f"{folder}/removal_summary_hop2")
         _, two = sampling.contaminated_pairs(adj, clean)
         clean = clean.join(two.select("sim", "node").distinct(), ["sim", "node"], "left_anti")
-    summary = sampling.exclusion(adj, attributes.select("node", "degree"), drawn, size)
-    sinks.save_table(summary, f"{folder}/removal_summary")
+    else:
+        sinks.save_table(sampling.exclusion(adj, deg, drawn, size), f"{folder}/removal_summary")
     p = graph.summary(attributes, spark.read.parquet(f"{folder}/edges")).first()["p"]
-    sizes = clean.groupBy("sim", "arm").count().groupBy("sim").agg(F.floor(F.sum("count") / 2).cast("int").alias("nsample")).where("nsample >= 1")
+    sizes = clean.groupBy("sim", "arm").count().groupBy("sim").agg(F.floor(F.sum("count") / 2).cast("int").alias("nsample")).where(F.col("nsample") >= hops)
     chains = mcmc.sample_chains(spark, adj, attributes, sizes, p, steps, hops)
     tag = lambda t, method, role: t.select(F.lit(network).alias("network"), F.lit(method).alias("method"), "sim", "arm", F.lit(role).alias("role"), "node")
     rows = tag(clean, "exclusion", "ego").unionByName(tag(sampling.arm_alters(adj, drawn), "exclusion", "alter")).unionByName(tag(chains, "matched", "ego"))
     sinks.save_samples(rows, f"{folder}/samples")
-    return {"exclusion": sinks.load_samples(spark, f"{folder}/samples", network, "exclusion"), "matched": sinks.load_samples(spark, f"{folder}/samples", network, "matched")}
+    out = {m: sinks.load_samples(spark, f"{folder}/samples", network, m) for m in ("exclusion", "matched")}
+    egos = out["matched"].where("role = 'ego'").join(deg, "node")
+    sinks.save_table(egos.groupBy("sim", "arm").agg(F.count("*").alias("size"), F.avg("degree").alias("avg_degree")), f"{folder}/matched_summary")
+    return out
+
+
+def sample_hop2(spark: SparkSession, folder: str, network: str, size: int, sims: int, steps: int, sizes: list[int]) -> dict[str, DataFrame]:
+    """Samples without contamination within two steps, and the sweep of what remains after either exclusion."""
+    net = sinks.load_network(spark, folder)
+    sweep = sampling.max_feasible_sweep(net["hop1"], net["attributes"], sampling.grid(spark, sims, sizes))
+    sinks.save_table(sweep, f"{folder}/max_feasible_sweep")
+    return sample(spark, folder, network, size, sims, steps, hops=2) | {"sweep": sweep}
 
 
 def summarise(spark: SparkSession, folder: str, network: str, sizes: list[int], sims: int, table2_size: int) -> dict[str, DataFrame]:
@@ -54,11 +92,14 @@ def summarise(spark: SparkSession, folder: str, network: str, sizes: list[int],
     typed = attributes.select("node", *[F.col(c).cast("double").alias(c) for c in columns])
     drawn = sampling.srs(attributes, sampling.grid(spark, sims), table2_size)
     samples = {m: sinks.load_samples(spark, f"{folder}/samples", network, m).where("role = 'ego'").select("sim", "node") for m in ("exclusion", "matched")}
-    return {
+    out = {
         "sweep": sampling.contamination_sweep(adj, attributes.select("node", "degree"), sampling.grid(spark, sims, sizes)),
         "table2": sampling.excluded_attributes(adj, typed, drawn, columns).withColumn("network", F.lit(network)),
         "representativeness": sampling.representativeness(typed, samples["matched"], samples["exclusion"], columns),
     }
+    for name, table in out.items():
+        sinks.save_table(table, f"{folder}/{name}")
+    return out
 
 
 def boundary(spark: SparkSession, folder: str, network: str, sizes: list[int], sims: int, steps: int) -> DataFrame:
@@ -72,24 +113,37 @@ def boundary(spark: SparkSession, folder: str, network: str, sizes: list[int], s
 
 
 def estimate(spark: SparkSession, folder: str, network: str, size: int, sims: int, taus: list[float] | None = None) -> DataFrame:
-    """The table of effects (tau1, estimator, estimand) over the exclusion samples and, as RP, the matched ones."""
+    """The table of effects (tau1, estimator, estimand)."""
+    return estimate_tables(spark, folder, network, size, sims, taus)["ate"]
+
+
+def estimate_tables(spark: SparkSession, folder: str, network: str, size: int, sims: int, taus: list[float] | None = None) -> dict[str, DataFrame]:
+    """``ate`` (tau1, estimator, estimand, ...) and ``cate`` (tau1, estimator, degree_group, ...) over the exclusion samples and, as RP, the matched ones.
+
+    Effect sizes are a key of the samples: one plan serves all of them.
+    """
     net = sinks.load_network(spark, folder)
     adj, attributes = net["hop1"], net["attributes"]
     deg = attributes.select("node", "degree")
-    base = causal.baseline_outcome(deg, attributes.select("node", "Z1", "Z2", "Z3"))
+    base = causal.baseline_outcome(deg, attributes.drop("degree"), network)
+    work = graph.work_folder(spark)
+    base = graph.written(base, work, "base")
     expo = sinks.reuse(spark, f"{folder}/exposure", lambda: causal.exposure(deg, 2 * size))
-    drawn = sampling.srs(attributes, sampling.grid(spark, sims), size)
-    clean = sampling.clean_egos(adj, drawn)
-    matched = sinks.load_samples(spark, f"{folder}/samples", network, "matched").where("role = 'ego'").select("sim", "arm", "node")
+    taus = taus or causal.TAU1
     mean = deg.agg(F.avg("degree")).first()[0]
-    out = None
-    for tau in taus or causal.TAU1:
-        tests = causal.estimates(adj, deg, base, expo, drawn, clean, tau)
-        rp = causal.estimates(adj, deg, base, expo, matched, matched, tau)
-        tests |= {"rp_dte": rp["dim_dte"], "rp_ite": rp["dim_ite"]}
-        for name, t in tests.items():
-            estimator, kind = name.split("_")
-            true = mean * tau * (1.0 if kind == "dte" else causal.BETA)
-            one = t.select(F.lit(tau).alias("tau1"), F.lit(estimator).alias("estimator"), F.lit("d10" if kind == "dte" else "d01").alias("estimand"), F.lit(true).alias("true_value"), "est", "se", "power", "coverage")
-            out = one if out is None else out.unionByName(one)
-    return causal.effect_table(out, ["tau1", "estimator", "estimand"])
+    drawn = graph.written(causal.with_effect_sizes(sampling.srs(attributes, sampling.grid(spark, sims), size), taus), work, "drawn")
+    clean = graph.written(sampling.clean_egos(adj, drawn), work, "clean")
+    matched = sinks.load_samples(spark, f"{folder}/samples", network, "matched").where("role = 'ego'").select("sim", "arm", "node")
+    matched = graph.written(causal.with_effect_sizes(matched, taus), work, "matched")
+    tau = F.col("sim.tau1")
+    tests = causal.estimates(adj, deg, base, expo, drawn, clean, tau, mean)
+    rp = causal.estimates(adj, deg, base, expo, matched, matched, tau, mean)
+    ate = causal.ate_grid(tests | {"rp_dte": rp["dim_dte"], "rp_ite": rp["dim_ite"]}, mean)
+    group = causal.degree_group(F.col("degree"), network if network in causal.DEGREE_GROUPS else "simulate_base")
+    true = deg.withColumn("tau1", F.explode(F.array(*map(F.lit, taus)))).groupBy("tau1", group.alias("degree_group")).agg(F.avg(F.col("tau1") * F.col("degree")).alias("true_cate"))
+    by_group = lambda sample, egos, names: causal.cate_by_estimator(causal.cate(deg, causal.observed(causal.realised_outcome(adj, deg, base, sample, tau, egos), egos.select("sim", "arm", "node")), network if network in causal.DEGREE_GROUPS else "simulate_base"), names)
+    groups = by_group(drawn, clean, ["dim", "ht", "hajek"]).unionByName(by_group(matched, matched, ["rp"])).withColumn("tau1", tau)
+    out = {"ate": ate, "cate": causal.cate_table(groups, true, ("tau1", "estimator"))}
+    for name, table in out.items():
+        sinks.save_table(table, f"{folder}/{name}")
+    return out

@@ -18,7 +18,7 @@ from netexp.operators import graph as G
 from netexp.operators import mcmc as M
 from netexp.operators import sampling as S
 from netexp.plans import reports as R
-from netexp.plans.oracles import CC, COBUY, COV, EXPO, NET, OUT, SAMPLE, SHOW_TEST, SIMS, SIZE, TRUE_D, TRUE_I, WEIGHTED, filled, ks, pairs, sweep, test, w
+from netexp.plans.oracles import CC, COBUY, COV, EXPO, NET, OUT, SAMPLE, SHOW_TEST, SIMS, SIZE, TRUE_D, TRUE_I, WEIGHTED, filled, ks, normal, pairs, sweep, test, w
 from netexp.sources.networks import cobuy_edges, copurchase_edges, simulated_edges
 
 SWEEP = [10, 20, 30]
@@ -34,11 +34,14 @@ class Net:
     """The tables of a network; each that several steps of a query read is written once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, cobuy: bool = False, whole: bool = True):
-        self.spark, self.folder = spark, G.work_folder(spark)
+        self.spark, self.folder, self.sf_dir = spark, G.work_folder(spark), sf_dir
         self.edges = G.written(cobuy_edges(spark, sf_dir, whole) if cobuy else copurchase_edges(spark, sf_dir), self.folder, "edges")
         self.adj = G.adjacency(self.edges)
         self.deg = G.degree(self.adj)
 
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
     def _written(self, df: DataFrame, name: str) -> DataFrame:
         return G.written(df, self.folder, name)
 
@@ -105,6 +108,11 @@ def table1_summary_sparse_whole(n):
     return G.summary(n.attributes, n.edges)
 
 
+@query(w(NET, CC, "a2 AS (SELECT src, dst FROM adj UNION ALL SELECT node, node FROM deg)", "x(i, node, v) AS (SELECT 0, node, 1.0::DOUBLE FROM deg UNION ALL SELECT i + 1, a2.src, sum(v) FROM x JOIN a2 ON a2.dst = x.node WHERE i < 20 GROUP BY i, a2.src)", SUMMARY.replace("round(2.0", "(SELECT round(sum(v) / sqrt(sum(v * v)) / count(*), 6) FROM x WHERE i = 20) AS avg_eigen_centrality, round(2.0", 1), recursive=True))
+def table1_with_eigen(n):
+    return G.summary(n.attributes.join(n._written(G.eigenvector(n.adj, rounds=20, tol=0.0), "eigen"), "node"), n.edges)
+
+
 @query(w(NET, "SELECT src AS orig, row_number() OVER (ORDER BY src) - 1 AS node FROM (SELECT DISTINCT src FROM adj)"))
 def dense_ids(n):
     return G.dense_ids(n.edges)
@@ -406,6 +414,31 @@ def baseline_outcome(n):
     return n.base
 
 
+def _accounts(n):
+    """(node, x2, x3): the balance and the nation of the network's customers."""
+    return n.table("customer").select(F.col("c_custkey").alias("node"), F.col("c_acctbal").cast("double").alias("x2"), F.col("c_nationkey").cast("double").alias("x3"))
+
+
+def _baseline(mean):
+    return w(NET, "c AS (SELECT deg.node, degree, c_acctbal::DOUBLE AS x2, c_nationkey::DOUBLE AS x3 FROM deg JOIN customer ON c_custkey = deg.node)", "z AS (SELECT node, degree, coalesce((x2 - avg(x2) OVER ()) / stddev_pop(x2) OVER (), 0) AS z1, coalesce((x3 - avg(x3) OVER ()) / stddev_pop(x3) OVER (), 0) AS z2 FROM c)", f"SELECT node, round({mean} + {normal('node', 'noise')}, 6) AS y00, round({normal('node', 'ego')}, 6) AS ego_effect FROM z")
+
+
+@query(_baseline("1.0 + 0.5 * ln(degree + 1) - 0.5 * z1"))
+def baseline_outcome_lastfm(n):
+    return C.baseline_outcome(n.deg, _accounts(n), "lastfm")
+
+
+@query(_baseline("1.0 + 0.5 * ln(degree + 1) + 0.5 * z1"))
+def baseline_outcome_twitch(n):
+    return C.baseline_outcome(n.deg, _accounts(n), "twitch")
+
+
+@query(_baseline("1.0 + 0.5 * ln(degree) + 0.5 * z1 - 0.5 * z2"))
+def baseline_outcome_pokec(n):
+    cov = C.zscores(_accounts(n).join(n.deg.select("node"), "node"), {"x2": "z1", "x3": "z2"})
+    return C.baseline_outcome(n.deg, cov, "pokec")
+
+
 @query(w(NET, "SELECT node, CASE WHEN degree BETWEEN 1 AND 20 THEN 1 WHEN degree BETWEEN 21 AND 50 THEN 2 WHEN degree BETWEEN 51 AND 70 THEN 3 WHEN degree BETWEEN 71 AND 100 THEN 4 WHEN degree >= 101 THEN 5 ELSE 0 END AS degree_group FROM deg"))
 def degree_groups(n):
     return n.deg.select("node", C.degree_group(F.col("degree"), "simulate_base").alias("degree_group"))
@@ -451,10 +484,6 @@ def _true(n, part=1.0):
     return n.deg.agg(F.avg("degree")).first()[0] * 0.05 * part
 
 
-def _filled(n, values):
-    return C.imputed(values, n.deg)
-
-
 @query(w(NET, SAMPLE, COV, OUT, test("oe", TRUE_D), SHOW_TEST))
 def dim_dte(n):
     return C.t_test(_obs(n), _true(n))
@@ -470,7 +499,7 @@ def dim_ite(n):
 
 @query(w(NET, SAMPLE, COV, OUT, EXPO, WEIGHTED, filled("fh", "he"), test("fh", TRUE_D), SHOW_TEST))
 def ht_dte(n):
-    return C.t_test(_filled(n, C.weighted(_obs(n), _expo(n), "d10")), _true(n))
+    return C.t_test(C.weighted(_obs(n), _expo(n), "d10"), _true(n), nodes=n.deg)
 
 
 SUMS = "su AS (SELECT c.sim, c.arm, c.node, sum(ha.y) AS sy, sum(ha.w) AS sw FROM clean c JOIN adj ON adj.src = c.node LEFT JOIN ha ON ha.sim = c.sim AND ha.arm = c.arm AND ha.node = adj.dst GROUP BY c.sim, c.arm, c.node)"
@@ -483,7 +512,7 @@ def ht_ite(n):
 
 @query(w(NET, SAMPLE, COV, OUT, EXPO, WEIGHTED, "sw AS (SELECT sim, arm, sum(w) / (SELECT count(*) FROM deg) AS s FROM he GROUP BY sim, arm)", "hj AS (SELECT he.sim, he.arm, he.node, y / nullif(s, 0) AS y FROM he JOIN sw ON sw.sim = he.sim AND sw.arm = he.arm)", filled("fh", "hj"), test("fh", TRUE_D), SHOW_TEST))
 def hajek_dte(n):
-    return C.t_test(_filled(n, C.hajek(C.weighted(_obs(n), _expo(n), "d10"), n.deg)), _true(n))
+    return C.t_test(C.hajek(C.weighted(_obs(n), _expo(n), "d10"), n.deg), _true(n), nodes=n.deg)
 
 
 @query(w(NET, SAMPLE, COV, OUT, EXPO, WEIGHTED, SUMS, "hs AS (SELECT sim, arm, node, sy / nullif(sw, 0) AS y FROM su)", test("hs", TRUE_I), SHOW_TEST))
@@ -505,6 +534,42 @@ def ate_table(n):
     return C.effect_table(t, ["estimator", "estimand"])
 
 
+#: Effect sizes of the grid are 0.05 * (sim // 100) in SQL, where a sample stands once for each.
+TAUS = [0.0, 0.05, 0.1]
+
+
+def _each_tau(text):
+    return text.replace("samp", "xsamp").replace("clean", "xclean").replace("armalt", "xarm").replace("0.05 * degree", "0.05 * (sim // 100) * degree")
+
+
+def _grid_sql():
+    spread = ", ".join(f"{new} AS (SELECT {old}.* REPLACE (sim + 100 * k AS sim) FROM {old}, (SELECT unnest(range({len(TAUS)})) AS k) u)" for old, new in (("samp", "xsamp"), ("clean", "xclean"), ("armalt", "xarm")))
+    tau = "(SELECT avg(degree) FROM deg) * 0.05 * (sim // 100)"
+    pieces = [
+        ("dim", "d10", tau, [test("oe", tau)]), ("dim", "d01", f"{tau} * 0.5", [_each_tau(AM), test("am", f"{tau} * 0.5")]),
+        ("ht", "d10", tau, [filled("fh", "he"), test("fh", tau)]), ("ht", "d01", f"{tau} * 0.5", ["hs AS (SELECT sim, arm, su.node, coalesce(sy, 0) / degree AS y FROM su JOIN deg ON deg.node = su.node)", test("hs", f"{tau} * 0.5")]),
+        ("hajek", "d10", tau, ["sw AS (SELECT sim, arm, sum(w) / (SELECT count(*) FROM deg) AS s FROM he GROUP BY sim, arm)", "hj AS (SELECT he.sim, he.arm, he.node, y / nullif(s, 0) AS y FROM he JOIN sw ON sw.sim = he.sim AND sw.arm = he.arm)", filled("fh", "hj"), test("fh", tau)]),
+        ("hajek", "d01", f"{tau} * 0.5", ["hs AS (SELECT sim, arm, node, sy / nullif(sw, 0) AS y FROM su)", test("hs", f"{tau} * 0.5")]),
+    ]
+    tests = [f"t{i} AS ({w(*parts, f"SELECT sim, est, se, power, coverage, '{estimator}' AS estimator, '{estimand}' AS estimand, {true} AS tv FROM tst")})" for i, (estimator, estimand, true, parts) in enumerate(pieces)]
+    every = "every AS (" + " UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(len(pieces))) + ")"
+    return w(
+        NET, SAMPLE, COV, spread, _each_tau(OUT), EXPO, WEIGHTED, _each_tau(SUMS), *tests, every,
+        "SELECT round(0.05 * (sim // 100), 6)::DOUBLE AS tau1, estimator, estimand, round(avg(tv), 6) AS true_value, round(avg(est), 6) AS avg_est, round(avg(se), 6) AS avg_se, round(stddev_pop(est), 6) AS sd_est, round(avg(est - tv), 6) AS bias, round(avg(abs(est - tv)), 6) AS MAE, round(avg(pow(est - tv, 2)), 6) AS mse, round(sqrt(avg(pow(est - tv, 2))), 6) AS rmse, round(avg(power::INTEGER), 6) AS power, round(avg(coverage::INTEGER), 6) AS coverage FROM every GROUP BY sim // 100, estimator, estimand",
+    )
+
+
+@query(_grid_sql())
+def ate_grid(n):
+    """Three estimators and two estimands at several effect sizes, in one plan."""
+    sample, clean = (n._written(C.with_effect_sizes(t, TAUS), name) for t, name in ((n.sample, "tau_sample"), (n.clean, "tau_clean")))
+    mean = n.deg.agg(F.avg("degree")).first()[0]
+    return C.ate_grid(C.estimates(n.adj, n.deg, n.base, _expo(n), sample, clean, F.col("sim.tau1"), mean), mean)
+
+
+CATE_GRID = "SELECT ce.degree_group, m.estimator, round(avg(tc), 6) AS true_cate, round(avg(CASE WHEN m.estimator = 'dim' THEN est END), 6) AS avg_cate_est, round(stddev_pop(CASE WHEN m.estimator = 'dim' THEN est END), 6) AS sd_cate_est, round(avg(CASE WHEN m.estimator = 'dim' THEN abs(est - tc) END), 6) AS MAE, round(sqrt(avg(CASE WHEN m.estimator = 'dim' THEN pow(est - tc, 2) END)), 6) AS rmse FROM ce JOIN tg ON tg.degree_group = ce.degree_group CROSS JOIN (SELECT unnest(['dim', 'ht', 'hajek']) AS estimator) m GROUP BY ce.degree_group, m.estimator"
+
+
 TG = "tg AS (SELECT CASE WHEN degree BETWEEN 1 AND 20 THEN 1 WHEN degree BETWEEN 21 AND 50 THEN 2 WHEN degree BETWEEN 51 AND 70 THEN 3 WHEN degree BETWEEN 71 AND 100 THEN 4 WHEN degree >= 101 THEN 5 ELSE 0 END AS degree_group, avg(0.05 * degree) AS tc FROM deg GROUP BY 1)"
 
 
@@ -513,9 +578,16 @@ def cate_table(n):
     return C.cate_table(C.cate(n.deg, _obs(n), "simulate_base"), C.true_effects(n.deg, 0.05, "simulate_base"))
 
 
+@query(w(NET, SAMPLE, COV, OUT, CD, TG, CATE_GRID))
+def cate_grid(n):
+    """The table by estimator: groups of the weighted estimators are null, as they are not estimated."""
+    groups = C.cate_by_estimator(C.cate(n.deg, _obs(n), "simulate_base"), ["dim", "ht", "hajek"])
+    return C.cate_table(groups, C.true_effects(n.deg, 0.05, "simulate_base"), ("estimator",))
+
+
 @query(w(NET, "SELECT node, round(coalesce((degree - avg(degree) OVER ()) / stddev_pop(degree) OVER (), 0), 6) AS z FROM deg"))
 def zscores(n):
-    return C._scalars(n.deg, F.avg("degree").alias("m"), F.stddev_pop("degree").alias("sd")).select("node", F.coalesce((F.col("degree") - F.col("m")) / F.col("sd"), F.lit(0.0)).alias("z"))
+    return C.zscores(n.deg, {"degree": "z"}).select("node", "z")
 
 
 def _contacts(n, sample, hops=1):
@@ -610,6 +682,27 @@ def representativeness_table(n):
     return S.representativeness(_typed(n), n.sample.select("sim", "node"), n.clean.select("sim", "node"), COLUMNS)
 
 
+@query(None)
+def representativeness_matched(n):
+    """Representativeness of the matched (Metropolis-Hastings) samples beside the clean egos."""
+    chains = n._written(M.sample_chains(n.spark, n.adj, n.attributes, S.matched_size(S.exclusion(n.adj, n.deg, n.sample, SIZE)), n.p, STEPS), "chains")
+    return S.representativeness(_typed(n), chains.select("sim", "node"), n.clean.select("sim", "node"), COLUMNS)
+
+
+@query(None)
+def boundary_matched(n):
+    """The feasible sizes of matched samples: chains by size, until the mean distance is past three times the threshold."""
+    return M.matched_boundary(n.spark, n.adj, n.attributes, SWEEP, SIMS, n.p, STEPS)
+
+
+@query(None)
+def table3(n):
+    """Largest feasible remainder of both methods."""
+    excluded = S.max_feasible(S.exclusion_boundary(n.adj, n.deg, S.grid(n.spark, SIMS, SWEEP))).withColumn("method", F.lit("exclusion"))
+    matched = S.max_feasible(boundary_matched(n)).withColumn("method", F.lit("matched"))
+    return R.boundary_table(excluded.unionByName(matched).withColumn("network", F.lit("copurchase")))
+
+
 @query(w(NET, SAMPLE, CLEAN_DEG, ks("kk", "cd", "deg", "degree", ["sim", "arm"]), "SELECT cd.sim, 'arm ' || cd.arm AS method, round(avg(degree), 6) AS value, round(max(ks), 6) AS ks FROM cd JOIN kk ON kk.sim = cd.sim AND kk.arm = cd.arm GROUP BY cd.sim, cd.arm"))
 def plot_value_ks(n):
     t = S.exclusion(n.adj, n.deg, n.sample, SIZE).where("size > 0")

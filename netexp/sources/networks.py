@@ -17,7 +17,9 @@ NETWORK_FILES = {
 }
 #: Simulated networks: nodes, edges per new node, chance of a triangle, seed.
 SIMULATED = {"simulate_base": (100_000, 10, 0.6, 1), "simulate_sparse": (100_000, 2, 0.6, 1), "simulate_small": (10_000, 2, 0.6, 1)}
-PROFILE_COLUMNS = ["user_id", "public", "completion_percentage", "gender", "region", "last_login", "registration", "AGE", "body"]
+#: Where covariates stand: id column, and columns by covariate.
+COVARIATES = {"lastfm": ("id", {"x1": "target"}), "twitch": ("numeric_id", {"x1": "views", "x2": "life_time", "x3": "mature", "x4": "affiliate"}), "pokec": ("user_id", {"x1": "AGE", "x2": "completion_percentage", "x3": "gender"})}
+FEATURE_LISTS = {"lastfm": "lastfm_asia_features.json"}
 
 
 def canonical(pairs: DataFrame) -> DataFrame:
@@ -39,7 +41,30 @@ def read_network(spark: SparkSession, name: str, folder: str) -> tuple[DataFrame
     path = f"{folder}/{feature_file}"
     if not exists(spark, path):
         return edges, None
-    return edges, read_profiles(spark, path) if name == "pokec" else spark.read.csv(path, header=True, inferSchema=True)
+    return edges, read_profiles(spark, path) if name == "pokec" else spark.read.csv(path, header=True)
+
+
+def load_covariates(spark: SparkSession, name: str, folder: str) -> DataFrame:
+    """(orig, covariates...) of a registered network's nodes, by their ids in the edge file.
+
+    lastfm: x1 target, x2 number of different liked artists. twitch: x1 views, x2
+    life time, x3 mature, x4 affiliate. pokec: x1 age, x2 completed share of the
+    profile, x3 gender, z1 and z2 the standard scores of x1 and x2, 0 where missing.
+    """
+    from netexp.operators.causal import zscores
+
+    _, feature_file, _, _ = NETWORK_FILES[name]
+    lists = FEATURE_LISTS.get(name)
+    check_inputs(spark, [f"{folder}/{f}" for f in (feature_file, lists) if f])
+    path, (key, columns) = f"{folder}/{feature_file}", COVARIATES[name]
+    raw = read_profiles(spark, path) if name == "pokec" else spark.read.csv(path, header=True)
+    out = raw.select(F.col(key).cast("long").alias("orig"), *[F.col(c).cast("double").alias(x) for x, c in columns.items()])
+    if lists:
+        counts = read_feature_counts(spark, f"{folder}/{lists}").select(F.col("node").alias("orig"), F.col("n_features").cast("double").alias("x2"))
+        out = out.join(counts, "orig", "left").withColumn("x2", F.coalesce("x2", F.lit(0.0)))
+    if name == "pokec":
+        out = zscores(out.withColumn("x2", F.col("x2") / 100), {"x1": "z1", "x2": "z2"})
+    return out
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:

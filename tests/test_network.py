@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from netexp.__main__ import main
 from netexp.functions import distributions as D
 from netexp.operators import causal, graph, mcmc, sampling
-from netexp.plans import pipeline, registry
+from netexp.plans import pipeline, registry, reports
 from netexp.sources import networks
 
 TRIANGLE, PATH, STAR = [(0, 1), (1, 2), (0, 2)], [(0, 1), (1, 2), (2, 3)], [(0, 1), (0, 2), (0, 3), (0, 4)]
@@ -109,6 +110,104 @@ def test_pipeline(spark, tmp_path):
     assert pipeline.estimate(spark, folder, "small", 8, 2, [0.05]).count() == 8
 
 
+def test_estimates_by_effect_size(spark, tmp_path):
+    folder = f"file://{tmp_path}/net"
+    e = edges(spark, networks.PowerLawCluster(150, 3, 0.3, 7).edges().tolist())
+    pipeline.prepare(spark, e, folder, "small")
+    pipeline.sample(spark, folder, "small", 12, 3, 50)
+    tables = pipeline.estimate_tables(spark, folder, "small", 12, 3, [0.0, 0.1])
+    both = {(r.tau1, r.estimator, r.estimand): r for r in tables["ate"].collect()}
+    assert set(both) == {(t, m, d) for t in (0.0, 0.1) for m in ("dim", "ht", "hajek", "rp") for d in ("d10", "d01")}
+    alone = {(r.estimator, r.estimand): r for r in pipeline.estimate(spark, folder, "small", 12, 3, [0.1]).collect()}
+    for (tau, *name), r in both.items():
+        assert tau or r.true_value == 0
+        if tau and r.avg_est is not None:
+            assert r.avg_est == pytest.approx(alone[tuple(name)].avg_est) and r.true_value == pytest.approx(alone[tuple(name)].true_value)
+    cate = tables["cate"].collect()
+    assert {r.estimator for r in cate} == {"dim", "ht", "hajek", "rp"} and all(r.avg_cate_est is None for r in cate if r.estimator in ("ht", "hajek"))
+
+
+def test_zero_filled_t_test(spark):
+    rng = np.random.default_rng(4)
+    nodes = spark.range(200).select(F.col("id").alias("node"))
+    some = [(1, a, int(v), float(y)) for a in (1, 2) for v, y in zip(rng.choice(200, 30, replace=False), rng.normal(5 * a, 3, 30), strict=True)]
+    got = causal.t_test(spark.createDataFrame(some, "sim int, arm int, node long, y double"), 0.0, nodes=nodes).first()
+    arms = [np.zeros(200), np.zeros(200)]
+    for _, a, v, y in some:
+        arms[a - 1][v] = y
+    pooled = (arms[0].var(ddof=1) + arms[1].var(ddof=1)) / 2
+    assert got.est == pytest.approx(arms[0].mean() - arms[1].mean()) and got.se == pytest.approx((pooled * 2 / 200) ** 0.5)
+
+
+def test_distances_match_brute_force(spark):
+    rng = np.random.default_rng(9)
+    population = [(int(x), float(y)) for x, y in zip(rng.integers(1, 12, 150), rng.integers(0, 9, 150), strict=True)]
+    sample = [(s, *population[i]) for s in (1, 2) for i in rng.choice(150, 17, replace=False)] + [(2, 40, 3.0), (1, 0, 0.5)]
+    pop, smp = spark.createDataFrame(population, "x long, y double"), spark.createDataFrame(sample, "sim int, x long, y double")
+    share = lambda rows, x, y=np.inf: sum(a <= x and b <= y for a, b in rows) / len(rows)
+    for s in (1, 2):
+        own = [r[1:] for r in sample if r[0] == s]
+        values = {a for a, _ in population + own}
+        assert D.ks_two_sample(smp, pop, "x", ("sim",)).where(f"sim = {s}").first().ks == pytest.approx(max(abs(share(own, v) - share(population, v)) for v in values))
+        assert D.joint_ks(smp, pop, "x", "y", ("sim",)).where(f"sim = {s}").first().ks == pytest.approx(max(abs(share(own, *p) - share(population, *p)) for p in population))
+    points, mass = np.unique(np.array(population), axis=0, return_counts=True)
+    assert mcmc.joint_cdf(points, mass / 150) == pytest.approx([share(population, *p) for p in points])
+
+
+def test_bounded_draw_is_the_whole_order(spark):
+    nodes = spark.range(20_000).select(F.col("id").alias("node"))
+    got = {(r.sim, r.nsample, r.node, r.arm) for r in sampling.srs(nodes, sampling.grid(spark, 2, [5, 40]), "nsample", ("sim", "nsample")).collect()}
+    want = set()
+    for sim in (1, 2):
+        for size in (5, 40):
+            order = sorted(range(20_000), key=lambda v: (hashlib.md5(f"{v}-{sim}-{size}".encode()).hexdigest(), v))[: 2 * size]
+            want |= {(sim, size, v, 1 if i < size else 2) for i, v in enumerate(order)}
+    assert got == want
+
+
+def test_covariates_from_files(spark, tmp_path):
+    (tmp_path / "lastfm_asia_target.csv").write_text("id,target\n0,3\n1,5\n2,0\n")
+    with pytest.raises(FileNotFoundError):
+        networks.load_covariates(spark, "lastfm", str(tmp_path))
+    (tmp_path / "lastfm_asia_features.json").write_text('{"0": [1, 1, 2], "1": []}')
+    assert rows(networks.load_covariates(spark, "lastfm", str(tmp_path)), "orig", "x1", "x2") == [(0, 3.0, 2.0), (1, 5.0, 0.0), (2, 0.0, 0.0)]
+    (tmp_path / "large_twitch_features.csv").write_text("views,mature,life_time,created_at,updated_at,numeric_id,dead_account,language,affiliate\n7879,1,969,a,b,0,0,EN,1\n")
+    assert rows(networks.load_covariates(spark, "twitch", str(tmp_path)), "orig", "x1", "x2", "x3", "x4") == [(0, 7879.0, 969.0, 1.0, 1.0)]
+    (tmp_path / "soc-pokec-profiles.txt").write_text("1\t1\t14\t1\tr\tl\tr\t26\tb\textra\n2\t1\t62\t0\tr\tl\tr\t30\tb\n3\t1\t14\t0\tr\tl\tr\tnull\tb\n")
+    got = rows(networks.load_covariates(spark, "pokec", str(tmp_path)), "orig", "x2", "z1", "z2")
+    assert [(o, round(x, 6), round(z1, 6), round(z2, 6)) for o, x, z1, z2 in got] == [(1, 0.14, -1.0, -0.707107), (2, 0.62, 1.0, 1.414214), (3, 0.14, 0.0, -0.707107)]
+
+
+def test_stages_over_networks(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(networks.SIMULATED, "one", (120, 3, 0.3, 1))
+    monkeypatch.setitem(networks.SIMULATED, "two", (90, 2, 0.3, 2))
+    out = f"file://{tmp_path}"
+    run = lambda stage, *more: main([stage, "--networks", "one,two", "--out", out, "--size", "8", "--sims", "2", "--steps", "30", "--sizes", "4,8", *more], spark)
+    read = lambda name: spark.read.csv(f"{out}/{name}", header=True)
+    run("prepare")
+    assert {(r.network, r.population_size) for r in read("table1").collect()} == {("one", "120"), ("two", "90")}
+    run("sample")
+    run("summarise")
+    assert read("sweep").count() == 4 and read("representativeness").count() == 8
+    run("boundary")
+    assert read("table3").columns == ["Network", "Exclusion", "Representative"] and read("table3").count() == 2
+    run("estimate", "--taus", "0.05")
+    assert read("ate").count() == 16
+    run("sample_hop2")
+    assert read("one/max_feasible_sweep").count() == 2
+    assert read("one/matched_summary").where("avg_degree > 0").count() >= 0
+
+
+def test_reports(spark):
+    t = spark.createDataFrame([("lastfm", 0.05, "dim", "d10", 0.4), ("lastfm", 0.05, "dim", "d01", 0.2), ("other", 0.1, "ht", "d10", 0.6)], "network string, tau1 double, estimator string, estimand string, MAE double")
+    assert rows(reports.percent(t, ["MAE"]), "MAE") == [(20.0,), (40.0,), (60.0,)]
+    assert rows(t.select(reports.recode("network", reports.NETWORK_LABELS).alias("n")), "n") == [("LastFM",), ("LastFM",), ("other",)]
+    assert rows(reports.effect_axis(t, 10.0), "estimand", "effect") == [("d01", 0.25), ("d10", 0.5), ("d10", 1.0)]
+    assert rows(reports.estimator_means(t, ["MAE"]), "estimator", "MAE") == [("dim", 0.4), ("ht", 0.6)]
+    both = reports.labelled_union({"a": t.select("MAE"), "b": t.select("tau1")}, "table")
+    assert both.where("table = 'a' and tau1 is null").count() == 3 and both.where("table = 'b' and MAE is null").count() == 3
+
+
 def test_whole_sparse_network_matches_brute_force(spark, tmp_path):
     rng = np.random.default_rng(5)
     lines = sorted({(int(o), int(p), "RN"[int(r)]) for o, p, r in zip(rng.integers(1, 60, 200), rng.integers(1, 90, 200), rng.integers(0, 2, 200), strict=True)})
