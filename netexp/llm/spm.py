@@ -3,7 +3,7 @@
 The automaton holds every piece that may match text. One pass over a segment
 visits each position once; the outputs found there (the longest piece, then
 along the output links every piece that is a suffix of it) relax the best score
-of that position. A character that is no piece costs the lowest score less 10
+of that position as they come. A character that is no piece costs the lowest score less 10
 and is written as its UTF-8 bytes where the model has byte pieces. Equal scores
 keep the longest last piece. The scores are those of the model file, taken as
 log weights whatever the model's own training was (for a file of merges the
@@ -73,22 +73,26 @@ class SentencePieceCodec:
 
     def best(self, text: str) -> list[int]:
         """Ids of the best segmentation of a text with space marks."""
-        n = len(text)
-        found: list[list] = [[] for _ in range(n + 1)]
-        for end, output in self.automaton.iter(text) if self.any else ():
-            found[end + 1].append(output)
-        score, back = [0.0] * (n + 1), [(0, 0)] * (n + 1)
-        for end in range(1, n + 1):
-            best, by, length = None, None, 0
-            for i, length, own in found[end]:  # longest first, along the output links
-                new = score[end - length] + own
-                if best is None or new > best:
-                    best, by = new, (i, length)
-            if length != 1:  # the character itself is no piece
-                new = score[end - 1] + self.unknown_score
-                if best is None or new > best:
+        n, unknown = len(text), self.unknown_score
+        score, back = [0.0] * (n + 1), [(-1, 1)] * (n + 1)
+        done, best, by, single = 0, None, (-1, 1), False  # position done + 1 as far as it has been relaxed
+        for last, (i, length, own) in self.automaton.iter(text) if self.any else ():  # longest first, along the output links
+            while done < last:  # no more pieces end at done + 1; a character that is no piece may
+                new = score[done] + unknown
+                if not single and (best is None or new > best):
                     best, by = new, (-1, 1)
-            score[end], back[end] = best, by
+                done += 1
+                score[done], back[done], best, single = best, by, None, False
+            new = score[last + 1 - length] + own
+            if best is None or new > best:
+                best, by = new, (i, length)
+            single = length == 1
+        while done < n:
+            new = score[done] + unknown
+            if not single and (best is None or new > best):
+                best, by = new, (-1, 1)
+            done += 1
+            score[done], back[done], best, single = best, by, None, False
         out: list[int] = []
         while n:
             i, length = back[n]
