@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from netexp.llm.cluster import Scratch
 
 LEVEL_BITS, LEVELS = 12, 5
+#: Most sources whose rows are broadcast; with more, documents are joined with them by shuffle.
+MAX_BROADCAST_SOURCES = 50_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -50,8 +52,13 @@ def source_targets(sizes: DataFrame, max_repeat: int = 3) -> DataFrame:
     return per.select("source", "source_size", F.least(share, (max_repeat * F.col("source_size")).cast("double")).alias("target"))
 
 
+def beside(table: DataFrame) -> DataFrame:
+    """A written table with a row per source, to be broadcast if its size allows."""
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST_SOURCES else table
+
+
 def mix_plan(spark: SparkSession, sized: DataFrame, max_repeat: int = 3) -> DataFrame:
-    """A row per source: source, source_size, target, base, below (hashes under it are taken once more), edge (its hash too).
+    """A row per source: source, source_size, target, base, below (hashes under it are taken once more), edge (its hash too), most (max_repeat).
 
     ``sized`` is a written table (doc_id, source, size, h): it is read once a level.
     """
@@ -65,7 +72,7 @@ def mix_plan(spark: SparkSession, sized: DataFrame, max_repeat: int = 3) -> Data
         shift = LEVEL_BITS * (LEVELS - level)
         width = 1 << (shift + LEVEL_BITS)
         state = scratch.write(state, f"level{level}")
-        inside = sized.join(F.broadcast(state.select(F.col("source").alias("src"), "low", "found")), F.col("source").eqNullSafe(F.col("src")))
+        inside = sized.join(beside(state).select(F.col("source").alias("src"), "low", "found"), F.col("source").eqNullSafe(F.col("src")))
         inside = inside.where(F.col("found") & (F.col("h") >= F.col("low")) & (F.col("h") < F.col("low") + width))
         histogram = inside.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("words"))
         upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -83,7 +90,7 @@ def mix_plan(spark: SparkSession, sized: DataFrame, max_repeat: int = 3) -> Data
     # what is left is one hash: it is taken if that comes nearer to the budget
     near = F.coalesce(F.col("found") & (2 * (F.col("budget") - F.col("used")) >= F.col("words")), F.lit(False))
     # without an edge the budget is the whole source (target a multiple of its size, or no words): nothing more is taken
-    return scratch.write(state.select("source", "source_size", "target", "base", F.when(F.col("found"), F.col("low")).otherwise(F.lit(0).cast("long")).alias("below"), near.alias("edge")), "plan")
+    return scratch.write(state.select("source", "source_size", "target", "base", F.when(F.col("found"), F.col("low")).otherwise(F.lit(0).cast("long")).alias("below"), near.alias("edge"), F.lit(max_repeat).cast("long").alias("most")), "plan")
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
@@ -93,9 +100,10 @@ def sized_documents(docs: DataFrame) -> DataFrame:
 
 def with_copies(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """``docs`` (doc_id, source, h, ...) with source_size, target and copies, the times the mix takes a document (0 to max_repeat)."""
-    plan = F.broadcast(plan.withColumnRenamed("source", "plan_source"))  # a row per source
+    plan = beside(plan).withColumnRenamed("source", "plan_source")
     extra = (F.col("h") < F.col("below")) | (F.col("edge") & (F.col("h") == F.col("below")))
-    return docs.join(plan, F.col("source").eqNullSafe(F.col("plan_source")), "left").withColumn("copies", F.col("base") + extra.cast("long")).drop("plan_source", "base", "below", "edge")
+    copies = F.least(F.col("base") + extra.cast("long"), F.col("most"))  # at the cap only texts without words come before the edge
+    return docs.join(plan, F.col("source").eqNullSafe(F.col("plan_source")), "left").withColumn("copies", copies).drop("plan_source", "base", "below", "edge", "most")
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, max_repeat: int = 3) -> DataFrame:
