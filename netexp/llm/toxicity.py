@@ -1,12 +1,10 @@
 """Toxicity by a classifier chain over hashed words.
 
-Categories are predicted in order; a later category's linear model has the
-earlier categories' probabilities (as log odds) beside the words. In training
-these are out-of-fold predictions, so a later model sees earlier ones as they
-will be on new documents.
-
-The labels have one column; the categories before it are weak labels: a labelled
-toxic document that has one of a category's seed words.
+The categories are columns of the labels; they are predicted in order, the last
+one is the verdict. A later category's linear model has the earlier categories'
+probabilities (as log odds) beside its words. In training these are out-of-fold
+predictions, so a later model sees earlier ones as they will be on new
+documents. A category's words are those that speak for it by a chi-square test.
 """
 
 from __future__ import annotations
@@ -17,22 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netexp.llm.cluster import small_batches
-from netexp.llm.textkit import IS_SEP, LOWER, U, Prefix, mix, slices, words
+from netexp.llm.textkit import LOWER, U, Prefix, mix, slices, words
 
 BITS = 18
-#: Bounds of the fit: labelled documents, and words that models look at.
-MAX_LABELLED, MAX_FEATURES = 8_000, 3_000
+#: Bound of the fit: labelled documents.
+MAX_LABELLED = 8_000
 FOLDS, STEPS = 3, 300
 #: The 0.999 quantile of chi-square with one degree of freedom.
 CHI_SQUARE = 10.83
 
-#: Seed words of the weak categories.
-SEEDS = {
-    "insult": ["idiot", "moron", "stupid", "loser", "clown"],
-    "contempt": ["worthless", "pathetic", "disgusting", "trash", "scum"],
-}
-CHAIN = [*SEEDS, "toxic"]
-
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[list(b".,;:!?\"'()[]{}*#$%&|<>_-/\\`~+=@^")] = True
 
@@ -47,17 +38,12 @@ def word_buckets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return both & ((1 << BITS) - 1), np.searchsorted(both >> BITS, np.arange(n + 1))
 
 
-def bucket_of(word: str) -> int:
-    buf = np.frombuffer(word.encode(), np.uint8)
-    assert not IS_SEP[buf].any()
-    return int(word_buckets(buf, np.array([0, len(buf)]))[0][0])
-
-
 def _features(batches):
     for batch in batches:
         for at, to, buf, offsets in slices(batch.column(0)):
             values, bounds = word_buckets(buf, offsets)
-            yield pa.record_batch([pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(np.int32))), batch.column(1).slice(at, to - at)], names=["buckets", "label"])
+            buckets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(np.int32)))
+            yield pa.record_batch([buckets, batch.column(1).slice(at, to - at)], names=["buckets", "marks"])
 
 
 class Logistic:
@@ -87,38 +73,52 @@ class Logistic:
 
 
 class Chain:
-    """The fitted models; ``cut`` is the log odds from which a document is toxic."""
-
-    def __init__(self, features: list[np.ndarray], labels: dict[str, np.ndarray]):
-        n = len(features)
-        count = np.bincount(np.concatenate([*features, np.zeros(0, np.int64)]).astype(np.int64), minlength=1 << BITS)
-        toxic = labels[CHAIN[-1]]
-        ones = [features[i] for i in np.flatnonzero(toxic)]
-        hits = np.bincount(np.concatenate([*ones, np.zeros(0, np.int64)]).astype(np.int64), minlength=1 << BITS)
-        rate = toxic.mean() if n else 0.0
-        expected = count * rate
-        # words that speak for toxicity only: a text without any of them must not be toxic by what it lacks
-        chi = np.where((count >= 3) & (hits > expected), (hits - expected) ** 2 / np.maximum(expected * (1 - rate), 1e-9), 0)
-        chosen = np.sort(np.argsort(-chi, kind="stable")[: min(MAX_FEATURES, int((chi > CHI_SQUARE).sum()))])
-        self.place = np.full(1 << BITS, -1, dtype=np.int32)
-        self.place[chosen] = np.arange(len(chosen))
-        self.models: dict[str, Logistic] = {}
-        row = np.repeat(np.arange(n), [len(f) for f in features])
-        col = self.place[np.concatenate([*features, np.zeros(0, np.int64)]).astype(np.int64)]
-        row, col = row[col >= 0], col[col >= 0]
+    """The fitted models of ``names``, in order; ``cut`` is the log odds from which a document has the last category.
+
+    ``features`` has the distinct buckets of each labelled document, ``marks`` a
+    row each with 1, 0 or -1 (unknown) by category: a document is in the fit of
+    the categories that are known of it.
+    """
+
+    def __init__(self, names: list[str], features: list[np.ndarray], marks: np.ndarray):
+        self.names, n = names, len(features)
+        every = np.concatenate([*features, np.zeros(0, np.int64)]).astype(np.int64)
+        owner = np.repeat(np.arange(n), [len(f) for f in features])
         fold = np.arange(n) % FOLDS
         real = np.zeros((n, 0))
-        for name in CHAIN:
-            y, out = labels[name].astype(float), np.zeros(n)
+        self.places, self.models = [], []
+        for j in range(len(names)):
+            known = marks[:, j] >= 0
+            y = (marks[:, j] == 1).astype(float)
+            place = self.speaking_words(every[known[owner]], (y == 1)[owner][known[owner]], y[known])
+            col = place[every]
+            row, col = owner[col >= 0], col[col >= 0]
+            out = np.zeros(n)
             for f in range(FOLDS):
-                inside, held = fold[row] != f, fold[row] == f
-                rows_in = np.flatnonzero(fold != f)
-                renumber = np.cumsum(fold != f) - 1
-                part = Logistic(len(chosen), real.shape[1]).fit(renumber[row[inside]], col[inside], real[rows_in], y[rows_in])
-                out[fold == f] = part.odds(row[held], col[held], real, n)[fold == f]
-            self.models[name] = Logistic(len(chosen), real.shape[1]).fit(row, col, real, y)
+                part = self._fit(place, known & (fold != f), row, col, real, y)
+                out[fold == f] = part.odds(row, col, real, n)[fold == f]
+            self.places.append(place)
+            self.models.append(self._fit(place, known, row, col, real, y))
             real = np.column_stack((real, np.clip(out, -10, 10)))
-        self.cut = self._best_cut(real[:, -1] if n else np.zeros(0), toxic)
+        self.cut = self._best_cut(real[known, -1], y[known] == 1)
+
+    @staticmethod
+    def speaking_words(buckets: np.ndarray, positive: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Feature number of each bucket, -1 for those that do not speak for the category: a text is never in it by what it lacks."""
+        count = np.bincount(buckets, minlength=1 << BITS)
+        hits = np.bincount(buckets[positive], minlength=1 << BITS)
+        rate = y.mean() if len(y) else 0.0
+        expected = count * rate
+        chi = np.where((count >= 3) & (hits > expected), (hits - expected) ** 2 / np.maximum(expected * (1 - rate), 1e-9), 0)
+        chosen = np.flatnonzero(chi > CHI_SQUARE)
+        place = np.full(1 << BITS, -1, dtype=np.int32)
+        place[chosen] = np.arange(len(chosen))
+        return place
+
+    @staticmethod
+    def _fit(place: np.ndarray, use: np.ndarray, row: np.ndarray, col: np.ndarray, real: np.ndarray, y: np.ndarray) -> Logistic:
+        number, inside = np.cumsum(use) - 1, use[row]
+        return Logistic(int(place.max()) + 1, real.shape[1]).fit(number[row[inside]], col[inside], real[use], y[use])
 
     @staticmethod
     def _best_cut(odds: np.ndarray, y: np.ndarray) -> float:
@@ -134,52 +134,53 @@ class Chain:
         return float(s[best] - gap[best] / 2)
 
     def odds(self, values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Log odds (rows: texts, columns: CHAIN) of texts with distinct buckets ``values``."""
+        """Log odds (rows: texts, columns: categories) of texts with distinct buckets ``values``."""
         n = len(bounds) - 1
-        col = self.place[values]
-        row = np.repeat(np.arange(n), np.diff(bounds))[col >= 0]
-        col = col[col >= 0]
-        real = np.zeros((n, 0))
-        for name in CHAIN:
-            real = np.column_stack((real, np.clip(self.models[name].odds(row, col, real, n), -10, 10)))
+        owner, real = np.repeat(np.arange(n), np.diff(bounds)), np.zeros((n, 0))
+        for place, model in zip(self.places, self.models, strict=True):
+            col = place[values]
+            real = np.column_stack((real, np.clip(model.odds(owner[col >= 0], col[col >= 0], real, n), -10, 10)))
         return real
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Chain:
+def fit_chain(docs: DataFrame, labels: DataFrame, chain: list[str], max_labelled: int = MAX_LABELLED) -> Chain:
     """Fitted on the driver on at most ``max_labelled`` labelled documents, chosen by hash of the id."""
-    from netexp.llm.quality import labelled_sample
-
-    sample = F.broadcast(labelled_sample(labels, "toxic", max_labelled))
-    rows = docs.join(sample, F.col("doc_id").cast("long") == F.col("label_id")).select(F.col("text").cast("string").alias("text"), F.col("label")).mapInArrow(_features, "buckets array<int>, label int").toArrow()
-    features = [np.asarray(x.values if hasattr(x, "values") else x, dtype=np.int64) for x in rows["buckets"].combine_chunks()] if rows.num_rows else []
-    toxic = rows["label"].to_numpy() == 1
-    order = sorted(range(len(features)), key=lambda i: (features[i].tobytes(), toxic[i]))  # whatever the order of arrival
-    rng = np.random.default_rng(11).permutation(len(order))
-    order = [order[i] for i in rng]
-    features, toxic = [features[i] for i in order], toxic[order] if len(order) else toxic
-    marks = {}
-    for name, seeds in SEEDS.items():
-        wanted = np.array([bucket_of(s) for s in seeds])
-        marks[name] = np.array([bool(t) and bool(np.isin(wanted, f).any()) for f, t in zip(features, toxic, strict=True)], dtype=bool)
-    return Chain(features, marks | {CHAIN[-1]: toxic})
-
-
-def toxicity_chain(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, p_insult, p_contempt, p_toxic, toxic.
-
-    ``labels``: (doc_id, toxic 0/1); null labels are left out of the fit. Null
-    and empty texts get the models' intercepts. Without a toxic label nothing is
-    toxic. Texts are read whole; other columns are ignored.
+    known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_nx_label_id"))
+    marks = known.agg(*[F.coalesce(F.max(F.col(f"`{c}`")).cast("int"), F.lit(-1)).alias(f"m{j}") for j, c in enumerate(chain)])
+    marks = marks.where(f"m{len(chain) - 1} >= 0").select("_nx_label_id", F.array(*[f"m{j}" for j in range(len(chain))]).alias("_nx_marks"))
+    sample = F.broadcast(marks.orderBy(F.xxhash64("_nx_label_id"), "_nx_label_id").limit(max_labelled))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_nx_id"), F.col("text").cast("string").alias("text")).join(sample, F.col("_nx_id") == F.col("_nx_label_id"))
+    rows = texts.select("text", "_nx_marks").mapInArrow(_features, "buckets array<int>, marks array<int>").toArrow()
+    buckets = rows["buckets"].to_pylist() if rows.num_rows else []
+    features = [np.array(x, dtype=np.int64) for x in buckets]
+    found = np.array(rows["marks"].to_pylist() if rows.num_rows else [], dtype=np.int64).reshape(-1, len(chain))
+    order = sorted(range(len(features)), key=lambda i: (features[i].tobytes(), found[i].tolist()))  # whatever the order of arrival
+    order = [order[i] for i in np.random.default_rng(11).permutation(len(order))]
+    return Chain(chain, [features[i] for i in order], found[order])
+
+
+def toxicity_chain(spark: SparkSession, docs: DataFrame, labels: DataFrame, chain: list[str], max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, p_<category> for each of ``chain``, toxic (the verdict on the last).
+
+    ``labels``: doc_id and a column of 1 and 0 for each category; a null is
+    unknown and leaves a document out of that category's fit, a null in the last
+    category or in doc_id out of all; of several rows for an id the largest
+    counts. Null and empty texts get the models' intercepts. Without a document
+    of the last category nothing is toxic. Texts are read whole; repeated rows
+    are judged alike, an empty table gives an empty result, and other columns
+    are ignored.
     """
     small_batches(docs.sparkSession)
-    chain = spark.sparkContext.broadcast(fit_chain(docs, labels, max_labelled))
+    fitted = spark.sparkContext.broadcast(fit_chain(docs, labels, list(chain), max_labelled))
+    names = [f"p_{c}" for c in chain]
 
     def predict(batches):
-        model = chain.value
+        model = fitted.value
         for batch in batches:
             for at, to, buf, offsets in slices(batch.column(1)):
                 odds = model.odds(*word_buckets(buf, offsets))
                 p = 1 / (1 + np.exp(-odds))
-                yield pa.record_batch([batch.column(0).slice(at, to - at), *(pa.array(p[:, j]) for j in range(len(CHAIN))), pa.array(odds[:, -1] >= model.cut)], names=["doc_id", *(f"p_{c}" for c in CHAIN), "toxic"])
+                yield pa.record_batch([batch.column(0).slice(at, to - at), *(pa.array(p[:, j]) for j in range(len(names))), pa.array(odds[:, -1] >= model.cut)], names=["doc_id", *names, "toxic"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(predict, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {', '.join(f'p_{c} double' for c in CHAIN)}, toxic boolean")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(predict, f"doc_id {kind}, {', '.join(f'{x} double' for x in names)}, toxic boolean")
