@@ -2,13 +2,16 @@
 
 Unigrams and bigrams of words are hashed to BUCKETS. The raw model is their
 distribution over all documents, the target model over a bounded sample of
-documents labelled good. A document's log weight is its summed log ratio,
-tempered by length (divided by the square root of its number of n-grams, times
-SCALE): word choice within a document is correlated, so the plain sum is
-overconfident about long texts. Adding Gumbel noise, drawn from a hash of the
-id, and keeping the k largest samples k documents without replacement in
-proportion to their weights. k is the number of documents whose weight passes
-the cut that best tells the labelled documents apart.
+documents labelled good. A document's log weight is the sum of the log ratios of
+its n-grams, neither tempered nor scaled: the log of the ratio of the two
+models' probabilities of the text. Adding standard Gumbel noise, drawn from a
+hash of the id, and keeping the k largest samples k documents without
+replacement in proportion to their weights.
+
+k is a parameter, as a share of the documents. Without one it is the expected
+number of documents like the target: the sum, over all documents, of the
+probability of being good at their weight, which a logistic curve fitted on the
+other half of the labelled sample gives.
 """
 
 from __future__ import annotations
@@ -18,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netexp.llm.cluster import Scratch
+from netexp.llm.cluster import Scratch, other_rows
+from netexp.llm.line_dedup import row_key
 from netexp.llm.textkit import U, Prefix, mix, slices, words
 
 BITS = 14
 BUCKETS = 1 << BITS
-SCALE = 20.0
-#: Bound of the labelled sample; rejecting a good document costs this many times keeping a bad one.
-MAX_LABELLED, REJECT_COST = 20_000, 5.0
+#: Bound of the labelled sample; weights beyond it, either way, count as it in the logistic curve.
+MAX_LABELLED, FAR = 20_000, 100.0
 
 
 def ngram_buckets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +63,7 @@ def labelled_sample(labels: DataFrame, column: str, limit: int) -> DataFrame:
 
 
 def in_fit():
-    """Half of the labelled sample is for the target model, the other half for the cut: weights of texts of the model itself are too high."""
+    """Half of the labelled sample is for the target model, the other half for the number that is kept: weights of texts of the model itself are too high."""
     return F.pmod(F.xxhash64(F.col("label_id"), F.lit(3)), F.lit(2)) == 0
 
 
@@ -85,20 +88,35 @@ def _score(table):
                 bucket, doc = ngram_buckets(buf, offsets)
                 n = np.bincount(doc, minlength=to - at)
                 total = np.bincount(doc, weights=ratio[bucket], minlength=to - at)
-                weight = SCALE * total / np.sqrt(np.maximum(n, 1))
-                yield pa.record_batch([batch.column(0).slice(at, to - at), pa.array(n.astype(np.int64)), pa.array(weight)], names=["doc_id", "n_grams", "log_weight"])
+                yield pa.record_batch([batch.column(0).slice(at, to - at), batch.column(2).slice(at, to - at), pa.array(n.astype(np.int64)), pa.array(total)], names=["doc_id", "row", "n_grams", "log_weight"])
 
     return score
 
 
-def best_cut(weights: np.ndarray, good: np.ndarray, cost: float = REJECT_COST) -> float:
-    """The cut, midway between neighbouring weights, with the least cost of good ones below and bad ones above."""
-    order = np.argsort(weights, kind="stable")
-    w, g = weights[order], good[order].astype(float)
-    loss = np.concatenate(([0.0], np.cumsum(g * cost))) + (1 - g).sum() - np.concatenate(([0.0], np.cumsum(1 - g)))
-    edges = np.concatenate(([-np.inf], (w[1:] + w[:-1]) / 2, [w[-1] + 1.0])) if len(w) else np.array([-np.inf])
-    least = np.flatnonzero(loss == loss.min())
-    return float(edges[least[0]])
+def logistic_curve(weights: np.ndarray, good: np.ndarray) -> tuple[float, float]:
+    """(slope, intercept) of the log odds of being good at a weight, by Newton's method; the targets are drawn in a little, so separable weights have a finite slope."""
+    x, y = np.clip(weights, -FAR, FAR), good.astype(float)
+    y = np.where(good, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    design, theta = np.column_stack((x, np.ones(len(x)))), np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
+        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2), design.T @ (y - p) - 1e-6 * theta)
+        theta = theta + step * min(1.0, 1.0 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-10:
+            break
+    return float(theta[0]), float(theta[1])
+
+
+def expected_good(scored: DataFrame, known: DataFrame) -> int:
+    """The expected number of good rows of ``scored``; all of them if ``known`` (w, label) lacks good or bad ones."""
+    known = known.toPandas()  # bounded as the sample
+    good = known["label"].to_numpy() == 1
+    if good.all() or not good.any():
+        return scored.count()
+    slope, intercept = logistic_curve(known["w"].to_numpy(dtype=float), good)
+    odds = slope * F.greatest(F.lit(-FAR), F.least(F.lit(FAR), F.col("log_weight"))) + intercept
+    part = F.round(1e6 / (1 + F.exp(-odds))).cast("long")  # whole numbers: the sum has no order
+    return round((scored.agg(F.sum(part)).first()[0] or 0) / 1e6)
 
 
 def kth_largest(keys: DataFrame, k: int, scratch: Scratch) -> float | None:
@@ -126,32 +144,36 @@ def kth_largest(keys: DataFrame, k: int, scratch: Scratch) -> float | None:
     return low
 
 
-def quality_resampling(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 17) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_grams, log_weight, sample_key, kept.
+def quality_resampling(spark: SparkSession, docs: DataFrame, labels: DataFrame, share: float | None = None, max_labelled: int = MAX_LABELLED, seed: int = 17) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, row (a hash of id and text), n_grams, log_weight, sample_key, kept.
 
-    ``labels``: (doc_id, quality 0/1). Null and empty texts have log weight 0.
-    Rows that share a doc_id share their noise. Keys that tie with the k-th are
-    kept with it. With no labels every document is kept; an empty table gives an
-    empty result. Other columns are ignored.
+    ``labels``: (doc_id, quality 0/1); rows with a null are left out, of several
+    for one id the largest counts. ``share`` of the rows are kept; without it
+    the expected number of good ones. Null and empty texts have log weight 0, as
+    do all with no document labelled good. Rows that share a doc_id share their
+    noise, as do those without one. Keys that tie with the k-th are kept with
+    it. Without both good and bad labels every row is kept; an empty table gives
+    an empty result. Other columns are ignored.
     """
     scratch = Scratch(spark, "quality")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("row"))
     sample = scratch.write(labelled_sample(labels, "quality", max_labelled), "labels")
     ratio = spark.sparkContext.broadcast(fit_log_ratio(spark, docs, sample))
-    scored = docs.mapInArrow(_score(ratio), "doc_id long, n_grams long, log_weight double")
+    scored = docs.mapInArrow(_score(ratio), "doc_id long, row long, n_grams long, log_weight double")
     uniform = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     scored = scratch.write(scored.withColumn("sample_key", F.col("log_weight") - F.log(-F.log(uniform))), "scored")
-    known = scored.join(F.broadcast(sample.where(~in_fit())), F.col("doc_id") == F.col("label_id")).groupBy("label_id").agg(F.min("log_weight").alias("w"), F.max("label").alias("label")).toPandas()  # bounded as the sample
-    cut = best_cut(known["w"].to_numpy(dtype=float), known["label"].to_numpy() == 1)
-    k = scored.where(F.col("log_weight") >= cut).count()
+    ratio.destroy()
+    if share is None:
+        known = scored.join(F.broadcast(sample.where(~in_fit())), F.col("doc_id") == F.col("label_id"))
+        k = expected_good(scored, known.groupBy("label_id").agg(F.min("log_weight").alias("w"), F.max("label").alias("label")))
+    else:
+        k = round(share * scored.count())
     threshold = kth_largest(scored.select(F.col("sample_key").alias("key")), k, scratch)
     kept = F.lit(False) if threshold is None else F.col("sample_key") >= threshold
     return scored.withColumn("kept", kept)
 
 
-def quality_filter(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the sample keeps, with their columns."""
-    verdict = quality_resampling(spark, docs, labels)
-    # kept and rejected ids are of the size of the corpus: the smaller part, the rejected ones, is joined against
-    rejected = verdict.where("not kept").select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected, F.col("doc_id").cast("long") == F.col("_rejected"), "left_anti")
+def quality_filter(spark: SparkSession, docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
+    """The rows of ``docs`` that the sample keeps, with their columns, whatever their names; each row, ids null or repeated, has its own verdict."""
+    rejected = Scratch(spark, "quality-filter").write(quality_resampling(spark, docs, labels, share).where("not kept").select("row").distinct(), "rejected")
+    return other_rows(docs.withColumn("_nx_row", row_key()), rejected, "_nx_row").select(*[F.col(f"`{c}`") for c in docs.columns])
