@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary folder; a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.gettempdir()}/netexp-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
@@ -77,3 +79,53 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         return left.select(F.col("a").alias("node"), F.col("b").alias("label"))
     scratch.drop(left)
     return labels
+
+
+#: Bits of the largest filter of keys that is broadcast: 2 ** 24 bits are some 270,000 rows, 8 MB.
+FILTER_BITS = 24
+
+
+def _filter_of(wanted: DataFrame, rows: int) -> tuple[DataFrame | None, int]:
+    """(bitmap of the hashed keys as a broadcast table (_nx_word, _nx_bits), its bits), with eight bits a key; none beyond the bound."""
+    bits = max(1 << 14, 1 << (8 * max(1, rows) - 1).bit_length())
+    if bits > 1 << FILTER_BITS:
+        return None, bits
+    slot = wanted.select(F.pmod(F.xxhash64(F.col("_nx_key")), F.lit(bits)).alias("_nx_slot"))
+    word = slot.select(F.floor(F.col("_nx_slot") / 62).alias("_nx_word"), F.expr("shiftleft(1L, cast(_nx_slot % 62 as int))").alias("_nx_bit"))
+    return F.broadcast(word.groupBy("_nx_word").agg(F.bit_or("_nx_bit").alias("_nx_bits"))), bits
+
+
+def _placed(docs: DataFrame, key: str, bitmap: DataFrame, bits: int, how: str) -> DataFrame:
+    slotted = docs.withColumn("_nx_slot", F.pmod(F.xxhash64(F.col(key)), F.lit(bits)))
+    slotted = slotted.withColumn("_nx_at", F.floor(F.col("_nx_slot") / 62))
+    return slotted.join(bitmap, F.col("_nx_at") == F.col("_nx_word"), how)
+
+
+_HIT = "_nx_bits & shiftleft(1L, cast(_nx_slot % 62 as int)) <> 0"
+
+
+def some_rows(docs: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of ``docs`` whose column ``key`` is in the one column of the written table ``wanted``, and a few others.
+
+    Docs are not shuffled: a filter with eight bits a key is broadcast. With
+    more keys than FILTER_BITS allows, all rows are returned and the join that
+    follows does the work.
+    """
+    wanted = wanted.toDF("_nx_key")
+    bitmap, bits = _filter_of(wanted, wanted.count())
+    if bitmap is None:
+        return docs
+    return _placed(docs, key, bitmap, bits, "inner").where(F.expr(_HIT)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def other_rows(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows of ``docs`` whose column ``key`` is not in the one column of the written table ``gone``: those off the filter pass without a shuffle."""
+    gone, columns = gone.toDF("_nx_key"), [F.col(f"`{c}`") for c in docs.columns]
+    bitmap, bits = _filter_of(gone, gone.count())
+    if bitmap is None:
+        return docs.join(gone, F.col(key) == F.col("_nx_key"), "left_anti")
+    placed = _placed(docs, key, bitmap, bits, "left")
+    hit = F.coalesce(F.expr(_HIT), F.lit(False))
+    off = placed.where(~hit).select(*columns)
+    on = placed.where(hit).select(*columns).join(gone, F.col(key) == F.col("_nx_key"), "left_anti")
+    return off.unionByName(on)

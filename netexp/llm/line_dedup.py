@@ -1,12 +1,16 @@
 """Line dedup by content-defined line chunks.
 
-Every MIN_LINES neighbouring lines with a word (and the lines without one between
-them) are a chunk, so a chunk depends on nothing but its own lines, and each
-repeated run of MIN_LINES such lines or more is the union of repeated chunks.
-Chunks are grouped by hash, then by their bytes. A chunk goes if its like stands
-before it (smaller doc_id, then place in the text, no line shared); chunks that
-go and touch are one removed run. So a line goes if, and only if, it lies in a
-run that begins and ends in a line with a word and stands before; each line's
+A rolling hash over the hashes of WINDOW neighbouring lines (with a word) cuts a
+text where it falls in one of MEAN classes, so boundaries depend on the lines
+around them and survive shifts. Chunks of MIN_LINES lines or more that stand
+before, by hash and then by bytes, go.
+
+A repeated run need not hold a whole chunk: its first and last lines are in
+chunks with lines that differ. So what the chunks leave is completed by pairs:
+each two neighbouring lines that are not in a chunk that goes are compared in
+the same way, by hash and then by bytes. Together they take every run of
+MIN_LINES lines or more that begins and ends in a line with a word and stands
+before (smaller doc_id, then place in the text, no line shared); each line's
 first place stays.
 """
 
@@ -17,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netexp.llm.cluster import Scratch
-from netexp.llm.textkit import Prefix, signed, slices, words
+from netexp.llm.cluster import Scratch, other_rows, some_rows
+from netexp.llm.textkit import Prefix, U, mix, signed, slices, words
 
-MIN_LINES = 2
+WINDOW, MEAN, MIN_LINES = 2, 4, 2
 
 
 def line_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,19 +38,37 @@ def line_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def chunk_slice(buf: np.ndarray, offsets: np.ndarray):
-    """Chunks of MIN_LINES lines with a word: text, hash, start byte and end byte in the text, first and last line in the text."""
+    """Chunks and pairs of lines: text, kind (0 chunk, 1 pair), hash, start byte and end byte in the text, first and last line in the text, start byte of the chunk that a pair lies in (-1: none)."""
     starts, ends, doc = line_bounds(buf, offsets)
     s, _, _ = words(buf, offsets)
     worded = np.flatnonzero(np.searchsorted(s, ends) > np.searchsorted(s, starts))
-    first, last = worded[: max(len(worded) - MIN_LINES + 1, 0)], worded[MIN_LINES - 1 :]
-    use = doc[first] == doc[last]
-    first, last = first[use], last[use]
-    owner = doc[first]
-    top = np.searchsorted(doc, owner)
-    return owner, Prefix(buf).hashes(starts[first], ends[last]), starts[first] - offsets[owner], ends[last] - offsets[owner], first - top, last - top
-
-
-_CHUNK = "key long, doc_id long, hash long, begin long, end long, first long, last long"
+    prefix, owner = Prefix(buf), doc[worded]
+    h = prefix.hashes(starts[worded], ends[worded])
+    # the rolling hash at a line is of the WINDOW lines that end there
+    m = len(worded)
+    roll = np.zeros(m, dtype=U)
+    for j in range(min(WINDOW, m)):
+        roll[WINDOW - 1 :] = mix(roll[WINDOW - 1 :] * U(0xA0761D6478BD642F) + h[j : m - WINDOW + 1 + j])
+    whole = np.zeros(m, dtype=bool)
+    whole[WINDOW - 1 :] = owner[WINDOW - 1 :] == owner[: m - WINDOW + 1]
+    cut = whole & (roll % U(MEAN) == 0)
+    cut |= np.append(owner[1:] != owner[:-1], True) if m else cut
+    last = np.flatnonzero(cut)
+    first = np.concatenate(([0], last[:-1] + 1)).astype(np.int64) if m else last
+    chunk = np.repeat(np.arange(len(last)), last - first + 1)
+    long = np.flatnonzero(last - first + 1 >= MIN_LINES)
+    pair = np.flatnonzero(owner[1:] == owner[:-1]) if m else last
+    inside = np.where(chunk[pair] == chunk[pair + 1], starts[worded[first[chunk[pair]]]], -1) if len(pair) else pair
+    a, b = worded[np.concatenate((first[long], pair))], worded[np.concatenate((last[long], pair + 1))]
+    text = doc[a]
+    kind = np.repeat(np.array([0, 1], dtype=np.int32), [len(long), len(pair)])
+    within = np.concatenate((np.full(len(long), -1), inside))
+    within = np.where(within >= 0, within - offsets[text], -1)
+    top = np.searchsorted(doc, text)
+    return text, kind, prefix.hashes(starts[a], ends[b]), starts[a] - offsets[text], ends[b] - offsets[text], a - top, b - top, within
+
+
+_CHUNK = "key long, doc_id long, kind int, hash long, begin long, end long, first long, last long, within long"
 
 
 def _chunks(batches):
@@ -55,24 +77,25 @@ def _chunks(batches):
         for at, _, buf, offsets in slices(batch.column(2)):
             if not len(buf):
                 continue
-            owner, h, *spans = chunk_slice(buf, offsets)
+            owner, kind, h, *spans = chunk_slice(buf, offsets)
             yield pa.record_batch(
-                [pa.array(keys[at + owner]), ids.take(pa.array(at + owner)), pa.array(signed(h)), *[pa.array(x) for x in spans]],
-                names=["key", "doc_id", "hash", "begin", "end", "first", "last"],
+                [pa.array(keys[at + owner]), ids.take(pa.array(at + owner)), pa.array(kind), pa.array(signed(h)), *[pa.array(x) for x in spans]],
+                names=["key", "doc_id", "kind", "hash", "begin", "end", "first", "last", "within"],
             )
 
 
-def removed_chunks(spark: SparkSession, keyed: DataFrame) -> DataFrame:
-    """(key, removed array<struct<begin, end, lines>>) of the texts that lose lines, one struct a run; ``keyed`` is (key long, doc_id long, text)."""
-    scratch = Scratch(spark, "line-dedup")
-    chunks = scratch.write(keyed.select("key", "doc_id", "text").mapInArrow(_chunks, _CHUNK), "chunks")
+_SPAN = ["key", "begin", "end", "first", "last"]
+
+
+def later_copies(chunks: DataFrame, keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, begin, end, first, last) of the chunks whose bytes stand before. ``chunks`` is (key, doc_id, hash, begin, end, first, last)."""
     place = F.struct(F.col("doc_id"), F.col("key"), F.col("begin"))
     again = chunks.groupBy("hash").agg(F.min(place).alias("keep"), F.max(place).alias("top")).where("keep <> top").select("hash")
     again = scratch.write(again, "again")
     found = scratch.write(chunks.join(again, "hash").select("hash", "key", "doc_id", "begin", "end", "first", "last").distinct(), "found")
     # byte comparison: the chunks of a hash, from the texts that hold one of them
     per_text = found.groupBy("key").agg(F.collect_list(F.struct("hash", "doc_id", "begin", "end", "first", "last")).alias("parts"))
-    texts = some_rows(keyed, found.select("key"), "key").select("key", "text").join(per_text, "key")
+    texts = some_rows(keyed, found.select("key"), "key").select("key", "text").dropDuplicates(["key"]).join(per_text, "key")
     cut = texts.select("key", F.encode("text", "utf-8").alias("raw"), F.explode("parts").alias("p"))
     raw = F.expr("substring(raw, cast(p.begin + 1 as int), cast(p.end - p.begin as int))")
     spelled = cut.select("p.hash", raw.alias("raw"), F.struct(F.col("p.doc_id"), F.col("key"), F.col("p.begin")).alias("place"))
@@ -80,27 +103,27 @@ def removed_chunks(spark: SparkSession, keyed: DataFrame) -> DataFrame:
     verdict = scratch.write(classes.groupBy("hash").agg(F.count("*").alias("classes"), F.min("keep").alias("keep")), "verdict")
     # the first of its class stays, and what shares a line with it in its own text
     later = F.expr("not (doc_id <=> keep.doc_id and key = keep.key and begin <= keep.begin + end - begin)")
-    plain = found.join(verdict.where("classes = 1").select("hash", "keep"), "hash").where(later).select("key", "begin", "end", "first", "last")
+    plain = found.join(verdict.where("classes = 1").select("hash", "keep"), "hash").where(later).select(*_SPAN)
     # different chunks under one hash: told apart by their bytes
     mixed = verdict.where("classes > 1").select("hash")
     twins = classes.join(mixed, "hash").where("keep <> top").select("hash", "raw", "keep")
-    collided = cut.select("p.*", "key", raw.alias("raw")).join(twins, ["hash", "raw"]).where(later).select("key", "begin", "end", "first", "last")
-    gone = plain if mixed.isEmpty() else plain.unionAll(collided).distinct()
-    # begins and ends rise together, so a run starts where a chunk doesn't touch the one before
-    order = Window.partitionBy("key").orderBy("begin")
-    fresh = gone.withColumn("fresh", F.coalesce(F.col("begin") > F.lag("end").over(order) + 1, F.lit(True)).cast("int"))
-    runs = fresh.withColumn("run", F.sum("fresh").over(order)).groupBy("key", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), (F.max("last") - F.min("first") + 1).alias("lines"))
-    return scratch.write(runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "lines"))).alias("removed")), "removed")
+    collided = cut.select("p.*", "key", raw.alias("raw")).join(twins, ["hash", "raw"]).where(later).select(*_SPAN)
+    return plain if mixed.isEmpty() else plain.unionAll(collided).distinct()
 
 
-def some_rows(docs: DataFrame, wanted: DataFrame, key: str, bits: int = 1 << 22) -> DataFrame:
-    """Rows of docs whose key is wanted, and a few others, by a bitmap of at most bits / 62 words: docs aren't shuffled."""
-    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
-    word = wanted.select(slot.alias("slot")).select(F.floor(F.col("slot") / 62).alias("word"), F.expr("shiftleft(1L, cast(slot % 62 as int))").alias("bit"))
-    bitmap = F.broadcast(word.groupBy("word").agg(F.bit_or("bit").alias("bitmap")))
-    placed = docs.withColumn("_slot", slot).withColumn("_word", F.floor(F.col("_slot") / 62))
-    hit = F.expr("bitmap & shiftleft(1L, cast(_slot % 62 as int)) <> 0")
-    return placed.join(bitmap, F.col("_word") == F.col("word")).where(hit).drop("_slot", "_word", "word", "bitmap")
+def removed_chunks(spark: SparkSession, keyed: DataFrame) -> DataFrame:
+    """(key, removed array<struct<begin, end, lines>>) of the texts that lose lines, one struct a run; ``keyed`` is (key long, doc_id long, text)."""
+    scratch = Scratch(spark, "line-dedup")
+    chunks = scratch.write(keyed.select("key", "doc_id", "text").mapInArrow(_chunks, _CHUNK), "chunks")
+    whole = scratch.write(later_copies(chunks.where("kind = 0"), keyed, scratch), "whole")
+    pairs = chunks.where("kind = 1").join(whole.select("key", F.col("begin").alias("within")), ["key", "within"], "left_anti")
+    gone = whole.unionAll(later_copies(pairs, keyed, scratch))
+    # a run starts where a chunk or pair doesn't touch those before
+    order = Window.partitionBy("key").orderBy("begin", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = gone.withColumn("fresh", F.coalesce(F.col("begin") > before + 1, F.lit(True)).cast("int"))
+    runs = fresh.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("key", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), (F.max("last") - F.min("first") + 1).alias("lines"))
+    return scratch.write(runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "lines"))).alias("removed")), "removed")
 
 
 def row_key():
@@ -111,8 +134,10 @@ def row_key():
 def line_dedup_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed_chunks (runs of lines that go), n_removed_lines, n_removed_bytes (with the newline of each run).
 
-    Null and empty texts lose nothing. Rows equal in doc_id and text lose the
-    same. Other columns are ignored; an empty table gives an empty result.
+    Null and empty texts lose nothing. A null doc_id comes before all others.
+    Rows equal in doc_id and text are one document and lose the same; rows that
+    share a doc_id only are told apart by their texts. Other columns are
+    ignored; an empty table gives an empty result.
     """
     keyed = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     gone = removed_chunks(spark, keyed)
@@ -124,36 +149,27 @@ def line_dedup_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with the removed runs cut out of ``text``; a document of which no word is left goes. n_chars, if there, follows the text."""
-    keyed = docs.withColumn("_key", row_key())
-    gone = removed_chunks(spark, keyed.select(F.col("_key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    hit = some_rows(keyed, gone.select(F.col("key").alias("_key")), "_key").join(gone.select(F.col("key").alias("_key"), "removed"), "_key").drop("_key")
+    """``docs`` with the removed runs cut out of ``text``; a document of which no word is left goes. n_chars, if there, follows the text.
+
+    Nulls, repeated rows and empty tables are as in line_dedup_report; other
+    columns, whatever their names, stay as they are.
+    """
+    keyed = docs.withColumn("_nx_row", row_key())
+    gone = removed_chunks(spark, keyed.select(F.col("_nx_row").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    spans = gone.select(F.col("key").alias("_nx_gone"), F.col("removed").alias("_nx_removed"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hit = some_rows(keyed, gone.select("key"), "_nx_row").join(spans, F.col("_nx_row") == F.col("_nx_gone")).select(*columns, "_nx_removed")
 
     def cut(batches):
         for batch in batches:
-            at, spans = batch.schema.get_field_index("text"), batch.column(batch.schema.get_field_index("removed")).to_pylist()
-            texts = [kept_text(t, s) for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)]
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns) if batch.schema.field(i).name != "removed"]
-            yield pa.record_batch(columns, names=[f.name for f in batch.schema if f.name != "removed"])
+            at, n = batch.schema.get_field_index("text"), batch.num_columns - 1
+            texts = [kept_text(t, s) for t, s in zip(batch.column(at).to_pylist(), batch.column(n).to_pylist(), strict=True)]
+            yield pa.record_batch([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(n)], names=[batch.schema.field(i).name for i in range(n)])
 
     changed = hit.mapInArrow(cut, docs.withColumn("text", F.col("text").cast("string")).schema).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    kept = _without(keyed, gone).drop("_key")
-    return kept.unionByName(changed.select(*docs.columns))
-
-
-def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of keyed whose key isn't in gone: those off the bitmap pass without a shuffle."""
-    bits = 1 << 22
-    slot = F.pmod(F.xxhash64(F.col("_key")), F.lit(bits))
-    word = gone.select(F.pmod(F.xxhash64(F.col("key")), F.lit(bits)).alias("slot")).select(F.floor(F.col("slot") / 62).alias("word"), F.expr("shiftleft(1L, cast(slot % 62 as int))").alias("bit"))
-    bitmap = F.broadcast(word.groupBy("word").agg(F.bit_or("bit").alias("bitmap")))
-    placed = keyed.withColumn("_slot", slot).withColumn("_word", F.floor(F.col("_slot") / 62)).join(bitmap, F.col("_word") == F.col("word"), "left")
-    hit = F.coalesce(F.expr("bitmap & shiftleft(1L, cast(_slot % 62 as int)) <> 0"), F.lit(False))
-    off = placed.where(~hit).select(*keyed.columns)
-    on = placed.where(hit).select(*keyed.columns).join(gone.select(F.col("key").alias("_key")), "_key", "left_anti")
-    return off.unionByName(on.select(*off.columns))
+    return other_rows(keyed, gone.select("key"), "_nx_row").select(*columns).unionByName(changed.select(*columns))
 
 
 def kept_text(text: str, spans: list[dict]) -> str:
