@@ -13,7 +13,7 @@ e AS (SELECT DISTINCT x.n AS s, y.n AS d FROM b x JOIN b y ON x.p = y.p AND x.n
 adj AS (SELECT s AS src, d AS dst FROM e UNION ALL SELECT d, s FROM e),
 deg AS (SELECT src AS node, count(*)::BIGINT AS degree FROM adj GROUP BY src)"""
 COBUY = """e AS (SELECT DISTINCT a.l_partkey AS s, b.l_partkey AS d FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey
-WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R' AND a.l_orderkey % 5 = 0),
+WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R'),
 adj AS (SELECT s AS src, d AS dst FROM e UNION ALL SELECT d, s FROM e),
 deg AS (SELECT src AS node, count(*)::BIGINT AS degree FROM adj GROUP BY src)"""
 CC = """tri AS (SELECT x.s AS a, x.d AS b, y.d AS c FROM e x JOIN e y ON x.d = y.s JOIN e z ON z.s = x.s AND z.d = y.d),

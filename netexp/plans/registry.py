@@ -33,9 +33,9 @@ ORACLES: dict = {}
 class Net:
     """The tables of a network; each that several steps of a query read is written once."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, cobuy: bool = False, whole: bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str, cobuy: bool = False):
         self.spark, self.folder, self.sf_dir = spark, G.work_folder(spark), sf_dir
-        self.edges = G.written(cobuy_edges(spark, sf_dir, whole) if cobuy else copurchase_edges(spark, sf_dir), self.folder, "edges")
+        self.edges = G.written(cobuy_edges(spark, sf_dir) if cobuy else copurchase_edges(spark, sf_dir), self.folder, "edges")
         self.adj = G.adjacency(self.edges)
         self.deg = G.degree(self.adj)
 
@@ -76,9 +76,9 @@ class Net:
         return self.spark.range(1).select(G.exponent(F.lit(n), F.lit(m))).first()[0]
 
 
-def query(sql: str | None, cobuy: bool = False, whole: bool = True):
+def query(sql: str | None, cobuy: bool = False):
     def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(Net(spark, sf_dir, cobuy, whole)))
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(Net(spark, sf_dir, cobuy)))
         if sql:
             ORACLES[f.__name__] = sql
         return f
@@ -98,12 +98,7 @@ def table1_summary(n):
     return G.summary(n.attributes, n.edges)
 
 
-@query(w(COBUY, CC, SUMMARY), cobuy=True, whole=False)
-def table1_summary_sparse(n):
-    return G.summary(n.attributes, n.edges)
-
-
-@query(None, cobuy=True)
+@query(w(COBUY, CC, SUMMARY), cobuy=True)
 def table1_summary_sparse_whole(n):
     return G.summary(n.attributes, n.edges)
 
@@ -151,12 +146,7 @@ def hop2_counts(n):
     return G.hop2(n.adj).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
 
 
-@query(w(COBUY, "r(s, t) AS (SELECT node, node FROM deg UNION SELECT r.s, adj.dst FROM r JOIN adj ON adj.src = r.t)", "c AS (SELECT s AS node, min(t) AS label FROM r GROUP BY s)", "SELECT count(*) AS n_edges FROM e JOIN c ON c.node = e.s WHERE label = (SELECT label FROM c GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)", recursive=True), cobuy=True, whole=False)
-def largest_component(n):
-    return G.largest_component(n.edges).agg(F.count("*").alias("n_edges"))
-
-
-@query(None, cobuy=True)
+@query(w(COBUY, "r(s, t) AS (SELECT node, node FROM deg UNION SELECT r.s, adj.dst FROM r JOIN adj ON adj.src = r.t)", "c AS (SELECT s AS node, min(t) AS label FROM r GROUP BY s)", "SELECT count(*) AS n_edges FROM e JOIN c ON c.node = e.s WHERE label = (SELECT label FROM c GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)", recursive=True), cobuy=True)
 def largest_component_whole(n):
     return G.largest_component(n.edges).agg(F.count("*").alias("n_edges"))
 

@@ -102,9 +102,9 @@ def copurchase_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.join(y, "p").where("s < d").select("s", "d").distinct()
 
 
-def cobuy_edges(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
-    """Parts returned in one order; not ``whole``: of every fifth order only, as in the SQL of two queries."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_returnflag = 'R'" if whole else "l_returnflag = 'R' and l_orderkey % 5 = 0").select("l_orderkey", "l_partkey")
+def cobuy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts returned in one order."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_returnflag = 'R'").select("l_orderkey", "l_partkey")
     a, b = lines.select("l_orderkey", F.col("l_partkey").alias("s")), lines.select("l_orderkey", F.col("l_partkey").alias("d"))
     return a.join(b, "l_orderkey").where("s < d").select("s", "d").distinct()
 
