@@ -11,11 +11,11 @@ Signatures group the sets into candidate clusters. Shared passages chain many
 unlinked sets into one cluster, so clusters are first split by histograms of
 BINS counts: their L1 distance is at most the size of the symmetric difference,
 hence linked sets are never parted. What is left is compared in blocks of
-bounded size, exactly, and only a spanning forest of the links leaves a block.
-Copies of one set are collapsed before, so they never form pairs.
+bounded size, exactly; a spanning forest of the links and each set's number of
+links leave a block. Copies of one set are one class, so they never form pairs.
 
-The order comes from counts of hash buckets over all documents: a table of
-fixed size, whatever the corpus. A poor order costs time, never a link.
+The order comes from counts of hash buckets over all documents, in a table sized
+by the corpus up to 2 ** BUCKET_BITS bytes. A poor order costs time, never a link.
 """
 
 from __future__ import annotations
@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netexp.llm.cluster import Scratch, components
+from netexp.llm.cluster import Scratch, components, other_rows, some_rows
+from netexp.llm.line_dedup import row_key
 from netexp.llm.textkit import U, mix, shingle_sets, signed, slices
 
-BUCKET_BITS, CHUNKS = 24, 64
+#: Least and most bits of the frequency table's size; its rows hold 2 ** CHUNK_BITS buckets; partitions whose counts are added in one step.
+LEAST_BITS, BUCKET_BITS, CHUNK_BITS, ADDED = 12, 24, 16, 256
 BLOCK, HISTOGRAM_BLOCK = 384, 1024
 COLUMNS = 4096
 BINS = 256
@@ -54,7 +56,7 @@ def signatures(tokens: np.ndarray, frequency: np.ndarray, frequent: int, num: in
     if n * den < (n + 1) * num:  # a partner that differs has a union of n + 1 at least: only equal sets link
         return tokens[:0]
     own = mix(tokens + U(0x51ED270B))
-    count = frequency[bucket_of(own)]
+    count = frequency[bucket_of(own, len(frequency).bit_length() - 1)]
     order = np.lexsort((own, count))
     own, count = own[order], count[order]
     common = count >= frequent
@@ -86,42 +88,86 @@ def signatures(tokens: np.ndarray, frequency: np.ndarray, frequent: int, num: in
     return np.unique(np.concatenate(out))
 
 
-def bucket_of(own: np.ndarray) -> np.ndarray:
-    return (own >> U(64 - BUCKET_BITS)).astype(np.int64)
+def bucket_of(own: np.ndarray, bits: int) -> np.ndarray:
+    return (own >> U(64 - bits)).astype(np.int64)
 
 
-def _bucket_counts(k: int):
-    """A partition's counts by bucket, at most 255, as CHUNKS rows of bytes."""
+_COUNTS = "chunk int, at binary, n binary"
+
+
+def _bucket_counts(k: int, bits: int):
+    """A partition's counts by bucket, a row for each chunk that has some: places in the chunk and counts up to 255, or without places all counts."""
+    width = 1 << min(bits, CHUNK_BITS)
 
     def count(batches):
-        total = np.zeros(1 << BUCKET_BITS, dtype=np.uint32)
+        total = np.zeros(1 << bits, dtype=np.uint32)
         for batch in batches:
             for _, _, buf, offsets in slices(batch.column(0)):
-                at, n = np.unique(bucket_of(mix(np.concatenate(shingle_sets(buf, offsets, k)) + U(0x51ED270B))), return_counts=True)
+                at, n = np.unique(bucket_of(mix(np.concatenate(shingle_sets(buf, offsets, k)) + U(0x51ED270B)), bits), return_counts=True)
                 total[at] += n.astype(np.uint32)
-        if total.any():
-            parts = np.minimum(total, 255).astype(np.uint8).reshape(CHUNKS, -1)
-            yield pa.record_batch([pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["chunk", "counts"])
+        for c in range(len(total) // width):
+            part = np.minimum(total[c * width : (c + 1) * width], 255).astype(np.uint8)
+            at = np.flatnonzero(part)
+            if len(at):
+                sparse = 3 * len(at) < width
+                places, values = (at.astype(np.uint16).tobytes(), part[at].tobytes()) if sparse else (b"", part.tobytes())
+                yield pa.record_batch([pa.array([c], pa.int32()), pa.array([places], pa.binary()), pa.array([values], pa.binary())], names=["chunk", "at", "n"])
 
     return count
 
 
-def _sum_counts(key, table):
-    """Sums of a chunk's counts, as classes: 0 for none, then the rounded doubled logarithm + 1."""
-    total = np.zeros((1 << BUCKET_BITS) // CHUNKS, dtype=np.int64)
-    for column in table["counts"].chunks:
-        for x in column:
-            total += np.frombuffer(x.as_buffer(), dtype=np.uint8)
-    levels = np.where(total > 0, np.rint(2 * np.log2(np.maximum(total, 1))) + 1, 0).astype(np.uint8)
-    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([levels.tobytes()], pa.binary())})
+def _add_counts(keys: int, width: int, levels: bool):
+    """Rows (chunk, ..., at, n) sorted by their first ``keys`` columns, read as they come: the sums of each key's counts.
+
+    As classes if ``levels``: 0 for none, then the rounded doubled logarithm + 1.
+    """
+
+    def result(key, total):
+        if levels:
+            out = np.where(total > 0, np.rint(2 * np.log2(np.maximum(total, 1))) + 1, 0).astype(np.uint8)
+        else:
+            out = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
+        return pa.record_batch([pa.array([key[0]], pa.int32()), pa.array([b""], pa.binary()), pa.array([out.tobytes()], pa.binary())], names=["chunk", "at", "n"])
+
+    def add(batches):
+        key, total = None, None
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(keys)]
+            for i, here in enumerate(zip(*columns, strict=True)):
+                if here != key:
+                    if key is not None:
+                        yield result(key, total)
+                    key, total = here, np.zeros(width, dtype=np.int64)
+                at, n = (np.frombuffer(batch.column(j)[i].as_buffer(), dtype=np.uint8) for j in (keys, keys + 1))
+                if len(at):
+                    total[at.view(np.uint16)] += n
+                else:
+                    total += n if len(n) == width else n.view(np.uint32)
+        if key is not None:
+            yield result(key, total)
+
+    return add
+
+
+def table_bits(docs: DataFrame) -> int:
+    """About one bucket for every six bytes of text, within the bounds."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(BUCKET_BITS, max(LEAST_BITS, (size // 6).bit_length()))
 
 
 def frequency_table(docs: DataFrame, k: int) -> np.ndarray:
-    """Frequency class of each hash bucket of shingles, over all documents: 2 ** BUCKET_BITS bytes, whatever the corpus."""
-    counts = docs.select("text").mapInArrow(_bucket_counts(k), "chunk int, counts binary")
-    rows = counts.groupBy("chunk").applyInArrow(_sum_counts, "chunk int, levels binary").toArrow()
-    table = np.zeros((CHUNKS, (1 << BUCKET_BITS) // CHUNKS), dtype=np.uint8)
-    for chunk, levels in zip(rows["chunk"].to_pylist(), rows["levels"].to_pylist(), strict=True):
+    """Frequency class of each hash bucket of shingles, over all documents: at most 2 ** BUCKET_BITS bytes.
+
+    Sums go in two steps, so that no task adds more than ADDED partitions' rows
+    of a chunk and then one row for each ADDED partitions.
+    """
+    bits = table_bits(docs)
+    width = 1 << min(bits, CHUNK_BITS)
+    counts = docs.select("text").mapInArrow(_bucket_counts(k, bits), _COUNTS).select("chunk", F.floor(F.spark_partition_id() / ADDED).alias("part"), "at", "n")
+    some = counts.repartition("chunk", "part").sortWithinPartitions("chunk", "part").mapInArrow(_add_counts(2, width, False), _COUNTS)
+    rows = some.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_add_counts(1, width, True), _COUNTS).select("chunk", "n").toArrow()
+    table = np.zeros(((1 << bits) // width, width), dtype=np.uint8)
+    for chunk, levels in zip(rows["chunk"].to_pylist(), rows["n"].to_pylist(), strict=True):
         table[chunk] = np.frombuffer(levels, dtype=np.uint8)
     return table.ravel()
 
@@ -138,26 +184,31 @@ def _describe(k: int, num: int, den: int, table, frequent: int):
     def describe(batches):
         frequency = table.value
         for batch in batches:
-            ids = batch.column(0)
-            for at, to, buf, offsets in slices(batch.column(1)):
+            keys, ids = batch.column(0), batch.column(1)
+            for at, to, buf, offsets in slices(batch.column(2)):
                 sets = shingle_sets(buf, offsets, k)
                 sigs = [signatures(s, frequency, frequent, num, den) if len(s) else s for s in sets]
                 n = np.array([len(s) for s in sets], dtype=np.int64)
-                with np.errstate(over="ignore"):
-                    k1 = np.array([mix(s).sum(dtype=U) if len(s) else U(0) for s in sets], dtype=U)
-                    k2 = np.array([mix(s ^ U(0x3C79AC492BA7B653)).sum(dtype=U) if len(s) else U(0) for s in sets], dtype=U)
+                k1 = np.array([set_key(s) for s in sets], dtype=U)
+                k2 = np.array([set_key(s ^ U(0x3C79AC492BA7B653)) for s in sets], dtype=U)
                 bounds = np.concatenate(([0], np.cumsum([len(s) for s in sigs]))).astype(np.int32)
                 values = signed(np.concatenate(sigs)) if len(sigs) else np.zeros(0, np.int64)
                 yield pa.record_batch(
-                    [ids.slice(at, to - at), pa.array(n), pa.array(signed(k1)), pa.array(signed(k2)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(values)), pa.array([h.tobytes() for h in histograms(sets)], pa.binary())],
-                    names=["doc_id", "n", "k1", "k2", "sigs", "bins"],
+                    [keys.slice(at, to - at), ids.slice(at, to - at), pa.array(n), pa.array(signed(k1)), pa.array(signed(k2)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(values)), pa.array([h.tobytes() for h in histograms(sets)], pa.binary())],
+                    names=["row", "doc_id", "n", "k1", "k2", "sigs", "bins"],
                 )
 
     return describe
 
 
-def linked_forest(ids: list, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of all links among the sets: every pair is compared by exact counts.
+def set_key(tokens: np.ndarray) -> np.uint64:
+    """A 64-bit key of a set of shingles; 0 for the empty set."""
+    with np.errstate(over="ignore"):
+        return mix(tokens).sum(dtype=U) if len(tokens) else U(0)
+
+
+def links_of(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j), i < j, of linked sets: every pair is compared by exact counts.
 
     The sets become rows of a 0/1 matrix over the shingles that at least two of
     them have, taken COLUMNS at a time; its product with itself has all
@@ -168,7 +219,8 @@ def linked_forest(ids: list, sets: list[np.ndarray], num: int, den: int) -> list
     every, row = np.concatenate(sets), np.repeat(np.arange(m), n)
     if m == 2:
         both = len(every) - len(np.unique(every))
-        return [(ids[0], ids[1])] if ids[0] != ids[1] and den * both >= num * (int(n.sum()) - both) else []
+        linked = np.flatnonzero([den * both >= num * (int(n.sum()) - both)])
+        return linked, linked + 1
     _, inverse, count = np.unique(every, return_inverse=True, return_counts=True)
     shared = count > 1
     column = np.cumsum(shared) - 1
@@ -183,8 +235,12 @@ def linked_forest(ids: list, sets: list[np.ndarray], num: int, den: int) -> list
         part[row[a:b], col[a:b] - start] = 1
         inter += part @ part.T
     inter = np.rint(inter).astype(np.int64)
-    i, j = np.nonzero(np.triu(den * inter >= num * (n[:, None] + n[None, :] - inter), 1))
-    return spanning_forest(ids, i, j)
+    return np.nonzero(np.triu(den * inter >= num * (n[:, None] + n[None, :] - inter), 1))
+
+
+def linked_forest(ids: list, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of all links among the sets."""
+    return spanning_forest(ids, *links_of(sets, num, den))
 
 
 def spanning_forest(ids: list, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
@@ -248,41 +304,64 @@ def _possible(num: int, den: int):
     return compare
 
 
-def _compare(k: int, num: int, den: int):
-    """Rows (task, node, text) sorted by task: the forest of each task's links."""
+_LINKS = "a long, b long, links long"
+
 
-    def done(ids, sets):
-        return linked_forest(ids, sets, num, den) if len(ids) > 1 else []
+def task_links(nodes: list, sides: list, documents: list, sets: list[np.ndarray], num: int, den: int) -> list[tuple]:
+    """Rows (a, b, null), a spanning forest of a task's links, and (a, null, links), the documents that a node links with here.
+
+    Side 0 counts all links; other sides count the links between them, as those
+    within a side are counted by the side's own task.
+    """
+    i, j = links_of(sets, num, den)
+    own, weight, links = np.array(sides), np.array(documents, dtype=np.int64), np.zeros(len(nodes), dtype=np.int64)
+    mine = (own[i] != own[j]) | (own[i] == 0)
+    np.add.at(links, i[mine], weight[j[mine]])
+    np.add.at(links, j[mine], weight[i[mine]])
+    return [(a, b, None) for a, b in spanning_forest(nodes, i, j)] + [(nodes[x], None, int(links[x])) for x in np.flatnonzero(links)]
+
+
+def _compare(k: int, num: int, den: int):
+    """Rows (task, node, side, documents, text) sorted by task: the links of each task. A text that is not of its node's set is left out."""
 
     def compare(batches):
-        task, ids, sets = None, [], []
+        task, rows = None, ([], [], [], [])
         for batch in batches:
-            out, tasks, nodes = [], batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, to, buf, offsets in slices(batch.column(2)):
+            out = []
+            tasks, *kept = (batch.column(c).to_pylist() for c in range(4))
+            for at, to, buf, offsets in slices(batch.column(4)):
                 for i, s in zip(range(at, to), shingle_sets(buf, offsets, k), strict=True):
                     if tasks[i] != task:
-                        out += done(ids, sets)
-                        task, ids, sets = tasks[i], [], []
-                    ids.append(nodes[i])
-                    sets.append(s)
+                        if len(rows[0]) > 1:
+                            out += task_links(*rows, num, den)
+                        task, rows = tasks[i], ([], [], [], [])
+                    if int(set_key(s).view(np.int64)) == kept[0][i]:
+                        for have, value in zip(rows, (*(x[i] for x in kept), s), strict=True):
+                            have.append(value)
             if out:
-                yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
-        if out := done(ids, sets):
-            yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+                yield _link_batch(out)
+        if len(rows[0]) > 1 and (out := task_links(*rows, num, den)):
+            yield _link_batch(out)
 
     return compare
 
 
+def _link_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["a", "b", "links"])
+
+
 def _tasks(members: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """(node, task): clusters of at most ``block`` members are one task; larger ones are cut by size band and hash.
+    """(node, task, side): clusters of at most ``block`` members are one task; larger ones are cut by size band and hash.
 
     Two members in the same or in neighbouring bands meet in at least one task,
     and no task has more than about two blocks. A band of s blocks sends each
-    member to s tasks of its own band and to as many as the neighbours have blocks.
+    member to s tasks of its own band and to as many as the neighbours have
+    blocks. A side is a block of a band, or 0 in the task that a block or a whole
+    cluster has to itself.
     """
     size = members.groupBy("cluster").agg(F.count("*").alias("size"))
     joined = members.join(size, "cluster")
-    small = joined.where(F.col("size") <= block).select("node", F.xxhash64("cluster").alias("task"))
+    small = joined.where(F.col("size") <= block).select("node", F.xxhash64("cluster").alias("task"), F.lit(0).cast("long").alias("side"))
     big = joined.where(F.col("size") > block).select("node", "cluster", F.floor(F.log(F.col("n")) / -math.log(num / den) + 1e-9).cast("int").alias("band"))
     blocks = big.groupBy("cluster", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     above = blocks.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
@@ -290,10 +369,13 @@ def _tasks(members: DataFrame, num: int, den: int, block: int) -> DataFrame:
     plan = blocks.join(above, ["cluster", "band"], "left").join(below, ["cluster", "band"], "left")
     placed = big.join(plan, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     key = lambda low, i, j, kind: F.xxhash64("cluster", low, i, j, F.lit(kind))
-    own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: key(F.col("band"), F.least("block", o), F.greatest("block", o), 0))
-    up = F.when(F.col("above").isNotNull(), F.transform(F.sequence(F.lit(0), F.coalesce("above", F.lit(1)) - 1), lambda o: key(F.col("band"), F.col("block"), o, 1))).otherwise(F.array().cast("array<bigint>"))
-    down = F.when(F.col("below").isNotNull(), F.transform(F.sequence(F.lit(0), F.coalesce("below", F.lit(1)) - 1), lambda o: key(F.col("band") - 1, o, F.col("block"), 1))).otherwise(F.array().cast("array<bigint>"))
-    large = placed.select("node", F.explode(F.concat(own, up, down)).alias("task"))
+    side = F.xxhash64("band", "block")
+    place = lambda task, own: F.struct(task.alias("task"), F.when(own, 0).otherwise(side).alias("side"))
+    none = F.array().cast("array<struct<task: bigint, side: bigint>>")
+    own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: place(key(F.col("band"), F.least("block", o), F.greatest("block", o), 0), o == F.col("block")))
+    up = F.when(F.col("above").isNotNull(), F.transform(F.sequence(F.lit(0), F.coalesce("above", F.lit(1)) - 1), lambda o: place(key(F.col("band"), F.col("block"), o, 1), F.lit(False)))).otherwise(none)
+    down = F.when(F.col("below").isNotNull(), F.transform(F.sequence(F.lit(0), F.coalesce("below", F.lit(1)) - 1), lambda o: place(key(F.col("band") - 1, o, F.col("block"), 1), F.lit(False)))).otherwise(none)
+    large = placed.select("node", F.explode(F.concat(own, up, down)).alias("t")).select("node", "t.task", "t.side")
     return small.unionAll(large)
 
 
@@ -303,57 +385,82 @@ def ngram_jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 4, t
     Columns: doc_id; n_shingles, the size of its set of k-word shingles (A-Z
     lower-cased; fewer words: the whole sequence is one shingle; none: empty);
     component_id, the smallest doc_id reachable by links of Jaccard similarity
-    >= threshold, the document itself included; set_id, equal for equal sets.
+    >= threshold, the document itself included; n_links, the number of other
+    documents that it links with; set_id, equal for equal sets; group_id, equal for
+    sets of one component; row, a hash of the row's id and text. The last three are
+    null for empty sets, but for row.
 
     A null or empty text has 0 shingles and links with nothing. Rows that share
-    a doc_id count as one document. A null doc_id takes part with its text, and
-    its component_id is null if nothing else is linked. An empty table gives an
-    empty result.
+    a doc_id are one document: their sets are in one component (n_links counts
+    it once for each of its sets). A row with a null doc_id takes part with its
+    text; its component_id is null if no row with an id is reachable. An empty
+    table gives an empty result.
     """
     num, den = Fraction(threshold).as_integer_ratio()
     scratch = Scratch(spark, "ngram-join")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = frequency_table(docs, k)
     frequent = max(9, int(np.median(counts)) + 2 * int(math.log2(frequent_times)))  # classes go up by 2 when counts double
     table = spark.sparkContext.broadcast(counts)
-    schema = "doc_id long, n long, k1 long, k2 long, sigs array<long>, bins binary"
+    del counts
+    schema = "row long, doc_id long, n long, k1 long, k2 long, sigs array<long>, bins binary"
     described = scratch.write(docs.mapInArrow(_describe(k, num, den, table, frequent), schema), "described")
-
-    rows = described.select("doc_id", "n", "k1", "k2")
-    classes = scratch.write(described.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("bins").alias("bins")), "classes")
+    table.destroy()
+
+    # a class is a set of shingles with all rows that have it; its node is k1
+    rows = described.select("row", "doc_id", "n", "k1", "k2")
+    per_id = rows.where("n > 0").groupBy("k1", "k2", "n", "doc_id").agg(F.when(F.col("doc_id").isNull(), F.count("*")).otherwise(1).alias("documents"), F.count("*").alias("copies"))
+    sized = per_id.groupBy("k1", "k2", "n").agg(F.sum("documents").alias("documents"), F.sum("copies").alias("copies"), F.min("doc_id").alias("lowest"))
+    shown = described.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("row").alias("row"), F.first("sigs").alias("sigs"), F.first("bins").alias("bins"))
+    classes = scratch.write(shown.join(sized, ["k1", "k2", "n"]).withColumnRenamed("k1", "node"), "classes")
     # a doc_id with several sets ties their classes together
-    several = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg((F.min("k1") != F.max("k1")).alias("several")).where("several").select("doc_id")
-    tied = rows.join(several, "doc_id").join(classes.select("k1", "k2", "n", "node"), ["k1", "k2", "n"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-
-    # signatures shared by two nodes or more: a star from the smallest node
-    index = described.where("n > 0").select("k1", "k2", "n", F.explode("sigs").alias("sig"))
-    sig_rows = index.select("sig", F.col("k1").alias("set"))
-    low = sig_rows.groupBy("sig").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high").select("sig", "low")
-    star = sig_rows.join(low, "sig").where("set <> low").select(F.col("set").alias("a"), F.col("low").alias("b"))
+    tied = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("doc_id", "low")
+    tied = rows.where("n > 0").join(tied, "doc_id").where("k1 <> low").select(F.col("k1").alias("a"), F.col("low").alias("b"))
+
+    # signatures shared by two classes or more: a star from the smallest node
+    index = classes.select("node", F.explode("sigs").alias("sig"))
+    low = scratch.write(index.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("sig", "low"), "low")
+    star = index.join(low, "sig").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     clusters = components(star, scratch)
 
-    members = scratch.write(classes.join(clusters.select(F.col("node").alias("k1"), F.col("label").alias("cluster")), "k1").where("node is not null").select("node", "n", "cluster", "bins"), "candidates")
-    possible = _tasks(members.select("node", "n", "cluster").distinct(), num, den, HISTOGRAM_BLOCK).distinct().join(members.select("node", "n", "bins"), "node").select("task", "node", "n", "bins")
+    members = scratch.write(classes.join(clusters.withColumnRenamed("label", "cluster"), "node").select("node", "n", "cluster", "bins"), "candidates")
+    possible = _tasks(members.select("node", "n", "cluster"), num, den, HISTOGRAM_BLOCK).join(members.select("node", "n", "bins"), "node").select("task", "node", "n", "bins")
     possible = components(possible.repartition("task").sortWithinPartitions("task").mapInArrow(_possible(num, den), "a long, b long"), scratch)
-    members = scratch.write(members.join(possible.select("node", F.col("label").alias("part")), "node").select("node", "n", F.col("part").alias("cluster")).distinct(), "members")
-    tasks = _tasks(members, num, den, BLOCK).distinct()
-
-    # texts of the members only: a bitmap of fixed size spares the others the shuffle
-    texts = _only_members(docs, members)
-    ready = tasks.join(texts, F.col("node") == F.col("doc_id")).select("task", "node", "text")
-    links = ready.repartition("task").sortWithinPartitions("task").mapInArrow(_compare(k, num, den), "a long, b long")
-    labels = components(links.unionAll(tied), scratch)
-
-    known = classes.join(labels, "node", "left").where("copies > 1 or label is not null").select("k1", "k2", "n", F.coalesce("label", "node").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int"))
-    return salted.join(known, ["k1", "k2", "n", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.when(F.col("n") > 0, F.col("k1")).alias("set_id"))
-
-
-def _only_members(docs: DataFrame, members: DataFrame, bits: int = 1 << 22) -> DataFrame:
-    """Rows of docs whose id is among the members, and a few others: at most bits / 62 words are broadcast."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    word = members.select(slot("node").alias("slot")).select(F.floor(F.col("slot") / 62).alias("word"), F.expr("shiftleft(1L, cast(slot % 62 as int))").alias("bit"))
-    bitmap = F.broadcast(word.groupBy("word").agg(F.bit_or("bit").alias("bitmap")))
-    placed = docs.withColumn("slot", slot("doc_id")).withColumn("word", F.floor(F.col("slot") / 62))
-    hit = F.expr("bitmap & shiftleft(1L, cast(slot % 62 as int)) <> 0")
-    return placed.join(bitmap, "word").where(hit).select("doc_id", "text")
+    scratch.drop(low, members)
+    members = scratch.write(classes.join(possible.withColumnRenamed("label", "cluster"), "node").select("node", "n", "cluster", "row", "documents"), "members")
+    tasks = _tasks(members.select("node", "n", "cluster"), num, den, BLOCK)
+
+    # texts of the members only, one a class
+    wanted = members.select("row", "node", "documents")
+    texts = some_rows(docs.select("row", "text"), members.select("row"), "row").dropDuplicates(["row"]).join(wanted, "row").select("node", "documents", "text")
+    ready = tasks.join(texts, "node").select("task", "node", "side", "documents", "text")
+    links = scratch.write(ready.repartition("task").sortWithinPartitions("task").mapInArrow(_compare(k, num, den), _LINKS), "links")
+    labels = components(links.where("b is not null").select("a", "b").unionAll(tied), scratch)
+
+    degree = links.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    joined = classes.select("node", "k2", "n", "documents", "copies", "lowest").join(labels, "node", "left").join(degree, "node", "left")
+    joined = scratch.write(joined.select("node", "k2", "n", "copies", "lowest", "label", (F.coalesce("links", F.lit(0)) + F.col("documents") - 1).alias("n_links")), "joined")
+    least = joined.where("label is not null").groupBy("label").agg(F.min("lowest").alias("component"))
+    known = joined.where("copies > 1 or label is not null").join(least, "label", "left").select(F.col("node").alias("k1"), "k2", "n", F.coalesce("component", "lowest").alias("component"), "label", "n_links", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(8)).cast("int"))
+    out = salted.join(known, ["k1", "k2", "n", "salt"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n") > 0, F.col("k1")).alias("set_id"), F.when(F.col("n") > 0, F.coalesce("label", "k1")).alias("group_id"), "row")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, k: int = 5, threshold: str = "0.8") -> DataFrame:
+    """The rows of ``docs``, with their columns whatever their names, but of each group of near duplicates the one with the smallest doc_id.
+
+    Ids that are null come last, ties go by a hash of id and text, and of rows
+    equal in both one stays. Texts without words are no duplicates of anything.
+    """
+    scratch = Scratch(spark, "near-duplicates")
+    found = scratch.write(ngram_jaccard_components(spark, docs, k, threshold).where("group_id is not null").select("doc_id", "group_id", "row"), "found")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
+    kept = scratch.write(found.groupBy("group_id").agg(F.min(order).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("group_id", F.col("first.row").alias("kept")), "kept")
+    gone = scratch.write(found.join(kept, "group_id").where("row <> kept").select("row").distinct(), "gone")
+    repeated = found.groupBy("row").agg(F.count("*").alias("rows")).where("rows > 1").select("row")
+    repeated = scratch.write(repeated.join(gone, "row", "left_anti"), "repeated")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    left = other_rows(docs.withColumn("_nx_row", row_key()), gone, "_nx_row")
+    once = some_rows(left, repeated, "_nx_row").join(repeated.withColumnRenamed("row", "_nx_kept"), F.col("_nx_row") == F.col("_nx_kept")).dropDuplicates(["_nx_row"])
+    return other_rows(left, repeated, "_nx_row").select(*columns).unionByName(once.select(*columns))

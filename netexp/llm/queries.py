@@ -17,7 +17,7 @@ def _read(spark, sf_dir, table):
 
 
 def op1(spark, sf_dir):
-    return ngram_join.ngram_jaccard_components(spark, _read(spark, sf_dir, "documents"), k=4, threshold="0.85").select("doc_id", "n_shingles", "component_id")
+    return ngram_join.ngram_jaccard_components(spark, _read(spark, sf_dir, "documents"), k=4, threshold="0.85").select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op2(spark, sf_dir):
@@ -34,11 +34,12 @@ def op4(spark, sf_dir):
 
 
 def op5(spark, sf_dir):
-    return quality.quality_resampling(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return quality.quality_resampling(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).select("doc_id", "n_grams", "log_weight", "sample_key", "kept")
 
 
 def op6(spark, sf_dir):
-    return toxicity.toxicity_chain(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    labels = _read(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("unfit"), "toxic")
+    return toxicity.toxicity_chain(spark, _read(spark, sf_dir, "documents"), labels, ["unfit", "toxic"])
 
 
 def op7(spark, sf_dir):
@@ -116,7 +117,7 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.
 e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n_shingles + nb.n_shingles - c)),
 g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach AS (SELECT doc_id AS s, doc_id AS t FROM n UNION SELECT r.s, g.b FROM reach r JOIN g ON r.t = g.a)
-SELECT n.doc_id, n.n_shingles, m.component_id FROM n JOIN (SELECT s, min(t) AS component_id FROM reach GROUP BY s) m ON m.s = n.doc_id
+SELECT n.doc_id, n.n_shingles, m.component_id, (SELECT count(*) FROM g WHERE g.a = n.doc_id)::BIGINT AS n_links FROM n JOIN (SELECT s, min(t) AS component_id FROM reach GROUP BY s) m ON m.s = n.doc_id
 """
 
 ORACLES = {"op1_ngram_jaccard_join": OP1_SQL, "op4_hamming_topk": OP4_SQL, "op7_quality_rules": OP7_SQL, "op8_source_mix": mixing.ORACLE_SQL}
