@@ -30,12 +30,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netexp.llm.cluster import Scratch
+from netexp.llm.cluster import Scratch, other_rows, some_rows
 from netexp.llm.induced import suffix_order
-from netexp.llm.line_dedup import row_key, some_rows
+from netexp.llm.line_dedup import row_key
 from netexp.llm.textkit import U, Prefix, mix, signed, slices
 
 LENGTH = 400
@@ -238,6 +238,7 @@ def repeated_spans(spark: SparkSession, keyed: DataFrame, length: int = LENGTH,
     scratch = Scratch(spark, "suffix-dedup")
     seg = scratch.write(keyed.where(F.octet_length("text") >= length).mapInArrow(_segments(length), _SEGMENT), "segments")
     twice = seg.groupBy("ah").agg(F.min("ctx").alias("low"), F.max("ctx").alias("high"), F.count("*").alias("n")).where("n > 1").select("ah", (F.col("low") != F.col("high")).alias("mixed"))
+    twice = scratch.write(twice, "twice")  # written, so that Spark can split the join's hot anchors
     again = scratch.write(seg.join(twice, "ah"), "again")
     scratch.drop(seg)
     counts = again.groupBy("ah", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("key", "p", "s1", "s2")).alias("one"), F.first("mixed").alias("mixed"))
@@ -255,6 +256,7 @@ def repeated_spans(spark: SparkSession, keyed: DataFrame, length: int = LENGTH,
         cells = scratch.write(texts.join(lists, "key").select("key", "text", "segs").mapInArrow(_cells(length, cell), _CELL), "cells")
         scratch.drop(lists)
         shared = cells.groupBy(kind).agg(F.min("ext").alias("low"), F.max("ext").alias("high"), F.count("*").alias("n")).where("n > 1").select(*kind, (F.col("low") != F.col("high")).alias("mixed"))
+        shared = scratch.write(shared, "shared")
         met = scratch.write(cells.join(shared, kind), "met")
         scratch.drop(cells)
         known = met.groupBy(*kind, "ext").agg(F.count("*").alias("n"), F.max("many").alias("many"), F.min(F.struct("key", "p", "a1", "a2")).alias("one"), F.first("mixed").alias("mixed"))
@@ -280,14 +282,12 @@ def repeated_spans(spark: SparkSession, keyed: DataFrame, length: int = LENGTH,
     snippets = texts.join(wanted, "key").select("key", "text", "parts").mapInArrow(_snippets(length), "shard long, key long, start long, many boolean, snippet binary")
     sorted_ = snippets.repartition(int(shards), "shard").sortWithinPartitions("shard").mapInArrow(_sort_shards(length), "key long, begin long, end long")
     every = same.unionAll(equal).unionAll(sorted_)
-    lists = every.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("all"))
-    merged = F.expr(
-        "aggregate(all, cast(array() as array<struct<begin: bigint, end: bigint>>), (a, s) -> "
-        "if(size(a) > 0 and s.begin <= element_at(a, -1).end, "
-        "concat(slice(a, 1, size(a) - 1), array(named_struct('begin', element_at(a, -1).begin, 'end', greatest(element_at(a, -1).end, s.end)))), "
-        "concat(a, array(s))))"
-    )
-    return scratch.write(lists.select("key", merged.alias("spans")), "spans")
+    # a run starts where a span doesn't touch those before
+    order = Window.partitionBy("key").orderBy("begin", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = every.distinct().withColumn("fresh", F.coalesce(F.col("begin") > before, F.lit(True)).cast("int"))
+    runs = fresh.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("key", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return scratch.write(runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans")), "spans")
 
 
 def _digest(batches):
@@ -315,7 +315,7 @@ def without(raw: bytes, spans: list[dict]) -> bytes:
 
 
 def suffix_dedup_report(spark: SparkSession, docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats (whether it loses a byte).
 
     A removed byte is in a string of ``length`` bytes that also starts anywhere
     else: in another row, equal ones included, or elsewhere in the same text;
@@ -325,18 +325,11 @@ def suffix_dedup_report(spark: SparkSession, docs: DataFrame, length: int = LENG
     """
     keyed = docs.select(row_key().alias("key"), F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spans = repeated_spans(spark, keyed.select("key", "text"), length, shard_bytes).withColumnRenamed("key", "_span_key")
-    hit = some_rows(keyed, spans.select(F.col("_span_key").alias("key")), "key")
+    hit = some_rows(keyed, spans.select("_span_key"), "key")
     touched = hit.join(spans, F.col("key") == F.col("_span_key")).select("doc_id", "text", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
     changed = touched.mapInArrow(_digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    whole = untouched(keyed, spans.select(F.col("_span_key").alias("key")))
+    whole = other_rows(keyed, spans.select("_span_key"), "key")
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = whole.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.encode(text, "utf-8"), 256).alias("kept_sha256"))
-    return plain.unionByName(changed)
-
-
-def untouched(keyed: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of keyed whose key isn't in gone."""
-    from netexp.llm.line_dedup import _without
-
-    return _without(keyed.withColumnRenamed("key", "_key"), gone).withColumnRenamed("_key", "key")
+    return plain.unionByName(changed).withColumn("repeats", F.col("n_removed") > 0)
