@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from netexp.llm.cluster import Scratch
 from netexp.llm.line_dedup import line_dedup
 from netexp.llm.mixing import repeat_documents
-from netexp.llm.ngram_join import ngram_jaccard_components
+from netexp.llm.ngram_join import one_of_each_group
 from netexp.llm.quality import quality_filter
 from netexp.llm.queries import SPM_MODEL
 from netexp.llm.spm import sentencepiece_encode
@@ -20,15 +19,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without line chunks that stand elsewhere before."""
+    """Documents without the line runs that stand before."""
     return line_dedup(spark, docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more): the one with the smallest doc_id."""
-    groups = ngram_jaccard_components(spark, docs, k=5, threshold="0.8")
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return one_of_each_group(spark, docs, k=5, threshold="0.8")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
