@@ -33,11 +33,11 @@ class Scratch:
         self.spark = spark
         small_batches(spark)
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-        self._n = 0
+        self._paths: list[str] = []
 
     def write(self, df: DataFrame, label: str = "t") -> DataFrame:
-        self._n += 1
-        path = f"{self.root}/{self._n:03d}-{label}"
+        path = f"{self.root}/{len(self._paths) + 1:03d}-{label}"
+        self._paths.append(path)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._netexp_path = path
@@ -45,10 +45,18 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._netexp_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete([t._netexp_path for t in tables])
+
+    def finish(self, *kept: DataFrame) -> None:
+        """Delete all tables but those that the result is read from."""
+        left = {t._netexp_path for t in kept}
+        self._delete([p for p in self._paths if p not in left])
+
+    def _delete(self, paths: list[str]) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -123,7 +123,9 @@ def removed_chunks(spark: SparkSession, keyed: DataFrame) -> DataFrame:
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = gone.withColumn("fresh", F.coalesce(F.col("begin") > before + 1, F.lit(True)).cast("int"))
     runs = fresh.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("key", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), (F.max("last") - F.min("first") + 1).alias("lines"))
-    return scratch.write(runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "lines"))).alias("removed")), "removed")
+    removed = scratch.write(runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "lines"))).alias("removed")), "removed")
+    scratch.finish(removed)
+    return removed
 
 
 def row_key():

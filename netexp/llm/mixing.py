@@ -90,7 +90,9 @@ def mix_plan(spark: SparkSession, sized: DataFrame, max_repeat: int = 3) -> Data
     # what is left is one hash: it is taken if that comes nearer to the budget
     near = F.coalesce(F.col("found") & (2 * (F.col("budget") - F.col("used")) >= F.col("words")), F.lit(False))
     # without an edge the budget is the whole source (target a multiple of its size, or no words): nothing more is taken
-    return scratch.write(state.select("source", "source_size", "target", "base", F.when(F.col("found"), F.col("low")).otherwise(F.lit(0).cast("long")).alias("below"), near.alias("edge"), F.lit(max_repeat).cast("long").alias("most")), "plan")
+    plan = scratch.write(state.select("source", "source_size", "target", "base", F.when(F.col("found"), F.col("low")).otherwise(F.lit(0).cast("long")).alias("below"), near.alias("edge"), F.lit(max_repeat).cast("long").alias("most")), "plan")
+    scratch.finish(plan)
+    return plan
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:

@@ -440,6 +440,7 @@ def ngram_jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 4, t
     degree = links.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     joined = classes.select("node", "k2", "n", "documents", "copies", "lowest").join(labels, "node", "left").join(degree, "node", "left")
     joined = scratch.write(joined.select("node", "k2", "n", "copies", "lowest", "label", (F.coalesce("links", F.lit(0)) + F.col("documents") - 1).alias("n_links")), "joined")
+    scratch.finish(described, joined)
     least = joined.where("label is not null").groupBy("label").agg(F.min("lowest").alias("component"))
     known = joined.where("copies > 1 or label is not null").join(least, "label", "left").select(F.col("node").alias("k1"), "k2", "n", F.coalesce("component", "lowest").alias("component"), "label", "n_links", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(8)).cast("int"))
@@ -460,6 +461,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, k: int = 5, threshol
     gone = scratch.write(found.join(kept, "group_id").where("row <> kept").select("row").distinct(), "gone")
     repeated = found.groupBy("row").agg(F.count("*").alias("rows")).where("rows > 1").select("row")
     repeated = scratch.write(repeated.join(gone, "row", "left_anti"), "repeated")
+    scratch.finish(gone, repeated)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     left = other_rows(docs.withColumn("_nx_row", row_key()), gone, "_nx_row")
     once = some_rows(left, repeated, "_nx_row").join(repeated.withColumnRenamed("row", "_nx_kept"), F.col("_nx_row") == F.col("_nx_kept")).dropDuplicates(["_nx_row"])
