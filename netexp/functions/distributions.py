@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -100,6 +103,20 @@ def kl_univariate(sample: DataFrame, population: DataFrame, value: str, keys: tu
     return joined.groupBy(*keys).agg(kl) if keys else joined.agg(kl)
 
 
+def harmonic(k: Column) -> Column:
+    """1 + 1/2 + ... + 1/k by the asymptotic series, 32 terms further on, where it is exact to 12 digits."""
+    x = k + 32
+    series = F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4)
+    return series - reduce(lambda a, b: a + b, [1 / (k + i) for i in range(1, 33)])
+
+
+def harmonic_squares(k: Column) -> Column:
+    """1 + 1/4 + ... + 1/k^2, in the same way."""
+    x = k + 32
+    series = math.pi**2 / 6 - 1 / x + 1 / (2 * x**2) - 1 / (6 * x**3) + 1 / (30 * x**5)
+    return series - reduce(lambda a, b: a + b, [1 / ((k + i) * (k + i)) for i in range(1, 33)])
+
+
 def anderson_darling(sample: DataFrame, population: DataFrame, value: str, keys: tuple = ()) -> DataFrame:
     """(keys..., ad): the two-sample statistic with midranks, standardised (Scholz and Stephens 1987)."""
     pop = population.groupBy(value).agg(F.count("*").alias("f2"))
@@ -116,14 +133,9 @@ def anderson_darling(sample: DataFrame, population: DataFrame, value: str, keys:
     term = lambda cum, f, n: (c("l") / c("n")) * F.pow(c("n") * (c(cum) - c(f) / 2) - c(n) * b, F.lit(2.0)) / (b * (c("n") - b) - c("n") * c("l") / 4) / c(n)
     agg = [F.sum(F.when(c("n") == c("l"), 0.0).otherwise(term("c1", "f1", "n1") + term("c2", "f2", "n2"))).alias("s"), F.first("n").alias("n"), F.first("n1").alias("n1"), F.first("n2").alias("n2")]
     r = t.groupBy(*keys).agg(*agg) if keys else t.agg(*agg)
-    # h = sum 1/i, g = sum over i < j of 1 / ((n - i) j), by running sums over 1..n-1
-    i = F.sequence(F.lit(1), (F.col("n") - 1).cast("int"))
-    r = r.withColumn("h", F.aggregate(i, F.lit(0.0), lambda a, k: a + 1.0 / k))
-    pair = F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("tail"))
-    # from j = n - 1 down: tail = sum of 1 / j over j > i, and g adds tail / (n - i)
-    down = F.sequence((F.col("n") - 2).cast("int"), F.lit(1), F.lit(-1))
-    g = F.aggregate(down, pair, lambda a, k: F.struct((a["g"] + (a["tail"] + 1.0 / (k + 1)) / (F.col("n") - k)).alias("g"), (a["tail"] + 1.0 / (k + 1)).alias("tail")))
-    r = r.withColumn("g", g["g"])
+    # h = sum 1/i below n; g = sum of 1 / ((n - i) j) over i < j below n, which is H(n-1)^2 - H(n)^2 + H2(n)
+    r = r.withColumn("h", harmonic(c("n") - 1))
+    r = r.withColumn("g", F.col("h") ** 2 - (F.col("h") + 1 / c("n")) ** 2 + harmonic_squares(c("n")))
     n, h, gg, H = c("n"), F.col("h"), F.col("g"), 1.0 / c("n1") + 1.0 / c("n2")
     a = (4 * gg - 6) + (10 - 6 * gg) * H
     bb = (2 * gg - 4) * 4 + 16 * h + (2 * gg - 14 * h - 4) * H - 8 * h + 4 * gg - 6

@@ -154,6 +154,18 @@ def test_distances_match_brute_force(spark):
     assert mcmc.joint_cdf(points, mass / 150) == pytest.approx([share(population, *p) for p in points])
 
 
+def test_harmonic_sums(spark):
+    ns = [2, 3, 5, 40, 1000]
+    t = spark.createDataFrame([(float(n),) for n in ns], "n double").select("n", D.harmonic(F.col("n")).alias("h"), D.harmonic_squares(F.col("n")).alias("s")).collect()
+    for r in t:
+        n = int(r.n)
+        assert r.h == pytest.approx(sum(1 / i for i in range(1, n + 1)), abs=1e-11) and r.s == pytest.approx(sum(1 / i**2 for i in range(1, n + 1)), abs=1e-11)
+    n = 40
+    double = sum(1 / ((n - i) * j) for j in range(1, n) for i in range(1, j))
+    h = sum(1 / i for i in range(1, n))
+    assert double == pytest.approx(h**2 - (h + 1 / n) ** 2 + sum(1 / i**2 for i in range(1, n + 1)))
+
+
 def test_bounded_draw_is_the_whole_order(spark):
     nodes = spark.range(20_000).select(F.col("id").alias("node"))
     got = {(r.sim, r.nsample, r.node, r.arm) for r in sampling.srs(nodes, sampling.grid(spark, 2, [5, 40]), "nsample", ("sim", "nsample")).collect()}
