@@ -19,6 +19,10 @@ places where a repeat begins or ends are sorted:
    shard's suffixes are sorted by external induction (``induced``), with common
    prefixes; neighbours with LENGTH bytes in common are repeats.
 
+The report runs steps 1 to 3 for PASSAGE bytes first, which finds the regions
+that may hold repeats and the passages, and then all steps for LENGTH bytes within
+those regions.
+
 Steps 2 and 3 compare pairs of 64-bit hashes of the same anchor; groups are only
 counted, so copies and common passages cost a row each.
 """
@@ -36,9 +40,12 @@ from pyspark.sql import functions as F
 from netexp.llm.cluster import Scratch, other_rows, some_rows
 from netexp.llm.induced import suffix_order
 from netexp.llm.line_dedup import row_key
+from netexp.llm.mixing import WORD
 from netexp.llm.textkit import U, Prefix, mix, signed, slices
 
 LENGTH = 400
+#: A passage is covered by repeated strings of about PASSAGE bytes and has over PASSAGE_WORDS words.
+PASSAGE, PASSAGE_WORDS = 240, 50
 SHARD_BYTES = 4 << 20
 
 
@@ -233,9 +240,11 @@ def _sort_shards(length: int):
     return work
 
 
-def repeated_spans(spark: SparkSession, keyed: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(key, spans array<struct<begin, end>>): the maximal runs of covered bytes of texts that have some; ``keyed`` is (key, text)."""
-    scratch = Scratch(spark, "suffix-dedup")
+KIND = ["ah", "cell", "core"]
+
+
+def shared_segments(keyed: DataFrame, length: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Steps 1 and 2: (key, begin, end) of segments that are repeated as a whole, and the open ones as lists (key, segs), one of each kind of bytes."""
     seg = scratch.write(keyed.where(F.octet_length("text") >= length).mapInArrow(_segments(length), _SEGMENT), "segments")
     twice = seg.groupBy("ah").agg(F.min("ctx").alias("low"), F.max("ctx").alias("high"), F.count("*").alias("n")).where("n > 1").select("ah", (F.col("low") != F.col("high")).alias("mixed"))
     twice = scratch.write(twice, "twice")  # written, so that Spark can split the join's hot anchors
@@ -244,21 +253,41 @@ def repeated_spans(spark: SparkSession, keyed: DataFrame, length: int = LENGTH,
     counts = again.groupBy("ah", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("key", "p", "s1", "s2")).alias("one"), F.first("mixed").alias("mixed"))
     counts = scratch.write(counts, "counts")
     same = again.join(counts.where("n > 1").select("ah", "ctx"), ["ah", "ctx"]).select("key", F.col("s1").alias("begin"), (F.col("s2") + length).alias("end"))
-    # one segment of each kind of bytes of the anchors that have several kinds
     open_ = counts.where("mixed").select("one.key", "one.p", "one.s1", "one.s2", "ah", (F.col("n") > 1).alias("many"))
-    lists = scratch.write(open_.groupBy("key").agg(F.collect_list(F.struct("p", "s1", "s2", "ah", "many")).alias("segs")), "open")
-    kind = ["ah", "cell", "core"]
+    return same, scratch.write(open_.groupBy("key").agg(F.collect_list(F.struct("p", "s1", "s2", "ah", "many")).alias("segs")), "open")
+
+
+def shared_cells(keyed: DataFrame, lists: DataFrame, length: int, cell: int, scratch: Scratch) -> DataFrame:
+    """Step 3: the cells of ``lists`` whose core another cell of the anchor has."""
+    texts = some_rows(keyed, lists.select("key"), "key").dropDuplicates(["key"])
+    cells = scratch.write(texts.join(lists, "key").select("key", "text", "segs").mapInArrow(_cells(length, cell), _CELL), "cells")
+    shared = cells.groupBy(KIND).agg(F.min("ext").alias("low"), F.max("ext").alias("high"), F.count("*").alias("n")).where("n > 1").select(*KIND, (F.col("low") != F.col("high")).alias("mixed"))
+    shared = scratch.write(shared, "shared")
+    met = scratch.write(cells.join(shared, KIND), "met")
+    scratch.drop(cells)
+    return met
+
+
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """(key, spans array<struct<begin, end>>): the runs of (key, begin, end); a run starts where a span doesn't touch those before."""
+    order = Window.partitionBy("key").orderBy("begin", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = spans.distinct().withColumn("fresh", F.coalesce(F.col("begin") > before, F.lit(True)).cast("int"))
+    runs = fresh.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("key", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+
+
+def repeated_spans(spark: SparkSession, keyed: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(key, spans array<struct<begin, end>>): the maximal runs of covered bytes of texts that have some; ``keyed`` is (key, text)."""
+    scratch = Scratch(spark, "suffix-dedup")
+    same, lists = shared_segments(keyed, length, scratch)
+    kind = KIND
     room = F.lit(length + 1) + F.col("a2") - F.col("a1")
     _, cell = shape(length)
     equal, left = [], []
     while True:
-        texts = some_rows(keyed, lists.select("key"), "key").dropDuplicates(["key"])
-        cells = scratch.write(texts.join(lists, "key").select("key", "text", "segs").mapInArrow(_cells(length, cell), _CELL), "cells")
+        met = shared_cells(keyed, lists, length, cell, scratch)
         scratch.drop(lists)
-        shared = cells.groupBy(kind).agg(F.min("ext").alias("low"), F.max("ext").alias("high"), F.count("*").alias("n")).where("n > 1").select(*kind, (F.col("low") != F.col("high")).alias("mixed"))
-        shared = scratch.write(shared, "shared")
-        met = scratch.write(cells.join(shared, kind), "met")
-        scratch.drop(cells)
         known = met.groupBy(*kind, "ext").agg(F.count("*").alias("n"), F.max("many").alias("many"), F.min(F.struct("key", "p", "a1", "a2")).alias("one"), F.first("mixed").alias("mixed"))
         known = scratch.write(known, "known")
         equal.append(met.join(known.where("n > 1").select(*kind, "ext"), [*kind, "ext"]).select("key", (F.col("p") - F.col("a2")).alias("begin"), (F.col("p") - F.col("a1") + length).alias("end")))
@@ -282,12 +311,9 @@ def repeated_spans(spark: SparkSession, keyed: DataFrame, length: int = LENGTH,
     snippets = texts.join(wanted, "key").select("key", "text", "parts").mapInArrow(_snippets(length), "shard long, key long, start long, many boolean, snippet binary")
     sorted_ = snippets.repartition(int(shards), "shard").sortWithinPartitions("shard").mapInArrow(_sort_shards(length), "key long, begin long, end long")
     every = same.unionAll(equal).unionAll(sorted_)
-    # a run starts where a span doesn't touch those before
-    order = Window.partitionBy("key").orderBy("begin", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = every.distinct().withColumn("fresh", F.coalesce(F.col("begin") > before, F.lit(True)).cast("int"))
-    runs = fresh.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("key", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
-    return scratch.write(runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans")), "spans")
+    spans = scratch.write(merged_spans(every), "spans")
+    scratch.finish(spans)
+    return spans
 
 
 def _digest(batches):
@@ -301,7 +327,7 @@ def _digest(batches):
             removed.append(len(raw) - len(out))
             count.append(len(s or []))
             digest.append(hashlib.sha256(out).hexdigest())
-        yield pa.record_batch([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.record_batch([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string()), batch.column(3)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "key"])
 
 
 def without(raw: bytes, spans: list[dict]) -> bytes:
@@ -314,8 +340,50 @@ def without(raw: bytes, spans: list[dict]) -> bytes:
     return b"".join(out)
 
 
-def suffix_dedup_report(spark: SparkSession, docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats (whether it loses a byte).
+def candidate_regions(spark: SparkSession, keyed: DataFrame, short: int) -> DataFrame:
+    """(key, spans) of texts, by steps 1 to 3 for ``short`` bytes; nothing is sorted.
+
+    Every string of ``short`` bytes that stands twice lies in the spans, which go
+    at most a cell of windows less one beyond such strings.
+    """
+    scratch = Scratch(spark, "suffix-regions")
+    same, lists = shared_segments(keyed, short, scratch)
+    met = shared_cells(keyed, lists, short, shape(short)[1], scratch)
+    wide = met.select("key", (F.col("p") - F.col("a2")).alias("begin"), (F.col("p") - F.col("a1") + short).alias("end"))
+    found = scratch.write(merged_spans(same.unionAll(wide)), "regions")
+    scratch.finish(found)
+    return found
+
+
+def repeated_passages(spark: SparkSession, keyed: DataFrame, length: int, short: int, most_words: int, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(spans of repeats of ``length`` bytes as in repeated_spans, keys of the texts that hold a passage of more than ``most_words`` words).
+
+    A string that stands twice has only substrings that do, so longer repeats
+    are looked for within the regions of the shorter ones.
+    """
+    scratch = Scratch(spark, "suffix-passages")
+    found = candidate_regions(spark, keyed, short)
+    texts = some_rows(keyed, found.select("key"), "key").join(found, "key")  # rows equal in id and text each count
+    part = "substring(raw, cast(s.begin + 1 as int), cast(s.end - s.begin as int))"
+    cut = texts.select("key", F.encode("text", "utf-8").alias("raw"), "spans").select(
+        "key",
+        F.expr(f"exists(spans, s -> regexp_count(cast({part} as string), r'{WORD}') > {most_words})").alias("told"),
+        F.expr(f"transform(filter(spans, s -> s.end - s.begin >= {length}), s -> named_struct('begin', s.begin, 'text', {part}))").alias("parts"),
+    )
+    cut = scratch.write(cut.where("told or size(parts) > 0"), "cut")
+    pieces = cut.select("key", F.explode("parts").alias("s")).select(F.xxhash64("key", "s.begin").alias("piece"), "key", "s.begin", "s.text")
+    long = repeated_spans(spark, pieces.select(F.col("piece").alias("key"), "text"), length, shard_bytes)
+    placed = pieces.select("piece", F.col("key").alias("text_key"), "begin").join(long.withColumnRenamed("key", "piece"), "piece")
+    placed = placed.select(F.col("text_key").alias("key"), F.explode(F.expr("transform(spans, s -> named_struct('begin', s.begin + begin, 'end', s.end + begin))")).alias("s"))
+    return scratch.write(placed.groupBy("key").agg(F.array_sort(F.collect_set("s")).alias("spans")), "spans"), cut.where("told").select("key").distinct()
+
+
+def suffix_dedup_report(spark: SparkSession, docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, passage: int = PASSAGE, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats.
+
+    ``repeats``: it loses a byte, or has a run of more than ``passage_words``
+    words covered by strings of ``passage`` bytes that also start elsewhere; up
+    to a cell of windows (22 bytes) beyond the ends may count.
 
     A removed byte is in a string of ``length`` bytes that also starts anywhere
     else: in another row, equal ones included, or elsewhere in the same text;
@@ -324,12 +392,15 @@ def suffix_dedup_report(spark: SparkSession, docs: DataFrame, length: int = LENG
     are ignored; an empty table gives an empty result.
     """
     keyed = docs.select(row_key().alias("key"), F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = repeated_spans(spark, keyed.select("key", "text"), length, shard_bytes).withColumnRenamed("key", "_span_key")
+    texts = keyed.select("key", "text")
+    spans, passages = repeated_passages(spark, texts, length, min(passage, length), passage_words, shard_bytes)
+    spans = spans.withColumnRenamed("key", "_span_key")
     hit = some_rows(keyed, spans.select("_span_key"), "key")
-    touched = hit.join(spans, F.col("key") == F.col("_span_key")).select("doc_id", "text", "spans")
+    touched = hit.join(spans, F.col("key") == F.col("_span_key")).select("doc_id", "text", "spans", "key")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    changed = touched.mapInArrow(_digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    changed = touched.mapInArrow(_digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, key long")
     whole = other_rows(keyed, spans.select("_span_key"), "key")
     text = F.coalesce(F.col("text"), F.lit(""))
-    plain = whole.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.encode(text, "utf-8"), 256).alias("kept_sha256"))
-    return plain.unionByName(changed).withColumn("repeats", F.col("n_removed") > 0)
+    plain = whole.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.encode(text, "utf-8"), 256).alias("kept_sha256"), "key")
+    every = plain.unionByName(changed).join(passages.withColumnRenamed("key", "_told"), F.col("key") == F.col("_told"), "left")
+    return every.withColumn("repeats", (F.col("n_removed") > 0) | F.col("_told").isNotNull()).drop("key", "_told")

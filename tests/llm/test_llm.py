@@ -244,7 +244,42 @@ def test_suffix_dedup_matches_brute_force(spark, length):
     found = suffix_dedup.suffix_dedup_report(spark, docs(spark, texts).withColumn("key", F.lit(1)).withColumn("spans", F.lit(2)), length, shard_bytes=2000).collect()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found}
     assert got == removed_by_force(texts, length)
-    assert all(r.repeats == (r.n_removed > 0) for r in found)
+    assert all(r.repeats for r in found if r.n_removed)
+
+
+def passages_by_force(texts, short, most):
+    out = {}
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(r[i : i + short] for r in raw for i in range(len(r) - short + 1))
+    for d, r in enumerate(raw):
+        gone = np.zeros(len(r), bool)
+        for i in range(len(r) - short + 1):
+            if seen[r[i : i + short]] > 1:
+                gone[i : i + short] = True
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(int), [0]))))
+        out[d] = any(len(re.findall(rb"[^\x20\x09-\x0d]+", r[a:b])) > most for a, b in zip(edges[::2], edges[1::2], strict=True))
+    return out
+
+
+def test_suffix_dedup_tells_passages(spark):
+    passage, brief = words(56, 21, 300), words(40, 22, 300)  # under 400 bytes both
+    texts = [f"{words(60, 30 + i, 5000)}\n{passage}\n{words(20, 40 + i, 5000)}" for i in range(3)] + [f"{words(60, 50 + i, 5000)} {brief} {words(20, 60 + i, 5000)}" for i in range(3)]
+    texts += [words(90, 70, 5000), None, "", f"{words(200, 71, 5000)}", f"x {words(200, 71, 5000)}"]
+    assert len(passage) < 400
+    got = suffix_dedup.suffix_dedup_report(spark, docs(spark, texts), 400, passage=150).collect()
+    force, passages = removed_by_force(texts, 400), passages_by_force(texts, 150, 50)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == force
+    assert {r.doc_id: r.repeats for r in got} == {d: passages[d] or force[d][1] > 0 for d in force} == {d: d in (0, 1, 2, 9, 10) for d in force}
+    assert all(g.begin <= r.begin and r.end <= g.end for t in [texts] for g, r in regions_and_repeats(spark, t, 150))
+
+
+def regions_and_repeats(spark, texts, length):
+    """Pairs (region, repeated span in it): every span must have its region."""
+    keyed = docs(spark, texts).where("text is not null").select(F.col("doc_id").alias("key"), "text")
+    regions = {r.key: r.spans for r in suffix_dedup.candidate_regions(spark, keyed, length).collect()}
+    for r in suffix_dedup.repeated_spans(spark, keyed, length, 2000).collect():
+        for span in r.spans:
+            yield next(g for g in regions[r.key] if g.end > span.begin), span
 
 
 def test_suffix_dedup_edges(spark):
