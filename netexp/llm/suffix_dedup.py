@@ -46,7 +46,7 @@ from netexp.llm.textkit import U, Prefix, mix, signed, slices
 LENGTH = 400
 #: A passage is covered by repeated strings of about PASSAGE bytes and has over PASSAGE_WORDS words.
 PASSAGE, PASSAGE_WORDS = 240, 50
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 def shape(length: int) -> tuple[int, int]:
