@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netexp.functions.scalar import DEGREE_GROUPS, degree_group, hash_normal, hash_uniform, t975
-from netexp.operators.graph import neighbours_of, spmv, work_folder, written
+from netexp.functions.scalar import degree_group, hash_normal, hash_uniform, t975
+from netexp.operators.graph import spmv, work_folder, written
 from netexp.operators.sampling import arm_alters
 
 #: Spillover, and the coefficients of the baseline outcome.

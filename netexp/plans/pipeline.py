@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netexp.functions.scalar import DEGREE_GROUPS, degree_group
 from netexp.operators import causal, graph, mcmc, sampling
 from netexp.plans import reports
 from netexp.sources import networks, sinks
@@ -139,9 +140,10 @@ def estimate_tables(spark: SparkSession, folder: str, network: str, size: int, s
     tests = causal.estimates(adj, deg, base, expo, drawn, clean, tau, mean)
     rp = causal.estimates(adj, deg, base, expo, matched, matched, tau, mean)
     ate = causal.ate_grid(tests | {"rp_dte": rp["dim_dte"], "rp_ite": rp["dim_ite"]}, mean)
-    group = causal.degree_group(F.col("degree"), network if network in causal.DEGREE_GROUPS else "simulate_base")
+    groups_of = network if network in DEGREE_GROUPS else "simulate_base"
+    group = degree_group(F.col("degree"), groups_of)
     true = deg.withColumn("tau1", F.explode(F.array(*map(F.lit, taus)))).groupBy("tau1", group.alias("degree_group")).agg(F.avg(F.col("tau1") * F.col("degree")).alias("true_cate"))
-    by_group = lambda sample, egos, names: causal.cate_by_estimator(causal.cate(deg, causal.observed(causal.realised_outcome(adj, deg, base, sample, tau, egos), egos.select("sim", "arm", "node")), network if network in causal.DEGREE_GROUPS else "simulate_base"), names)
+    by_group = lambda sample, egos, names: causal.cate_by_estimator(causal.cate(deg, causal.observed(causal.realised_outcome(adj, deg, base, sample, tau, egos), egos.select("sim", "arm", "node")), groups_of), names)
     groups = by_group(drawn, clean, ["dim", "ht", "hajek"]).unionByName(by_group(matched, matched, ["rp"])).withColumn("tau1", tau)
     out = {"ate": ate, "cate": causal.cate_table(groups, true, ("tau1", "estimator"))}
     for name, table in out.items():

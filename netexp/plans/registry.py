@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netexp.functions import distributions as D
+from netexp.functions.scalar import degree_group
 from netexp.operators import causal as C
 from netexp.operators import graph as G
 from netexp.operators import mcmc as M
@@ -431,7 +432,7 @@ def baseline_outcome_pokec(n):
 
 @query(w(NET, "SELECT node, CASE WHEN degree BETWEEN 1 AND 20 THEN 1 WHEN degree BETWEEN 21 AND 50 THEN 2 WHEN degree BETWEEN 51 AND 70 THEN 3 WHEN degree BETWEEN 71 AND 100 THEN 4 WHEN degree >= 101 THEN 5 ELSE 0 END AS degree_group FROM deg"))
 def degree_groups(n):
-    return n.deg.select("node", C.degree_group(F.col("degree"), "simulate_base").alias("degree_group"))
+    return n.deg.select("node", degree_group(F.col("degree"), "simulate_base").alias("degree_group"))
 
 
 @query(w(NET, EXPO, "SELECT node, round(d11, 6) AS d11, round(d10, 6) AS d10, round(d0n, 6) AS d0n, round(d01, 6) AS d01, round(d00, 6) AS d00 FROM expo"))
