@@ -188,7 +188,8 @@ def _gated(text: Column, gate: list[str]) -> Column:
 def licence_paragraphs(docs: DataFrame, gate: list[str]) -> DataFrame:
     """(doc_id, row_key, paragraph, wrapped, line): each line with a word of the gate, alone and (wrapped) with its neighbours, from whole texts."""
     low = F.lower(F.col("text").cast("string"))
-    gated = docs.select("doc_id", low.alias("low")).where(_gated(F.col("low"), gate))
+    # a generated column: else the optimiser would lower the text once for every word of the gate
+    gated = docs.select("doc_id", F.explode(F.array(low)).alias("low")).where(_gated(F.col("low"), gate))
     split = gated.select("doc_id", F.xxhash64("low").alias("row_key"), F.split("low", "\n").alias("lines")).dropDuplicates(["doc_id", "row_key"])
     placed = F.transform("lines", lambda x, i: F.struct(i.alias("paragraph"), x.alias("line"), F.concat_ws(" ", F.get("lines", i - 1), x, F.get("lines", i + 1)).alias("around")))
     hits = split.select("doc_id", "row_key", F.explode(F.filter(placed, lambda p: _gated(p["line"], gate))).alias("p")).select("doc_id", "row_key", "p.*")
@@ -221,7 +222,8 @@ def licence_scan(spark: SparkSession, docs: DataFrame, model: LicenceModel | Non
     key = ["doc_id", "row_key", "paragraph", "wrapped"]
     lines = licence_paragraphs(docs, model.gate)
     words = F.filter(F.split("line", _SPLIT), lambda w: w != "")
-    lines = lines.select(*key, words.alias("words")).where(F.size("words") > 0)
+    # generated, too: else the words would be split again for every pair of them
+    lines = lines.select(*key, F.explode(F.array(words)).alias("words")).where(F.size("words") > 0)
     pairs = F.when(F.size("words") > 1, F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1)))).otherwise(F.array().cast("array<string>"))
     lines = lines.select(*key, F.array_distinct("words").alias("distinct"), F.array_distinct(F.concat("words", pairs)).alias("grams"))
     grams = lines.select(*key, F.col("distinct").alias("words"), F.explode("grams").alias("gram"))
