@@ -1,4 +1,4 @@
-"""The queries of this subpackage: op1 to op10 over whole tables, with production parameters."""
+"""The queries of this subpackage: op1 to op13 over whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from netexp.llm import licenses, line_dedup, mixing, ngram_join, quality, rules, spm, suffix_dedup, topk, toxicity
+from netexp.llm import filter_audit, licenses, line_dedup, mixing, ngram_join, quality, rules, spm, suffix_dedup, target_resampling, topk, toxicity
 
 #: The tokenizer file is a parameter: set this variable, or pass model_path to the operator.
 SPM_MODEL = os.environ.get("NETEXP_SPM_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -60,6 +60,14 @@ def op10(spark, sf_dir):
     return line_dedup.line_dedup_report(spark, _read(spark, sf_dir, "documents"))
 
 
+def op11(spark, sf_dir):
+    return filter_audit.filter_audit(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13(spark, sf_dir):
+    return target_resampling.target_resampling(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -77,6 +85,8 @@ QUERIES = {
     "op8_source_mix": op8,
     "op9_licence_scan": op9,
     "op10_line_dedup": op10,
+    "op11_filter_audit": op11,
+    "op13_target_resampling": op13,
     "pipeline": pipeline,
 }
 
@@ -120,4 +130,4 @@ reach AS (SELECT doc_id AS s, doc_id AS t FROM n UNION SELECT r.s, g.b FROM reac
 SELECT n.doc_id, n.n_shingles, m.component_id, (SELECT count(*) FROM g WHERE g.a = n.doc_id)::BIGINT AS n_links FROM n JOIN (SELECT s, min(t) AS component_id FROM reach GROUP BY s) m ON m.s = n.doc_id
 """
 
-ORACLES = {"op1_ngram_jaccard_join": OP1_SQL, "op4_hamming_topk": OP4_SQL, "op7_quality_rules": OP7_SQL, "op8_source_mix": mixing.ORACLE_SQL}
+ORACLES = {"op1_ngram_jaccard_join": OP1_SQL, "op4_hamming_topk": OP4_SQL, "op7_quality_rules": OP7_SQL, "op8_source_mix": mixing.ORACLE_SQL, "op11_filter_audit": filter_audit.ORACLE_SQL, "op13_target_resampling": target_resampling.ORACLE_SQL}
