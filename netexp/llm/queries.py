@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from netexp.llm import filter_audit, licenses, line_dedup, mixing, ngram_join, quality, rules, spm, suffix_dedup, target_resampling, topk, toxicity
+from netexp.llm import decontaminate, filter_audit, licenses, line_dedup, mixing, ngram_join, quality, rules, spm, suffix_dedup, target_resampling, topk, toxicity
 
 #: The tokenizer file is a parameter: set this variable, or pass model_path to the operator.
 SPM_MODEL = os.environ.get("NETEXP_SPM_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -64,6 +64,13 @@ def op11(spark, sf_dir):
     return filter_audit.filter_audit(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op12(spark, sf_dir):
+    report = decontaminate.contamination_report(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    n_hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")
+    digest = F.sha2(F.concat_ws(",", F.array_sort("items")), 256)
+    return report.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 def op13(spark, sf_dir):
     return target_resampling.target_resampling(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
 
@@ -86,6 +93,7 @@ QUERIES = {
     "op9_licence_scan": op9,
     "op10_line_dedup": op10,
     "op11_filter_audit": op11,
+    "op12_decontamination": op12,
     "op13_target_resampling": op13,
     "pipeline": pipeline,
 }
@@ -130,4 +138,4 @@ reach AS (SELECT doc_id AS s, doc_id AS t FROM n UNION SELECT r.s, g.b FROM reac
 SELECT n.doc_id, n.n_shingles, m.component_id, (SELECT count(*) FROM g WHERE g.a = n.doc_id)::BIGINT AS n_links FROM n JOIN (SELECT s, min(t) AS component_id FROM reach GROUP BY s) m ON m.s = n.doc_id
 """
 
-ORACLES = {"op1_ngram_jaccard_join": OP1_SQL, "op4_hamming_topk": OP4_SQL, "op7_quality_rules": OP7_SQL, "op8_source_mix": mixing.ORACLE_SQL, "op11_filter_audit": filter_audit.ORACLE_SQL, "op13_target_resampling": target_resampling.ORACLE_SQL}
+ORACLES = {"op1_ngram_jaccard_join": OP1_SQL, "op4_hamming_topk": OP4_SQL, "op7_quality_rules": OP7_SQL, "op8_source_mix": mixing.ORACLE_SQL, "op11_filter_audit": filter_audit.ORACLE_SQL, "op12_decontamination": decontaminate.ORACLE_SQL, "op13_target_resampling": target_resampling.ORACLE_SQL}
