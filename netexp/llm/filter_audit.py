@@ -138,7 +138,7 @@ def filter_audit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Dat
     """AUDIT: a row per part, order of the filters and step.
 
     docs: doc_id, text, lang; labels: doc_id, quality, toxic (rows that repeat
-    a doc_id count once). Counts are of rows of docs. An empty table has no
+    a doc_id count once; one without doc_id is of no document). Counts are of rows of docs. An empty table has no
     parts and no rows.
     """
     scratch = Scratch(spark, "filter-audit")
