@@ -5,9 +5,13 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netexp.functions.ranks import dominance, dominance_counts, running_sums
+
 
 def epdf(values: DataFrame, columns: list[str], keys: tuple = ()) -> DataFrame:
     """(keys..., columns..., p): relative frequencies."""
@@ -17,44 +21,111 @@ def epdf(values: DataFrame, columns: list[str], keys: tuple = ()) -> DataFrame:
     return joined.select(*keys, *columns, (F.col("n") / F.col("total")).alias("p"))
 
 
+def _points(t: DataFrame, x: str, y: str) -> DataFrame:
+    return t.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
+
+
 def joint_cdf(nodes: DataFrame, x: str, y: str, support: DataFrame, keys: tuple = ()) -> DataFrame:
-    """(keys..., x, y, f): P(X <= x, Y <= y) at the support points (x, y).
+    """(keys..., x, y, f): P(X <= x, Y <= y) at the distinct support points (x, y).
 
-    Points of the sample and the support, which every group sees, are on one
-    grid of distinct x by distinct y values of the support; two running sums
-    make the cumulative counts, so no pair of points is compared.
+    Without keys by dominance counts in range partitions; with keys every
+    sample's points are counted at the support where that lies.
     """
-    xs, ys = support.select(x).distinct(), support.select(y).distinct()
-    groups = nodes.select(*keys).distinct() if keys else nodes.agg(F.count("*").alias("_n")).select()
-    grid = xs.crossJoin(ys)
-    counts = nodes.groupBy(*keys, x, y).agg(F.count("*").alias("n"))
     if keys:
-        grid = groups.crossJoin(grid)
-    filled = grid.join(counts, [*keys, x, y], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    up = Window.partitionBy(*keys, x).orderBy(y).rowsBetween(Window.unboundedPreceding, 0)
-    right = Window.partitionBy(*keys, y).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    summed = filled.withColumn("c", F.sum("n").over(up)).withColumn("c", F.sum("c").over(right))
-    total = nodes.groupBy(*keys).agg(F.count("*").alias("total")) if keys else nodes.agg(F.count("*").alias("total"))
-    at = summed.join(support.select(x, y).distinct(), [x, y], "left_semi")
-    at = at.join(total, list(keys)) if keys else at.crossJoin(F.broadcast(total))
-    return at.select(*keys, x, y, (F.col("c") / F.col("total")).alias("f"))
+        at = _points(support, x, y).distinct()
+        return _at_points(nodes, at.withColumn("g", F.lit(0.0)), x, y, keys).select(*keys, F.col("x").alias(x), F.col("y").alias(y), "f")
+    own = _points(nodes, x, y).groupBy("x", "y").agg(F.count("*").alias("n")).withColumn("asked", F.lit(0))
+    both = own.unionByName(_points(support, x, y).distinct().select("x", "y", F.lit(0).cast("long").alias("n"), F.lit(1).alias("asked")))
+    points = both.groupBy("x", "y").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    below = dominance(points).join(points.where("asked = 1").select("x", "y"), ["x", "y"], "left_semi")
+    total = nodes.agg(F.count("*").alias("total"))
+    return below.crossJoin(F.broadcast(total)).select(F.col("x").alias(x), F.col("y").alias(y), (F.col("below") / F.col("total")).alias("f"))
+
+
+#: Points of samples that are broadcast at once, 16 bytes each.
+BLOCK_POINTS = 1 << 21
+
+
+def _sample_blocks(sample: DataFrame, x: str, y: str, keys: tuple):
+    """(names of the samples, their points as (x, y) arrays) in blocks of BLOCK_POINTS; samples are drawn, so one of them is small beside a population."""
+    sized = sample.groupBy(*keys).agg(F.count("*").alias("_n")).collect()
+    at, names = 0, []
+    for row in [*sized, None]:
+        if names and (row is None or at + row["_n"] > BLOCK_POINTS):
+            wanted = sample.sparkSession.createDataFrame([tuple(r) for r in names], sample.select(*keys).schema) if keys else None
+            part = sample.join(F.broadcast(wanted), list(keys), "left_semi") if keys else sample
+            t = part.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).toArrow()
+            number = {tuple(r): i for i, r in enumerate(names)}
+            which = np.array([number[k] for k in zip(*(t.column(c).to_pylist() for c in keys), strict=True)] if keys else [0] * t.num_rows, dtype=np.int64)
+            order = np.argsort(which, kind="stable")
+            bounds = np.searchsorted(which[order], np.arange(len(names) + 1))
+            xs, ys = (t.column(c).to_numpy()[order] for c in ("_x", "_y"))
+            yield names, [(xs[a:b], ys[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            at, names = 0, []
+        if row is not None:
+            if row["_n"] > BLOCK_POINTS:
+                raise ValueError(f"a sample of {row['_n']} points is a population: join it with joint_cdf")
+            at += row["_n"]
+            names.append([row[k] for k in keys])
+
+
+def _over_points(sample: DataFrame, at: DataFrame, x: str, y: str, keys: tuple, run, schema: str) -> DataFrame:
+    """``run(number, x, y, g, f)`` for every sample over each task's points (x, y, g), f being the sample's distribution there; with the keys of the samples."""
+    spark = sample.sparkSession
+    out = None
+    for names, samples in _sample_blocks(sample.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, y, keys):
+        shared = spark.sparkContext.broadcast(samples)
+
+        def count(batches, shared=shared):
+            for batch in batches:
+                px, py, g = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                for i, (sx, sy) in enumerate(shared.value):
+                    f = dominance_counts(sx, sy, np.ones(len(sx), dtype=np.int64), px, py) / len(sx)
+                    yield run(i, px, py, g, f)
+
+        rows = at.select(F.col("x").cast("double"), F.col("y").cast("double"), "g").mapInArrow(count, schema)
+        if keys:
+            fields = sample.select(*keys).schema
+            named = spark.createDataFrame([(i, *n) for i, n in enumerate(names)], "number int, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+            rows = rows.join(F.broadcast(named), "number")
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        empty = sample.select(*keys).limit(0)
+        out = empty.select(*keys, *[F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in schema.split(", ")])
+    return out.drop("number")
+
+
+def _at_points(sample, at, x, y, keys):
+    def each(i, px, py, g, f):
+        return pa.record_batch([pa.array(np.full(len(f), i, dtype=np.int32)), pa.array(px), pa.array(py), pa.array(f)], names=["number", "x", "y", "f"])
+
+    kinds = dict(at.dtypes)
+    t = _over_points(sample, at, x, y, keys, each, "number int, x double, y double, f double")
+    return t.select(*keys, F.col("x").cast(kinds["x"]), F.col("y").cast(kinds["y"]), "f")
 
 
 def joint_ks(sample: DataFrame, population: DataFrame, x: str, y: str, keys: tuple = ()) -> DataFrame:
     """(keys..., ks): the largest gap between the joint distributions, over the population's points.
 
-    The population's distribution is made once. A sample is one row, its points
-    an array, and meets the population's points without a shuffle; a maximum for
-    each sample leaves every task.
+    The population's distribution is one dominance count in range partitions.
+    Samples are broadcast in blocks of bounded size; a task counts each at its
+    own points by merging, without comparing pairs, and a maximum leaves it.
     """
-    support = population.select(x, y).distinct()
-    g = joint_cdf(population, x, y, support).select(F.col(x).alias("_x"), F.col(y).alias("_y"), F.col("f").alias("_g"))
-    points = F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).alias("_points")
-    groups = sample.groupBy(*keys).agg(points) if keys else sample.agg(points)
-    inside = F.size(F.filter("_points", lambda p: (p["x"] <= F.col("_x")) & (p["y"] <= F.col("_y"))))
-    gap = F.max(F.abs(inside / F.size("_points") - F.col("_g"))).alias("ks")
-    joined = g.crossJoin(F.broadcast(groups))  # a row for each sample of the parameter grid
-    return joined.groupBy(*keys).agg(gap) if keys else joined.agg(gap)
+
+    def largest(i, px, py, g, f):
+        return pa.record_batch([pa.array([i], pa.int32()), pa.array([float(np.max(np.abs(f - g)))] if len(f) else pa.array([None], pa.float64()))], names=["number", "ks"])
+
+    g = joint_cdf(population, x, y, population).select(F.col(x).alias("x"), F.col(y).alias("y"), F.col("f").alias("g"))
+    gaps = _over_points(sample, g, x, y, keys, largest, "number int, ks double")
+    return gaps.groupBy(*keys).agg(F.max("ks").alias("ks")) if keys else gaps.agg(F.max("ks").alias("ks"))
+
+
+def population_cdf(population: DataFrame, value: str, also: DataFrame) -> DataFrame:
+    """(value, np, part, at, below): the population's distribution at its values and those of ``also``, and just below them; running sums in range partitions."""
+    counts = population.groupBy(value).agg(F.count("*").alias("np")).unionByName(also.select(value, F.lit(0).cast("long").alias("np"))).groupBy(value).agg(F.sum("np").alias("np"))
+    total = population.agg(F.count("*").alias("tp"))
+    cdf = running_sums(counts, [value], ["np"]).crossJoin(F.broadcast(total))
+    return cdf.select(value, "np", "part", (F.col("upto_np") / F.col("tp")).alias("at"), ((F.col("upto_np") - F.col("np")) / F.col("tp")).alias("below"), "upto_np", "tp")
 
 
 def ks_two_sample(sample: DataFrame, population: DataFrame, value: str, keys: tuple = ()) -> DataFrame:
@@ -65,12 +136,8 @@ def ks_two_sample(sample: DataFrame, population: DataFrame, value: str, keys: tu
     below one; the population's distribution is made once, at its and the
     samples' values, and no sample meets all of them.
     """
-    counts = population.groupBy(value).agg(F.count("*").alias("np")).unionByName(sample.select(value, F.lit(0).cast("long").alias("np"))).groupBy(value).agg(F.sum("np").alias("np"))
-    upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    total = population.agg(F.count("*").alias("tp"))
-    cdf = counts.select(value, "np", F.sum("np").over(upto).alias("cp")).crossJoin(F.broadcast(total))
-    cdf = cdf.select(value, (F.col("cp") / F.col("tp")).alias("at"), ((F.col("cp") - F.col("np")) / F.col("tp")).alias("below"))
     smp = sample.groupBy(*keys, value).agg(F.count("*").alias("ns"))
+    cdf = population_cdf(population, value, smp)
     whole = Window.partitionBy(*keys)
     cs, ts = F.sum("ns").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), F.sum("ns").over(whole)
     f = smp.select(*keys, value, (cs / ts).alias("f"), ((cs - F.col("ns")) / ts).alias("f_below")).join(cdf, value)
@@ -119,16 +186,20 @@ def harmonic_squares(k: Column) -> Column:
 
 def anderson_darling(sample: DataFrame, population: DataFrame, value: str, keys: tuple = ()) -> DataFrame:
     """(keys..., ad): the two-sample statistic with midranks, standardised (Scholz and Stephens 1987)."""
-    pop = population.groupBy(value).agg(F.count("*").alias("f2"))
+    # running counts of the population are global, those of a sample have an offset for each range: no task sees a whole group
     smp = sample.groupBy(*keys, value).agg(F.count("*").alias("f1"))
-    groups = sample.select(*keys).distinct() if keys else None
-    base = (groups.crossJoin(pop) if keys else pop).select(*keys, value, F.lit(0).cast("long").alias("f1"), "f2")
-    both = base.unionByName(smp.select(*keys, value, "f1", F.lit(0).cast("long").alias("f2"))).groupBy(*keys, value).agg(F.sum("f1").alias("f1"), F.sum("f2").alias("f2"))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
+    pop = population_cdf(population, value, smp).select(value, "part", F.col("np").alias("f2"), F.col("upto_np").alias("c2"), F.col("tp").alias("n2"))
+    sizes = sample.groupBy(*keys).agg(F.count("*").alias("n1")) if keys else sample.agg(F.count("*").alias("n1"))
+    placed = smp.join(pop.select(value, "part"), value)
+    own = placed.groupBy(*keys, "part").agg(F.sum("f1").alias("f1"))
+    grid = sizes.crossJoin(pop.select("part").distinct())
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = grid.join(own, [*keys, "part"], "left").select(*keys, "part", "n1", F.coalesce(F.sum("f1").over(earlier), F.lit(0)).alias("before"))
+    both = pop.join(F.broadcast(before), "part").join(smp, [*keys, value], "left").withColumn("f1", F.coalesce("f1", F.lit(0)))
+    w = Window.partitionBy(*keys, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     c = lambda e: F.col(e).cast("double")
-    t = both.withColumn("l", F.col("f1") + F.col("f2"))
-    t = t.select(*keys, "l", "f1", "f2", F.sum("l").over(w).alias("cl"), F.sum("f1").over(w).alias("c1"), F.sum("f2").over(w).alias("c2"), F.sum("l").over(whole).alias("n"), F.sum("f1").over(whole).alias("n1"), F.sum("f2").over(whole).alias("n2"))
+    t = both.select(*keys, "f1", "f2", "c2", "n1", "n2", (F.col("before") + F.sum("f1").over(w)).alias("c1"))
+    t = t.withColumn("l", F.col("f1") + F.col("f2")).withColumn("cl", F.col("c1") + F.col("c2")).withColumn("n", F.col("n1") + F.col("n2"))
     b = c("cl") - c("l") / 2
     term = lambda cum, f, n: (c("l") / c("n")) * F.pow(c("n") * (c(cum) - c(f) / 2) - c(n) * b, F.lit(2.0)) / (b * (c("n") - b) - c("n") * c("l") / 4) / c(n)
     agg = [F.sum(F.when(c("n") == c("l"), 0.0).otherwise(term("c1", "f1", "n1") + term("c2", "f2", "n2"))).alias("s"), F.first("n").alias("n"), F.first("n1").alias("n1"), F.first("n2").alias("n2")]

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netexp.functions.ranks import offsets
+from netexp.functions.tables import work_folder, written
+
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """Both directions of every edge."""
@@ -18,9 +18,10 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def dense_ids(edges: DataFrame) -> DataFrame:
     """(orig, node): ids 0..N-1 in order, without one task that sorts all: range partitions are numbered by their offsets."""
     nodes = adjacency(edges).select(F.col("src").alias("orig")).distinct().repartitionByRange("orig").withColumn("part", F.spark_partition_id())
+    # the numbers of the partitions hold for the written table only
+    nodes = written(nodes.withColumn("one", F.lit(1).cast("long")), work_folder(edges.sparkSession), "nodes")
     inside = nodes.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("orig")))
-    offsets = nodes.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inside.join(offsets.select("part", "before"), "part").select("orig", (F.col("k") + F.col("before") - 1).alias("node"))
+    return inside.join(F.broadcast(offsets(nodes, ["one"])), "part").select("orig", (F.col("k") + F.col("before_one") - 1).alias("node"))
 
 
 def degree(adj: DataFrame) -> DataFrame:
@@ -56,51 +57,83 @@ def spmv(adj: DataFrame, vector: DataFrame, keys: tuple = ()) -> DataFrame:
     return adj.join(v, "dst").groupBy(*keys, F.col("src").alias("node")).agg(F.sum("value").alias("value"))
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir. Where that is unset, a local master gets a temporary folder; a cluster is refused."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"file://{tempfile.gettempdir()}/netexp-work"
-    return f"{base.rstrip('/')}/graph-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """The table written and read again: a loop's lineage ends here, and lost executors cost nothing."""
-    df.write.parquet(f"{folder}/{name}")
-    return df.sparkSession.read.parquet(f"{folder}/{name}")
-
-
 def eigenvector(adj: DataFrame, rounds: int = 100, tol: float = 1e-6, every: int = 5) -> DataFrame:
     """(node, eigen_centrality): power iteration on A + I (no oscillation on bipartite graphs), of length 1.
 
-    Stops after ``rounds`` or when N * tol bounds the summed change, tested
-    every few rounds, where the vector is also written.
+    Stops when N * tol bounds the summed change, tested every few rounds, where
+    the vector is also written; an error if it doesn't within ``rounds``. With
+    tol 0 it is the vector after just these rounds.
     """
-    spark, folder = adj.sparkSession, work_folder(adj.sparkSession)
+    folder = work_folder(adj.sparkSession)
     nodes = adj.select(F.col("src").alias("node")).distinct()
     # the loops stand for I: the vector is read once a round, so the plan grows by one join
     adj = written(adj.unionAll(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"))), folder, "adj")
     n = nodes.count()
     x = nodes.withColumn("value", F.lit(1.0 / max(n, 1) ** 0.5))
-    previous = None
+    previous, done = None, tol == 0 or n == 0
     for i in range(1, rounds + 1):
         x = spmv(adj, x)
         if i % every == 0 or i == rounds:
             norm = x.agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("length"))
             x = written(x.crossJoin(F.broadcast(norm)).select("node", (F.col("value") / F.col("length")).alias("value")), folder, f"x{i}")
-            if previous is not None and x.join(previous.withColumnRenamed("value", "was"), "node").agg(F.sum(F.abs(F.col("value") - F.col("was")))).first()[0] < n * tol:
+            if tol and previous is not None and x.join(previous.withColumnRenamed("value", "was"), "node").agg(F.sum(F.abs(F.col("value") - F.col("was")))).first()[0] < n * tol:
+                done = True
                 break
             previous = x
-    return spark.read.schema(x.schema).parquet(f"{folder}/x{i}").withColumnRenamed("value", "eigen_centrality")
+    if not done:
+        raise ArithmeticError(f"no convergence in {rounds} rounds; lanczos takes fewer")
+    return x.withColumnRenamed("value", "eigen_centrality")
 
 
-def node_attributes(edges: DataFrame, eigen: bool = False, rounds: int = 100) -> DataFrame:
+def lanczos(adj: DataFrame, tol: float = 1e-9, rounds: int = 200) -> tuple[DataFrame, float, float]:
+    """((node, eigen_centrality) of length 1, the largest eigenvalue, the residual |A x - value x| that the recurrence states).
+
+    A three-term recurrence: each round is one product with the adjacency and
+    one row of sums; the small tridiagonal matrix tells the eigenvalue and how
+    far the vector is off, and the vector is the sum of the rounds' vectors.
+    Stops when the residual is below tol times the value, with an error after
+    ``rounds``. It needs far fewer products than power iteration, as the whole
+    sequence is used and not its last vector alone.
+    """
+    folder = work_folder(adj.sparkSession)
+    nodes = adj.select(F.col("src").alias("node")).distinct()
+    n = nodes.count()
+    if not n:
+        return nodes.withColumn("eigen_centrality", F.lit(None).cast("double")), 0.0, 0.0
+    t = nodes.select("node", F.lit(n**-0.5).alias("v"), F.lit(0.0).alias("u"))
+    alphas, betas, kept = [], [], []
+    for i in range(1, rounds + 1):
+        beta = betas[-1] if betas else 0.0
+        product = t.join(spmv(adj, t.select("node", F.col("v").alias("value"))), "node")
+        w = written(product.select("node", "v", (F.col("value") - beta * F.col("u")).alias("w")), folder, f"w{i}")
+        a = w.agg(F.sum(F.col("w") * F.col("v"))).first()[0]
+        b = w.agg(F.sum((F.col("w") - a * F.col("v")) ** 2)).first()[0] ** 0.5
+        alphas.append(a)
+        betas.append(b)
+        kept.append(w)
+        values, vectors = np.linalg.eigh(np.diag(alphas) + np.diag(betas[:-1], 1) + np.diag(betas[:-1], -1))
+        value, s = float(values[-1]), vectors[:, -1]
+        residual = abs(b * float(s[-1]))
+        if residual <= tol * abs(value):
+            break
+        t = w.select("node", ((F.col("w") - a * F.col("v")) / b).alias("v"), F.col("v").alias("u"))
+    else:
+        raise ArithmeticError(f"residual {residual} of {value} after {rounds} rounds")
+    s = s * np.sign(s[0])
+    parts = [w.select("node", (F.col("v") * float(c)).alias("value")) for w, c in zip(kept, s, strict=True)]
+    x = parts[0]
+    for part in parts[1:]:
+        x = x.unionAll(part)
+    x = x.groupBy("node").agg(F.sum("value").alias("value"))
+    norm = x.agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("length"))
+    return x.crossJoin(F.broadcast(norm)).select("node", (F.col("value") / F.col("length")).alias("eigen_centrality")), value, residual
+
+
+def node_attributes(edges: DataFrame, eigen: bool = False) -> DataFrame:
     """(node, degree, cluster_coef, nb_degree[, eigen_centrality])."""
     adj = adjacency(edges)
     out = degree(adj).join(clustering(edges), "node").join(neighbour_degree(adj), "node")
-    return out.join(eigenvector(adj, rounds), "node") if eigen else out
+    return out.join(lanczos(adj)[0], "node") if eigen else out
 
 
 def hop1_lists(adj: DataFrame) -> DataFrame:
@@ -141,7 +174,9 @@ def largest_component(edges: DataFrame) -> DataFrame:
     folder = work_folder(edges.sparkSession)
     adj = written(adjacency(edges), folder, "adj")
     label = written(adj.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("label")), folder, "l0")
-    for i in range(1, 64):
+    i = 0
+    while True:  # labels only fall, and a round that changes none is the last
+        i += 1
         near = adj.join(label.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
         step = label.join(near, "node").select("node", F.least("label", "near").alias("label"))
         jump = step.join(step.select(F.col("node").alias("label"), F.col("label").alias("far")), "label").select("node", F.least("label", "far").alias("label"))

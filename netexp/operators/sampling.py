@@ -79,15 +79,28 @@ def contaminated_pairs(adj: DataFrame, sample: DataFrame, keys: tuple = ("sim",)
     return one.select(*keys, "node", "mate"), two.select(*keys, "node", "mate")
 
 
+def messages(adj: DataFrame, sample: DataFrame, keys: tuple, name: str) -> tuple[DataFrame, DataFrame]:
+    """((keys..., node, dst) along the edges of sampled nodes, (keys..., dst, n) how many of them arrive), of a sample (keys..., node); both serve what lies within two steps without its paths."""
+    folder = work_folder(adj.sparkSession)
+    sent = written(sample.select(*keys, "node").join(adj.withColumnRenamed("src", "node"), "node").select(*keys, "node", "dst"), folder, f"{name}_sent")
+    return sent, written(sent.groupBy(*keys, "dst").agg(F.count("*").alias("n")), folder, f"{name}_heard")
+
+
+def sharing(sent: DataFrame, heard: DataFrame, keys: tuple) -> DataFrame:
+    """(keys..., node) of the sampled nodes with a neighbour that another sampled node has, too."""
+    return sent.join(heard.where("n > 1").select(*keys, "dst"), [*keys, "dst"], "left_semi").select(*keys, "node").distinct()
+
+
 def contamination(adj: DataFrame, deg: DataFrame, sample: DataFrame, keys: tuple = ("sim",)) -> DataFrame:
-    """(keys..., ct1_pct, deg_clean1, pct_clean1, deg_diff1, and the same with 2): contamination by neighbours, and by nodes within two steps."""
-    one, two = contaminated_pairs(adj, sample, keys)
-    flag1 = one.select(*keys, "node").distinct().withColumn("c1", F.lit(1))
-    flag2 = two.select(*keys, "node").distinct().withColumn("c2", F.lit(1))
+    """(keys..., n, n1, n2, ct1_pct, deg_clean1, pct_clean1, deg_diff1, and the same with 2): contamination by neighbours, and by nodes within two steps, of the n sampled nodes."""
+    sent, heard = messages(adj, sample, keys, "contamination")
+    flag1 = heard.select(*keys, F.col("dst").alias("node"), F.lit(1).alias("c1"))
+    flag2 = sharing(sent, heard, keys).withColumn("c2", F.lit(1))
     t = sample.select(*keys, "node").join(deg, "node").join(flag1, [*keys, "node"], "left").join(flag2, [*keys, "node"], "left")
     t = t.withColumn("c1", F.coalesce("c1", F.lit(0))).withColumn("c2", F.greatest("c1", F.coalesce("c2", F.lit(0))))
     pop = deg.agg(F.avg("degree").alias("pop_avg_degree"))
     r = t.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.sum("c1").alias("n1"), F.sum("c2").alias("n2"),
         F.avg("c1").alias("ct1_pct"), F.avg(F.when(F.col("c1") == 0, F.col("degree"))).alias("deg_clean1"), F.avg(1 - F.col("c1")).alias("pct_clean1"),
         F.avg("c2").alias("ct2_pct"), F.avg(F.when(F.col("c2") == 0, F.col("degree"))).alias("deg_clean2"), F.avg(1 - F.col("c2")).alias("pct_clean2"),
     ).crossJoin(F.broadcast(pop))
@@ -99,8 +112,12 @@ def contamination_sweep(adj: DataFrame, deg: DataFrame, params: DataFrame) -> Da
     """Means over sims by nsample of ``contamination`` on samples of 2 * nsample; params: (sim, nsample)."""
     keys = ("sim", "nsample")
     one = contamination(adj, deg, srs(deg, params, "nsample", keys), keys)
-    names = {"ct1_pct": "pcent_contaminated_1", "deg_clean1": "avg_degree_clean_1", "pct_clean1": "pcent_clean_1", "deg_diff1": "degree_diff_pct_1", "ct2_pct": "pcent_contaminated_2", "deg_clean2": "avg_degree_clean_2", "pct_clean2": "pcent_clean_2", "deg_diff2": "degree_diff_pct_2", "pop_avg_degree": "pop_avg_degree"}
-    return one.groupBy(F.col("nsample").alias("sample_size")).agg(*[F.avg(a).alias(b) for a, b in names.items()])
+    columns = []
+    for j in (1, 2):
+        # samples of one size: a mean of shares is a share of sums, which are whole
+        hit, clean = F.sum(f"n{j}") / F.sum("n"), F.sum(F.col("n") - F.col(f"n{j}")) / F.sum("n")
+        columns += [hit.alias(f"pcent_contaminated_{j}"), F.avg(f"deg_clean{j}").alias(f"avg_degree_clean_{j}"), clean.alias(f"pcent_clean_{j}"), F.avg(f"deg_diff{j}").alias(f"degree_diff_pct_{j}")]
+    return one.groupBy(F.col("nsample").alias("sample_size")).agg(*columns, F.avg("pop_avg_degree").alias("pop_avg_degree"))
 
 
 def excluded_attributes(adj: DataFrame, attributes: DataFrame, sample: DataFrame, columns: list[str]) -> DataFrame:
@@ -120,10 +137,12 @@ def attribute_pivot(long: DataFrame, networks: list[str]) -> DataFrame:
 def second_degree(adj: DataFrame, attributes: DataFrame, clean: DataFrame, size: int) -> DataFrame:
     """Per sim, of clean egos (sim, node, arm): how many share an alter with another, or with a treated one, and what remains."""
     folder = work_folder(adj.sparkSession)
-    two = written(contaminated_pairs(adj, clean)[1], folder, "two")
-    treated = clean.where("arm = 1").select("sim", F.col("node").alias("mate"))
-    ct2 = two.select("sim", "node").distinct()
-    ct2_t = two.join(treated, ["sim", "mate"], "left_semi").select("sim", "node").distinct()
+    # clean egos are no neighbours: those that share one are at distance 2
+    sent = written(clean.select("sim", "node", (F.col("arm") == 1).cast("long").alias("treated")).join(adj.withColumnRenamed("src", "node"), "node").select("sim", "node", "treated", "dst"), folder, "sent")
+    heard = sent.groupBy("sim", "dst").agg(F.count("*").alias("n"), F.sum("treated").alias("nt")).where("n > 1")
+    two = written(sent.join(heard, ["sim", "dst"]).groupBy("sim", "node").agg(F.max(F.col("nt") > F.col("treated")).alias("by_treated")), folder, "two")
+    ct2 = two.select("sim", "node")
+    ct2_t = two.where("by_treated").select("sim", "node")
     first = clean.groupBy("sim").agg(F.count("*").alias("RM_1st_remain"))
     rest = clean.join(ct2, ["sim", "node"], "left_anti").join(attributes.select("node", "degree", "cluster_coef"), "node")
     rest = written(rest, folder, "rest")
@@ -142,8 +161,7 @@ def max_feasible_sweep(adj: DataFrame, attributes: DataFrame, params: DataFrame)
     keys = ("sim", "nsample")
     folder = work_folder(adj.sparkSession)
     clean = written(clean_egos(adj, srs(attributes, params, "nsample", keys), keys), folder, "clean")
-    _, two = contaminated_pairs(adj, clean, keys)
-    rest = written(clean.join(two.select(*keys, "node").distinct(), [*keys, "node"], "left_anti"), folder, "rest")
+    rest = written(clean.join(sharing(*messages(adj, clean, keys, "clean"), keys), [*keys, "node"], "left_anti"), folder, "rest")
 
     def stats(sample, suffix):
         t = sample.join(attributes.select("node", "degree"), "node")
@@ -186,16 +204,18 @@ def greedy_independent(adj: DataFrame, nodes: DataFrame, sims: DataFrame, size:
     adj = written(adj, folder, "adj")
     order = F.md5(F.concat_ws("-", F.col("node").cast("string"), F.col("sim").cast("string")))
     live = written(nodes.select("node").crossJoin(F.broadcast(sims.select("sim"))).withColumn("h", order), folder, "live0")
-    kept = None
-    for i in range(1, 200):
+    # the first live node of a simulation is kept in every round, so the rounds end
+    kept, i = None, 0
+    while not live.isEmpty():
+        i += 1
         rivals = live.join(adj.select(F.col("src").alias("node"), F.col("dst").alias("rival")), "node").join(live.select("sim", F.col("node").alias("rival"), F.col("h").alias("rh")), ["sim", "rival"])
         beaten = rivals.where((F.col("rh") < F.col("h")) | ((F.col("rh") == F.col("h")) & (F.col("rival") < F.col("node")))).select("sim", "node").distinct()
         chosen = written(live.join(beaten, ["sim", "node"], "left_anti"), folder, f"chosen{i}")
         kept = chosen if kept is None else kept.unionAll(chosen)
         gone = chosen.select("sim", "node").unionAll(neighbours_of(adj, chosen, ("sim",))).distinct()
         live = written(live.join(gone, ["sim", "node"], "left_anti"), folder, f"live{i}")
-        if live.isEmpty():
-            break
+    if kept is None:
+        return live.select("sim", "node")
     ranked = kept.withColumn("rn", F.row_number().over(Window.partitionBy("sim").orderBy("h", "node")))
     return ranked.where(F.col("rn") <= size).select("sim", "node")
 

@@ -30,14 +30,40 @@ alters AS (SELECT nd.sim, nd.node FROM nd LEFT JOIN samp ON samp.sim = nd.sim AN
 armalt AS (SELECT DISTINCT samp.sim, samp.arm, adj.dst AS node FROM samp JOIN adj ON adj.src = samp.node JOIN alters ON alters.sim = samp.sim AND alters.node = adj.dst)"""
 
 
-def sweep(sizes: list[int]) -> str:
-    return f"""par AS (SELECT s.sim, z.nsample FROM (SELECT unnest(range(1, {SIMS + 1}))::INTEGER AS sim) s, (SELECT unnest({sizes})::INTEGER AS nsample) z),
+def sweep(sizes: list[int], sims: int = SIMS) -> str:
+    """par, ranked, samp, nd and clean of a sweep with an order for each simulation and size; sizes beyond two arms are left out."""
+    return f"""par AS (SELECT s.sim, z.nsample FROM (SELECT unnest(range(1, {sims + 1}))::INTEGER AS sim) s, (SELECT unnest({list(sizes)})::INTEGER AS nsample) z WHERE 2 * z.nsample <= (SELECT count(*) FROM deg)),
 ranked AS (SELECT sim, nsample, node, row_number() OVER (PARTITION BY sim, nsample ORDER BY md5(node::VARCHAR || '-' || sim::VARCHAR || '-' || nsample::VARCHAR), node) AS rn FROM deg, par),
 samp AS (SELECT sim, nsample, node, CASE WHEN rn <= nsample THEN 1 ELSE 2 END AS arm FROM ranked WHERE rn <= 2 * nsample),
 nd AS (SELECT samp.sim, samp.nsample, adj.src AS node, count(*) AS nd FROM samp JOIN adj ON adj.dst = samp.node GROUP BY ALL),
 clean AS (SELECT samp.* FROM samp LEFT JOIN nd ON samp.sim = nd.sim AND samp.nsample = nd.nsample AND samp.node = nd.node WHERE nd.nd IS NULL)"""
 
 
+def nested(sizes: list[int], sims: int = SIMS) -> str:
+    """par, ranked, samp, nd and clean of ``sweep``, with the samples of a simulation as prefixes of one order; sizes beyond two arms are left out."""
+    return f"""par AS (SELECT s.sim, z.nsample FROM (SELECT unnest(range(1, {sims + 1}))::INTEGER AS sim) s, (SELECT unnest({list(sizes)})::INTEGER AS nsample) z WHERE 2 * z.nsample <= (SELECT count(*) FROM deg)),
+ranked AS (SELECT sim, node, row_number() OVER (PARTITION BY sim ORDER BY md5(node::VARCHAR || '-' || sim::VARCHAR), node) AS rn FROM deg, (SELECT DISTINCT sim FROM par)),
+samp AS (SELECT ranked.sim, nsample, node, CASE WHEN rn <= nsample THEN 1 ELSE 2 END AS arm, rn FROM ranked JOIN par ON par.sim = ranked.sim AND rn <= 2 * nsample),
+nd AS (SELECT samp.sim, samp.nsample, adj.src AS node, count(*) AS nd FROM samp JOIN adj ON adj.dst = samp.node GROUP BY ALL),
+clean AS (SELECT samp.* FROM samp LEFT JOIN nd ON samp.sim = nd.sim AND samp.nsample = nd.nsample AND samp.node = nd.node WHERE nd.nd IS NULL)"""
+
+
+def near_pairs(name: str, source: str) -> str:
+    """(sim, nsample, node) of ``source`` with a mate at distance exactly 2 in it, from all such pairs of the network."""
+    return f"""{name}h AS (SELECT DISTINCT p.src, q.dst FROM adj p JOIN adj q ON q.src = p.dst AND q.dst <> p.src ANTI JOIN adj r ON r.src = p.src AND r.dst = q.dst),
+{name} AS (SELECT DISTINCT x.sim, x.nsample, x.node FROM {source} x JOIN {name}h h ON h.src = x.node JOIN {source} y ON y.sim = x.sim AND y.nsample = x.nsample AND y.node = h.dst)"""
+
+
+def ks_windows(name: str, sample: str, population: str, value: str, keys: list[str]) -> str:
+    """(keys, ks) as ``ks``, with running counts at every population value."""
+    k = ", ".join(keys)
+    on = " AND ".join(f"g.{x} = s.{x}" for x in keys)
+    return f"""{name}p AS (SELECT {value} AS v, sum(count(*)) OVER (ORDER BY {value}) / sum(count(*)) OVER ()::DOUBLE AS fp FROM {population} GROUP BY {value}),
+{name}s AS (SELECT {k}, {value} AS v, count(*) AS c FROM {sample} GROUP BY ALL),
+{name}g AS (SELECT g.*, v, fp FROM (SELECT DISTINCT {k} FROM {name}s) g, {name}p),
+{name} AS (SELECT {k}, max(abs(fp - fs)) AS ks FROM (SELECT {', '.join('g.' + x for x in keys)}, fp, sum(coalesce(c, 0)) OVER (PARTITION BY {', '.join('g.' + x for x in keys)} ORDER BY g.v) / sum(coalesce(c, 0)) OVER (PARTITION BY {', '.join('g.' + x for x in keys)})::DOUBLE AS fs FROM {name}g g LEFT JOIN {name}s s ON {on} AND g.v = s.v) GROUP BY {k})"""
+
+
 def pairs(name: str, source: str, keys: list[str]) -> str:
     """(keys, node) of ``source`` with a mate at distance exactly 2 in it; treated: with a treated one."""
     on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys)

@@ -17,9 +17,11 @@ from netexp.functions.scalar import degree_group
 from netexp.operators import causal as C
 from netexp.operators import graph as G
 from netexp.operators import mcmc as M
+from netexp.operators import nested as N
+from netexp.operators import packed as P
 from netexp.operators import sampling as S
 from netexp.plans import reports as R
-from netexp.plans.oracles import CC, COBUY, COV, EXPO, NET, OUT, SAMPLE, SHOW_TEST, SIMS, SIZE, TRUE_D, TRUE_I, WEIGHTED, filled, ks, normal, pairs, sweep, test, w
+from netexp.plans.oracles import CC, COBUY, COV, EXPO, NET, OUT, SAMPLE, SHOW_TEST, SIMS, SIZE, TRUE_D, TRUE_I, WEIGHTED, filled, ks, ks_windows, near_pairs, nested, normal, pairs, sweep, test, w
 from netexp.sources.networks import cobuy_edges, copurchase_edges, simulated_edges
 
 SWEEP = [10, 20, 30]
@@ -134,6 +136,16 @@ def eigen_centrality(n):
     return G.eigenvector(n.adj, rounds=20, tol=0.0)
 
 
+#: 400 rounds, scaled by about the eigenvalue so that they stay in range.
+CONVERGED = ["a2 AS (SELECT src, dst FROM adj UNION ALL SELECT node, node FROM deg)", "sc AS (SELECT sum(degree * degree) / sum(degree)::DOUBLE + 1 AS c FROM deg)", "x(i, node, v) AS (SELECT 0, node, 1.0::DOUBLE FROM deg UNION ALL SELECT i + 1, a2.src, sum(v) / (SELECT c FROM sc) FROM x JOIN a2 ON a2.dst = x.node WHERE i < 400 GROUP BY i, a2.src)"]
+
+
+@query(w(NET, *CONVERGED, "SELECT node, round(v / sqrt((SELECT sum(v * v) FROM x WHERE i = 400)), 6) AS eigen_centrality FROM x WHERE i = 400", recursive=True))
+def eigen_converged(n):
+    """The eigenvector to convergence, by Lanczos."""
+    return G.lanczos(n.adj)[0]
+
+
 @query(w(NET, "SELECT src AS node, list_sort(list(dst)) AS nbrs FROM adj GROUP BY src"))
 def hop1_lists(n):
     return G.hop1_lists(n.adj)
@@ -201,12 +213,19 @@ def matched_size(n):
     return S.matched_size(S.exclusion(n.adj, n.deg, n.sample, SIZE))
 
 
-SWEEP_SQL = w(
-    NET, sweep(SWEEP), pairs("p2", "samp", ["sim", "nsample"]),
+#: Flags and means of a sweep, where p2 has the sampled nodes with a sampled one at distance 2.
+SWEEP_MEANS = [
     "fl AS (SELECT samp.sim, samp.nsample, samp.node, degree, CASE WHEN nd.nd IS NULL THEN 0 ELSE 1 END AS c1, CASE WHEN nd.nd IS NULL AND p.node IS NULL THEN 0 ELSE 1 END AS c2 FROM samp JOIN deg ON deg.node = samp.node LEFT JOIN nd ON nd.sim = samp.sim AND nd.nsample = samp.nsample AND nd.node = samp.node LEFT JOIN (SELECT DISTINCT sim, nsample, node FROM p2) p ON p.sim = samp.sim AND p.nsample = samp.nsample AND p.node = samp.node)",
     "one AS (SELECT sim, nsample, avg(c1) AS a1, avg(degree) FILTER (c1 = 0) AS d1, avg(c2) AS a2, avg(degree) FILTER (c2 = 0) AS d2, (SELECT avg(degree) FROM deg) AS pop FROM fl GROUP BY sim, nsample)",
     "SELECT nsample AS sample_size, round(avg(a1), 6) AS pcent_contaminated_1, round(avg(d1), 6) AS avg_degree_clean_1, round(avg(1 - a1), 6) AS pcent_clean_1, round(avg((d1 - pop) / pop), 6) AS degree_diff_pct_1, round(avg(a2), 6) AS pcent_contaminated_2, round(avg(d2), 6) AS avg_degree_clean_2, round(avg(1 - a2), 6) AS pcent_clean_2, round(avg((d2 - pop) / pop), 6) AS degree_diff_pct_2, round(avg(pop), 6) AS pop_avg_degree FROM one GROUP BY nsample",
-)
+]
+#: The same with shares as rounded quotients of whole numbers: at many simulations they often end in a 5.
+_share = lambda c: f"((2000000 * sum({c}) + count(*)) // (2 * count(*))) / 1e6::DOUBLE"
+SHARE_MEANS = [
+    *SWEEP_MEANS[:2], f"sh AS (SELECT nsample, {_share('c1')} AS s1, {_share('1 - c1')} AS t1, {_share('c2')} AS s2, {_share('1 - c2')} AS t2 FROM fl GROUP BY nsample)",
+    SWEEP_MEANS[2].replace("nsample AS", "one.nsample AS").replace("round(avg(a1), 6)", "any_value(s1)").replace("round(avg(1 - a1), 6)", "any_value(t1)").replace("round(avg(a2), 6)", "any_value(s2)").replace("round(avg(1 - a2), 6)", "any_value(t2)").replace("FROM one GROUP BY nsample", "FROM one JOIN sh ON sh.nsample = one.nsample GROUP BY one.nsample"),
+]
+SWEEP_SQL = w(NET, sweep(SWEEP), pairs("p2", "samp", ["sim", "nsample"]), *SWEEP_MEANS)
 
 
 @query(SWEEP_SQL)
@@ -280,38 +299,102 @@ def max_feasible(n):
     return S.max_feasible(S.exclusion_boundary(n.adj, n.deg, S.grid(n.spark, SIMS, SWEEP)))
 
 
-def _full(n, sizes):
-    """The grid of all simulations and of the sizes that two arms can be drawn in."""
+def _fits(n, sizes):
+    """The sizes that two arms can be drawn in."""
     nodes = n.deg.count()
-    return S.grid(n.spark, FULL_SIMS, [s for s in sizes if 2 * s <= nodes])
+    return [s for s in sizes if 2 * s <= nodes]
 
 
-@query(None)
+def _full(n, sizes):
+    """The grid of all simulations and of these sizes."""
+    return S.grid(n.spark, FULL_SIMS, _fits(n, sizes))
+
+
+#: Samples of the study's size.
+NSIZE = f"least({FULL_SIZE}, (SELECT count(*) FROM deg) // 2)"
+FULL_SAMPLE = f"""ranked AS (SELECT sim, node, row_number() OVER (PARTITION BY sim ORDER BY md5(node::VARCHAR || '-' || sim::VARCHAR), node) AS rn FROM deg, (SELECT unnest(range(1, {FULL_SIMS + 1}))::INTEGER AS sim)),
+samp AS (SELECT sim, node, CASE WHEN rn <= {NSIZE} THEN 1 ELSE 2 END AS arm FROM ranked WHERE rn <= 2 * {NSIZE}),
+nd AS (SELECT samp.sim, adj.src AS node, count(*)::BIGINT AS nd FROM samp JOIN adj ON adj.dst = samp.node GROUP BY samp.sim, adj.src),
+clean AS (SELECT samp.* FROM samp LEFT JOIN nd ON samp.sim = nd.sim AND samp.node = nd.node WHERE nd.nd IS NULL)"""
+
+
+@query(w(NET, FULL_SAMPLE, CLEAN_DEG, ks_windows("kk", "cd", "deg", "degree", ["sim", "arm"]), f"SELECT s.sim, s.arm, count(cd.node) AS size, round(count(cd.node) / {NSIZE}::DOUBLE, 6) AS pcent, round(avg(cd.degree), 6) AS avg_degree, round(max(kk.ks), 6) AS ks FROM (SELECT DISTINCT sim, arm FROM samp) s LEFT JOIN cd ON cd.sim = s.sim AND cd.arm = s.arm LEFT JOIN kk ON kk.sim = s.sim AND kk.arm = s.arm GROUP BY s.sim, s.arm"))
 def exclusion_summary_full(n):
     size = min(FULL_SIZE, n.deg.count() // 2)
     return S.exclusion(n.adj, n.deg, n._written(S.srs(n.deg, S.grid(n.spark, FULL_SIMS), size), "sample"), size)
 
 
-@query(None)
+@query(w(NET, sweep(FULL_CONTAMINATION, FULL_SIMS), near_pairs("p2", "samp"), *SHARE_MEANS))
 def contamination_sweep_full(n):
     return S.contamination_sweep(n.adj, n.deg, _full(n, FULL_CONTAMINATION))
 
 
-@query(None)
+@query(w(NET, nested(SWEEP), near_pairs("p2", "samp"), *SHARE_MEANS))
+def contamination_sweep_nested(n):
+    return N.contamination_sweep(n.adj, n.deg, SIMS, SWEEP)
+
+
+@query(w(NET, nested(FULL_CONTAMINATION, FULL_SIMS), near_pairs("p2", "samp"), *SHARE_MEANS))
+def contamination_sweep_nested_full(n):
+    return N.contamination_sweep(n.adj, n.deg, FULL_SIMS, _fits(n, FULL_CONTAMINATION))
+
+
+def _feasible_sql(samples):
+    return w(
+        NET, samples, near_pairs("p2", "clean"), "c1 AS (SELECT clean.sim, clean.nsample, clean.node, degree FROM clean JOIN deg ON deg.node = clean.node)",
+        "c2 AS (SELECT c1.* FROM c1 ANTI JOIN p2 p ON p.sim = c1.sim AND p.nsample = c1.nsample AND p.node = c1.node)",
+        ks_windows("k1", "c1", "deg", "degree", ["sim", "nsample"]), ks_windows("k2", "c2", "deg", "degree", ["sim", "nsample"]),
+        "s1 AS (SELECT a.nsample, avg(n) AS n, avg(d) AS d, avg(ks) AS ks FROM (SELECT sim, nsample, count(*) AS n, avg(degree) AS d FROM c1 GROUP BY ALL) a JOIN k1 ON k1.sim = a.sim AND k1.nsample = a.nsample GROUP BY a.nsample)",
+        "s2 AS (SELECT a.nsample, avg(n) AS n, avg(d) AS d, avg(ks) AS ks FROM (SELECT sim, nsample, count(*) AS n, avg(degree) AS d FROM c2 GROUP BY ALL) a JOIN k2 ON k2.sim = a.sim AND k2.nsample = a.nsample GROUP BY a.nsample)",
+        "SELECT s1.nsample, round(s1.n, 6) AS remaining_1st, round(s1.d, 6) AS avg_degree_1st, round(s1.ks, 6) AS KS_degree_1st, round(s2.n, 6) AS remaining_2nd, round(s2.d, 6) AS avg_degree_2nd, round(s2.ks, 6) AS KS_degree_2nd FROM s1 LEFT JOIN s2 ON s1.nsample = s2.nsample",
+    )
+
+
+@query(_feasible_sql(sweep(FULL_SWEEP, FULL_SIMS)))
 def max_feasible_sweep_full(n):
     return S.max_feasible_sweep(n.adj, n.attributes, _full(n, FULL_SWEEP))
 
 
-@query(None)
+@query(_feasible_sql(nested(SWEEP)))
+def max_feasible_sweep_nested(n):
+    return N.max_feasible_sweep(n.adj, n.deg, SIMS, SWEEP)
+
+
+@query(_feasible_sql(nested(FULL_SWEEP, FULL_SIMS)))
+def max_feasible_sweep_nested_full(n):
+    return N.max_feasible_sweep(n.adj, n.deg, FULL_SIMS, _fits(n, FULL_SWEEP))
+
+
+def _boundary_sql(samples):
+    return [NET, samples, "cd AS (SELECT clean.sim, clean.nsample, degree FROM clean JOIN deg ON deg.node = clean.node)", ks_windows("kk", "cd", "deg", "degree", ["sim", "nsample"]), BOUNDARY[-1]]
+
+
+BOUNDARY_ROWS = "SELECT nsample, round(avg_remain, 6) AS avg_remain, round(avg_ks, 6) AS avg_KS, coalesce(avg_ks < 0.1, false) AS feasible FROM bd"
+BOUNDARY_MOST = "SELECT round(coalesce(max(CASE WHEN avg_ks < 0.1 THEN avg_remain END), 0), 6) AS max_remain FROM bd"
+
+
+@query(w(*_boundary_sql(sweep(FULL_SWEEP, FULL_SIMS)), BOUNDARY_ROWS))
 def boundary_excl_full(n):
     return S.exclusion_boundary(n.adj, n.deg, _full(n, FULL_SWEEP))
 
 
-@query(None)
+@query(w(*_boundary_sql(sweep(FULL_SWEEP, FULL_SIMS)), BOUNDARY_MOST))
 def max_feasible_full(n):
     return S.max_feasible(S.exclusion_boundary(n.adj, n.deg, _full(n, FULL_SWEEP)))
 
 
+@query(w(*_boundary_sql(nested(FULL_SWEEP, FULL_SIMS)), BOUNDARY_ROWS))
+def boundary_excl_nested_full(n):
+    return N.exclusion_boundary(n.adj, n.deg, FULL_SIMS, _fits(n, FULL_SWEEP))
+
+
+@query(w(NET, FULL_SAMPLE, "single AS (SELECT nd.sim, nd.node FROM nd ANTI JOIN samp ON samp.sim = nd.sim AND samp.node = nd.node WHERE nd.nd = 1)", "SELECT sim, arm, 'ego' AS role, node FROM clean UNION ALL SELECT samp.sim, samp.arm, 'alter', adj.dst FROM samp JOIN adj ON adj.src = samp.node JOIN single ON single.sim = samp.sim AND single.node = adj.dst"))
+def sample_roles_full(n):
+    """Clean egos and clean alters of all simulations of the study, packed into two words a node."""
+    size = min(FULL_SIZE, n.deg.count() // 2)
+    return P.roles(n.adj, n._written(S.srs(n.deg, S.grid(n.spark, FULL_SIMS), size), "sample"))
+
+
 @query(w(NET, "SELECT degree, round(count(*) / (SELECT count(*) FROM deg)::DOUBLE, 6) AS p FROM deg GROUP BY degree"))
 def epdf_degree(n):
     return D.epdf(n.deg, ["degree"])
