@@ -55,25 +55,43 @@ def baseline_outcome(deg: DataFrame, cov: DataFrame, network: str = "simulated")
     return t.select("node", (mean + hash_normal(F.col("node"), "noise")).alias("y00"), hash_normal(F.col("node"), "ego").alias("ego_effect"))
 
 
+#: Terms before the series of the gamma function, which is exact to 12 digits beyond them.
+_SHIFT = 16
+
+
+def log_products(top: Column, bottom: Column, k: Column) -> Column:
+    """The logarithm of the product of (top - i) / (bottom - i) for i below k, all positive: ratios of gamma functions by Stirling's series.
+
+    Both ratios are written with log1p(-k / x), so that nothing of the size of
+    log gamma itself is subtracted: populations of any size keep their digits.
+    """
+
+    def part(z):
+        """log gamma(z + 1) - log gamma(z + 1 - k) without its term k log x."""
+        x = z + 1 + _SHIFT
+        low = x - k
+        series = lambda v: 1 / (12 * v) - 1 / (360 * v**3) + 1 / (1260 * v**5)
+        out = -(low - 0.5) * F.log1p(-k / x) - k + series(x) - series(low)
+        for j in range(1, _SHIFT + 1):
+            out = out + F.log1p(-k / (z + j))
+        return out
+
+    return k * F.log((top + 1 + _SHIFT) / (bottom + 1 + _SHIFT)) + part(top) - part(bottom)
+
+
 def exposure(deg: DataFrame, size: int) -> DataFrame:
     """(node, d11, d10, d0n, d01, d00): the exact chances that a node is an ego with or without sampled neighbours, or no ego with several, one or none, when ``size`` of all nodes are drawn.
 
-    They depend on the degree only, so the products are made once a degree.
+    They depend on the degree only, so the products are made once a degree,
+    in closed form (see log_products).
     """
-    N, k, n = F.col("N"), F.col("degree"), float(size)
+    N, k, n = F.col("N"), F.col("degree").cast("double"), float(size)
     t = _scalars(deg.select("node", "degree"), F.count("*").cast("double").alias("N"))
     one = t.select("degree", "N").distinct()
-    j = F.sequence(F.lit(0), (k - 1).cast("int"))
-
-    def product(top, bottom, steps):
-        factor = lambda i: F.when((top - i <= 0) | (bottom - i <= 0), F.lit(None).cast("double")).otherwise(F.log((top - i) / (bottom - i)))
-        total = F.aggregate(steps, F.lit(0.0), lambda a, i: a + factor(i))
-        return F.coalesce(F.exp(total), F.lit(0.0))
-
-    short = F.when(k > 1, F.sequence(F.lit(0), F.greatest((k - 2).cast("int"), F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    d10 = n / N * product(N - n, N - 1, j)
-    d00 = (N - n) / N * product(N - 1 - n, N - 1, j)
-    d01 = (N - n) / N * k * n / (N - 1) * product(N - 1 - n, N - 2, short)
+    product = lambda top, bottom, steps: F.when(top - steps + 1 > 0, F.exp(log_products(top, bottom, steps))).otherwise(0.0)
+    d10 = n / N * product(N - n, N - 1, k)
+    d00 = (N - n) / N * product(N - 1 - n, N - 1, k)
+    d01 = (N - n) / N * k * n / (N - 1) * F.when(k > 1, product(N - 1 - n, N - 2, k - 1)).otherwise(1.0)
     chances = one.select("degree", "N", d10.alias("d10"), d00.alias("d00"), d01.alias("d01"))
     chances = chances.select("degree", (n / N - F.col("d10")).alias("d11"), "d10", ((N - n) / N - F.col("d00") - F.col("d01")).alias("d0n"), "d01", "d00")
     return deg.select("node", "degree").join(F.broadcast(chances), "degree").select("node", "d11", "d10", "d0n", "d01", "d00")  # a row per degree
@@ -139,13 +157,17 @@ def t_test(values: DataFrame, true_value, keys: tuple = ("sim",), nodes: DataFra
         arms = values.groupBy(*keys).agg(*[zero(F.sum(arm(a) ** p)).alias(f"s{p}{a}") for a in (1, 2) for p in (1, 2)]).crossJoin(F.broadcast(nodes.agg(F.count("*").alias("N"))))
         every = F.col("N")
         arms = arms.select(*keys, *[c for a in (1, 2) for c in (every.alias(f"n{a}"), (F.col(f"s1{a}") / every).alias(f"m{a}"), ((F.col(f"s2{a}") - F.col(f"s1{a}") * F.col(f"s1{a}") / every) / (every - 1)).alias(f"v{a}"))])
+    return test_of_arms(arms, true_value if isinstance(true_value, Column) else F.lit(true_value), keys)
+
+
+def test_of_arms(arms: DataFrame, true_value: Column, keys: tuple) -> DataFrame:
+    """The t-tests of arms (keys..., n1, m1, v1, n2, m2, v2)."""
     n1, n2 = F.col("n1"), F.col("n2")
     df = n1 + n2 - 2
     se = F.sqrt(((n1 - 1) * F.col("v1") + (n2 - 1) * F.col("v2")) / df * (1 / n1 + 1 / n2))
     r = arms.select(*keys, (F.col("m1") - F.col("m2")).alias("est"), se.alias("se"), df.alias("df"))
     half = t975(F.col("df")) * F.col("se")
     r = r.select(*keys, "est", "se", F.try_divide(F.col("est"), F.col("se")).alias("t"), (F.col("est") - half).alias("lo"), (F.col("est") + half).alias("hi"))
-    true_value = true_value if isinstance(true_value, Column) else F.lit(true_value)
     return r.withColumn("power", F.col("lo") > 0).withColumn("coverage", (F.col("lo") < true_value) & (true_value < F.col("hi")))
 
 
@@ -209,10 +231,10 @@ def cate(deg: DataFrame, obs: DataFrame, network: str) -> DataFrame:
     return t.groupBy("sim", "degree_group").agg((F.avg(F.when(F.col("arm") == 1, F.col("y"))) - F.avg(F.when(F.col("arm") == 2, F.col("y")))).alias("est"))
 
 
-def cate_by_estimator(groups: DataFrame, estimators: list[str]) -> DataFrame:
-    """(sim, degree_group, estimator, est): of ``estimators`` the first has the estimates of ``groups``, the others null ones: their groups are not estimated."""
+def cate_by_estimator(groups: DataFrame, estimators: list[str], keys: tuple = ()) -> DataFrame:
+    """(keys..., sim, degree_group, estimator, est): of ``estimators`` the first has the estimates of ``groups``, the others null ones: their groups are not estimated."""
     est = F.when(F.col("estimator") == estimators[0], F.col("est")).alias("est")
-    return groups.withColumn("estimator", F.explode(F.array(*map(F.lit, estimators)))).select("sim", "degree_group", "estimator", est)
+    return groups.withColumn("estimator", F.explode(F.array(*map(F.lit, estimators)))).select(*keys, "sim", "degree_group", "estimator", est)
 
 
 def effect_table(tests: DataFrame, keys: list[str], true_value: str = "true_value") -> DataFrame:
@@ -244,6 +266,9 @@ def cate_table(groups: DataFrame, true_groups: DataFrame, keys: tuple = ()) -> D
     return t.groupBy(*keys, "degree_group").agg(F.avg("true_cate").alias("true_cate"), F.avg("est").alias("avg_cate_est"), F.stddev_pop("est").alias("sd_cate_est"), F.avg(F.abs(gap)).alias("MAE"), F.sqrt(F.avg(gap * gap)).alias("rmse"))
 
 
-def true_effects(deg: DataFrame, tau1: float, network: str) -> DataFrame:
-    """(degree_group, true_cate): the mean of tau1 * degree by group."""
-    return deg.groupBy(degree_group(F.col("degree"), network).alias("degree_group")).agg(F.avg(tau1 * F.col("degree")).alias("true_cate"))
+def true_effects(deg: DataFrame, tau1, network: str) -> DataFrame:
+    """(degree_group, true_cate): the mean of tau1 * degree by group; for a list of effect sizes (tau1, degree_group, true_cate)."""
+    mean = deg.groupBy(degree_group(F.col("degree"), network).alias("degree_group")).agg(F.avg("degree").alias("mean"))
+    if isinstance(tau1, list):
+        return mean.withColumn("tau1", F.explode(F.array(*[F.lit(float(x)) for x in tau1]))).select("tau1", "degree_group", (F.col("tau1") * F.col("mean")).alias("true_cate"))
+    return mean.select("degree_group", (tau1 * F.col("mean")).alias("true_cate"))

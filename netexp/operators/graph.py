@@ -47,14 +47,17 @@ def clustering(edges: DataFrame) -> DataFrame:
 
 def neighbour_degree(adj: DataFrame) -> DataFrame:
     """(node, nb_degree): the mean degree of a node's neighbours."""
-    deg = degree(adj).withColumnRenamed("node", "dst")
-    return adj.join(deg, "dst").groupBy(F.col("src").alias("node")).agg(F.avg("degree").alias("nb_degree"))
+    deg = degree(adj).withColumnRenamed("node", "src")
+    return adj.join(deg, "src").groupBy(F.col("dst").alias("node")).agg(F.avg("degree").alias("nb_degree"))
 
 
 def spmv(adj: DataFrame, vector: DataFrame, keys: tuple = ()) -> DataFrame:
-    """Neighbour sums of a sparse vector (keys..., node, value): (keys..., node, value); nodes without one are absent."""
-    v = vector.withColumnRenamed("node", "dst")
-    return adj.join(v, "dst").groupBy(*keys, F.col("src").alias("node")).agg(F.sum("value").alias("value"))
+    """Neighbour sums of a sparse vector (keys..., node, value): (keys..., node, value); nodes without one are absent.
+
+    Values are sent along the edges from src, by which a stored adjacency is bucketed: only the vector moves.
+    """
+    v = vector.withColumnRenamed("node", "src")
+    return adj.join(v, "src").groupBy(*keys, F.col("dst").alias("node")).agg(F.sum("value").alias("value"))
 
 
 def eigenvector(adj: DataFrame, rounds: int = 100, tol: float = 1e-6, every: int = 5) -> DataFrame:
@@ -140,11 +143,40 @@ def hop1_lists(adj: DataFrame) -> DataFrame:
     return adj.groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_set("dst")).alias("nbrs"))
 
 
-def hop2(adj: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """(src, dst) at distance exactly 2; with ``start`` (node) only from there, filtered before the neighbourhoods unfold."""
+def bitmaps(pairs: DataFrame) -> DataFrame:
+    """(src, chunk, bits) of pairs (src, dst): the set of dst as words of 64 ids; dst is bit dst % 64 of chunk dst // 64."""
+    return pairs.groupBy("src", F.expr("shiftright(dst, 6)").alias("chunk")).agg(F.bit_or(F.expr("shiftleft(1L, cast(dst & 63 as int))")).alias("bits"))
+
+
+def two_steps(adj: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """(src, chunk, bits): the nodes at distance exactly 2 as bitmaps; with ``start`` (node) only from there.
+
+    A node's set is the union of its neighbours' sets, by ``bit_or``: paths are
+    united before the shuffle and never sorted, and a hub sends words of 64
+    nodes to its neighbours, not a row for each pair of them.
+    """
+    own = bitmaps(adj)
     first = adj if start is None else adj.join(start.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
-    two = first.select("src", F.col("dst").alias("mid")).join(adj.select(F.col("src").alias("mid"), "dst"), "mid").where("src <> dst").select("src", "dst").distinct()
-    return two.join(first, ["src", "dst"], "left_anti")
+    mids = first.select(F.col("dst").alias("mid"), F.col("src").alias("from"))
+    if start is None:  # both directions are there: keyed by src, as the sets are
+        mids = adj.select(F.col("src").alias("mid"), F.col("dst").alias("from"))
+    united = mids.join(own.withColumnRenamed("src", "mid"), "mid").groupBy(F.col("from").alias("src"), "chunk").agg(F.bit_or("bits").alias("bits"))
+    near = own if start is None else bitmaps(first)
+    self_bit = F.when(F.col("chunk") == F.expr("shiftright(src, 6)"), F.expr("shiftleft(1L, cast(src & 63 as int))")).otherwise(F.lit(0).cast("long"))
+    known = F.coalesce(F.col("near"), F.lit(0).cast("long")).bitwiseOR(self_bit)
+    left = united.join(near.withColumnRenamed("bits", "near"), ["src", "chunk"], "left").select("src", "chunk", F.col("bits").bitwiseAND(F.bitwise_not(known)).alias("bits"))
+    return left.where("bits <> 0")
+
+
+def hop2(adj: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """(src, dst) at distance exactly 2; with ``start`` (node) only from there."""
+    at = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0))
+    return two_steps(adj, start).select("src", "chunk", at.alias("at")).select("src", (F.col("chunk") * 64 + F.col("at")).alias("dst"))
+
+
+def hop2_counts(adj: DataFrame) -> DataFrame:
+    """(node, n): how many nodes are at distance exactly 2; nodes without one are absent."""
+    return two_steps(adj).groupBy(F.col("src").alias("node")).agg(F.sum(F.bit_count("bits")).alias("n"))
 
 
 def neighbours_of(adj: DataFrame, sample: DataFrame, keys: tuple = ()) -> DataFrame:

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netexp.functions.scalar import DEGREE_GROUPS, degree_group
-from netexp.operators import causal, graph, mcmc, sampling
+from netexp.functions.scalar import DEGREE_GROUPS
+from netexp.operators import causal, effects, graph, mcmc, sampling
 from netexp.plans import reports
 from netexp.sources import networks, sinks
 
@@ -121,31 +121,25 @@ def estimate(spark: SparkSession, folder: str, network: str, size: int, sims: in
 def estimate_tables(spark: SparkSession, folder: str, network: str, size: int, sims: int, taus: list[float] | None = None) -> dict[str, DataFrame]:
     """``ate`` (tau1, estimator, estimand, ...) and ``cate`` (tau1, estimator, degree_group, ...) over the exclusion samples and, as RP, the matched ones.
 
-    Effect sizes are a key of the samples: one plan serves all of them.
+    Outcomes are lines in the effect size: one plan serves any number of them.
     """
     net = sinks.load_network(spark, folder)
     adj, attributes = net["hop1"], net["attributes"]
     deg = attributes.select("node", "degree")
-    base = causal.baseline_outcome(deg, attributes.drop("degree"), network)
     work = graph.work_folder(spark)
-    base = graph.written(base, work, "base")
-    expo = sinks.reuse(spark, f"{folder}/exposure", lambda: causal.exposure(deg, 2 * size))
+    base = graph.written(causal.baseline_outcome(deg, attributes.drop("degree"), network), work, "base")
+    expo = sinks.reuse(spark, f"{folder}/exposure_{2 * size}", lambda: causal.exposure(deg, 2 * size))
     taus = taus or causal.TAU1
     mean = deg.agg(F.avg("degree")).first()[0]
-    drawn = graph.written(causal.with_effect_sizes(sampling.srs(attributes, sampling.grid(spark, sims), size), taus), work, "drawn")
+    drawn = graph.written(sampling.srs(attributes, sampling.grid(spark, sims), size), work, "drawn")
     clean = graph.written(sampling.clean_egos(adj, drawn), work, "clean")
     matched = sinks.load_samples(spark, f"{folder}/samples", network, "matched").where("role = 'ego'").select("sim", "arm", "node")
-    matched = graph.written(causal.with_effect_sizes(matched, taus), work, "matched")
-    tau = F.col("sim.tau1")
-    tests = causal.estimates(adj, deg, base, expo, drawn, clean, tau, mean)
-    rp = causal.estimates(adj, deg, base, expo, matched, matched, tau, mean)
-    ate = causal.ate_grid(tests | {"rp_dte": rp["dim_dte"], "rp_ite": rp["dim_ite"]}, mean)
     groups_of = network if network in DEGREE_GROUPS else "simulate_base"
-    group = degree_group(F.col("degree"), groups_of)
-    true = deg.withColumn("tau1", F.explode(F.array(*map(F.lit, taus)))).groupBy("tau1", group.alias("degree_group")).agg(F.avg(F.col("tau1") * F.col("degree")).alias("true_cate"))
-    by_group = lambda sample, egos, names: causal.cate_by_estimator(causal.cate(deg, causal.observed(causal.realised_outcome(adj, deg, base, sample, tau, egos), egos.select("sim", "arm", "node")), groups_of), names)
-    groups = by_group(drawn, clean, ["dim", "ht", "hajek"]).unionByName(by_group(matched, matched, ["rp"])).withColumn("tau1", tau)
-    out = {"ate": ate, "cate": causal.cate_table(groups, true, ("tau1", "estimator"))}
+    tests, groups = effects.effects(adj, deg, base, expo, drawn, clean, taus, mean, groups_of, {m: m for m in ("dim", "ht", "hajek")})
+    rp_tests, rp_groups = effects.effects(adj, deg, base, expo, matched, matched, taus, mean, groups_of, {"dim": "rp"})
+    ate = causal.effect_table(tests.unionByName(rp_tests), ["tau1", "estimator", "estimand"])
+    by_name = causal.cate_by_estimator(groups, ["dim", "ht", "hajek"], ("tau1",)).unionByName(causal.cate_by_estimator(rp_groups, ["rp"], ("tau1",)))
+    out = {"ate": ate, "cate": causal.cate_table(by_name, causal.true_effects(deg, taus, groups_of), ("tau1", "estimator"))}
     for name, table in out.items():
         sinks.save_table(table, f"{folder}/{name}")
     return out

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from netexp.functions import distributions as D
 from netexp.functions.scalar import degree_group
 from netexp.operators import causal as C
+from netexp.operators import effects as E
 from netexp.operators import graph as G
 from netexp.operators import mcmc as M
 from netexp.operators import nested as N
@@ -156,7 +157,12 @@ HOP2 = "h AS (SELECT DISTINCT p.src, q.dst FROM adj p JOIN adj q ON q.src = p.ds
 
 @query(w(NET, HOP2, "SELECT src AS node, count(*) AS n FROM h GROUP BY src"))
 def hop2_counts(n):
-    return G.hop2(n.adj).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
+    return G.hop2_counts(n.adj)
+
+
+@query(w(NET, HOP2, "SELECT src, dst FROM h"))
+def hop2_pairs(n):
+    return G.hop2(n.adj)
 
 
 @query(w(COBUY, "r(s, t) AS (SELECT node, node FROM deg UNION SELECT r.s, adj.dst FROM r JOIN adj ON adj.src = r.t)", "c AS (SELECT s AS node, min(t) AS label FROM r GROUP BY s)", "SELECT count(*) AS n_edges FROM e JOIN c ON c.node = e.s WHERE label = (SELECT label FROM c GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)", recursive=True), cobuy=True)
@@ -612,13 +618,17 @@ def ate_table(n):
 TAUS = [0.0, 0.05, 0.1]
 
 
-def _each_tau(text):
-    return text.replace("samp", "xsamp").replace("clean", "xclean").replace("armalt", "xarm").replace("0.05 * degree", "0.05 * (sim // 100) * degree")
+def _each_tau(text, step=0.05):
+    return text.replace("samp", "xsamp").replace("clean", "xclean").replace("armalt", "xarm").replace("0.05 * degree", f"{step} * (sim // 100) * degree")
+
 
+def _spread(taus):
+    return ", ".join(f"{new} AS (SELECT {old}.* REPLACE (sim + 100 * k AS sim) FROM {old}, (SELECT unnest(range({len(taus)})) AS k) u)" for old, new in (("samp", "xsamp"), ("clean", "xclean"), ("armalt", "xarm")))
 
-def _grid_sql():
-    spread = ", ".join(f"{new} AS (SELECT {old}.* REPLACE (sim + 100 * k AS sim) FROM {old}, (SELECT unnest(range({len(TAUS)})) AS k) u)" for old, new in (("samp", "xsamp"), ("clean", "xclean"), ("armalt", "xarm")))
-    tau = "(SELECT avg(degree) FROM deg) * 0.05 * (sim // 100)"
+
+def _grid_sql(taus=TAUS, step=0.05):
+    spread = _spread(taus)
+    tau = f"(SELECT avg(degree) FROM deg) * {step} * (sim // 100)"
     pieces = [
         ("dim", "d10", tau, [test("oe", tau)]), ("dim", "d01", f"{tau} * 0.5", [_each_tau(AM), test("am", f"{tau} * 0.5")]),
         ("ht", "d10", tau, [filled("fh", "he"), test("fh", tau)]), ("ht", "d01", f"{tau} * 0.5", ["hs AS (SELECT sim, arm, su.node, coalesce(sy, 0) / degree AS y FROM su JOIN deg ON deg.node = su.node)", test("hs", f"{tau} * 0.5")]),
@@ -628,8 +638,8 @@ def _grid_sql():
     tests = [f"t{i} AS ({w(*parts, f"SELECT sim, est, se, power, coverage, '{estimator}' AS estimator, '{estimand}' AS estimand, {true} AS tv FROM tst")})" for i, (estimator, estimand, true, parts) in enumerate(pieces)]
     every = "every AS (" + " UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(len(pieces))) + ")"
     return w(
-        NET, SAMPLE, COV, spread, _each_tau(OUT), EXPO, WEIGHTED, _each_tau(SUMS), *tests, every,
-        "SELECT round(0.05 * (sim // 100), 6)::DOUBLE AS tau1, estimator, estimand, round(avg(tv), 6) AS true_value, round(avg(est), 6) AS avg_est, round(avg(se), 6) AS avg_se, round(stddev_pop(est), 6) AS sd_est, round(avg(est - tv), 6) AS bias, round(avg(abs(est - tv)), 6) AS MAE, round(avg(pow(est - tv, 2)), 6) AS mse, round(sqrt(avg(pow(est - tv, 2))), 6) AS rmse, round(avg(power::INTEGER), 6) AS power, round(avg(coverage::INTEGER), 6) AS coverage FROM every GROUP BY sim // 100, estimator, estimand",
+        NET, SAMPLE, COV, spread, _each_tau(OUT, step), EXPO, WEIGHTED, _each_tau(SUMS), *tests, every,
+        f"SELECT round({step} * (sim // 100), 6)::DOUBLE AS tau1, estimator, estimand, round(avg(tv), 6) AS true_value, round(avg(est), 6) AS avg_est, round(avg(se), 6) AS avg_se, round(stddev_pop(est), 6) AS sd_est, round(avg(est - tv), 6) AS bias, round(avg(abs(est - tv)), 6) AS MAE, round(avg(pow(est - tv, 2)), 6) AS mse, round(sqrt(avg(pow(est - tv, 2))), 6) AS rmse, round(avg(power::INTEGER), 6) AS power, round(avg(coverage::INTEGER), 6) AS coverage FROM every GROUP BY sim // 100, estimator, estimand",
     )
 
 
@@ -641,6 +651,17 @@ def ate_grid(n):
     return C.ate_grid(C.estimates(n.adj, n.deg, n.base, _expo(n), sample, clean, F.col("sim.tau1"), mean), mean)
 
 
+@query(_grid_sql(C.TAU1, 0.01))
+def ate_grid_study(n):
+    """The grid at the study's eleven effect sizes, from moments of lines."""
+    mean = n.deg.agg(F.avg("degree")).first()[0]
+    return C.effect_table(_effects(n, mean)[0], ["tau1", "estimator", "estimand"])
+
+
+def _effects(n, mean):
+    return E.effects(n.adj, n.deg, n.base, _expo(n), n.sample, n.clean, C.TAU1, mean, "simulate_base", {e: e for e in ("dim", "ht", "hajek")})
+
+
 CATE_GRID = "SELECT ce.degree_group, m.estimator, round(avg(tc), 6) AS true_cate, round(avg(CASE WHEN m.estimator = 'dim' THEN est END), 6) AS avg_cate_est, round(stddev_pop(CASE WHEN m.estimator = 'dim' THEN est END), 6) AS sd_cate_est, round(avg(CASE WHEN m.estimator = 'dim' THEN abs(est - tc) END), 6) AS MAE, round(sqrt(avg(CASE WHEN m.estimator = 'dim' THEN pow(est - tc, 2) END)), 6) AS rmse FROM ce JOIN tg ON tg.degree_group = ce.degree_group CROSS JOIN (SELECT unnest(['dim', 'ht', 'hajek']) AS estimator) m GROUP BY ce.degree_group, m.estimator"
 
 
@@ -659,6 +680,16 @@ def cate_grid(n):
     return C.cate_table(groups, C.true_effects(n.deg, 0.05, "simulate_base"), ("estimator",))
 
 
+@query(w(
+    NET, SAMPLE, COV, _spread(C.TAU1), _each_tau(OUT, 0.01), CD, TG.replace("avg(0.05 * degree)", "avg(0.01 * degree)"),
+    "SELECT round(0.01 * (ce.sim // 100), 6)::DOUBLE AS tau1, ce.degree_group, round(avg(tc * (ce.sim // 100)), 6) AS true_cate, round(avg(est), 6) AS avg_cate_est, round(stddev_pop(est), 6) AS sd_cate_est, round(avg(abs(est - tc * (ce.sim // 100))), 6) AS MAE, round(sqrt(avg(pow(est - tc * (ce.sim // 100), 2))), 6) AS rmse FROM ce JOIN tg ON tg.degree_group = ce.degree_group GROUP BY ce.sim // 100, ce.degree_group",
+))
+def cate_grid_study(n):
+    """Effects by degree group at the study's effect sizes."""
+    mean = n.deg.agg(F.avg("degree")).first()[0]
+    return C.cate_table(_effects(n, mean)[1], C.true_effects(n.deg, C.TAU1, "simulate_base"), ("tau1",))
+
+
 @query(w(NET, "SELECT node, round(coalesce((degree - avg(degree) OVER ()) / stddev_pop(degree) OVER (), 0), 6) AS z FROM deg"))
 def zscores(n):
     return C.zscores(n.deg, {"degree": "z"}).select("node", "z")

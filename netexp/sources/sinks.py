@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,17 +10,40 @@ from pyspark.sql import DataFrame, SparkSession
 from netexp.sources.networks import exists
 
 
-def save_network(attributes: DataFrame, adjacency: DataFrame, folder: str, hop2: DataFrame | None = None) -> None:
-    """Node attributes (covariates are more columns), hop-1 and optionally hop-2 pairs as Parquet."""
+#: Edges of a bucket of the stored adjacency, unless the caller says how many buckets.
+BUCKET_EDGES = 2_000_000
+
+
+def _table_of(folder: str) -> str:
+    return f"netexp_hop1_{hashlib.md5(folder.encode()).hexdigest()[:16]}"
+
+
+def save_network(attributes: DataFrame, adjacency: DataFrame, folder: str, hop2: DataFrame | None = None, buckets: int | None = None) -> None:
+    """Node attributes (covariates are more columns), hop-1 and optionally hop-2 pairs as Parquet.
+
+    The adjacency is bucketed and sorted by src, so that joins and sums by node
+    read it without moving it.
+    """
+    spark = attributes.sparkSession
     attributes.write.mode("overwrite").parquet(f"{folder}/attributes")
-    adjacency.write.mode("overwrite").parquet(f"{folder}/hop1")
+    pairs = adjacency.select("src", "dst")
+    buckets = buckets or max(1, -(-pairs.count() // BUCKET_EDGES))
+    name = _table_of(folder)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    pairs.repartition(buckets, "src").write.mode("overwrite").bucketBy(buckets, "src").sortBy("src").option("path", f"{folder}/hop1").saveAsTable(name)
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/hop1_buckets")
     if hop2 is not None:
         hop2.write.mode("overwrite").parquet(f"{folder}/hop2")
 
 
 def load_network(spark: SparkSession, folder: str) -> dict[str, DataFrame | None]:
-    path = f"{folder}/hop2"
-    return {"attributes": spark.read.parquet(f"{folder}/attributes"), "hop1": spark.read.parquet(f"{folder}/hop1"), "hop2": spark.read.parquet(path) if exists(spark, path) else None}
+    """attributes, hop1 and hop2 (None where it isn't stored). The session's catalog learns of the buckets, which the files alone do not tell."""
+    path, name = f"{folder}/hop2", _table_of(folder)
+    if not spark.catalog.tableExists(name):
+        buckets = spark.read.parquet(f"{folder}/hop1_buckets").first()[0]
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(f"{folder}/hop1").schema)
+        spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY (src) SORTED BY (src) INTO {buckets} BUCKETS LOCATION '{folder}/hop1'")
+    return {"attributes": spark.read.parquet(f"{folder}/attributes"), "hop1": spark.table(name), "hop2": spark.read.parquet(path) if exists(spark, path) else None}
 
 
 def save_samples(samples: DataFrame, folder: str) -> None:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from netexp.functions import distributions as D
 from netexp.functions import ranks
-from netexp.operators import graph, nested, packed, sampling
-from netexp.sources import networks
+from netexp.operators import causal, effects, graph, nested, packed, sampling
+from netexp.sources import networks, sinks
 
 
 def random_edges(spark, n, m, seed, hub=False):
@@ -171,3 +171,86 @@ def test_long_paths_converge(spark):
     kept = {r.node for r in sampling.greedy_independent(graph.adjacency(e), graph.degree(graph.adjacency(e)), sampling.grid(spark, 1), 1000).collect()}
     near = neighbours(pairs)
     assert all(not near[v] & kept for v in kept) and all(v in kept or near[v] & kept for v in near)
+
+
+@pytest.mark.parametrize("hub", [False, True])
+def test_two_steps_as_bitmaps(spark, hub):
+    pairs, e = random_edges(spark, 300, 200, 8, hub)
+    near, adj = neighbours(pairs), graph.adjacency(e)
+    want = {v: {u for m in near[v] for u in near[m]} - near[v] - {v} for v in near}
+    assert {tuple(r) for r in graph.hop2(adj).collect()} == {(v, u) for v in want for u in want[v]}
+    assert {r.node: r.n for r in graph.hop2_counts(adj).collect()} == {v: len(s) for v, s in want.items() if s}
+    start = [0, 5, 5, 299]
+    got = {tuple(r) for r in graph.hop2(adj, spark.createDataFrame([(v,) for v in start], "node long")).collect()}
+    assert got == {(v, u) for v in start if v in want for u in want[v]}
+
+
+def test_a_stored_adjacency_does_not_move(spark, tmp_path):
+    """Bucketed by src: products shuffle the vector, bitmaps and degrees nothing of the edges; a session that doesn't know the table learns it."""
+    folder = f"file://{tmp_path}/net"
+    pairs, e = random_edges(spark, 200, 400, 9)
+    adj = graph.adjacency(e)
+    sinks.save_network(graph.degree(adj), adj, folder, buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for known in (True, False):
+            if not known:
+                spark.sql(f"DROP TABLE {sinks._table_of(folder)}")
+            stored = sinks.load_network(spark, folder)["hop1"]
+            vector = spark.range(200).select(F.col("id").alias("node"), F.lit(1.0).alias("value"))
+            for table, exchanges in ((graph.degree(stored), 0), (graph.bitmaps(stored), 0), (graph.spmv(stored, vector), 2), (graph.two_steps(stored), 2)):
+                lines = table._jdf.queryExecution().executedPlan().toString().splitlines()
+                assert sum("Exchange" in line for line in lines) == exchanges
+                for i, line in enumerate(lines):
+                    if "FileScan" in line:  # edges meet a join or a sum before any exchange
+                        assert "Bucketed: true" in line
+                        above = [x for x in reversed(lines[:i]) if "Exchange" in x or "Join" in x or "Aggregate" in x]
+                        assert "Exchange" not in above[0]
+            assert sorted(tuple(r) for r in graph.spmv(stored, vector).collect()) == sorted((v, float(len(s))) for v, s in neighbours(pairs).items())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_effects_from_moments(spark):
+    """All effect sizes from one pass are those of each size on its own; outcomes of exactly 0 are missing either way."""
+    _, e = random_edges(spark, 120, 160, 10)
+    adj = graph.adjacency(e)
+    deg = graph.degree(adj)
+    base, expo = causal.baseline_outcome(deg, causal.covariates(deg)), causal.exposure(deg, 24)
+    sample = sampling.srs(deg, sampling.grid(spark, 3), 12)
+    egos = sampling.clean_egos(adj, sample)
+    taus, names = [0.0, 0.02, 0.1], {m: m for m in ("dim", "ht", "hajek")}
+    for zero in (False, True):
+        if zero:  # an ego of the first simulation whose outcome is 0 without treatment
+            node = egos.where("sim = 1 AND arm = 2").first().node
+            line = effects.outcome_lines(adj, deg, base, sample, egos.select("sim", "node")).where(f"sim = 1 AND node = {node}").first()
+            base = base.withColumn("y00", F.when(F.col("node") == node, F.col("y00") - line.a).otherwise(F.col("y00")))
+        tests, groups = effects.effects(adj, deg, base, expo, sample, egos, taus, 2.5, "lastfm", names)
+        got = {(r.tau1, r.estimator, r.estimand, r.sim): r for r in tests.collect()}
+        by_group = {(r.tau1, r.sim, r.degree_group): r.est for r in groups.collect()}
+        plain, plain_groups = effects._plainly(adj, deg, base, expo, sample, egos, taus, 2.5, "lastfm", names)
+        want = plain.collect()
+        assert len(got) == len(want) == 3 * 3 * 6
+        for r in want:
+            g = got[r.tau1, r.estimator, r.estimand, r.sim]
+            for c in ("true_value", "est", "se", "t", "lo", "hi"):
+                assert g[c] == pytest.approx(r[c], rel=1e-9, abs=1e-9) if r[c] is not None else g[c] is None
+            assert (g.power, g.coverage) == (r.power, r.coverage)
+        for r in plain_groups.collect():
+            assert by_group[r.tau1, r.sim, r.degree_group] == pytest.approx(r.est) if r.est is not None else by_group[r.tau1, r.sim, r.degree_group] is None
+
+
+def test_exposure_in_closed_form(spark):
+    """Nine digits of the products, for small populations, hubs next to all nodes, and populations of millions."""
+    for n, size, degrees in ((30, 10, [1, 2, 5, 19, 20, 21, 29]), (2_000_000, 1000, [1, 2, 30, 1000, 9000])):
+        rows = spark.createDataFrame([(float(n - size), float(n - 1), float(k)) for k in degrees if n - size - k + 1 > 0], "t double, b double, k double")
+        for r in rows.select("k", F.exp(causal.log_products(F.col("t"), F.col("b"), F.col("k"))).alias("p")).collect():
+            want = 1.0
+            for i in range(int(r.k)):
+                want *= (n - size - i) / (n - 1 - i)
+            assert r.p == pytest.approx(want, rel=1e-9)
+    deg = spark.createDataFrame([(i, k) for i, k in enumerate([1, 2, 5, 19, 20, 21, 29] + [1] * 23)], "node long, degree long")
+    for r in causal.exposure(deg, 10).collect():
+        assert r.d11 + r.d10 + r.d0n + r.d01 + r.d00 == pytest.approx(1) and min(r.d11, r.d10, r.d0n, r.d01, r.d00) > -1e-12
