@@ -7,7 +7,8 @@ fitted on the driver: the templates in many wordings, cut and set among other
 words, against decoys and a bounded sample of ordinary lines. A temperature
 fitted on held-out ones calibrates the probabilities, the one of unknown too. A
 predicted family is confirmed by comparing the paragraph with the family's
-templates: ``need`` words of one must be there.
+templates: ``need`` words of one must be there, and a name of the family where
+the template has one, so that the wording that all licences share names none.
 
 Confirmation also tells which lines need not be scored, without loss: of a
 template of t words, a confirmed paragraph has at least one of any t - need + 1.
@@ -27,13 +28,13 @@ from pyspark.sql import functions as F
 CONFIRM = 0.6
 #: Templates of fewer words are marks, of which every word must be there.
 MARK_WORDS = 5
-#: Bounds of the sample of ordinary lines: documents they come from, and lines.
-MAX_DOCUMENTS, MAX_ORDINARY = 300, 3_000
+#: Bounds of the sample of ordinary lines: documents they come from, lines, and characters of a line.
+MAX_DOCUMENTS, MAX_ORDINARY, MAX_LINE = 300, 3_000, 5_000
 
 #: Short notices, marks and sentences of the texts by licence family.
 TEMPLATES = {
     "MIT": [
-        "MIT License", "SPDX-License-Identifier: MIT", "Released under the MIT License.", "Licensed under the MIT License", "This project is licensed under the terms of the MIT license", "Distributed under the terms of the MIT license, see the file LICENSE",
+        "MIT License", "MIT licensed", "SPDX-License-Identifier: MIT", "Released under the MIT License.", "Licensed under the MIT License", "This project is licensed under the terms of the MIT license", "Distributed under the terms of the MIT license, see the file LICENSE",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
@@ -56,7 +57,18 @@ TEMPLATES = {
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License", "Released under a CC BY-SA 4.0 license", "Creative Commons Attribution-ShareAlike License", "Creative Commons Attribution License"],
     "Public-Domain": ["The Unlicense", "CC0 1.0 Universal", "This is free and unencumbered software released into the public domain", "Licensed under CC0 1.0 Universal", "Dedicated to the public domain under the Unlicense"],
 }
+#: Words that set a family apart from the others.
+NAMES = {
+    "MIT": ["mit"], "Apache-2.0": ["apache"], "GPL": ["gnu", "gpl"], "LGPL": ["lesser", "lgpl"], "AGPL": ["affero", "agpl"], "BSD": ["bsd"], "MPL": ["mozilla", "mpl"],
+    "CC-BY-NC": ["nc", "noncommercial"], "CC-BY": ["cc", "commons"], "Public-Domain": ["unlicense", "cc0", "domain"],
+}
 UNKNOWN = "unknown"
+#: Notices of families that are not looked for. They are unknown.
+OTHERS = [
+    "Published under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0", "Licensed under the Artistic License 2.0", "Released under the Artistic License",
+    "Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: Zlib", "Released under the zlib License", "Licensed under the European Union Public Licence, version 1.2", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "Licensed under the ISC License", "Subject to the terms of the Common Development and Distribution License", "Licensed under the Python Software Foundation License Version 2", "This software is provided 'as-is', without any express or implied warranty", "Licensed under the Open Font License, Version 1.1", "Licensed under the Microsoft Public License",
+]
 #: Ordinary sentences with words of the templates.
 DECOYS = [
     "He needs a driving license to get the job", "The license plate of the car was never found", "Please ask your teacher for permission before you leave", "The company was granted a license to sell alcohol",
@@ -77,9 +89,9 @@ def grams_of(tokens: list[str]) -> set[str]:
 
 
 def template_rows() -> list[dict]:
-    """A row per template: its family, its distinct words and how many of them a confirmed paragraph has."""
+    """A row per template: its family, its distinct words, how many of them a confirmed paragraph has, and the family's names, of which it has one (none: no name is asked for)."""
     words = [(f, sorted(set(tokens_of(t)))) for f, ts in TEMPLATES.items() for t in ts]
-    return [{"family": f, "template": w, "need": len(w) if len(w) < MARK_WORDS else ceil(CONFIRM * len(w) - 1e-9)} for f, w in words]
+    return [{"family": f, "template": w, "need": len(w) if len(w) < MARK_WORDS else ceil(CONFIRM * len(w) - 1e-9), "names": NAMES[f] if set(NAMES[f]) & set(w) else []} for f, w in words]
 
 
 def gate_words(ordinary: list[str]) -> list[str]:
@@ -114,13 +126,13 @@ class LicenceModel:
                     cut = int(rng.integers(0, len(around) + 1))
                     texts.append(around[:cut] + words + around[cut:])
                     y.append(c)
-        for line in [*DECOYS * 8, *ordinary]:
+        for line in [*DECOYS * 8, *OTHERS * 8, *ordinary]:
             texts.append(tokens_of(line))
             y.append(len(self.classes) - 1)
         order = rng.permutation(len(texts))
         held = np.zeros(len(texts), bool)
         held[order[: len(texts) // 5]] = True
-        self.vocabulary = {g: i for i, g in enumerate(sorted({g for x in [*(t for f in TEMPLATES.values() for t in f), *DECOYS] for g in grams_of(tokens_of(x))}))}
+        self.vocabulary = {g: i for i, g in enumerate(sorted({g for x in [*(t for f in TEMPLATES.values() for t in f), *DECOYS, *OTHERS] for g in grams_of(tokens_of(x))}))}
         y = np.array(y)
         self.w = self._fit([texts[i] for i in np.flatnonzero(~held)], y[~held])
         z = self._logits([texts[i] for i in np.flatnonzero(held)])
@@ -187,10 +199,10 @@ def _gated(text: Column, gate: list[str]) -> Column:
 
 def licence_paragraphs(docs: DataFrame, gate: list[str]) -> DataFrame:
     """(doc_id, row_key, paragraph, wrapped, line): each line with a word of the gate, alone and (wrapped) with its neighbours, from whole texts."""
-    low = F.lower(F.col("text").cast("string"))
+    text = F.col("text").cast("string")
     # a generated column: else the optimiser would lower the text once for every word of the gate
-    gated = docs.select("doc_id", F.explode(F.array(low)).alias("low")).where(_gated(F.col("low"), gate))
-    split = gated.select("doc_id", F.xxhash64("low").alias("row_key"), F.split("low", "\n").alias("lines")).dropDuplicates(["doc_id", "row_key"])
+    gated = docs.select("doc_id", F.xxhash64(text).alias("row_key"), F.explode(F.array(F.lower(text))).alias("low")).where(_gated(F.col("low"), gate))
+    split = gated.select("doc_id", "row_key", F.split("low", "\n").alias("lines")).dropDuplicates(["doc_id", "row_key"])
     placed = F.transform("lines", lambda x, i: F.struct(i.alias("paragraph"), x.alias("line"), F.concat_ws(" ", F.get("lines", i - 1), x, F.get("lines", i + 1)).alias("around")))
     hits = split.select("doc_id", "row_key", F.explode(F.filter(placed, lambda p: _gated(p["line"], gate))).alias("p")).select("doc_id", "row_key", "p.*")
     either = F.array(F.struct(F.lit(False).alias("wrapped"), F.col("line")), F.struct(F.lit(True).alias("wrapped"), F.col("around").alias("line")))
@@ -198,12 +210,13 @@ def licence_paragraphs(docs: DataFrame, gate: list[str]) -> DataFrame:
 
 
 def fit_licences(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_ordinary: int = MAX_ORDINARY) -> LicenceModel:
-    """Fitted on the templates and at most ``max_ordinary`` whole lines, without any mark's words, of at most ``max_documents`` documents chosen by hash of the id."""
-    chosen = docs.where("text is not null").select("doc_id", F.lower(F.col("text").cast("string")).alias("low")).orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(max_documents)
-    lines = chosen.select(F.explode(F.split("low", "\n")).alias("line")).where(F.col("line").rlike("[a-z0-9]"))
+    """Fitted on the templates and at most ``max_ordinary`` whole lines of MAX_LINE characters or fewer, without any mark's words, of at most ``max_documents`` documents. Both are chosen by hashes, so that the same documents give the same model."""
+    low = F.lower(F.col("text").cast("string"))
+    chosen = docs.where("text is not null").select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), low.alias("low")).orderBy("h", F.xxhash64("low")).limit(max_documents)
+    lines = chosen.select(F.explode(F.split("low", "\n")).alias("line")).where(F.col("line").rlike("[a-z0-9]") & (F.length("line") <= MAX_LINE))
     for word in ["licen", "copyright"]:
         lines = lines.where(~F.contains("line", F.lit(word)))
-    return LicenceModel(sorted(r.line for r in lines.limit(max_ordinary).collect()))
+    return LicenceModel(sorted(r.line for r in lines.orderBy(F.xxhash64("line"), "line").limit(max_ordinary).collect()))
 
 
 def licence_scan(spark: SparkSession, docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
@@ -213,7 +226,7 @@ def licence_scan(spark: SparkSession, docs: DataFrame, model: LicenceModel | Non
     probable class is unknown, or that no template of the family confirms, are
     left out. A notice that only a line with its neighbours shows is given at the
     first such line. Null and empty texts have no paragraphs; rows equal in id
-    and text count once; other columns are ignored; an empty table gives an
+    (null ids are equal) and text count once; other columns are ignored; an empty table gives an
     empty result.
     """
     model = model or fit_licences(docs)
@@ -234,9 +247,9 @@ def licence_scan(spark: SparkSession, docs: DataFrame, model: LicenceModel | Non
     scored = scored.withColumn("class", F.array_position("z", F.col("top")) - 1).withColumn("probability", 1 / norm).withColumn("p_unknown", F.exp(F.get("z", F.lit(k - 1)) - F.col("top")) / norm).where(F.col("class") < k - 1)
     family = F.get(F.array(*[F.lit(c) for c in model.classes]), F.col("class").cast("int"))
     scored = scored.withColumn("family", family)
-    templates = F.broadcast(_literal_table(spark, template_rows(), "family string, template array<string>, need int"))
+    templates = F.broadcast(_literal_table(spark, template_rows(), "family string, template array<string>, need int, names array<string>"))
     common = F.size(F.array_intersect("words", "template"))
-    compared = scored.join(templates, "family").where(common >= F.col("need")).groupBy(*key, "family", "probability", "p_unknown").agg(F.max(common / F.size("template")).alias("similarity"))
+    compared = scored.join(templates, "family").where((common >= F.col("need")) & ((F.size("names") == 0) | F.arrays_overlap("words", "names"))).groupBy(*key, "family", "probability", "p_unknown").agg(F.max(common / F.size("template")).alias("similarity"))
     # a line alone before the same line with its neighbours; a wrapped notice once
     best = compared.groupBy("doc_id", "row_key", "paragraph").agg(F.min(F.struct("wrapped", "family", "probability", "p_unknown", "similarity")).alias("b")).select("doc_id", "row_key", "paragraph", "b.*")
     near = Window.partitionBy("doc_id", "row_key").orderBy("paragraph")
