@@ -144,13 +144,15 @@ class Chain:
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, chain: list[str], max_labelled: int = MAX_LABELLED) -> Chain:
-    """Fitted on the driver on at most ``max_labelled`` labelled documents, chosen by hash of the id."""
+    """Fitted on the driver on at most ``max_labelled`` labelled documents, chosen by hash of the id, one row each: of rows that share an id the one with the least hash of its text."""
     known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_nx_label_id"))
     marks = known.agg(*[F.coalesce(F.max(F.col(f"`{c}`")).cast("int"), F.lit(-1)).alias(f"m{j}") for j, c in enumerate(chain)])
     marks = marks.where(f"m{len(chain) - 1} >= 0").select("_nx_label_id", F.array(*[f"m{j}" for j in range(len(chain))]).alias("_nx_marks"))
     sample = F.broadcast(marks.orderBy(F.xxhash64("_nx_label_id"), "_nx_label_id").limit(max_labelled))
     texts = docs.select(F.col("doc_id").cast("long").alias("_nx_id"), F.col("text").cast("string").alias("text")).join(sample, F.col("_nx_id") == F.col("_nx_label_id"))
-    rows = texts.select("text", "_nx_marks").mapInArrow(_features, "buckets array<int>, marks array<int>").toArrow()
+    # one row an id, however often it stands there
+    one = texts.groupBy("_nx_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "_nx_marks")).alias("r")).select("r.text", "r._nx_marks")
+    rows = one.mapInArrow(_features, "buckets array<int>, marks array<int>").toArrow()
     buckets = rows["buckets"].to_pylist() if rows.num_rows else []
     features = [np.array(x, dtype=np.int64) for x in buckets]
     found = np.array(rows["marks"].to_pylist() if rows.num_rows else [], dtype=np.int64).reshape(-1, len(chain))

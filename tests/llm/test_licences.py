@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from netexp.llm import licenses
+from netexp.llm import licenses, toxicity
 
 OTHER_FAMILIES = [
     "Published under the terms of the Eclipse Public License 2.0", "Made available under the Eclipse Public License, version 1.0", "This file is covered by the EPL 2.0", "Licensed under the terms of the Artistic License, version 2.0",
@@ -40,3 +40,17 @@ def test_the_model_of_a_table_is_one(spark):
     two = licenses.fit_licences(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3), max_documents=100, max_ordinary=60)
     assert one.rows() == two.rows() and one.gate == two.gate
     assert licenses.fit_licences(spark.createDataFrame([], "doc_id long, text string")).held_out_accuracy > 0.9
+
+
+def test_toxicity_fit_is_bounded_in_rows(spark, monkeypatch):
+    """Rows that repeat a labelled id are one document of the fit; very long texts are read whole."""
+    seen = []
+    chain = toxicity.Chain
+    monkeypatch.setattr(toxicity, "Chain", lambda names, features, marks: seen.append((len(features), marks.shape)) or chain(names, features, marks))
+    lines = ordinary(40)
+    rows = [(i, lines[i] + (" vile" if i % 4 == 0 else "")) for i in range(40)]
+    frame = spark.createDataFrame(rows + rows[:1] * 500 + [(0, lines[3])] * 50 + [(99, "calm " * 60_000 + "vile " * 9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
+    out = toxicity.toxicity_chain(spark, frame, labels, ["toxic"])
+    assert seen == [(40, (40, 1))] and out.count() == 40 + 500 + 50 + 1
+    assert toxicity.fit_chain(frame, labels, ["toxic"], max_labelled=10) and seen[-1] == (10, (10, 1))
