@@ -1,6 +1,8 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
-Unigrams and bigrams of words are hashed to BUCKETS. The raw model is their
+Unigrams and bigrams of words, and of the shapes of words, are hashed to
+BUCKETS. Shapes (letters by case, digits, marks; runs as one) say what junk looks
+like where a small labelled sample has few of its words. The raw model is their
 distribution over all documents, the target model over a bounded sample of
 documents labelled good. A document's log weight is the sum of the log ratios of
 its n-grams, neither tempered nor scaled: the log of the ratio of the two
@@ -31,17 +33,36 @@ BUCKETS = 1 << BITS
 MAX_LABELLED, FAR = 20_000, 100.0
 
 
-def ngram_buckets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every unigram and bigram, and the text each belongs to."""
+#: Bytes to classes: letters by case (other alphabets as small ones), digits; marks stand for themselves.
+SHAPE = np.arange(256, dtype=np.uint8)
+SHAPE[97:123], SHAPE[65:91], SHAPE[48:58], SHAPE[128:] = 97, 65, 48, 97
+
+
+def shapes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with their bytes as classes, of which equal neighbours are one: ``Well, 20 men!`` is ``Aa, 0 a!``."""
+    classes = SHAPE[buf]
+    kept = np.ones(len(buf), dtype=bool)
+    kept[1:] = classes[1:] != classes[:-1]
+    kept[offsets[:-1][offsets[:-1] < len(buf)]] = True
+    return classes[kept], np.concatenate(([0], np.cumsum(kept)))[offsets]
+
+
+def _grams(buf: np.ndarray, offsets: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
     s, e, first = words(buf, offsets)
     h = Prefix(buf).hashes(s, e)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    uni = (mix(h + U(1)) >> U(64 - BITS)).astype(np.int64)
+    uni = (mix(h + U(salt)) >> U(64 - BITS)).astype(np.int64)
     inside = doc[:-1] == doc[1:]
-    bi = (mix(h[:-1] * U(0xA0761D6478BD642F) + h[1:]) >> U(64 - BITS)).astype(np.int64)[inside]
+    bi = (mix(h[:-1] * U(0xA0761D6478BD642F) + h[1:] + U(salt - 1)) >> U(64 - BITS)).astype(np.int64)[inside]
     return np.concatenate((uni, bi)), np.concatenate((doc, doc[:-1][inside]))
 
 
+def ngram_buckets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of every unigram and bigram, of words and then of their shapes, and the text each belongs to."""
+    parts = [_grams(buf, offsets, 1), _grams(*shapes(buf, offsets), 2)]
+    return np.concatenate([b for b, _ in parts]), np.concatenate([d for _, d in parts])
+
+
 def _count(batches):
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:

@@ -1,10 +1,12 @@
-"""Licence families that the scan must not take for others, and rows that must not be taken for one."""
+"""Trained operators: licence families that must not be taken for others, bounded fits, shapes of words."""
 
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
-from netexp.llm import licenses, toxicity
+from netexp.llm import licenses, quality, toxicity
 
 OTHER_FAMILIES = [
     "Published under the terms of the Eclipse Public License 2.0", "Made available under the Eclipse Public License, version 1.0", "This file is covered by the EPL 2.0", "Licensed under the terms of the Artistic License, version 2.0",
@@ -44,13 +46,20 @@ def test_the_model_of_a_table_is_one(spark):
 
 def test_toxicity_fit_is_bounded_in_rows(spark, monkeypatch):
     """Rows that repeat a labelled id are one document of the fit; very long texts are read whole."""
-    seen = []
-    chain = toxicity.Chain
-    monkeypatch.setattr(toxicity, "Chain", lambda names, features, marks: seen.append((len(features), marks.shape)) or chain(names, features, marks))
     lines = ordinary(40)
     rows = [(i, lines[i] + (" vile" if i % 4 == 0 else "")) for i in range(40)]
     frame = spark.createDataFrame(rows + rows[:1] * 500 + [(0, lines[3])] * 50 + [(99, "calm " * 60_000 + "vile " * 9)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
-    out = toxicity.toxicity_chain(spark, frame, labels, ["toxic"])
-    assert seen == [(40, (40, 1))] and out.count() == 40 + 500 + 50 + 1
-    assert toxicity.fit_chain(frame, labels, ["toxic"], max_labelled=10) and seen[-1] == (10, (10, 1))
+    assert toxicity.toxicity_chain(spark, frame, labels, ["toxic"]).count() == 40 + 500 + 50 + 1
+    monkeypatch.setattr(toxicity, "Chain", lambda names, features, marks: (len(features), marks.shape))
+    assert toxicity.fit_chain(frame, labels, ["toxic"]) == (40, (40, 1))
+    assert toxicity.fit_chain(frame, labels, ["toxic"], max_labelled=10) == (10, (10, 1))
+
+
+def test_quality_sees_the_shape_of_words():
+    """A text's shape; junk of words that no other text has is told by it."""
+    raw = np.frombuffer("Well, 20 men!Été 7x".encode(), np.uint8)
+    buf, offsets = quality.shapes(raw, np.array([0, 13, 13, len(raw)]))
+    assert [bytes(buf[a:b]).decode() for a, b in zip(offsets, offsets[1:])] == ["Aa, 0 a!", "", "a 0a"]
+    buckets, doc = quality.ngram_buckets(raw, np.array([0, 13, 13, len(raw)]))
+    assert np.bincount(doc, minlength=3).tolist() == [10, 0, 6]
