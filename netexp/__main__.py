@@ -20,6 +20,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     parser.add_argument("--steps", type=int, default=200_000, help="steps of a chain")
     parser.add_argument("--sizes", default="50,100,150,200,250,300,350,400,450,500", help="sweep")
     parser.add_argument("--taus", default="", help="effect sizes, separated by commas")
+    parser.add_argument("--seed", type=int, default=0, help="of all draws: another seed, other samples")
     a = parser.parse_args(arguments)
     spark = spark or SparkSession.builder.appName("netexp").getOrCreate()
     names, sizes, taus = a.networks.split(","), [int(x) for x in a.sizes.split(",")], [float(x) for x in a.taus.split(",") if x]
@@ -32,18 +33,18 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         pipeline.each(prepared, names, f"{a.out}/table1")
     elif a.stage == "sample":
         for n in names:
-            pipeline.sample(spark, at(n), n, a.size, a.sims, a.steps)
+            pipeline.sample(spark, at(n), n, a.size, a.sims, a.steps, seed=a.seed)
     elif a.stage == "sample_hop2":
         for n in names:
-            pipeline.sample_hop2(spark, at(n), n, a.size, a.sims, a.steps, sizes)
+            pipeline.sample_hop2(spark, at(n), n, a.size, a.sims, a.steps, sizes, a.seed)
     elif a.stage == "summarise":
-        tables = {n: pipeline.summarise(spark, at(n), n, sizes, a.sims, a.size) for n in names}
+        tables = {n: pipeline.summarise(spark, at(n), n, sizes, a.sims, a.size, a.seed) for n in names}
         for name in ("sweep", "table2", "representativeness"):
             pipeline.sinks.save_table(reports.labelled_union({n: t[name].drop("network") for n, t in tables.items()}), f"{a.out}/{name}")
     elif a.stage == "boundary":
-        pipeline.each(lambda n: pipeline.boundary(spark, at(n), n, sizes, a.sims, a.steps), names, f"{a.out}/table3")
+        pipeline.each(lambda n: pipeline.boundary(spark, at(n), n, sizes, a.sims, a.steps, a.seed), names, f"{a.out}/table3")
     else:
-        tables = {n: pipeline.estimate_tables(spark, at(n), n, a.size, a.sims, taus or None) for n in names}
+        tables = {n: pipeline.estimate_tables(spark, at(n), n, a.size, a.sims, taus or None, a.seed) for n in names}
         for name in ("ate", "cate"):
             pipeline.sinks.save_table(reports.labelled_union({n: t[name] for n, t in tables.items()}), f"{a.out}/{name}")
 

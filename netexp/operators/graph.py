@@ -148,6 +148,32 @@ def bitmaps(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("src", F.expr("shiftright(dst, 6)").alias("chunk")).agg(F.bit_or(F.expr("shiftleft(1L, cast(dst & 63 as int))")).alias("bits"))
 
 
+#: Bytes of neighbour words that are broadcast.
+MAX_WORDS = 64 << 20
+
+
+def clustering_by_words(edges: DataFrame) -> DataFrame:
+    """(node, cluster_coef) as ``clustering``, for dense networks: triangles are bits that two neighbours' sets share, 64 nodes at a time, and no wedge is made.
+
+    Sets are broadcast as words if they fit in MAX_WORDS; else edges meet them
+    by joins on node and chunk.
+    """
+    adj = adjacency(edges)
+    own = written(bitmaps(adj), work_folder(edges.sparkSession), "words")
+    small = own.count() * 24 <= MAX_WORDS
+    if small:
+        sets = own.groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("chunk", "bits"))).alias("words"))
+        a, b = F.broadcast(sets.toDF("s", "ws")), F.broadcast(sets.toDF("d", "wd"))
+        common = F.aggregate(F.map_entries("ws"), F.lit(0).cast("long"), lambda n, e: n + F.bit_count(e["value"].bitwiseAND(F.coalesce(F.try_element_at("wd", e["key"]), F.lit(0).cast("long")))))
+        shared = edges.repartition("s").join(a, "s").join(b, "d").select("s", "d", common.alias("n"))
+    else:
+        half = edges.join(own.toDF("s", "chunk", "ws"), "s")
+        shared = half.join(own.toDF("d", "chunk", "wd"), ["d", "chunk"]).groupBy("s", "d").agg(F.sum(F.bit_count(F.col("ws").bitwiseAND(F.col("wd")))).alias("n"))
+    ends = shared.select(F.explode(F.array("s", "d")).alias("node"), "n").groupBy("node").agg(F.sum("n").alias("t2"))
+    k = F.col("degree")
+    return degree(adj).join(ends, "node", "left").select("node", F.when(k >= 2, F.coalesce("t2", F.lit(0)) / (k * (k - 1))).otherwise(0.0).alias("cluster_coef"))
+
+
 def two_steps(adj: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """(src, chunk, bits): the nodes at distance exactly 2 as bitmaps; with ``start`` (node) only from there.
 

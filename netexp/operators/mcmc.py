@@ -336,13 +336,13 @@ def sample_overlapping(spark: SparkSession, adj: DataFrame, attributes: DataFram
     return sims.select(F.col("sim").cast("int").alias("sim")).groupBy("sim").applyInArrow(run, "sim int, node long")
 
 
-def matched_boundary(spark: SparkSession, adj: DataFrame, attributes: DataFrame, sizes: list[int], sims: int, p: float, steps: int) -> DataFrame:
+def matched_boundary(spark: SparkSession, adj: DataFrame, attributes: DataFrame, sizes: list[int], sims: int, p: float, steps: int, seed: int = 0) -> DataFrame:
     """(nsample, avg_remain, avg_KS, feasible) of chains by size; sizes stop once a mean passes three times the threshold."""
     from netexp.operators.sampling import KS_THRESHOLD, grid
 
     out = None
     for i, n in enumerate(sizes):
-        chains = sample_chains(spark, adj, attributes, grid(spark, sims, [n]), p, steps)
+        chains = sample_chains(spark, adj, attributes, grid(spark, sims, [n]), p, steps, seed=seed)
         one = chains.groupBy("sim", "nsample", "arm").agg(F.first("distance").alias("d")).groupBy("nsample").agg(F.avg("d").alias("avg_KS"))
         one = spark.createDataFrame([(n,)], "nsample int").join(one, "nsample", "left").select("nsample", F.when(F.col("avg_KS").isNotNull(), F.lit(float(n))).alias("avg_remain"), "avg_KS", F.coalesce(F.col("avg_KS") < KS_THRESHOLD, F.lit(False)).alias("feasible"))
         row = one.first()

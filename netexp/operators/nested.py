@@ -15,18 +15,18 @@ from pyspark.sql import functions as F
 
 from netexp.functions.distributions import ks_two_sample
 from netexp.functions.tables import work_folder, written
-from netexp.operators.sampling import KS_THRESHOLD, grid
+from netexp.operators.sampling import KS_THRESHOLD, grid, order_hash
 
 
-def places(nodes: DataFrame, sims: int, most: int) -> DataFrame:
+def places(nodes: DataFrame, sims: int, most: int, seed: int = 0) -> DataFrame:
     """(sim, node, place): the first ``most`` nodes of each simulation's order, numbered from 1; one hash for each node and simulation.
 
-    The order is by md5 of node and sim, as for ``srs``. Of N nodes only those
+    The order is that of ``srs``. Of N nodes only those
     below a hash bound that 2 * most + 400 are expected to pass leave their
     task: fewer than ``most`` do with a chance under exp(-50).
     """
     sim = F.broadcast(grid(nodes.sparkSession, sims).crossJoin(nodes.agg(F.count("*").alias("_n"))))
-    hashed = nodes.select("node").crossJoin(sim).withColumn("h", F.md5(F.concat_ws("-", F.col("node").cast("string"), F.col("sim").cast("string"))))
+    hashed = nodes.select("node").crossJoin(sim).withColumn("h", order_hash(("sim",), seed))
     low = F.conv(F.substring("h", 1, 8), 16, 10).cast("double") * F.col("_n") < (2.0 * most + 400) * 2.0**32
     ranked = hashed.where(low).withColumn("place", F.row_number().over(Window.partitionBy("sim").orderBy("h", "node")))
     return ranked.where(F.col("place") <= most).select("sim", "node", "place")
@@ -55,7 +55,7 @@ def _step(place: Column, sizes: list[int]) -> Column:
     return sum((F.when(place > 2 * s, 1).otherwise(0) for s in sizes), F.lit(0))
 
 
-def contamination_sweep(adj: DataFrame, deg: DataFrame, sims: int, sizes: list[int]) -> DataFrame:
+def contamination_sweep(adj: DataFrame, deg: DataFrame, sims: int, sizes: list[int], seed: int = 0) -> DataFrame:
     """By sample_size, means over sims of contamination by neighbours and within two steps, and of what stays clean: the columns of sampling.contamination_sweep.
 
     A node is three events: drawn, hit by a neighbour, hit within two steps.
@@ -63,7 +63,7 @@ def contamination_sweep(adj: DataFrame, deg: DataFrame, sims: int, sizes: list[i
     steps are the samples.
     """
     sizes = sorted(sizes)
-    hits = contamination_places(adj, places(deg, sims, 2 * max(sizes, default=0))).join(deg.select("node", "degree"), "node")
+    hits = contamination_places(adj, places(deg, sims, 2 * max(sizes, default=0), seed)).join(deg.select("node", "degree"), "node")
     event = lambda c, i: F.struct(_step(F.coalesce(F.col(c), F.lit(2**31 - 1)), sizes).alias("step"), *[(F.lit(1) if j == i else F.lit(0)).cast("long").alias(f"n{j}") for j in range(3)], *[(F.col("degree") if j == i else F.lit(0)).cast("long").alias(f"d{j}") for j in range(3)])
     events = hits.select("sim", F.explode(F.array(event("place", 0), event("hit1", 1), event("hit2", 2))).alias("e")).select("sim", "e.*").where(F.col("step") < len(sizes))
     names = [f"{k}{j}" for k in "nd" for j in range(3)]
@@ -81,11 +81,11 @@ def contamination_sweep(adj: DataFrame, deg: DataFrame, sims: int, sizes: list[i
     return full.groupBy("sample_size").agg(*columns, F.avg("pop").alias("pop_avg_degree"))
 
 
-def clean_masks(adj: DataFrame, deg: DataFrame, sims: int, sizes: list[int]) -> DataFrame:
+def clean_masks(adj: DataFrame, deg: DataFrame, sims: int, sizes: list[int], seed: int = 0) -> DataFrame:
     """(sim, node, mask): bit i is set where the node is in the sample of the i-th of the sorted ``sizes`` without a sampled neighbour; 62 sizes at most."""
     if len(sizes) > 62:
         raise ValueError("62 sizes at most")
-    placed = places(deg, sims, 2 * max(sizes, default=0))
+    placed = places(deg, sims, 2 * max(sizes, default=0), seed)
     sent = placed.join(adj.withColumnRenamed("src", "node"), "node")
     one = sent.groupBy("sim", F.col("dst").alias("node")).agg(F.min("place").alias("one"))
     hit = F.coalesce(F.greatest("place", "one"), F.lit(2**31 - 1))
@@ -123,9 +123,9 @@ def _by_sim(sample: DataFrame, deg: DataFrame) -> DataFrame:
     return t.groupBy(*keys).agg(F.count("*").alias("remaining"), F.avg("degree").alias("avg_degree")).join(ks_two_sample(t, deg, "degree", tuple(keys)), keys)
 
 
-def max_feasible_sweep(adj: DataFrame, deg: DataFrame, sims: int, sizes: list[int]) -> DataFrame:
+def max_feasible_sweep(adj: DataFrame, deg: DataFrame, sims: int, sizes: list[int], seed: int = 0) -> DataFrame:
     """By nsample, means over sims of what remains after exclusion by neighbours, then by distance 2: the columns of sampling.max_feasible_sweep. Empty remainders are left out."""
-    clean = written(clean_masks(adj, deg, sims, sizes), work_folder(adj.sparkSession), "masks")
+    clean = written(clean_masks(adj, deg, sims, sizes, seed), work_folder(adj.sparkSession), "masks")
     both = by_size(clean, sizes).withColumn("kind", F.lit("1st")).unionByName(by_size(apart_masks(adj, clean, len(sizes)), sizes).withColumn("kind", F.lit("2nd")))
     keys = ["sim", "nsample", "kind"]
     t = written(both.join(deg.select("node", "degree"), "node"), work_folder(deg.sparkSession), "rest")
@@ -134,10 +134,10 @@ def max_feasible_sweep(adj: DataFrame, deg: DataFrame, sims: int, sizes: list[in
     return one.groupBy("nsample").agg(*wide("1st"), *wide("2nd")).where("remaining_1st IS NOT NULL")
 
 
-def exclusion_boundary(adj: DataFrame, deg: DataFrame, sims: int, sizes: list[int]) -> DataFrame:
+def exclusion_boundary(adj: DataFrame, deg: DataFrame, sims: int, sizes: list[int], seed: int = 0) -> DataFrame:
     """(nsample, avg_remain, avg_KS, feasible): sims with nothing left count as 0 remaining and no KS."""
     spark = adj.sparkSession
-    one = _by_sim(by_size(clean_masks(adj, deg, sims, sizes), sizes), deg)
+    one = _by_sim(by_size(clean_masks(adj, deg, sims, sizes, seed), sizes), deg)
     full = grid(spark, sims, sorted(sizes)).join(one, ["sim", "nsample"], "left")
     r = full.groupBy("nsample").agg(F.avg(F.coalesce("remaining", F.lit(0)) / 2).alias("avg_remain"), F.avg("ks").alias("avg_KS"))
     return r.withColumn("feasible", F.coalesce(F.col("avg_KS") < KS_THRESHOLD, F.lit(False)))

@@ -6,7 +6,7 @@ every operator handles all samples in one plan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netexp.functions.distributions import ks_two_sample
@@ -23,17 +23,22 @@ def grid(spark: SparkSession, sims: int, sizes: list[int] | None = None) -> Data
     return out.crossJoin(spark.createDataFrame([(s,) for s in sizes], "nsample int"))
 
 
-def srs(nodes: DataFrame, params: DataFrame, size, keys: tuple = ("sim",)) -> DataFrame:
+def order_hash(keys: tuple, seed: int = 0) -> Column:
+    """The md5 by which nodes are ordered in a simulation (keys...): of node and keys, and of the seed where one is given."""
+    return F.md5(F.concat_ws("-", *([F.lit(str(seed))] if seed else []), F.col("node").cast("string"), *[F.col(k).cast("string") for k in keys]))
+
+
+def srs(nodes: DataFrame, params: DataFrame, size, keys: tuple = ("sim",), seed: int = 0) -> DataFrame:
     """(keys..., node, arm): 2 * size nodes without replacement per row of params, the first half arm 1.
 
-    The order is that of md5 of node and sim: uniform, the same in any engine
-    and on every run. Only nodes whose md5 is below a bound are ranked. Of N
+    The order is that of md5 of node and sim (and seed): uniform, the same in
+    any engine and on every run of a seed. Only nodes whose md5 is below a bound are ranked. Of N
     nodes 4 * size + 400 are below it on average, so fewer than 2 * size are
     with a chance under exp(-50): a sample of a large population moves few rows.
     """
     size = F.lit(size) if isinstance(size, int) else F.col(size)
     params = F.broadcast(params.crossJoin(nodes.agg(F.count("*").alias("_n"))))
-    hashed = nodes.select("node").crossJoin(params).withColumn("h", F.md5(F.concat_ws("-", F.col("node").cast("string"), *[F.col(k).cast("string") for k in keys])))
+    hashed = nodes.select("node").crossJoin(params).withColumn("h", order_hash(keys, seed))
     low = F.conv(F.substring("h", 1, 8), 16, 10).cast("double") * F.col("_n") < (4.0 * size + 400) * 2.0**32
     ranked = hashed.where(low).withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "node")))
     return ranked.where(F.col("rn") <= 2 * size).select(*keys, "node", F.when(F.col("rn") <= size, 1).otherwise(2).alias("arm"))
@@ -108,10 +113,10 @@ def contamination(adj: DataFrame, deg: DataFrame, sample: DataFrame, keys: tuple
     return r.withColumn("deg_diff1", gap("deg_clean1")).withColumn("deg_diff2", gap("deg_clean2"))
 
 
-def contamination_sweep(adj: DataFrame, deg: DataFrame, params: DataFrame) -> DataFrame:
+def contamination_sweep(adj: DataFrame, deg: DataFrame, params: DataFrame, seed: int = 0) -> DataFrame:
     """Means over sims by nsample of ``contamination`` on samples of 2 * nsample; params: (sim, nsample)."""
     keys = ("sim", "nsample")
-    one = contamination(adj, deg, srs(deg, params, "nsample", keys), keys)
+    one = contamination(adj, deg, srs(deg, params, "nsample", keys, seed), keys)
     columns = []
     for j in (1, 2):
         # samples of one size: a mean of shares is a share of sums, which are whole
@@ -156,11 +161,11 @@ def second_degree(adj: DataFrame, attributes: DataFrame, clean: DataFrame, size:
     return t.select("sim", F.lit(size).alias("initial_sample"), "RM_1st_remain", part("n2").alias("pcent_2nd_contamination"), F.coalesce("RM_2nd_remain", F.lit(0)).alias("RM_2nd_remain"), "avg_degree_2nd", "avg_cluster_2nd", "KS_degree_2nd", "KS_cluster_2nd", part("n2t").alias("pcent_2nd_causal_contamination"))
 
 
-def max_feasible_sweep(adj: DataFrame, attributes: DataFrame, params: DataFrame) -> DataFrame:
+def max_feasible_sweep(adj: DataFrame, attributes: DataFrame, params: DataFrame, seed: int = 0) -> DataFrame:
     """By nsample: means over sims of what remains after exclusion by neighbours, then by distance 2. Empty remainders are left out."""
     keys = ("sim", "nsample")
     folder = work_folder(adj.sparkSession)
-    clean = written(clean_egos(adj, srs(attributes, params, "nsample", keys), keys), folder, "clean")
+    clean = written(clean_egos(adj, srs(attributes, params, "nsample", keys, seed), keys), folder, "clean")
     rest = written(clean.join(sharing(*messages(adj, clean, keys, "clean"), keys), [*keys, "node"], "left_anti"), folder, "rest")
 
     def stats(sample, suffix):
@@ -171,10 +176,10 @@ def max_feasible_sweep(adj: DataFrame, attributes: DataFrame, params: DataFrame)
     return stats(clean, "1st").join(stats(rest, "2nd"), "nsample", "left")
 
 
-def exclusion_boundary(adj: DataFrame, deg: DataFrame, params: DataFrame) -> DataFrame:
+def exclusion_boundary(adj: DataFrame, deg: DataFrame, params: DataFrame, seed: int = 0) -> DataFrame:
     """(nsample, avg_remain, avg_KS, feasible): sims with nothing left count as 0 remaining and no KS."""
     keys = ("sim", "nsample")
-    clean = clean_egos(adj, srs(deg, params, "nsample", keys), keys).join(deg, "node")
+    clean = clean_egos(adj, srs(deg, params, "nsample", keys, seed), keys).join(deg, "node")
     one = clean.groupBy(*keys).agg(F.count("*").alias("n")).join(ks_two_sample(clean, deg, "degree", keys), list(keys))
     full = params.select(*keys).join(one, list(keys), "left")
     r = full.groupBy("nsample").agg(F.avg(F.coalesce("n", F.lit(0)) / 2).alias("avg_remain"), F.avg("ks").alias("avg_KS"))

@@ -12,6 +12,13 @@ NET = """b AS (SELECT DISTINCT o_custkey AS n, l_partkey AS p FROM orders JOIN l
 e AS (SELECT DISTINCT x.n AS s, y.n AS d FROM b x JOIN b y ON x.p = y.p AND x.n < y.n),
 adj AS (SELECT s AS src, d AS dst FROM e UNION ALL SELECT d, s FROM e),
 deg AS (SELECT src AS node, count(*)::BIGINT AS degree FROM adj GROUP BY src)"""
+ALL_LINES = NET.replace(" WHERE l_quantity >= 45", "")
+#: Neighbours as words of 60 bits: common ones are counted without paths.
+WORDS = """bs AS (SELECT src AS node, dst // 60 AS chunk, bit_or(1::BIGINT << (dst % 60)) AS b FROM adj GROUP BY ALL),
+tn AS (SELECT x.node, sum(bit_count(x.b & y.b)) // 2 AS t FROM adj JOIN bs x ON x.node = adj.src JOIN bs y ON y.node = adj.dst AND y.chunk = x.chunk GROUP BY x.node),
+cc AS (SELECT deg.node, CASE WHEN degree >= 2 THEN 2.0::DOUBLE * coalesce(t, 0) / (degree * (degree - 1)) ELSE 0::DOUBLE END AS cluster_coef FROM deg LEFT JOIN tn ON deg.node = tn.node),
+nb AS (SELECT adj.src AS node, avg(degree) AS nb_degree FROM adj JOIN deg ON deg.node = adj.dst GROUP BY adj.src),
+attrs AS (SELECT deg.node, degree, cluster_coef, nb_degree FROM deg JOIN cc ON deg.node = cc.node JOIN nb ON nb.node = deg.node)"""
 COBUY = """e AS (SELECT DISTINCT a.l_partkey AS s, b.l_partkey AS d FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey
 WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R'),
 adj AS (SELECT s AS src, d AS dst FROM e UNION ALL SELECT d, s FROM e),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netexp.functions.scalar import DEGREE_GROUPS
-from netexp.operators import causal, effects, graph, mcmc, sampling
+from netexp.operators import causal, effects, graph, mcmc, nested, sampling
 from netexp.plans import reports
 from netexp.sources import networks, sinks
 
@@ -48,7 +48,7 @@ def each(stage, names: list[str], path: str | None = None) -> DataFrame:
     return out
 
 
-def sample(spark: SparkSession, folder: str, network: str, size: int, sims: int, steps: int, hops: int = 1) -> dict[str, DataFrame]:
+def sample(spark: SparkSession, folder: str, network: str, size: int, sims: int, steps: int, hops: int = 1, seed: int = 0) -> dict[str, DataFrame]:
     """Exclusion and matched samples of a prepared network, written as partitioned samples.
 
     With ``hops`` 2 the exclusion is of nodes within two steps, its summary that
@@ -56,18 +56,17 @@ def sample(spark: SparkSession, folder: str, network: str, size: int, sims: int,
     """
     net = sinks.load_network(spark, folder)
     adj, attributes = net["hop1"], net["attributes"]
-    drawn = sampling.srs(attributes, sampling.grid(spark, sims), size)
+    drawn = sampling.srs(attributes, sampling.grid(spark, sims), size, seed=seed)
     clean = sampling.clean_egos(adj, drawn)
     deg = attributes.select("node", "degree")
     if hops == 2:
         sinks.save_table(sampling.second_degree(adj, attributes, clean, size), f"{folder}/removal_summary_hop2")
-        _, two = sampling.contaminated_pairs(adj, clean)
-        clean = clean.join(two.select("sim", "node").distinct(), ["sim", "node"], "left_anti")
+        clean = clean.join(sampling.sharing(*sampling.messages(adj, clean, ("sim",), "clean"), ("sim",)), ["sim", "node"], "left_anti")
     else:
         sinks.save_table(sampling.exclusion(adj, deg, drawn, size), f"{folder}/removal_summary")
     p = graph.summary(attributes, spark.read.parquet(f"{folder}/edges")).first()["p"]
     sizes = clean.groupBy("sim", "arm").count().groupBy("sim").agg(F.floor(F.sum("count") / 2).cast("int").alias("nsample")).where(F.col("nsample") >= hops)
-    chains = mcmc.sample_chains(spark, adj, attributes, sizes, p, steps, hops)
+    chains = mcmc.sample_chains(spark, adj, attributes, sizes, p, steps, hops, seed=seed)
     tag = lambda t, method, role: t.select(F.lit(network).alias("network"), F.lit(method).alias("method"), "sim", "arm", F.lit(role).alias("role"), "node")
     rows = tag(clean, "exclusion", "ego").unionByName(tag(sampling.arm_alters(adj, drawn), "exclusion", "alter")).unionByName(tag(chains, "matched", "ego"))
     sinks.save_samples(rows, f"{folder}/samples")
@@ -77,24 +76,24 @@ def sample(spark: SparkSession, folder: str, network: str, size: int, sims: int,
     return out
 
 
-def sample_hop2(spark: SparkSession, folder: str, network: str, size: int, sims: int, steps: int, sizes: list[int]) -> dict[str, DataFrame]:
+def sample_hop2(spark: SparkSession, folder: str, network: str, size: int, sims: int, steps: int, sizes: list[int], seed: int = 0) -> dict[str, DataFrame]:
     """Samples without contamination within two steps, and the sweep of what remains after either exclusion."""
     net = sinks.load_network(spark, folder)
-    sweep = sampling.max_feasible_sweep(net["hop1"], net["attributes"], sampling.grid(spark, sims, sizes))
+    sweep = nested.max_feasible_sweep(net["hop1"], net["attributes"], sims, sizes, seed)
     sinks.save_table(sweep, f"{folder}/max_feasible_sweep")
-    return sample(spark, folder, network, size, sims, steps, hops=2) | {"sweep": sweep}
+    return sample(spark, folder, network, size, sims, steps, hops=2, seed=seed) | {"sweep": sweep}
 
 
-def summarise(spark: SparkSession, folder: str, network: str, sizes: list[int], sims: int, table2_size: int) -> dict[str, DataFrame]:
+def summarise(spark: SparkSession, folder: str, network: str, sizes: list[int], sims: int, table2_size: int, seed: int = 0) -> dict[str, DataFrame]:
     """Contamination sweep, attributes of excluded egos, and representativeness of both methods."""
     net = sinks.load_network(spark, folder)
     adj, attributes = net["hop1"], net["attributes"]
     columns = ["degree", "cluster_coef", "eigen_centrality", "nb_degree"]
     typed = attributes.select("node", *[F.col(c).cast("double").alias(c) for c in columns])
-    drawn = sampling.srs(attributes, sampling.grid(spark, sims), table2_size)
+    drawn = sampling.srs(attributes, sampling.grid(spark, sims), table2_size, seed=seed)
     samples = {m: sinks.load_samples(spark, f"{folder}/samples", network, m).where("role = 'ego'").select("sim", "node") for m in ("exclusion", "matched")}
     out = {
-        "sweep": sampling.contamination_sweep(adj, attributes.select("node", "degree"), sampling.grid(spark, sims, sizes)),
+        "sweep": nested.contamination_sweep(adj, attributes.select("node", "degree"), sims, sizes, seed),
         "table2": sampling.excluded_attributes(adj, typed, drawn, columns).withColumn("network", F.lit(network)),
         "representativeness": sampling.representativeness(typed, samples["matched"], samples["exclusion"], columns),
     }
@@ -103,22 +102,22 @@ def summarise(spark: SparkSession, folder: str, network: str, sizes: list[int],
     return out
 
 
-def boundary(spark: SparkSession, folder: str, network: str, sizes: list[int], sims: int, steps: int) -> DataFrame:
+def boundary(spark: SparkSession, folder: str, network: str, sizes: list[int], sims: int, steps: int, seed: int = 0) -> DataFrame:
     """The largest feasible remainder of both methods."""
     net = sinks.load_network(spark, folder)
     adj, attributes = net["hop1"], net["attributes"]
     p = graph.summary(attributes, spark.read.parquet(f"{folder}/edges")).first()["p"]
-    excluded = sampling.max_feasible(sampling.exclusion_boundary(adj, attributes.select("node", "degree"), sampling.grid(spark, sims, sizes))).withColumn("method", F.lit("exclusion"))
-    matched = sampling.max_feasible(mcmc.matched_boundary(spark, adj, attributes, sizes, sims, p, steps)).withColumn("method", F.lit("matched"))
+    excluded = sampling.max_feasible(nested.exclusion_boundary(adj, attributes.select("node", "degree"), sims, sizes, seed)).withColumn("method", F.lit("exclusion"))
+    matched = sampling.max_feasible(mcmc.matched_boundary(spark, adj, attributes, sizes, sims, p, steps, seed)).withColumn("method", F.lit("matched"))
     return reports.boundary_table(excluded.unionByName(matched).withColumn("network", F.lit(network)))
 
 
-def estimate(spark: SparkSession, folder: str, network: str, size: int, sims: int, taus: list[float] | None = None) -> DataFrame:
+def estimate(spark: SparkSession, folder: str, network: str, size: int, sims: int, taus: list[float] | None = None, seed: int = 0) -> DataFrame:
     """The table of effects (tau1, estimator, estimand)."""
-    return estimate_tables(spark, folder, network, size, sims, taus)["ate"]
+    return estimate_tables(spark, folder, network, size, sims, taus, seed)["ate"]
 
 
-def estimate_tables(spark: SparkSession, folder: str, network: str, size: int, sims: int, taus: list[float] | None = None) -> dict[str, DataFrame]:
+def estimate_tables(spark: SparkSession, folder: str, network: str, size: int, sims: int, taus: list[float] | None = None, seed: int = 0) -> dict[str, DataFrame]:
     """``ate`` (tau1, estimator, estimand, ...) and ``cate`` (tau1, estimator, degree_group, ...) over the exclusion samples and, as RP, the matched ones.
 
     Outcomes are lines in the effect size: one plan serves any number of them.
@@ -131,7 +130,7 @@ def estimate_tables(spark: SparkSession, folder: str, network: str, size: int, s
     expo = sinks.reuse(spark, f"{folder}/exposure_{2 * size}", lambda: causal.exposure(deg, 2 * size))
     taus = taus or causal.TAU1
     mean = deg.agg(F.avg("degree")).first()[0]
-    drawn = graph.written(sampling.srs(attributes, sampling.grid(spark, sims), size), work, "drawn")
+    drawn = graph.written(sampling.srs(attributes, sampling.grid(spark, sims), size, seed=seed), work, "drawn")
     clean = graph.written(sampling.clean_egos(adj, drawn), work, "clean")
     matched = sinks.load_samples(spark, f"{folder}/samples", network, "matched").where("role = 'ego'").select("sim", "arm", "node")
     groups_of = network if network in DEGREE_GROUPS else "simulate_base"

@@ -22,7 +22,7 @@ from netexp.operators import nested as N
 from netexp.operators import packed as P
 from netexp.operators import sampling as S
 from netexp.plans import reports as R
-from netexp.plans.oracles import CC, COBUY, COV, EXPO, NET, OUT, SAMPLE, SHOW_TEST, SIMS, SIZE, TRUE_D, TRUE_I, WEIGHTED, filled, ks, ks_windows, near_pairs, nested, normal, pairs, sweep, test, w
+from netexp.plans.oracles import ALL_LINES, CC, COBUY, COV, EXPO, NET, OUT, SAMPLE, SHOW_TEST, SIMS, SIZE, TRUE_D, TRUE_I, WEIGHTED, WORDS, filled, ks, ks_windows, near_pairs, nested, normal, pairs, sweep, test, w
 from netexp.sources.networks import cobuy_edges, copurchase_edges, simulated_edges
 
 SWEEP = [10, 20, 30]
@@ -37,11 +37,21 @@ ORACLES: dict = {}
 class Net:
     """The tables of a network; each that several steps of a query read is written once."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, cobuy: bool = False):
-        self.spark, self.folder, self.sf_dir = spark, G.work_folder(spark), sf_dir
-        self.edges = G.written(cobuy_edges(spark, sf_dir) if cobuy else copurchase_edges(spark, sf_dir), self.folder, "edges")
-        self.adj = G.adjacency(self.edges)
-        self.deg = G.degree(self.adj)
+    def __init__(self, spark: SparkSession, sf_dir: str, kind: str = "copurchase"):
+        self.spark, self.folder, self.sf_dir, self.kind = spark, G.work_folder(spark), sf_dir, kind
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        make = {"copurchase": copurchase_edges, "all_lines": lambda s, d: copurchase_edges(s, d, None), "cobuy": cobuy_edges}[self.kind]
+        return G.written(make(self.spark, self.sf_dir), self.folder, "edges")
+
+    @cached_property
+    def adj(self) -> DataFrame:
+        return G.adjacency(self.edges)
+
+    @cached_property
+    def deg(self) -> DataFrame:
+        return G.degree(self.adj)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -80,9 +90,11 @@ class Net:
         return self.spark.range(1).select(G.exponent(F.lit(n), F.lit(m))).first()[0]
 
 
-def query(sql: str | None, cobuy: bool = False):
+def query(sql: str | None, cobuy: bool = False, all_lines: bool = False):
+    kind = "cobuy" if cobuy else "all_lines" if all_lines else "copurchase"
+
     def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(Net(spark, sf_dir, cobuy)))
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(Net(spark, sf_dir, kind)))
         if sql:
             ORACLES[f.__name__] = sql
         return f
@@ -107,6 +119,26 @@ def table1_summary_sparse_whole(n):
     return G.summary(n.attributes, n.edges)
 
 
+def _dense(n):
+    return n._written(n.deg.join(G.clustering_by_words(n.edges), "node").join(G.neighbour_degree(n.adj), "node"), "attributes")
+
+
+@query(w(ALL_LINES, WORDS, SUMMARY), all_lines=True)
+def table1_summary_all_lines(n):
+    """Purchases of any size: nearly all customers are neighbours."""
+    return G.summary(_dense(n), n.edges)
+
+
+@query(w(ALL_LINES, WORDS, "SELECT node, degree, round(cluster_coef, 6) AS cluster_coef, round(nb_degree, 6) AS nb_degree FROM attrs"), all_lines=True)
+def attributes_all_lines(n):
+    return _dense(n)
+
+
+@query(w(ALL_LINES, WORDS, "pr AS (SELECT DISTINCT x.node, y.node AS far FROM bs x JOIN bs y ON x.chunk = y.chunk AND x.node <> y.node WHERE x.b & y.b <> 0)", "SELECT node, count(*) AS n FROM pr ANTI JOIN adj r ON r.src = pr.node AND r.dst = pr.far GROUP BY node"), all_lines=True)
+def hop2_counts_all_lines(n):
+    return G.hop2_counts(n.adj)
+
+
 @query(w(NET, CC, "a2 AS (SELECT src, dst FROM adj UNION ALL SELECT node, node FROM deg)", "x(i, node, v) AS (SELECT 0, node, 1.0::DOUBLE FROM deg UNION ALL SELECT i + 1, a2.src, sum(v) FROM x JOIN a2 ON a2.dst = x.node WHERE i < 20 GROUP BY i, a2.src)", SUMMARY.replace("round(2.0", "(SELECT round(sum(v) / sqrt(sum(v * v)) / count(*), 6) FROM x WHERE i = 20) AS avg_eigen_centrality, round(2.0", 1), recursive=True))
 def table1_with_eigen(n):
     return G.summary(n.attributes.join(n._written(G.eigenvector(n.adj, rounds=20, tol=0.0), "eigen"), "node"), n.edges)
@@ -258,6 +290,23 @@ def excluded_attrs_pivot(n):
     return S.attribute_pivot(S.excluded_attributes(n.adj, _typed(n), n.sample, COLUMNS).withColumn("network", F.lit("copurchase")), ["copurchase"])
 
 
+def _excluded(net):
+    return f"(WITH {net}, {CC}, {SAMPLE}, {T2} SELECT * FROM ps)"
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS attribute, round((SELECT avg({c}) FROM {_excluded(NET)}), 6) AS copurchase, round((SELECT avg({c}) FROM {_excluded(COBUY)}), 6) AS cobuy" for c in COLUMNS))
+def excluded_attrs_by_network(n):
+    """Means of contaminated egos, a column for each of two networks."""
+    nets = {"copurchase": n, "cobuy": Net(n.spark, n.sf_dir, "cobuy")}
+    return S.attribute_pivot(R.labelled_union({name: S.excluded_attributes(m.adj, _typed(m), m.sample, COLUMNS) for name, m in nets.items()}), list(nets))
+
+
+@query(w(NET, SAMPLE.replace("md5(node::VARCHAR", "md5('7-' || node::VARCHAR"), "SELECT sim, node, arm FROM clean"))
+def clean_egos_seeded(n):
+    """The samples of another seed."""
+    return S.clean_egos(n.adj, S.srs(n.deg, S.grid(n.spark, SIMS), SIZE, seed=7))
+
+
 @query(w(NET, SAMPLE, pairs("p2", "samp", ["sim"]), "SELECT DISTINCT sim, node FROM p2"))
 def second_degree_contamination(n):
     return S.contaminated_pairs(n.adj, n.sample)[1].select("sim", "node").distinct()
@@ -729,7 +778,7 @@ def mis_greedy_hop2_invariants(n):
 
 def _chain_invariants(n, kind="ks", hops=1, size=10):
     t = M.sample_chains(n.spark, n.adj, n.attributes, S.grid(n.spark, SIMS, [size]), n.p, STEPS, hops, kind)
-    t.persist()
+    t = n._written(t, "chains")
     worse = t.groupBy("sim").agg(F.max((F.col("distance") > F.col("first_distance") + 1e-9).cast("int")).alias("worse"))
     return _invariants(n, t.select("sim", "node"), 2 * size, hops).join(worse, "sim").select("sim", (F.col("violations") + F.col("worse")).alias("violations"), "size_ok")
 
@@ -758,7 +807,7 @@ def mh_linear_invariants(n):
 def alter_mh_invariants(n):
     """Alters are neighbours of the egos, each once, and no farther than at first."""
     egos = S.greedy_independent(n.adj, n.deg, S.grid(n.spark, SIMS), 5)
-    t = M.sample_alters(n.spark, n.adj, n.attributes, egos, n.p, STEPS).persist()
+    t = n._written(M.sample_alters(n.spark, n.adj, n.attributes, egos, n.p, STEPS), "alters")
     strange = t.join(G.neighbours_of(n.adj, egos, ("sim",)), ["sim", "node"], "left_anti").groupBy("sim").count()
     r = t.groupBy("sim").agg((F.countDistinct("node") == F.count("*")).alias("size_ok"), F.max((F.col("distance") > F.col("first_distance") + 1e-9).cast("int")).alias("worse"))
     return r.join(strange, "sim", "left").select("sim", (F.coalesce("count", F.lit(0)) + F.col("worse")).cast("long").alias("violations"), "size_ok")
@@ -767,7 +816,7 @@ def alter_mh_invariants(n):
 @query(ALL_GOOD)
 def alter_pool_invariants(n):
     egos = S.greedy_independent(n.adj, n.deg, S.grid(n.spark, SIMS), 5)
-    t = M.sample_alters(n.spark, n.adj, n.attributes, egos, n.p, STEPS, pooled=True).persist()
+    t = n._written(M.sample_alters(n.spark, n.adj, n.attributes, egos, n.p, STEPS, pooled=True), "alters")
     strange = t.join(G.neighbours_of(n.adj, egos, ("sim",)), ["sim", "node"], "left_anti").groupBy("sim").count()
     r = t.groupBy("sim").agg((F.countDistinct("node") == F.count("*")).alias("size_ok"))
     return r.join(strange, "sim", "left").select("sim", F.coalesce("count", F.lit(0)).cast("long").alias("violations"), "size_ok")
@@ -787,6 +836,18 @@ def representativeness_table(n):
     return S.representativeness(_typed(n), n.sample.select("sim", "node"), n.clean.select("sim", "node"), COLUMNS)
 
 
+INDEPENDENT = f"""rk AS (SELECT sim, node, row_number() OVER (PARTITION BY sim ORDER BY md5(node::VARCHAR || '-' || sim::VARCHAR), node) AS r FROM deg, (SELECT unnest(range(1, {SIMS + 1}))::INTEGER AS sim)),
+lw AS (SELECT a.sim, a.r AS r, b.r AS q FROM adj JOIN rk a ON a.node = adj.src JOIN rk b ON b.node = adj.dst AND b.sim = a.sim WHERE b.r < a.r),
+sc(sim, i, kept) AS (SELECT sim, 0, CAST([] AS BIGINT[]) FROM (SELECT DISTINCT sim FROM rk) UNION ALL SELECT sim, i + 1, CASE WHEN EXISTS (SELECT 1 FROM lw WHERE lw.sim = sc.sim AND lw.r = i + 1 AND list_contains(kept, lw.q)) THEN kept ELSE list_append(kept, (i + 1)::BIGINT) END FROM sc WHERE len(kept) < {SIZE} AND i < (SELECT count(*) FROM deg)),
+ind AS (SELECT rk.sim, rk.node FROM (SELECT sim, unnest(kept) AS r FROM sc WHERE len(kept) = {SIZE}) s JOIN rk ON rk.sim = s.sim AND rk.r = s.r)"""
+
+
+@query(w(NET, CC, SAMPLE, INDEPENDENT, "sa AS (SELECT ind.sim, attrs.* FROM ind JOIN attrs ON attrs.node = ind.node)", "ca AS (SELECT clean.sim, attrs.* FROM clean JOIN attrs ON attrs.node = clean.node)", *[ks(f"a{c}", "sa", "attrs", c, ["sim"]) for c in COLUMNS], *[ks(f"r{c}", "ca", "attrs", c, ["sim"]) for c in COLUMNS], REP, recursive=True))
+def representativeness_independent(n):
+    """Representativeness of greedy independent samples, from which chains start, beside the clean egos."""
+    return S.representativeness(_typed(n), S.greedy_independent(n.adj, n.deg, S.grid(n.spark, SIMS), SIZE), n.clean.select("sim", "node"), COLUMNS)
+
+
 @query(None)
 def representativeness_matched(n):
     """Representativeness of the matched (Metropolis-Hastings) samples beside the clean egos."""

@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 #: Labels of networks and estimators.
 NETWORK_LABELS = {"lastfm": "LastFM", "twitch": "Twitch", "pokec": "Pokec", "simulate_base": "Simulated (base)", "simulate_sparse": "Simulated (sparse)", "simulate_small": "Simulated (small)"}
 
+#: Kinds of networks.
+NETWORK_TYPES = {name: "Simulated" if name.startswith("simulate") else "Real-world" for name in NETWORK_LABELS}
+
+
+def network_columns(table: DataFrame, column: str = "network") -> DataFrame:
+    """The table with the network's label in place of its name, and its kind as ``network_type`` (null for names that are not registered)."""
+    known = F.col(column).isin(list(NETWORK_TYPES))
+    return table.withColumn("network_type", F.when(known, recode(column, NETWORK_TYPES))).withColumn(column, recode(column, NETWORK_LABELS))
+
 
 def labelled_union(tables: dict[str, DataFrame], column: str = "network") -> DataFrame:
     """One table of several, with a column that names each."""
