@@ -1,13 +1,18 @@
 """Line dedup by content-defined line chunks.
 
 A rolling hash over the hashes of WINDOW neighbouring lines (with a word) cuts a
-text where it falls in one of MEAN classes, so boundaries depend on the lines
-around them and survive shifts. Chunks of MIN_LINES lines or more that stand
+text where it is less than beside it, so boundaries depend on the lines around
+them and survive shifts; chunks have two lines or more, three on average, and two
+in a row of equal lines. Chunks of MIN_LINES lines or more that stand
 before, by hash and then by bytes, go.
 
-A repeated run need not hold a whole chunk: its first and last lines are in
-chunks with lines that differ. So what the chunks leave is completed by pairs:
-each two neighbouring lines that are not in a chunk that goes are compared in
+A repeated run goes on beyond its whole chunks: its first and last lines are in
+chunks with lines that differ. So a match of two chunks is extended on both
+sides, line by line, as far as the chunks beside them agree, which their bytes
+confirm, too.
+
+What is left are runs too short to hold a whole chunk. Each two neighbouring
+lines that are not in a chunk that goes, nor in its extension, are compared in
 the same way, by hash and then by bytes. Together they take every run of
 MIN_LINES lines or more that begins and ends in a line with a word and stands
 before (smaller doc_id, then place in the text, no line shared); each line's
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 from netexp.llm.cluster import Scratch, other_rows, some_rows
 from netexp.llm.textkit import Prefix, U, mix, signed, slices, words
 
-WINDOW, MEAN, MIN_LINES = 2, 4, 2
+WINDOW, MIN_LINES = 2, 2
 
 
 def line_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -38,7 +43,7 @@ def line_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def chunk_slice(buf: np.ndarray, offsets: np.ndarray):
-    """Chunks and pairs of lines: text, kind (0 chunk, 1 pair), hash, start byte and end byte in the text, first and last line in the text, start byte of the chunk that a pair lies in (-1: none)."""
+    """Chunks: text, kind (0, or 2 for one line alone, which is no repeat of its own), hash, start byte and end byte in the text, first and last line in the text, number in the text; then the pairs of lines (a line and the next with a word) that begin in each chunk: their bounds by chunk, and hash, start byte, end byte, first and last line of each."""
     starts, ends, doc = line_bounds(buf, offsets)
     s, _, _ = words(buf, offsets)
     worded = np.flatnonzero(np.searchsorted(s, ends) > np.searchsorted(s, starts))
@@ -51,24 +56,33 @@ def chunk_slice(buf: np.ndarray, offsets: np.ndarray):
         roll[WINDOW - 1 :] = mix(roll[WINDOW - 1 :] * U(0xA0761D6478BD642F) + h[j : m - WINDOW + 1 + j])
     whole = np.zeros(m, dtype=bool)
     whole[WINDOW - 1 :] = owner[WINDOW - 1 :] == owner[: m - WINDOW + 1]
-    cut = whole & (roll % U(MEAN) == 0)
+    cut = np.zeros(m, dtype=bool)
+    cut[1:] = whole[1:] & whole[:-1] & (roll[1:] < roll[:-1])
+    cut[:-1] &= ~whole[1:] | (roll[:-1] < roll[1:])
+    # a row of equal lines is cut by twos from its start
+    same = np.zeros(m, dtype=bool)
+    same[1:] = whole[1:] & whole[:-1] & (roll[1:] == roll[:-1])
+    place = np.arange(m)
+    cut |= same & ((place - np.maximum.accumulate(np.where(same, 0, place))) % 2 == 1)
     cut |= np.append(owner[1:] != owner[:-1], True) if m else cut
     last = np.flatnonzero(cut)
     first = np.concatenate(([0], last[:-1] + 1)).astype(np.int64) if m else last
-    chunk = np.repeat(np.arange(len(last)), last - first + 1)
-    long = np.flatnonzero(last - first + 1 >= MIN_LINES)
+    top = np.searchsorted(doc, np.arange(len(offsets)))  # first line of each text
+
+    def spans(a, b):
+        a, b = worded[a], worded[b]
+        at = offsets[doc[a]]
+        return prefix.hashes(starts[a], ends[b]), starts[a] - at, ends[b] - at, a - top[doc[a]], b - top[doc[b]]
+
+    text = owner[first]
+    number = np.arange(len(text)) - np.searchsorted(text, text)
     pair = np.flatnonzero(owner[1:] == owner[:-1]) if m else last
-    inside = np.where(chunk[pair] == chunk[pair + 1], starts[worded[first[chunk[pair]]]], -1) if len(pair) else pair
-    a, b = worded[np.concatenate((first[long], pair))], worded[np.concatenate((last[long], pair + 1))]
-    text = doc[a]
-    kind = np.repeat(np.array([0, 1], dtype=np.int32), [len(long), len(pair)])
-    within = np.concatenate((np.full(len(long), -1), inside))
-    within = np.where(within >= 0, within - offsets[text], -1)
-    top = np.searchsorted(doc, text)
-    return text, kind, prefix.hashes(starts[a], ends[b]), starts[a] - offsets[text], ends[b] - offsets[text], a - top, b - top, within
+    kind = np.where(last - first + 1 >= MIN_LINES, 0, 2).astype(np.int32)
+    return text, kind, *spans(first, last), number, np.searchsorted(pair, np.append(first, m)), *spans(pair, pair + 1)
 
 
-_CHUNK = "key long, doc_id long, kind int, hash long, begin long, end long, first long, last long, within long"
+_PAIR = ["hash", "begin", "end", "first", "last"]
+_CHUNK = "key long, doc_id long, kind int, hash long, begin long, end long, first long, last long, number long, pairs array<struct<hash:long,begin:long,end:long,first:long,last:long>>"
 
 
 def _chunks(batches):
@@ -77,18 +91,21 @@ def _chunks(batches):
         for at, _, buf, offsets in slices(batch.column(2)):
             if not len(buf):
                 continue
-            owner, kind, h, *spans = chunk_slice(buf, offsets)
+            owner, kind, h, begin, end, first, last, number, bounds, ph, *place = chunk_slice(buf, offsets)
+            pairs = pa.StructArray.from_arrays([pa.array(signed(ph)), *[pa.array(x) for x in place]], _PAIR)
             yield pa.record_batch(
-                [pa.array(keys[at + owner]), ids.take(pa.array(at + owner)), pa.array(kind), pa.array(signed(h)), *[pa.array(x) for x in spans]],
-                names=["key", "doc_id", "kind", "hash", "begin", "end", "first", "last", "within"],
+                [pa.array(keys[at + owner]), ids.take(pa.array(at + owner)), pa.array(kind), pa.array(signed(h)), *[pa.array(x) for x in (begin, end, first, last, number)], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pairs)],
+                names=["key", "doc_id", "kind", "hash", "begin", "end", "first", "last", "number", "pairs"],
             )
 
 
 _SPAN = ["key", "begin", "end", "first", "last"]
+#: A span that goes and the place of the one that stays.
+_COPY = [*_SPAN, "keep_key", "keep_begin"]
 
 
 def later_copies(chunks: DataFrame, keyed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, begin, end, first, last) of the chunks whose bytes stand before. ``chunks`` is (key, doc_id, hash, begin, end, first, last)."""
+    """(key, begin, end, first, last, keep_key, keep_begin) of the chunks whose bytes stand before, and where. ``chunks`` is (key, doc_id, hash, begin, end, first, last)."""
     place = F.struct(F.col("doc_id"), F.col("key"), F.col("begin"))
     again = chunks.groupBy("hash").agg(F.min(place).alias("keep"), F.max(place).alias("top")).where("keep <> top").select("hash")
     again = scratch.write(again, "again")
@@ -103,27 +120,68 @@ def later_copies(chunks: DataFrame, keyed: DataFrame, scratch: Scratch) -> DataF
     verdict = scratch.write(classes.groupBy("hash").agg(F.count("*").alias("classes"), F.min("keep").alias("keep")), "verdict")
     # the first of its class stays, and what shares a line with it in its own text
     later = F.expr("not (doc_id <=> keep.doc_id and key = keep.key and begin <= keep.begin + end - begin)")
-    plain = found.join(verdict.where("classes = 1").select("hash", "keep"), "hash").where(later).select(*_SPAN)
+    stays = lambda t: t.where(later).select(*_SPAN, F.col("keep.key").alias("keep_key"), F.col("keep.begin").alias("keep_begin"))
+    plain = stays(found.join(verdict.where("classes = 1").select("hash", "keep"), "hash"))
     # different chunks under one hash: told apart by their bytes
     mixed = verdict.where("classes > 1").select("hash")
     twins = classes.join(mixed, "hash").where("keep <> top").select("hash", "raw", "keep")
-    collided = cut.select("p.*", "key", raw.alias("raw")).join(twins, ["hash", "raw"]).where(later).select(*_SPAN)
+    collided = stays(cut.select("p.*", "key", raw.alias("raw")).join(twins, ["hash", "raw"]))
     return plain if mixed.isEmpty() else plain.unionAll(collided).distinct()
 
 
+def extensions(chunks: DataFrame, copies: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, doc_id, hash, begin, end, first, last): the pairs of lines beside each copy of a chunk that the chunk that stays has beside it, too, and those beside that one.
+
+    To the right these are the pair that leaves the chunk and the first ones of
+    the next two chunks, to the left the last ones of the two chunks before, as
+    far as they agree by hash: a run ends within them, as a longer one would
+    hold one of these chunks, too, unless its neighbours moved a boundary.
+    """
+    texts = copies.select("key").unionAll(copies.select("keep_key")).distinct()
+    near = Window.partitionBy("key").orderBy("number")
+    some = some_rows(chunks, scratch.write(texts, "texts"), "key").select("key", "doc_id", "begin", "number", "last", "pairs")
+    none = F.array().cast("array<struct<hash:long,begin:long,end:long,first:long,last:long>>")
+    beside = some.select(
+        "key", "doc_id", "begin", F.concat(F.filter("pairs", lambda p: p["last"] > F.col("last")), F.coalesce(F.lead("pairs").over(near), none), F.coalesce(F.lead("pairs", 2).over(near), none)).alias("right"), F.reverse(F.concat(F.coalesce(F.lag("pairs", 2).over(near), none), F.coalesce(F.lag("pairs").over(near), none))).alias("left")
+    )
+    beside = scratch.write(beside, "beside")
+    kept = beside.select(F.col("key").alias("keep_key"), F.col("doc_id").alias("keep_doc"), F.col("begin").alias("keep_begin"), F.col("right").alias("keep_right"), F.col("left").alias("keep_left"))
+    both = copies.select("key", "begin", "keep_key", "keep_begin").join(beside, ["key", "begin"]).join(kept, ["keep_key", "keep_begin"])
+
+    def agree(side):
+        """How many pairs agree before the first that doesn't."""
+        same = F.zip_with(F.slice(side, 1, F.least(F.size(side), F.size(f"keep_{side}"))), F.slice(f"keep_{side}", 1, F.least(F.size(side), F.size(f"keep_{side}"))), lambda a, b: a["hash"] == b["hash"])
+        return F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same)).cast("int")
+
+    sized = both.withColumn("nr", agree("right")).withColumn("nl", agree("left")).where("nr + nl > 0")
+    of = lambda key, doc, right, left: sized.select(F.col(key).alias("key"), F.col(doc).alias("doc_id"), F.explode(F.concat(F.slice(right, 1, F.col("nr")), F.slice(left, 1, F.col("nl")))).alias("p"))
+    return of("key", "doc_id", "right", "left").unionAll(of("keep_key", "keep_doc", "keep_right", "keep_left")).select("key", "doc_id", "p.*").distinct()
+
+
+def runs_of(spans: DataFrame) -> DataFrame:
+    """(key, begin, end, lines) of the runs that spans (key, begin, end, first, last) make together: a run starts where a span doesn't touch those before."""
+    order = Window.partitionBy("key").orderBy("begin", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = spans.withColumn("fresh", F.coalesce(F.col("begin") > before + 1, F.lit(True)).cast("int"))
+    numbered = fresh.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("key", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), (F.max("last") - F.min("first") + 1).alias("lines"))
+
+
 def removed_chunks(spark: SparkSession, keyed: DataFrame) -> DataFrame:
-    """(key, removed array<struct<begin, end, lines>>) of the texts that lose lines, one struct a run; ``keyed`` is (key long, doc_id long, text)."""
+    """(key, removed array<struct<begin, end, lines>>, by_chunks) of the texts that lose lines, one struct a run, and how many of the lines chunks and their extensions tell; ``keyed`` is (key long, doc_id long, text)."""
     scratch = Scratch(spark, "line-dedup")
     chunks = scratch.write(keyed.select("key", "doc_id", "text").mapInArrow(_chunks, _CHUNK), "chunks")
-    whole = scratch.write(later_copies(chunks.where("kind = 0"), keyed, scratch), "whole")
-    pairs = chunks.where("kind = 1").join(whole.select("key", F.col("begin").alias("within")), ["key", "within"], "left_anti")
-    gone = whole.unionAll(later_copies(pairs, keyed, scratch))
-    # a run starts where a chunk or pair doesn't touch those before
-    order = Window.partitionBy("key").orderBy("begin", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = gone.withColumn("fresh", F.coalesce(F.col("begin") > before + 1, F.lit(True)).cast("int"))
-    runs = fresh.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("key", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), (F.max("last") - F.min("first") + 1).alias("lines"))
-    removed = scratch.write(runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "lines"))).alias("removed")), "removed")
+    whole = scratch.write(later_copies(chunks.where("kind = 0").drop("pairs", "number"), keyed, scratch), "whole")
+    grown = scratch.write(later_copies(scratch.write(extensions(chunks, whole, scratch), "extensions"), keyed, scratch), "grown")
+    told = whole.unionAll(grown).select(*_SPAN)
+    rest = chunks.join(whole.select("key", "begin").distinct(), ["key", "begin"], "left_anti").select("key", "doc_id", F.explode("pairs").alias("p")).select("key", "doc_id", "p.*")
+    # of a chunk that goes, the pair that leaves it is left
+    leaving = chunks.join(whole.select("key", "begin").distinct(), ["key", "begin"], "left_semi").select("key", "doc_id", F.explode(F.filter("pairs", lambda p: p["last"] > F.col("last"))).alias("p")).select("key", "doc_id", "p.*")
+    pairs = rest.unionAll(leaving).join(grown.select("key", "begin").distinct(), ["key", "begin"], "left_anti")
+    gone = told.unionAll(later_copies(pairs, keyed, scratch).select(*_SPAN))
+    by_chunks = runs_of(told).groupBy("key").agg(F.sum("lines").alias("by_chunks"))
+    all_runs = runs_of(gone).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "lines"))).alias("removed"))
+    removed = scratch.write(all_runs.join(by_chunks, "key", "left").select("key", "removed", F.coalesce("by_chunks", F.lit(0)).cast("long").alias("by_chunks")), "removed")
     scratch.finish(removed)
     return removed
 
@@ -134,7 +192,7 @@ def row_key():
 
 
 def line_dedup_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed_chunks (runs of lines that go), n_removed_lines, n_removed_bytes (with the newline of each run).
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed_chunks (runs of lines that go), n_removed_lines, n_removed_bytes (with the newline of each run), n_chunk_lines (the lines of n_removed_lines that chunks and their extensions tell; runs without a whole chunk have the others).
 
     Null and empty texts lose nothing. A null doc_id comes before all others.
     Rows equal in doc_id and text are one document and lose the same; rows that
@@ -143,11 +201,11 @@ def line_dedup_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     keyed = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     gone = removed_chunks(spark, keyed)
-    count = gone.select("key", F.size("removed").alias("c"), F.expr("aggregate(removed, 0L, (a, r) -> a + r.lines)").alias("l"), F.expr("aggregate(removed, 0L, (a, r) -> a + r.end - r.begin + 1)").alias("b"))
+    count = gone.select("key", "by_chunks", F.size("removed").alias("c"), F.expr("aggregate(removed, 0L, (a, r) -> a + r.lines)").alias("l"), F.expr("aggregate(removed, 0L, (a, r) -> a + r.end - r.begin + 1)").alias("b"))
     slim = keyed.select("key", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     out = slim.join(count, "key", "left")
-    return out.select("doc_id", "n_bytes", zero("c").alias("n_removed_chunks"), zero("l").alias("n_removed_lines"), F.least(zero("b"), F.col("n_bytes")).alias("n_removed_bytes"))
+    return out.select("doc_id", "n_bytes", zero("c").alias("n_removed_chunks"), zero("l").alias("n_removed_lines"), F.least(zero("b"), F.col("n_bytes")).alias("n_removed_bytes"), zero("by_chunks").alias("n_chunk_lines"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netexp.llm import decontaminate, filter_audit, fm_index, queries, target_resampling
+from netexp.llm import decontaminate, filter_audit, fm_index, line_dedup, queries, target_resampling
 
 DOCS = "doc_id long, text string, lang string, n_words long, mask int, rank long, score long, spans string, part string"
 
@@ -218,3 +218,30 @@ def test_contamination_is_removed(spark):
 def test_queries_are_registered():
     for name in ("op11_filter_audit", "op12_decontamination", "op13_target_resampling"):
         assert name in queries.QUERIES and name in queries.ORACLES
+
+
+# line dedup by path
+
+
+def test_lines_by_path(spark):
+    """Long repeated passages are told by chunks and their extensions to their first and last line, whatever stands around; only runs too short for a chunk are left to pairs."""
+    passages = [[prose(12, 1000 * p + i, 9000) for i in range(25)] for p in range(4)]
+    texts = ["\n".join([*(prose(9, 50 * i + j, 9000) for j in range(i % 3)), *passages[i % 4], *(prose(9, 70000 + 50 * i + j, 9000) for j in range(2))]) for i in range(16)]
+    report = {r.doc_id: r for r in line_dedup.line_dedup_report(spark, docs(spark, [(i, t, "en") for i, t in enumerate(texts)])).collect()}
+    assert all(report[i].n_removed_lines == 0 for i in range(4))
+    assert all(report[i].n_removed_lines == report[i].n_chunk_lines == 25 and report[i].n_removed_chunks == 1 for i in range(4, 16))
+    short = ["a b\nc d", "e f\na b\nc d\ng h", "i j\nk l", "i j\nk l\nm n"]
+    report = line_dedup.line_dedup_report(spark, docs(spark, [(i, t, "en") for i, t in enumerate(short)])).collect()
+    assert sum(r.n_removed_lines for r in report) == 4 and all(r.n_chunk_lines <= r.n_removed_lines for r in report)
+
+
+def test_extension_stops_where_lines_differ(spark):
+    """To the line; empty tables and very long lines."""
+    base = [prose(8, i, 9000) for i in range(40)]
+    texts = ["\n".join(base), "\n".join(["first", *base[:30], *(f"other {x}" for x in base[30:])]), "\n".join([*(f"x {x}" for x in base[:7]), *base[7:]]), None, "", "\n\n", "one line"]
+    report = {r.doc_id: (r.n_removed_lines, r.n_chunk_lines) for r in line_dedup.line_dedup_report(spark, docs(spark, [(i, t, "en") for i, t in enumerate(texts)])).collect()}
+    assert report == {0: (0, 0), 1: (30, 30), 2: (33, 33), 3: (0, 0), 4: (0, 0), 5: (0, 0), 6: (0, 0)}
+    assert line_dedup.line_dedup_report(spark, docs(spark, [])).count() == 0
+    huge = "\n".join([prose(30, 5, 9000), "w " * 300_000, prose(30, 6, 9000)])
+    rows = {r.doc_id: r.n_removed_lines for r in line_dedup.line_dedup_report(spark, docs(spark, [(1, huge, "en"), (2, huge, "en")])).collect()}
+    assert rows == {1: 0, 2: 3}
