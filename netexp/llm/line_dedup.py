@@ -129,6 +129,11 @@ def later_copies(chunks: DataFrame, keyed: DataFrame, scratch: Scratch) -> DataF
     return plain if mixed.isEmpty() else plain.unionAll(collided).distinct()
 
 
+def _place(*columns: str):
+    """A key for a place in a text."""
+    return F.xxhash64(*columns)
+
+
 def extensions(chunks: DataFrame, copies: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, doc_id, hash, begin, end, first, last): the pairs of lines beside each copy of a chunk that the chunk that stays has beside it, too, and those beside that one.
 
@@ -137,14 +142,16 @@ def extensions(chunks: DataFrame, copies: DataFrame, scratch: Scratch) -> DataFr
     far as they agree by hash: a run ends within them, as a longer one would
     hold one of these chunks, too, unless its neighbours moved a boundary.
     """
-    texts = copies.select("key").unionAll(copies.select("keep_key")).distinct()
+    places = copies.select("key", "begin").unionAll(copies.select(F.col("keep_key"), F.col("keep_begin"))).distinct()
+    places = scratch.write(places.select("key", _place("key", "begin").alias("place")), "places")
     near = Window.partitionBy("key").orderBy("number")
-    some = some_rows(chunks, scratch.write(texts, "texts"), "key").select("key", "doc_id", "begin", "number", "last", "pairs")
+    some = some_rows(chunks, places.select("key").distinct(), "key").select("key", "doc_id", "begin", "number", "last", "pairs")
     none = F.array().cast("array<struct<hash:long,begin:long,end:long,first:long,last:long>>")
-    beside = some.select(
-        "key", "doc_id", "begin", F.concat(F.filter("pairs", lambda p: p["last"] > F.col("last")), F.coalesce(F.lead("pairs").over(near), none), F.coalesce(F.lead("pairs", 2).over(near), none)).alias("right"), F.reverse(F.concat(F.coalesce(F.lag("pairs", 2).over(near), none), F.coalesce(F.lag("pairs").over(near), none))).alias("left")
-    )
-    beside = scratch.write(beside, "beside")
+    ahead, behind = ([F.coalesce(f("pairs", i).over(near), none) for i in (1, 2)] for f in (F.lead, F.lag))
+    leaving = F.filter("pairs", lambda p: p["last"] > F.col("last"))
+    beside = some.select("key", "doc_id", "begin", _place("key", "begin").alias("place"), F.concat(leaving, *ahead).alias("right"), F.reverse(F.concat(*behind[::-1])).alias("left"))
+    # only the chunks that matched keep their surroundings
+    beside = scratch.write(some_rows(beside, places.select("place"), "place").drop("place"), "beside")
     kept = beside.select(F.col("key").alias("keep_key"), F.col("doc_id").alias("keep_doc"), F.col("begin").alias("keep_begin"), F.col("right").alias("keep_right"), F.col("left").alias("keep_left"))
     both = copies.select("key", "begin", "keep_key", "keep_begin").join(beside, ["key", "begin"]).join(kept, ["keep_key", "keep_begin"])
 
@@ -174,10 +181,12 @@ def removed_chunks(spark: SparkSession, keyed: DataFrame) -> DataFrame:
     whole = scratch.write(later_copies(chunks.where("kind = 0").drop("pairs", "number"), keyed, scratch), "whole")
     grown = scratch.write(later_copies(scratch.write(extensions(chunks, whole, scratch), "extensions"), keyed, scratch), "grown")
     told = whole.unionAll(grown).select(*_SPAN)
-    rest = chunks.join(whole.select("key", "begin").distinct(), ["key", "begin"], "left_anti").select("key", "doc_id", F.explode("pairs").alias("p")).select("key", "doc_id", "p.*")
-    # of a chunk that goes, the pair that leaves it is left
-    leaving = chunks.join(whole.select("key", "begin").distinct(), ["key", "begin"], "left_semi").select("key", "doc_id", F.explode(F.filter("pairs", lambda p: p["last"] > F.col("last"))).alias("p")).select("key", "doc_id", "p.*")
-    pairs = rest.unionAll(leaving).join(grown.select("key", "begin").distinct(), ["key", "begin"], "left_anti")
+    # pairs in a chunk that goes are told by it, but for the one that leaves it
+    gone_chunks = scratch.write(whole.select(_place("key", "begin").alias("place")).distinct(), "gone")
+    placed = chunks.select("key", "doc_id", "last", "pairs", _place("key", "begin").alias("place"))
+    leaving = some_rows(placed, gone_chunks, "place").select("key", "doc_id", "place", F.explode(F.filter("pairs", lambda p: p["last"] > F.col("last"))).alias("p")).join(gone_chunks, "place", "left_semi")
+    each = other_rows(placed, gone_chunks, "place").select("key", "doc_id", F.explode("pairs").alias("p")).unionAll(leaving.select("key", "doc_id", "p")).select("key", "doc_id", "p.*", _place("key", "p.begin").alias("place"))
+    pairs = other_rows(each, scratch.write(grown.select(_place("key", "begin").alias("place")).distinct(), "told"), "place").drop("place")
     gone = told.unionAll(later_copies(pairs, keyed, scratch).select(*_SPAN))
     by_chunks = runs_of(told).groupBy("key").agg(F.sum("lines").alias("by_chunks"))
     all_runs = runs_of(gone).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "lines"))).alias("removed"))
