@@ -137,14 +137,19 @@ def _place(*columns: str):
 def extensions(chunks: DataFrame, copies: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, doc_id, hash, begin, end, first, last): the pairs of lines beside each copy of a chunk that the chunk that stays has beside it, too, and those beside that one.
 
-    To the right these are the pair that leaves the chunk and the first ones of
+    Only the ends of rows of chunks that go are looked at. To the right these are the pair that leaves the chunk and the first ones of
     the next two chunks, to the left the last ones of the two chunks before, as
     far as they agree by hash: a run ends within them, as a longer one would
     hold one of these chunks, too, unless its neighbours moved a boundary.
     """
+    near = Window.partitionBy("key").orderBy("number")
+    numbers = some_rows(chunks.select("key", "begin", "number", _place("key", "begin").alias("place")), scratch.write(copies.select(_place("key", "begin").alias("place")).distinct(), "copies"), "place")
+    numbered = copies.select("key", "begin", "keep_key", "keep_begin").join(numbers.select("key", "begin", "number"), ["key", "begin"])
+    apart = lambda f, step: F.coalesce(f("number").over(near) != F.col("number") + step, F.lit(True))
+    copies = numbered.withColumn("to_right", apart(F.lead, 1)).withColumn("to_left", apart(F.lag, -1)).where("to_right or to_left")
+    copies = scratch.write(copies.drop("number"), "ends")
     places = copies.select("key", "begin").unionAll(copies.select(F.col("keep_key"), F.col("keep_begin"))).distinct()
     places = scratch.write(places.select("key", _place("key", "begin").alias("place")), "places")
-    near = Window.partitionBy("key").orderBy("number")
     some = some_rows(chunks, places.select("key").distinct(), "key").select("key", "doc_id", "begin", "number", "last", "pairs")
     none = F.array().cast("array<struct<hash:long,begin:long,end:long,first:long,last:long>>")
     ahead, behind = ([F.coalesce(f("pairs", i).over(near), none) for i in (1, 2)] for f in (F.lead, F.lag))
@@ -153,14 +158,14 @@ def extensions(chunks: DataFrame, copies: DataFrame, scratch: Scratch) -> DataFr
     # only the chunks that matched keep their surroundings
     beside = scratch.write(some_rows(beside, places.select("place"), "place").drop("place"), "beside")
     kept = beside.select(F.col("key").alias("keep_key"), F.col("doc_id").alias("keep_doc"), F.col("begin").alias("keep_begin"), F.col("right").alias("keep_right"), F.col("left").alias("keep_left"))
-    both = copies.select("key", "begin", "keep_key", "keep_begin").join(beside, ["key", "begin"]).join(kept, ["keep_key", "keep_begin"])
+    both = copies.join(beside, ["key", "begin"]).join(kept, ["keep_key", "keep_begin"])
 
     def agree(side):
         """How many pairs agree before the first that doesn't."""
         same = F.zip_with(F.slice(side, 1, F.least(F.size(side), F.size(f"keep_{side}"))), F.slice(f"keep_{side}", 1, F.least(F.size(side), F.size(f"keep_{side}"))), lambda a, b: a["hash"] == b["hash"])
         return F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same)).cast("int")
 
-    sized = both.withColumn("nr", agree("right")).withColumn("nl", agree("left")).where("nr + nl > 0")
+    sized = both.withColumn("nr", F.when(F.col("to_right"), agree("right")).otherwise(0)).withColumn("nl", F.when(F.col("to_left"), agree("left")).otherwise(0)).where("nr + nl > 0")
     of = lambda key, doc, right, left: sized.select(F.col(key).alias("key"), F.col(doc).alias("doc_id"), F.explode(F.concat(F.slice(right, 1, F.col("nr")), F.slice(left, 1, F.col("nl")))).alias("p"))
     return of("key", "doc_id", "right", "left").unionAll(of("keep_key", "keep_doc", "keep_right", "keep_left")).select("key", "doc_id", "p.*").distinct()
 
