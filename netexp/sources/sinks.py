@@ -39,10 +39,11 @@ def save_network(attributes: DataFrame, adjacency: DataFrame, folder: str, hop2:
 def load_network(spark: SparkSession, folder: str) -> dict[str, DataFrame | None]:
     """attributes, hop1 and hop2 (None where it isn't stored). The session's catalog learns of the buckets, which the files alone do not tell."""
     path, name = f"{folder}/hop2", _table_of(folder)
-    if not spark.catalog.tableExists(name):
-        buckets = spark.read.parquet(f"{folder}/hop1_buckets").first()[0]
-        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(f"{folder}/hop1").schema)
-        spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY (src) SORTED BY (src) INTO {buckets} BUCKETS LOCATION '{folder}/hop1'")
+    # always anew: another session may have written the folder since
+    buckets = spark.read.parquet(f"{folder}/hop1_buckets").first()[0]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(f"{folder}/hop1").schema)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY (src) SORTED BY (src) INTO {buckets} BUCKETS LOCATION '{folder}/hop1'")
     return {"attributes": spark.read.parquet(f"{folder}/attributes"), "hop1": spark.table(name), "hop2": spark.read.parquet(path) if exists(spark, path) else None}
 
 
