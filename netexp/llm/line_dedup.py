@@ -184,15 +184,18 @@ def removed_chunks(spark: SparkSession, keyed: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "line-dedup")
     chunks = scratch.write(keyed.select("key", "doc_id", "text").mapInArrow(_chunks, _CHUNK), "chunks")
     whole = scratch.write(later_copies(chunks.where("kind = 0").drop("pairs", "number"), keyed, scratch), "whole")
-    grown = scratch.write(later_copies(scratch.write(extensions(chunks, whole, scratch), "extensions"), keyed, scratch), "grown")
-    told = whole.unionAll(grown).select(*_SPAN)
+    grown = scratch.write(extensions(chunks, whole, scratch), "extensions")
     # pairs in a chunk that goes are told by it, but for the one that leaves it
     gone_chunks = scratch.write(whole.select(_place("key", "begin").alias("place")).distinct(), "gone")
     placed = chunks.select("key", "doc_id", "last", "pairs", _place("key", "begin").alias("place"))
     leaving = some_rows(placed, gone_chunks, "place").select("key", "doc_id", "place", F.explode(F.filter("pairs", lambda p: p["last"] > F.col("last"))).alias("p")).join(gone_chunks, "place", "left_semi")
     each = other_rows(placed, gone_chunks, "place").select("key", "doc_id", F.explode("pairs").alias("p")).unionAll(leaving.select("key", "doc_id", "p")).select("key", "doc_id", "p.*", _place("key", "p.begin").alias("place"))
-    pairs = other_rows(each, scratch.write(grown.select(_place("key", "begin").alias("place")).distinct(), "told"), "place").drop("place")
-    gone = told.unionAll(later_copies(pairs, keyed, scratch).select(*_SPAN))
+    told_pairs = scratch.write(grown.select(_place("key", "begin").alias("place")).distinct(), "told")
+    pairs = other_rows(each, told_pairs, "place").drop("place")
+    # the bytes of extensions and of the pairs that are left are compared at once: texts move once for both
+    found = scratch.write(later_copies(grown.select(*pairs.columns).unionAll(pairs), keyed, scratch).select(*_SPAN, _place("key", "begin").alias("place")), "found")
+    told = whole.select(*_SPAN).unionAll(found.join(told_pairs, "place", "left_semi").select(*_SPAN))
+    gone = whole.select(*_SPAN).unionAll(found.select(*_SPAN))
     by_chunks = runs_of(told).groupBy("key").agg(F.sum("lines").alias("by_chunks"))
     all_runs = runs_of(gone).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "lines"))).alias("removed"))
     removed = scratch.write(all_runs.join(by_chunks, "key", "left").select("key", "removed", F.coalesce("by_chunks", F.lit(0)).cast("long").alias("by_chunks")), "removed")
