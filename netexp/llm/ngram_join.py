@@ -7,10 +7,10 @@ signature with any partner: a rare shingle is a signature of its own, frequent
 shingles are dealt to hash groups and each pair within a group is one
 signature, so a group of c shingles only counts c - 1 towards the tau + 1 that
 the prefix needs (two sets that share no pair share at most one of the group).
-Signatures group the sets into candidate clusters. Shared passages chain many
+Signatures group the sets of neighbouring size bands into candidate clusters. Shared passages chain many
 unlinked sets into one cluster, so clusters are first split by histograms of
-BINS counts: their L1 distance is at most the size of the symmetric difference,
-hence linked sets are never parted. What is left is compared in blocks of
+BINS counts (FINE for sets of LONG shingles or more): their L1 distance is at
+most the size of the symmetric difference, hence linked sets are never parted. What is left is compared in blocks of
 bounded size, exactly; a spanning forest of the links and each set's number of
 links leave a block. Copies of one set are one class, so they never form pairs.
 
@@ -25,7 +25,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netexp.llm.cluster import Scratch, components, other_rows, some_rows
@@ -37,6 +37,8 @@ LEAST_BITS, BUCKET_BITS, CHUNK_BITS, ADDED = 12, 24, 16, 256
 BLOCK, HISTOGRAM_BLOCK = 384, 1024
 COLUMNS = 4096
 BINS = 256
+#: Sets of so many shingles have more bins: BINS would part hardly any of them.
+LONG, FINE = 3000, 2048
 
 
 def missing_allowed(n: int, num: int, den: int) -> int:
@@ -174,10 +176,28 @@ def frequency_table(docs: DataFrame, k: int) -> np.ndarray:
 
 def histograms(sets: list[np.ndarray]) -> np.ndarray:
     """Shingles of each set by the low byte of the hash, at most 255 a bin (a cap only lowers the distance of two sets)."""
+    return _binned(sets, BINS)
+
+
+def _binned(sets: list[np.ndarray], bins: int) -> np.ndarray:
     every = np.concatenate([*sets, np.zeros(0, U)])
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    count = np.bincount(row * BINS + (every & U(BINS - 1)).astype(np.int64), minlength=len(sets) * BINS)
-    return np.minimum(count, 255).astype(np.uint8).reshape(len(sets), BINS)
+    count = np.bincount(row * bins + (every & U(bins - 1)).astype(np.int64), minlength=len(sets) * bins)
+    return np.minimum(count, 255).astype(np.uint8).reshape(len(sets), bins)
+
+
+def packed_histograms(sets: list[np.ndarray]) -> list[bytes]:
+    """The histogram of each set: BINS bytes, or FINE from LONG shingles on."""
+    out = [h.tobytes() for h in histograms(sets)]
+    for i, s in enumerate(sets):
+        if len(s) >= LONG:
+            out[i] = _binned([s], FINE).tobytes()
+    return out
+
+
+def coarse(bins: list[bytes]) -> np.ndarray:
+    """BINS counts of each packed histogram: a fine one is folded, as its bins go by more bits of the same hash."""
+    return np.array([np.minimum(np.frombuffer(b, dtype=np.uint8).reshape(-1, BINS).sum(axis=0), 255) for b in bins], dtype=np.uint8).reshape(len(bins), BINS)
 
 
 def _describe(k: int, num: int, den: int, table, frequent: int):
@@ -194,7 +214,7 @@ def _describe(k: int, num: int, den: int, table, frequent: int):
                 bounds = np.concatenate(([0], np.cumsum([len(s) for s in sigs]))).astype(np.int32)
                 values = signed(np.concatenate(sigs)) if len(sigs) else np.zeros(0, np.int64)
                 yield pa.record_batch(
-                    [keys.slice(at, to - at), ids.slice(at, to - at), pa.array(n), pa.array(signed(k1)), pa.array(signed(k2)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(values)), pa.array([h.tobytes() for h in histograms(sets)], pa.binary())],
+                    [keys.slice(at, to - at), ids.slice(at, to - at), pa.array(n), pa.array(signed(k1)), pa.array(signed(k2)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(values)), pa.array(packed_histograms(sets), pa.binary())],
                     names=["row", "doc_id", "n", "k1", "k2", "sigs", "bins"],
                 )
 
@@ -263,9 +283,15 @@ def spanning_forest(ids: list, i: np.ndarray, j: np.ndarray) -> list[tuple[int,
     return out
 
 
-def possible_forest(ids: list, n: np.ndarray, bins: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the pairs that histograms allow to be linked: all links are among these pairs."""
+def possible_forest(ids: list, n: np.ndarray, bins: np.ndarray, num: int, den: int, fine: dict[int, np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the pairs that histograms allow to be linked: all links are among these pairs.
+
+    ``fine`` has the FINE counts of long sets, by place; two of these are compared by them, too.
+    """
     wide, left, right = bins.astype(np.int16), [], []
+    fine = fine or {}
+    long = np.array(sorted(fine), dtype=np.int64)
+    counts = np.array([fine[i] for i in long.tolist()], dtype=np.int16)
     for x in range(len(ids) - 1):
         both = n[x] + n[x + 1 :]
         # the intersection is (both - difference) / 2, and num / (num + den) of both at least in a link
@@ -273,6 +299,12 @@ def possible_forest(ids: list, n: np.ndarray, bins: np.ndarray, num: int, den: i
         near = np.flatnonzero(np.abs(n[x + 1 :] - n[x]) <= room)
         if len(near):
             near = near[np.abs(wide[x + 1 + near] - wide[x]).sum(axis=1, dtype=np.int64) <= room[near]]
+            if x in fine and len(near):
+                at = np.minimum(np.searchsorted(long, near + x + 1), len(long) - 1)
+                both_long = long[at] == near + x + 1
+                apart = np.zeros(len(near), dtype=bool)
+                apart[both_long] = np.abs(counts[at[both_long]] - counts[np.searchsorted(long, x)]).sum(axis=1, dtype=np.int64) > room[near[both_long]]
+                near = near[~apart]
             left.append(np.full(len(near), x))
             right.append(near + x + 1)
     return spanning_forest(ids, np.concatenate(left), np.concatenate(right)) if left else []
@@ -284,7 +316,8 @@ def _possible(num: int, den: int):
     def done(ids, n, bins):
         if len(ids) < 2:
             return []
-        return possible_forest(ids, np.array(n, dtype=np.int64), np.frombuffer(b"".join(bins), dtype=np.uint8).reshape(len(ids), BINS), num, den)
+        fine = {i: np.frombuffer(b, dtype=np.uint8) for i, b in enumerate(bins) if len(b) == FINE}
+        return possible_forest(ids, np.array(n, dtype=np.int64), coarse(bins), num, den, fine)
 
     def compare(batches):
         task, rows = None, ([], [], [])
@@ -350,6 +383,27 @@ def _link_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["a", "b", "links"])
 
 
+def size_band(num: int, den: int):
+    """``band_of`` of the column n."""
+    return F.floor(F.log(F.col("n")) / -math.log(num / den) + 1e-9).cast("int")
+
+
+def signature_stars(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that tie classes with a common signature in the same or in neighbouring size bands, directly or by others of these.
+
+    Linked sets are in such bands, so texts that share a passage but differ in
+    size don't chain. In a band all go to the smallest node, which goes to the
+    smallest one a band below; the index is moved and sorted once.
+    """
+    index = classes.select("node", size_band(num, den).alias("band"), F.explode("sigs").alias("sig")).repartition("sig")
+    low = index.withColumn("low", F.first("node").over(Window.partitionBy("sig", "band").orderBy("node")))
+    before = Window.partitionBy("sig").orderBy("band", "node")
+    chained = low.select("node", "low", "band", F.lag("low").over(before).alias("below"), F.lag("band").over(before).alias("band_below"))
+    down = F.when(F.col("band_below") == F.col("band") - 1, F.col("below"))
+    star = F.when(F.col("node") != F.col("low"), F.col("low")).otherwise(down)
+    return chained.select(F.col("node").alias("a"), star.alias("b")).where("b is not null")
+
+
 def _tasks(members: DataFrame, num: int, den: int, block: int) -> DataFrame:
     """(node, task, side): clusters of at most ``block`` members are one task; larger ones are cut by size band and hash.
 
@@ -362,7 +416,7 @@ def _tasks(members: DataFrame, num: int, den: int, block: int) -> DataFrame:
     size = members.groupBy("cluster").agg(F.count("*").alias("size"))
     joined = members.join(size, "cluster")
     small = joined.where(F.col("size") <= block).select("node", F.xxhash64("cluster").alias("task"), F.lit(0).cast("long").alias("side"))
-    big = joined.where(F.col("size") > block).select("node", "cluster", F.floor(F.log(F.col("n")) / -math.log(num / den) + 1e-9).cast("int").alias("band"))
+    big = joined.where(F.col("size") > block).select("node", "cluster", size_band(num, den).alias("band"))
     blocks = big.groupBy("cluster", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     above = blocks.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     below = blocks.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
@@ -417,23 +471,19 @@ def ngram_jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 4, t
     tied = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("doc_id", "low")
     tied = rows.where("n > 0").join(tied, "doc_id").where("k1 <> low").select(F.col("k1").alias("a"), F.col("low").alias("b"))
 
-    # signatures shared by two classes or more: a star from the smallest node
-    index = classes.select("node", F.explode("sigs").alias("sig"))
-    low = scratch.write(index.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("sig", "low"), "low")
-    star = index.join(low, "sig").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    clusters = components(star, scratch)
+    clusters = components(signature_stars(classes, num, den), scratch)
 
     members = scratch.write(classes.join(clusters.withColumnRenamed("label", "cluster"), "node").select("node", "n", "cluster", "bins"), "candidates")
     possible = _tasks(members.select("node", "n", "cluster"), num, den, HISTOGRAM_BLOCK).join(members.select("node", "n", "bins"), "node").select("task", "node", "n", "bins")
     possible = components(possible.repartition("task").sortWithinPartitions("task").mapInArrow(_possible(num, den), "a long, b long"), scratch)
-    scratch.drop(low, members)
+    scratch.drop(members)
     members = scratch.write(classes.join(possible.withColumnRenamed("label", "cluster"), "node").select("node", "n", "cluster", "row", "documents"), "members")
     tasks = _tasks(members.select("node", "n", "cluster"), num, den, BLOCK)
 
-    # texts of the members only, one a class
-    wanted = members.select("row", "node", "documents")
-    texts = some_rows(docs.select("row", "text"), members.select("row"), "row").dropDuplicates(["row"]).join(wanted, "row").select("node", "documents", "text")
-    ready = tasks.join(texts, "node").select("task", "node", "side", "documents", "text")
+    # texts of the members only, one a class; they move by row, and then to their tasks
+    wanted = members.select("row", "node", "documents").join(tasks.groupBy("node").agg(F.collect_list(F.struct("task", "side")).alias("tasks")), "node")
+    texts = some_rows(docs.select("row", "text"), members.select("row"), "row").dropDuplicates(["row"]).join(wanted, "row")
+    ready = texts.select("node", "documents", "text", F.explode("tasks").alias("t")).select("t.task", "node", "t.side", "documents", "text")
     links = scratch.write(ready.repartition("task").sortWithinPartitions("task").mapInArrow(_compare(k, num, den), _LINKS), "links")
     labels = components(links.where("b is not null").select("a", "b").unionAll(tied), scratch)
 

@@ -619,3 +619,24 @@ def test_suffix_dedup_splits_a_hot_core(spark, monkeypatch, tmp_path):
             shard, size = line.split()
             total[shard] += int(size)
     assert max(total.values(), default=0) <= 3 * 4000
+
+
+def test_long_sets_are_parted_by_fine_histograms():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 20000).astype(np.uint64)
+    near = np.concatenate((base[:18500], rng.integers(0, 1 << 63, 1500).astype(np.uint64)))
+    sets = [np.unique(s) for s in (base, near, *(rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (19500, 20000, 2900)))]
+    n, packed = np.array([len(s) for s in sets]), ngram_join.packed_histograms(sets)
+    assert [len(b) for b in packed] == [ngram_join.FINE] * 4 + [ngram_join.BINS]
+    assert (ngram_join.coarse(packed) == ngram_join.histograms(sets)).all()
+    fine = {i: np.frombuffer(b, dtype=np.uint8) for i, b in enumerate(packed) if len(b) == ngram_join.FINE}
+    assert len(ngram_join.possible_forest(list(range(5)), n, ngram_join.coarse(packed), 17, 20)) > 1  # coarse ones leave unlinked sets together
+    assert ngram_join.possible_forest(list(range(5)), n, ngram_join.coarse(packed), 17, 20, fine) == [(0, 1)] == ngram_join.linked_forest(list(range(5)), sets, 17, 20)
+
+
+def test_a_signature_ties_neighbouring_size_bands_only(spark):
+    classes = spark.createDataFrame([(5, 100, [1, 2]), (3, 100, [1]), (7, 110, [1]), (1, 400, [1]), (2, 410, [1, 2]), (9, 5000, [3])], "node long, n long, sigs array<long>")
+    stars = {tuple(r) for r in ngram_join.signature_stars(classes, 17, 20).collect()}
+    bands = [ngram_join.band_of(n, 17, 20) for n in (100, 110, 400, 410)]
+    assert bands[1] - bands[0] in (0, 1) and bands[2] - bands[1] > 1 and bands[3] - bands[2] in (0, 1)
+    assert stars == {(5, 3), (7, 3), (2, 1)}
