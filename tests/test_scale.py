@@ -254,3 +254,26 @@ def test_exposure_in_closed_form(spark):
     deg = spark.createDataFrame([(i, k) for i, k in enumerate([1, 2, 5, 19, 20, 21, 29] + [1] * 23)], "node long, degree long")
     for r in causal.exposure(deg, 10).collect():
         assert r.d11 + r.d10 + r.d0n + r.d01 + r.d00 == pytest.approx(1) and min(r.d11, r.d10, r.d0n, r.d01, r.d00) > -1e-12
+
+
+@pytest.mark.parametrize(("hops", "size"), [(1, 3), (2, 3), (2, 40), (1, 5000)])
+def test_greedy_looks_at_the_first_nodes_of_the_order(spark, monkeypatch, hops, size):
+
+    rng = np.random.default_rng(4)
+    near = {v: set() for v in range(3000)}
+    for a, b in [*rng.integers(0, 3000, (3000, 2)).tolist(), *((0, v) for v in range(1, 2500))]:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    adj = spark.createDataFrame([(v, u) for v in near for u in near[v]], "src long, dst long")
+    nodes = adj.selectExpr("src AS node").distinct()
+    seen, rivals = [], sampling.rivals
+    monkeypatch.setattr(sampling, "rivals", lambda adj, live, *rest, **more: (seen.append(live.count()), rivals(adj, live, *rest, **more))[1])
+    want, out = set(), set()
+    for v in sorted((v for v in near if near[v]), key=lambda v: (hashlib.md5(f"{v}-1".encode()).hexdigest(), v)):
+        if v not in out and len(want) < size:
+            want.add(v)
+            out |= near[v] | (set().union(*(near[u] for u in near[v])) if hops == 2 else set())
+    assert {r.node for r in sampling.greedy_independent(adj, nodes, sampling.grid(spark, 1), size, hops).collect()} == want
+    assert seen[0] < 1000 or size > 1000
+    assert seen == sorted(seen)
