@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from netexp.functions import distributions as D
 from netexp.functions import ranks
-from netexp.operators import causal, effects, graph, nested, packed, sampling
+from netexp.operators import causal, effects, graph, mcmc, nested, packed, sampling
 from netexp.sources import networks, sinks
 
 
@@ -277,3 +277,39 @@ def test_greedy_looks_at_the_first_nodes_of_the_order(spark, monkeypatch, hops,
     assert {r.node for r in sampling.greedy_independent(adj, nodes, sampling.grid(spark, 1), size, hops).collect()} == want
     assert seen[0] < 1000 or size > 1000
     assert seen == sorted(seen)
+
+
+@pytest.mark.parametrize("shift", [0, 1 << 40])
+def test_population_is_sent_once_an_edge(spark, monkeypatch, shift):
+    edges, e = random_edges(spark, 200, 900, 3)
+    e = e.selectExpr(f"s + {shift} AS s", f"d + {shift} AS d")
+    adj, seen, to_arrow = graph.adjacency(e), [], type(e).toArrow
+    attributes = graph.node_attributes(e).cache()
+    monkeypatch.setattr(type(e), "toArrow", lambda df: (seen.append(to_arrow(df)), seen[-1])[1])
+    pop = mcmc.broadcast_population(spark, adj, attributes).value
+    near = {v: sorted({b for a, b in edges if a == v} | {a for a, b in edges if b == v}) for v in range(200)}
+    assert pop.nodes.tolist() == [v + shift for v in range(200) if near[v]]
+    for i, v in enumerate(pop.nodes.tolist()):
+        assert pop.nodes[pop.hop1(i)].tolist() == [u + shift for u in near[v - shift]]
+    assert seen[1].num_rows == len(edges) and seen[1].nbytes == len(edges) * (16 if shift else 8)
+    calls = []
+    monkeypatch.setattr(mcmc, "broadcast_population", lambda *a: (calls.append(1), spark.sparkContext.broadcast(pop))[1])
+    assert mcmc.matched_boundary(spark, adj, attributes, [2, 3], 1, 2.0, 5).count() == 2 and len(calls) == 1
+
+
+def test_exposure_draws_as_dense_counts(spark):
+    _, e = random_edges(spark, 60, 150, 8, hub=True)
+    adj, attributes = graph.adjacency(e), graph.node_attributes(e)
+    got = {r.node: list(r)[1:] for r in causal.exposure_draws(spark, adj, attributes, 6, 21, parts=2).collect()}
+    pop, want = mcmc.broadcast_population(spark, adj, attributes).value, np.zeros((5, 60), int)
+    near = np.zeros((60, 60), int)
+    for v in range(60):
+        near[v, pop.hop1(v)] = 1
+    for part, own in ((0, 11), (1, 10)):
+        rng = np.random.default_rng(mcmc.seed_of(0, part, "draws"))
+        for _ in range(own):
+            d = np.zeros(60, int)
+            d[rng.choice(60, 6, replace=False)] = 1
+            nd = near @ d
+            want += [(d == 1) & (nd > 0), (d == 1) & (nd == 0), (d == 0) & (nd > 1), (d == 0) & (nd == 1), (d == 0) & (nd == 0)]
+    assert got == {int(v): want[:, i].tolist() for i, v in enumerate(pop.nodes)}
