@@ -94,9 +94,9 @@ FILTER_BITS = 24
 
 
 def _filter_of(wanted: DataFrame, rows: int) -> tuple[DataFrame | None, int]:
-    """(bitmap of the hashed keys as a broadcast table (_nx_word, _nx_bits), its bits), with eight bits a key; none beyond the bound."""
-    bits = max(1 << 14, 1 << (8 * max(1, rows) - 1).bit_length())
-    if bits > 1 << FILTER_BITS:
+    """(bitmap of the hashed keys as a broadcast table (_nx_word, _nx_bits), its bits), with eight bits a key, or two at least at the bound, where some four in ten other rows pass; none with more keys."""
+    bits = min(1 << FILTER_BITS, max(1 << 14, 1 << (8 * max(1, rows) - 1).bit_length()))
+    if 2 * rows > bits:
         return None, bits
     slot = wanted.select(F.pmod(F.xxhash64(F.col("_nx_key")), F.lit(bits)).alias("_nx_slot"))
     word = slot.select(F.floor(F.col("_nx_slot") / 62).alias("_nx_word"), F.expr("shiftleft(1L, cast(_nx_slot % 62 as int))").alias("_nx_bit"))
@@ -117,7 +117,8 @@ def some_rows(docs: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
     Docs are not shuffled: a filter with eight bits a key is broadcast. With
     more keys than FILTER_BITS allows, all rows are returned and the join that
-    follows does the work.
+    follows does the work. That should be an inner join: Spark puts a left_semi or
+    left_anti one before the filter.
     """
     wanted = wanted.toDF("_nx_key")
     bitmap, bits = _filter_of(wanted, wanted.count())
@@ -135,5 +136,6 @@ def other_rows(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     placed = _placed(docs, key, bitmap, bits, "left")
     hit = F.coalesce(F.expr(_HIT), F.lit(False))
     off = placed.where(~hit).select(*columns)
-    on = placed.where(hit).select(*columns).join(gone, F.col(key) == F.col("_nx_key"), "left_anti")
+    # not left_anti, which Spark would push below the filter, so that all rows would be shuffled
+    on = placed.where(hit).select(*columns).join(gone, F.col(key) == F.col("_nx_key"), "left").where("_nx_key is null").select(*columns)
     return off.unionByName(on)

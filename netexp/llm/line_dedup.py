@@ -106,10 +106,8 @@ _COPY = [*_SPAN, "keep_key", "keep_begin"]
 
 def later_copies(chunks: DataFrame, keyed: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, begin, end, first, last, keep_key, keep_begin) of the chunks whose bytes stand before, and where. ``chunks`` is (key, doc_id, hash, begin, end, first, last)."""
-    place = F.struct(F.col("doc_id"), F.col("key"), F.col("begin"))
-    again = chunks.groupBy("hash").agg(F.min(place).alias("keep"), F.max(place).alias("top")).where("keep <> top").select("hash")
-    again = scratch.write(again, "again")
-    found = scratch.write(chunks.join(again, "hash").select("hash", "key", "doc_id", "begin", "end", "first", "last").distinct(), "found")
+    again = scratch.write(chunks.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash"), "again")
+    found = scratch.write(some_rows(chunks, again, "hash").join(again, "hash").select("hash", "key", "doc_id", "begin", "end", "first", "last").distinct(), "found")
     # byte comparison: the chunks of a hash, from the texts that hold one of them
     per_text = found.groupBy("key").agg(F.collect_list(F.struct("hash", "doc_id", "begin", "end", "first", "last")).alias("parts"))
     texts = some_rows(keyed, found.select("key"), "key").select("key", "text").dropDuplicates(["key"]).join(per_text, "key")
@@ -166,8 +164,10 @@ def extensions(chunks: DataFrame, copies: DataFrame, scratch: Scratch) -> DataFr
         return F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same)).cast("int")
 
     sized = both.withColumn("nr", F.when(F.col("to_right"), agree("right")).otherwise(0)).withColumn("nl", F.when(F.col("to_left"), agree("left")).otherwise(0)).where("nr + nl > 0")
-    of = lambda key, doc, right, left: sized.select(F.col(key).alias("key"), F.col(doc).alias("doc_id"), F.explode(F.concat(F.slice(right, 1, F.col("nr")), F.slice(left, 1, F.col("nl")))).alias("p"))
-    return of("key", "doc_id", "right", "left").unionAll(of("keep_key", "keep_doc", "keep_right", "keep_left")).select("key", "doc_id", "p.*").distinct()
+    # both sides from one pass over the joined rows
+    of = lambda key, doc, right, left: F.transform(F.concat(F.slice(right, 1, F.col("nr")), F.slice(left, 1, F.col("nl"))), lambda p: F.struct(F.col(key).alias("key"), F.col(doc).alias("doc_id"), p.alias("p")))
+    both = sized.select(F.explode(F.concat(of("key", "doc_id", "right", "left"), of("keep_key", "keep_doc", "keep_right", "keep_left"))).alias("t"))
+    return both.select("t.key", "t.doc_id", "t.p.*").distinct()
 
 
 def runs_of(spans: DataFrame) -> DataFrame:
@@ -188,8 +188,9 @@ def removed_chunks(spark: SparkSession, keyed: DataFrame) -> DataFrame:
     # pairs in a chunk that goes are told by it, but for the one that leaves it
     gone_chunks = scratch.write(whole.select(_place("key", "begin").alias("place")).distinct(), "gone")
     placed = chunks.select("key", "doc_id", "last", "pairs", _place("key", "begin").alias("place"))
-    leaving = some_rows(placed, gone_chunks, "place").select("key", "doc_id", "place", F.explode(F.filter("pairs", lambda p: p["last"] > F.col("last"))).alias("p")).join(gone_chunks, "place", "left_semi")
-    each = other_rows(placed, gone_chunks, "place").select("key", "doc_id", F.explode("pairs").alias("p")).unionAll(leaving.select("key", "doc_id", "p")).select("key", "doc_id", "p.*", _place("key", "p.begin").alias("place"))
+    leaving = some_rows(placed, gone_chunks, "place").select("key", "doc_id", "place", F.explode(F.filter("pairs", lambda p: p["last"] > F.col("last"))).alias("p")).join(gone_chunks, "place")
+    leaving = scratch.write(leaving.select("key", "doc_id", "p.*"), "leaving")
+    each = other_rows(placed, gone_chunks, "place").select("key", "doc_id", F.explode("pairs").alias("p")).select("key", "doc_id", "p.*").unionAll(leaving).withColumn("place", _place("key", "begin"))
     told_pairs = scratch.write(grown.select(_place("key", "begin").alias("place")).distinct(), "told")
     pairs = other_rows(each, told_pairs, "place").drop("place")
     # the bytes of extensions and of the pairs that are left are compared at once: texts move once for both
