@@ -15,7 +15,7 @@ bounded size, exactly; a spanning forest of the links and each set's number of
 links leave a block. Copies of one set are one class, so they never form pairs.
 
 The order comes from counts of hash buckets over all documents, in a table sized
-by the corpus up to 2 ** BUCKET_BITS bytes. A poor order costs time, never a link.
+by the corpus up to 2 ** MOST_BITS bytes. A poor order costs time, never a link.
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ from netexp.llm.cluster import Scratch, components, other_rows, some_rows
 from netexp.llm.line_dedup import row_key
 from netexp.llm.textkit import U, mix, shingle_sets, signed, slices
 
-#: Least and most bits of the frequency table's size; its rows hold 2 ** CHUNK_BITS buckets; partitions whose counts are added in one step.
-LEAST_BITS, BUCKET_BITS, CHUNK_BITS, ADDED = 12, 24, 16, 256
+#: Least bits of the frequency table's size, those up to which it has a bucket for each shingle, and most; its rows hold 2 ** CHUNK_BITS buckets; partitions whose counts are added in one step.
+LEAST_BITS, BUCKET_BITS, MOST_BITS, CHUNK_BITS, ADDED = 12, 24, 27, 16, 256
+#: Frequency classes for each doubling of a count: where buckets hold many shingles, a common one shows only as a small part of its bucket's count.
+LEVELS = 8
 BLOCK, HISTOGRAM_BLOCK = 384, 1024
 COLUMNS = 4096
 BINS = 256
@@ -59,34 +61,28 @@ def signatures(tokens: np.ndarray, frequency: np.ndarray, frequent: int, num: in
         return tokens[:0]
     own = mix(tokens + U(0x51ED270B))
     count = frequency[bucket_of(own, len(frequency).bit_length() - 1)]
-    order = np.lexsort((own, count))
-    own, count = own[order], count[order]
-    common = count >= frequent
-    out = []
+    own = np.sort(count.astype(U) << U(56) | own >> U(8))  # the rarest first, by all but eight bits of the hash
+    rare = int(np.searchsorted(own, U(min(frequent, 255)) << U(56)))
+    if tau < rare:
+        return own[: tau + 1]
+    common = own[rare:]
+    out = [own[:rare]]
     band = band_of(n, num, den)
     for scheme in (band, band + 1):  # a set and a partner one band up meet in the upper band's scheme
         groups = max(1, round(((1 - num / den) * (num / den) ** -scheme + 1) / 6))
-        group = np.where(common, (own >> U(8)) % U(groups), U(0)).astype(np.int64)
-        adds = ~common
-        where = np.flatnonzero(common)
-        if len(where):
-            first = np.unique(group[where], return_index=True)[1]
-            adds = np.ones(n, dtype=bool)
-            adds[where[first]] = False
-        total = np.cumsum(adds)
-        size = int(np.searchsorted(total, tau + 1)) + 1
-        if size > n:  # can't happen for sets with room for a partner; all shingles then stand alone
+        group = (common & U((1 << 56) - 1)) % U(groups)
+        adds = np.ones(len(common), dtype=bool)
+        adds[np.unique(group, return_index=True)[1]] = False
+        size = int(np.searchsorted(rare + np.cumsum(adds), tau + 1)) + 1
+        if size > len(common):  # can't happen for sets with room for a partner; all shingles then stand alone
             return own
-        out.append(own[:size][~common[:size]])
-        pick = where[where < size]
+        by = np.argsort(group[:size], kind="stable")
+        group, value = group[by], common[by]
+        times = np.searchsorted(group, group, "right") - np.arange(size) - 1
+        i = np.repeat(np.arange(size), times)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
         salt = U((scheme * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-        sort = np.argsort(group[pick], kind="stable")
-        pick = pick[sort]
-        for part in np.split(pick, np.flatnonzero(np.diff(group[pick])) + 1):
-            if len(part) > 1:
-                i, j = np.triu_indices(len(part), 1)
-                lo, hi = np.minimum(own[part[i]], own[part[j]]), np.maximum(own[part[i]], own[part[j]])
-                out.append(mix(lo * U(0xA0761D6478BD642F) + mix(hi + salt)))
+        out.append(mix(value[i] * U(0xA0761D6478BD642F) + mix(value[j] + salt)))
     return np.unique(np.concatenate(out))
 
 
@@ -102,13 +98,13 @@ def _bucket_counts(k: int, bits: int):
     width = 1 << min(bits, CHUNK_BITS)
 
     def count(batches):
-        total = np.zeros(1 << bits, dtype=np.uint32)
+        total = np.zeros(1 << bits, dtype=np.uint8)
         for batch in batches:
             for _, _, buf, offsets in slices(batch.column(0)):
                 at, n = np.unique(bucket_of(mix(np.concatenate(shingle_sets(buf, offsets, k)) + U(0x51ED270B)), bits), return_counts=True)
-                total[at] += n.astype(np.uint32)
+                total[at] = np.minimum(total[at] + n, 255)
         for c in range(len(total) // width):
-            part = np.minimum(total[c * width : (c + 1) * width], 255).astype(np.uint8)
+            part = total[c * width : (c + 1) * width]
             at = np.flatnonzero(part)
             if len(at):
                 sparse = 3 * len(at) < width
@@ -118,15 +114,15 @@ def _bucket_counts(k: int, bits: int):
     return count
 
 
-def _add_counts(keys: int, width: int, levels: bool):
+def _add_counts(keys: int, width: int, levels: bool, each: int = 2):
     """Rows (chunk, ..., at, n) sorted by their first ``keys`` columns, read as they come: the sums of each key's counts.
 
-    As classes if ``levels``: 0 for none, then the rounded doubled logarithm + 1.
+    As classes if ``levels``: 0 for none, then 1 and ``each`` more for each doubling, rounded.
     """
 
     def result(key, total):
         if levels:
-            out = np.where(total > 0, np.rint(2 * np.log2(np.maximum(total, 1))) + 1, 0).astype(np.uint8)
+            out = np.where(total > 0, np.rint(each * np.log2(np.maximum(total, 1))) + 1, 0).clip(0, 255).astype(np.uint8)
         else:
             out = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
         return pa.record_batch([pa.array([key[0]], pa.int32()), pa.array([b""], pa.binary()), pa.array([out.tobytes()], pa.binary())], names=["chunk", "at", "n"])
@@ -152,13 +148,23 @@ def _add_counts(keys: int, width: int, levels: bool):
 
 
 def table_bits(docs: DataFrame) -> int:
-    """About one bucket for every six bytes of text, within the bounds."""
+    """About one bucket for every six bytes of text, within the bounds; above BUCKET_BITS one for every 64 bytes, some ten shingles."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(BUCKET_BITS, max(LEAST_BITS, (size // 6).bit_length()))
+    return bits_for(size)
+
+
+def bits_for(size: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, min(BUCKET_BITS, (size // 6).bit_length()), (size // 64).bit_length()))
+
+
+def frequent_class(counts: np.ndarray, times: int) -> int:
+    """The class from which a bucket has a common shingle: its count is over the median, which chance shares out, by times squared or by as many deviations as ``times``."""
+    usual = 2.0 ** ((int(np.median(counts)) - 1) / LEVELS)
+    return math.ceil(LEVELS * math.log2(usual + max(times**2, times * usual**0.5))) + 1
 
 
 def frequency_table(docs: DataFrame, k: int) -> np.ndarray:
-    """Frequency class of each hash bucket of shingles, over all documents: at most 2 ** BUCKET_BITS bytes.
+    """Frequency class of each hash bucket of shingles, over all documents: at most 2 ** MOST_BITS bytes.
 
     Sums go in two steps, so that no task adds more than ADDED partitions' rows
     of a chunk and then one row for each ADDED partitions.
@@ -167,7 +173,7 @@ def frequency_table(docs: DataFrame, k: int) -> np.ndarray:
     width = 1 << min(bits, CHUNK_BITS)
     counts = docs.select("text").mapInArrow(_bucket_counts(k, bits), _COUNTS).select("chunk", F.floor(F.spark_partition_id() / ADDED).alias("part"), "at", "n")
     some = counts.repartition("chunk", "part").sortWithinPartitions("chunk", "part").mapInArrow(_add_counts(2, width, False), _COUNTS)
-    rows = some.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_add_counts(1, width, True), _COUNTS).select("chunk", "n").toArrow()
+    rows = some.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_add_counts(1, width, True, LEVELS), _COUNTS).select("chunk", "n").toArrow()
     table = np.zeros(((1 << bits) // width, width), dtype=np.uint8)
     for chunk, levels in zip(rows["chunk"].to_pylist(), rows["n"].to_pylist(), strict=True):
         table[chunk] = np.frombuffer(levels, dtype=np.uint8)
@@ -454,7 +460,7 @@ def ngram_jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 4, t
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = frequency_table(docs, k)
-    frequent = max(9, int(np.median(counts)) + 2 * int(math.log2(frequent_times)))  # classes go up by 2 when counts double
+    frequent = frequent_class(counts, frequent_times)
     table = spark.sparkContext.broadcast(counts)
     del counts
     schema = "row long, doc_id long, n long, k1 long, k2 long, sigs array<long>, bins binary"

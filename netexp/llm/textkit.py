@@ -32,10 +32,11 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift and multiply), applied elementwise."""
     x = x ^ (x >> U(30))
-    x = x * U(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U(27))
-    x = x * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
 
 
 #: A random 64-bit value for each byte, from the finaliser itself.
@@ -123,15 +124,19 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     windows = np.maximum(n - k + 1, 0) + ((n > 0) & (n < k))
     bounds = np.concatenate(([0], np.cumsum(windows)))
     at = np.repeat(first[:-1] - bounds[:-1], windows) + np.arange(bounds[-1])
-    last = np.repeat(first[1:], windows)
+    padded = np.append(hashes, np.zeros(k, dtype=U))  # no window of a text with k words or more gets there
     out = np.zeros(len(at), dtype=U)
-    length = np.zeros(len(at), dtype=U)
     for j in range(k):
-        here = at + j
-        ok = here < last
-        out = np.where(ok, mix(out * U(0xA0761D6478BD642F) + hashes[np.minimum(here, len(hashes) - 1)] if len(hashes) else out), out)
-        length += ok
-    return mix(out + length * U(0xE7037ED1A0B428DB)), bounds
+        out *= U(0xA0761D6478BD642F)
+        out += padded[at + j]
+        out = mix(out)
+    out = mix(out + U(k * 0xE7037ED1A0B428DB & 0xFFFFFFFFFFFFFFFF))
+    for text in np.flatnonzero((n > 0) & (n < k)):
+        one = np.zeros(1, dtype=U)
+        for h in hashes[first[text] : first[text + 1]]:
+            one = mix(one * U(0xA0761D6478BD642F) + h)
+        out[bounds[text]] = mix(one + n[text : text + 1].astype(U) * U(0xE7037ED1A0B428DB))[0]
+    return out, bounds
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int, lower: bool = True) -> list[np.ndarray]:
@@ -141,7 +146,13 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int, lower: bool = Tru
     s, e, first = words(buf, offsets)
     h = Prefix(buf).hashes(s, e)
     sh, bounds = shingles(h, first, k)
-    return [np.unique(sh[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        own = np.sort(sh[a:b])
+        new = np.ones(b - a, dtype=bool)
+        np.not_equal(own[1:], own[:-1], out=new[1:])
+        out.append(own[new])
+    return out
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -100,6 +100,21 @@ def test_frequency_sums(monkeypatch):
     assert levels[0] + levels[1] == expected.tobytes()
 
 
+def test_order_with_full_buckets():
+    """Where each bucket holds a hundred shingles, those in a few dozen more sets still come last, and the table grows with a large corpus."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    counts = rng.poisson(100, 1 << 16)
+    counts[:200] += 40
+    (row,) = ngram_join._add_counts(1, 1 << 16, True, ngram_join.LEVELS)([pa.record_batch([pa.array([0], pa.int32()), pa.array([b""]), pa.array([counts.astype(np.uint32).tobytes()])], names=["chunk", "at", "n"])])
+    levels = np.frombuffer(row.column(2)[0].as_py(), dtype=np.uint8)
+    assert levels[:200].min() > np.quantile(levels[200:], 0.5)
+    assert np.mean(levels[:200] > np.quantile(levels[200:], 0.999)) > 0.7
+    assert ngram_join.frequent_class(levels, 4) <= ngram_join.LEVELS * np.log2(150) + 2
+    assert [ngram_join.bits_for(size) for size in (6 << 20, 840_000_000, 10_000_000_000)] == [21, 24, 27]
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.ngram_jaccard_components(spark, docs(spark, ["a"]).limit(0)).count() == 0
 
